@@ -114,7 +114,7 @@ hits AS (SELECT r, template, label, votes, p - t AS diagonal, t FROM places JOIN
 diagonals AS (SELECT r, template, label, votes, diagonal, list(DISTINCT t) AS ts FROM hits GROUP BY ALL),
 marks AS (SELECT *, CASE WHEN template < {_FIRST_NOTICE} OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > 2 THEN 1 ELSE 0 END AS fresh FROM diagonals WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM marks),
-merged AS (SELECT r, template, label, votes, run, len(list_distinct(flatten(list(ts)))) / votes AS cover, min(diagonal) + min(list_min(ts)) AS start FROM runs GROUP BY ALL),
+merged AS (SELECT r, template, label, run, len(list_distinct(flatten(list(ts)))) / votes AS cover, min(diagonal) + min(list_min(ts)) AS start FROM runs GROUP BY r, template, label, votes, run),
 good AS (SELECT *, template < {_FIRST_NOTICE} AS base FROM merged WHERE cover >= CASE WHEN template < {_FIRST_NOTICE} THEN 1 ELSE 0.8 END),
 per AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM good GROUP BY r)
