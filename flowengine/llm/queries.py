@@ -1,11 +1,12 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import decontaminate, license_scan, simhash_vptree
+from . import decontaminate, license_scan, sentencepiece_viterbi, simhash_vptree
 
 QUERIES = {
     "op2_near_duplicates": simhash_vptree.op2_near_duplicates,
     "op3_license_scan": license_scan.op3_license_scan,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op9_sentencepiece": sentencepiece_viterbi.op9_sentencepiece,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.ORACLE_SQL,
