@@ -1,8 +1,9 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import decontaminate, license_scan, sentencepiece_viterbi, simhash_vptree
+from . import decontaminate, license_scan, ngram_score, sentencepiece_viterbi, simhash_vptree
 
 QUERIES = {
+    "op1_lm_scores": ngram_score.op1_lm_scores,
     "op2_near_duplicates": simhash_vptree.op2_near_duplicates,
     "op3_license_scan": license_scan.op3_license_scan,
     "op5_decontamination": decontaminate.op5_decontamination,
