@@ -1,15 +1,18 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import decontaminate, license_scan, ngram_score, sentencepiece_viterbi, simhash_vptree
+from . import chat_format, decontaminate, license_scan, ngram_score, sentencepiece_viterbi, simhash_vptree, topk_maxscore
 
 QUERIES = {
     "op1_lm_scores": ngram_score.op1_lm_scores,
     "op2_near_duplicates": simhash_vptree.op2_near_duplicates,
     "op3_license_scan": license_scan.op3_license_scan,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_top_k": topk_maxscore.op6_top_k,
     "op9_sentencepiece": sentencepiece_viterbi.op9_sentencepiece,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op6_top_k": topk_maxscore.ORACLE_SQL,
 }
