@@ -30,8 +30,10 @@ from .tokens import Words, chunks
 BITS = 3
 #: At most this many fingerprints reach the driver, to place the shards.
 SAMPLE = 16_384
-#: Fingerprints that a shard is to hold, and queries that one task takes.
-SHARD, QUERIES = 8_192, 131_072
+#: Shards at least, fingerprints that a shard is to hold at most, and queries that one task takes. A shard splits further
+#: in memory, so few levels of shards are needed, and a fingerprint's copies do not grow with the table below
+#: SHARDS * SHARD fingerprints.
+SHARDS, SHARD, QUERIES = 32, 131_072, 262_144
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = np.arange(8) * 256
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -164,7 +166,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b) between distinct fingerprints fps.fp: enough of the links of at most `bits` bits to connect every group."""
     total = fps.count()
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = VantageTree(sample, max(2, SHARD * len(sample) // max(total, 1)), bits)
+    tree = VantageTree(sample, max(2, min(len(sample) // SHARDS, SHARD * len(sample) // max(total, 1))), bits)
     # a shard with many queries is shared by several tasks: each takes all its points and a part of its queries
     scale = total / max(len(sample), 1)
     seen = np.zeros(len(tree.load))
