@@ -1,6 +1,6 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import chat_format, decontaminate, license_scan, ngram_score, sentencepiece_viterbi, simhash_vptree, topk_maxscore
+from . import chat_format, decontaminate, license_scan, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
 
 QUERIES = {
     "op1_lm_scores": ngram_score.op1_lm_scores,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_top_k": topk_maxscore.op6_top_k,
+    "op7_quality": quality_crf.op7_quality,
+    "op8_toxicity": toxicity_cnn.op8_toxicity,
     "op9_sentencepiece": sentencepiece_viterbi.op9_sentencepiece,
     "op10_chat_format": chat_format.op10_chat_format,
 }

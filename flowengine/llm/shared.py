@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +23,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bucket(key: str, n: int):
+    """crc32 of the key as text, modulo n: which rows a classifier may learn from."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, key: str = "doc_id") -> DataFrame:
+    """Rows of docs with a column `_label`: of each class at most `per_class` labelled rows that satisfy `learn`.
+
+    Which rows is decided by the hash of their key; at most 2 * per_class keys are broadcast.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.coalesce(learn, F.lit(False))).groupBy(key).agg(F.max(label).alias("_label"))
+    some = None
+    for c in (0, 1):
+        part = known.where(F.col("_label") == c).orderBy(F.xxhash64(key), key).limit(per_class)
+        some = part if some is None else some.unionByName(part)
+    return docs.join(F.broadcast(some), key)

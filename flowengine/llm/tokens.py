@@ -80,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def hash_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of data[start : start + length], 8 bytes at a time over all spans together; data has 8 spare bytes at its end."""
     at = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = mix(length.astype(np.uint64) + np.uint64(seed) * _M1 + np.uint64(1))
+    h = mix(length.astype(np.uint64) + np.uint64((seed * int(_M1) + 1) % (1 << 64)))
     todo, off = np.arange(len(start)), 0
     while len(todo):
         left = length[todo] - off
