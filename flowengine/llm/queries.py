@@ -1,11 +1,12 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import chat_format, decontaminate, license_scan, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
+from . import chat_format, decontaminate, html_linetext, license_scan, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
 
 QUERIES = {
     "op1_lm_scores": ngram_score.op1_lm_scores,
     "op2_near_duplicates": simhash_vptree.op2_near_duplicates,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_main_text": html_linetext.op4_main_text,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_top_k": topk_maxscore.op6_top_k,
     "op7_quality": quality_crf.op7_quality,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.ORACLE_SQL,
+    "op4_main_text": html_linetext.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_top_k": topk_maxscore.ORACLE_SQL,
 }
