@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .license_scan import words
-from .shared import cut, table
+from .shared import cut, table, unused
 
 #: Item shingles are broadcast up to this many; beyond it the join shuffles.
 BROADCAST_SHINGLES = 200_000
@@ -84,8 +84,10 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
 
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, that contain none of the items."""
-    bad = contained_items(docs, items, key, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key] == F.col("_bad"), "left_anti")
+    bad = contained_items(docs, items, key, **options)
+    own = unused(docs, "_bad")
+    bad = bad.select(F.col(key).alias(own)).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad[own]), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

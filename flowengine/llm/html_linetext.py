@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import table
+from .shared import extended, table
 from .tokens import chunks
 
 WINDOW, FLOOR = 3, 120
@@ -164,7 +165,7 @@ def main_text(page: str | None, window: int = WINDOW, floor: int = FLOOR) -> str
 
 
 def main_texts(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:
-    """pages with a column `out` in place of `source`."""
+    """pages with a column `out` (a name that pages does not have) in place of `source`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, name=source):
@@ -172,8 +173,7 @@ def main_texts(pages: DataFrame, source: str = "html", out: str = "text") -> Dat
             kept = [i for i, name in enumerate(b.schema.names) if name != source]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], texts], [*[b.schema.names[i] for i in kept], out])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != source)
-    return pages.mapInArrow(run, f"{names}, `{out}` string")
+    return pages.mapInArrow(run, T.StructType([f for f in extended(pages, **{out: T.StringType()}) if f.name != source]))
 
 
 def op4_main_text(spark, sf_dir: str) -> DataFrame:

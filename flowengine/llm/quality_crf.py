@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import bucket, labelled_sample, table
+from .shared import bucket, extended, labelled_sample, table
 from .tokens import Words, chunks, mix, text_bytes
 
 PER_CLASS = 1_500
@@ -188,13 +189,12 @@ def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> Da
             s = np.full(b.num_rows, model) if isinstance(model, float) else model.score(*line_features(b.column(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, out])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, `{out}` double")
+    return docs.mapInArrow(run, extended(docs, **{out: T.DoubleType()}))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """docs, all columns, with `score`; learns from labelled rows whose bucket of 4 is not 2."""
-    return scored(docs, trained(docs, labels, label, bucket(key, 4) != 2, key, text), text)
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", out: str = "score") -> DataFrame:
+    """docs, all columns, with the score in `out` (a name that docs does not have); learns from labelled rows whose bucket of 4 is not 2."""
+    return scored(docs, trained(docs, labels, label, bucket(key, 4) != 2, key, text), text, out)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

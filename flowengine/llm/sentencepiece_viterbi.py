@@ -23,8 +23,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import table
+from .shared import extended, table
 from .tokens import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -121,8 +122,7 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, out: str =
             col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, out])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, `{out}` array<int>")
+    return docs.mapInArrow(run, extended(docs, **{out: T.ArrayType(T.IntegerType())}))
 
 
 def decoded(rows: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
@@ -138,8 +138,7 @@ def decoded(rows: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "d
                 texts = pa.array([p.decode(x.tolist()) if x is not None else "" for x in part.column(ids).to_numpy(zero_copy_only=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{names}, `{out}` string")
+    return rows.mapInArrow(run, extended(rows, **{out: T.StringType()}))
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:

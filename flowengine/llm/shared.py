@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,3 +42,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_c
         part = known.where(F.col("_label") == c).orderBy(F.xxhash64(key), key).limit(per_class)
         some = part if some is None else some.unionByName(part)
     return docs.join(F.broadcast(some), key)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def extended(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """The schema of df with further columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more.items())])

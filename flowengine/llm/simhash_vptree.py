@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, table, unused
 from .tokens import Words, chunks
 
 BITS = 3
@@ -227,9 +227,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
 
     Of repeated rows (same key and text) one stays; a group whose keys are all null keeps each of its different texts.
     """
-    keep = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.withColumn("_same", F.xxhash64(text)).dropDuplicates([key, "_same"]).drop("_same")
+    keep = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
+    own, same = unused(docs, "_keep"), unused(docs, "_same")
+    keep = keep.select(F.col(key).alias(own)).distinct()
+    kept = docs.join(keep, docs[key].eqNullSafe(keep[own]), "left_semi")
+    return kept.withColumn(same, F.xxhash64(text)).dropDuplicates([key, same]).drop(same)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality_crf import platt
-from .shared import bucket, labelled_sample, table
+from .shared import bucket, extended, labelled_sample, table
 from .tokens import BY_SPACE, Words, chunks
 
 PER_CLASS = 1_500
@@ -197,17 +198,16 @@ def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> Da
             s = np.full(b.num_rows, net) if tables is None else net.score(*word_ids(b.column(text)), tables)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.astype(np.float64))], [*b.schema.names, out])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, `{out}` double")
+    return docs.mapInArrow(run, extended(docs, **{out: T.DoubleType()}))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> DataFrame:
-    """docs, all columns, with `score` and `flagged`; learns from labelled rows whose bucket of 5 is not 0."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", out: str = "score", flag: str = "flagged") -> DataFrame:
+    """docs, all columns, with the score in `out` and the decision in `flag` (names that docs does not have); learns from labelled rows whose bucket of 5 is not 0."""
     model = trained(docs, labels, label, bucket(key, 5) != 0, key, text, lang)
     limit = F.lit(THRESHOLD)
     for name, t in sorted([] if isinstance(model, float) else model.thresholds.items()):
         limit = F.when(F.col(lang) == name, t).otherwise(limit)
-    return scored(docs, model, text).withColumn("flagged", F.col("score") >= limit)
+    return scored(docs, model, text, out).withColumn(flag, F.col(out) >= limit)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
