@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .license_scan import words
 from .shared import cut, table, unused
 
-#: Item shingles are broadcast up to this many; beyond it the join shuffles.
-BROADCAST_SHINGLES = 200_000
+#: Item shingles, and keys of candidate texts, are broadcast up to these counts; beyond them the joins shuffle.
+BROADCAST_SHINGLES, BROADCAST_KEYS = 200_000, 200_000
 
 
 def _shingles(df: DataFrame, keep: list, width: int, whole_if_short: bool) -> DataFrame:
@@ -47,47 +47,51 @@ def item_sketches(items: DataFrame, key: str, text: str, width: int, threshold:
     return one, one.where("sketch").groupBy("m", "size_class").agg(F.max("h").alias("ceiling"), F.count("*").alias("n"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Pairs (key, item_key, n_shared, n_shingles, containment) of whole texts and the items they contain."""
+def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int, threshold: float) -> DataFrame:
+    """(k, same, item, q, n_shared) of the pairs that verify; `same` is the hash of the text."""
     one, per_class = item_sketches(items, item_key, item_text, width, threshold)
     one = cut(one)
     classes = per_class.groupBy("m").agg(F.max("ceiling").alias("ceiling"), F.sum("n").alias("n")).collect()  # at most `width` rows
-    small = one.count() <= BROADCAST_SHINGLES
-    sized = F.broadcast if small else (lambda df: df)
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), words(F.col(text)).alias("w"))
-    out = None
+    small = F.broadcast if one.count() <= BROADCAST_SHINGLES else (lambda df: df)
+    raw = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
+    rows = raw.select("k", "same", words(F.col("text")).alias("w"))
+    out = docs.sparkSession.createDataFrame([], f"k {docs.schema[key].dataType.simpleString()}, same long, item {items.schema[item_key].dataType.simpleString()}, q long, n_shared long")
     for c in sorted(classes, key=lambda c: c["m"]):
         m, cols = c["m"], [f"s{i}" for i in range(c["m"])]
         of = one.where(F.col("m") == m).withColumn("h", _hash(m))  # short items: only their m words
-        top = c["ceiling"] if m == width else None
-        sketch = of.where("sketch").select("item", "h", *[F.col(x).alias("i" + x) for x in cols])
-        cands = _shingles(rows, ["k", "same"], m, False).withColumn("dh", _hash(m))
-        if top is not None:
-            cands = cands.where(F.col("dh") <= top)
         same = F.col("dh") == F.col("h")
         for x in cols:
             same = same & (F.col(x) == F.col("i" + x))
-        cands = cut(cands.join(sized(sketch), same).select("k", "same", "item").distinct())
-        # verification: the texts with candidates once more, now against all shingles of their candidate items
-        texts = rows.join(cands.select("k", "same").distinct(), ["k", "same"], "left_semi").dropDuplicates(["k", "same"])
-        full = of.select("item", "h", "q", "need", *[F.col(x).alias("i" + x) for x in cols])
-        hits = _shingles(texts, ["k", "same"], m, False).withColumn("dh", _hash(m)).join(sized(full), same)
-        shared = hits.groupBy("k", "same", "item", "q", "need").agg(F.count_distinct(*cols).alias("n_shared")).where("n_shared >= need")
-        shared = shared.join(cands, ["k", "same", "item"], "left_semi")
-        out = shared if out is None else out.unionByName(shared)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "k long, same long, item long, q long, need long, n_shared long")
-    return out.groupBy(F.col("k").alias(key), F.col("item").alias(item_key)).agg(
+        renamed = [F.col(x).alias("i" + x) for x in cols]
+        found = _shingles(rows, ["k", "same"], m, False).withColumn("dh", _hash(m))
+        if m == width:
+            found = found.where(F.col("dh") <= c["ceiling"])
+        found = cut(found.join(small(of.where("sketch").select("item", "h", *renamed)), same).select("k", "same").distinct())
+        # verification: the texts with candidates once more, now against all shingles of the items
+        keys = found.select(F.col("k").alias("ck"), F.col("same").alias("cs"))
+        keys = F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys
+        texts = raw.join(keys, F.col("k").eqNullSafe(F.col("ck")) & (F.col("same") == F.col("cs")), "left_semi")
+        hits = _shingles(texts.select("k", "same", words(F.col("text")).alias("w")), ["k", "same"], m, False).withColumn("dh", _hash(m))
+        hits = hits.join(small(of.select("item", "h", "q", "need", *renamed)), same)
+        out = out.unionByName(hits.groupBy("k", "same", "item", "q", "need").agg(F.count_distinct(*cols).alias("n_shared")).where("n_shared >= need").drop("need"))
+    return out
+
+
+def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Pairs (key, item_key, n_shared, n_shingles, containment) of whole texts and the items they contain."""
+    found = _contained(docs, items, key, text, item_key, item_text, width, threshold)
+    return found.groupBy(F.col("k").alias(key), F.col("item").alias(item_key)).agg(
         F.max("n_shared").alias("n_shared"), F.max_by("q", "n_shared").alias("n_shingles"), F.max(F.col("n_shared") / F.col("q")).alias("containment")
     )
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that contain none of the items."""
-    bad = contained_items(docs, items, key, **options)
-    own = unused(docs, "_bad")
-    bad = bad.select(F.col(key).alias(own)).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad[own]), "left_anti")
+    own, same = unused(docs, "_bad"), unused(docs, "_same")
+    bad = _contained(docs, items, key, text, item_key, item_text, width, threshold).select(F.col("k").alias(own), F.col("same").alias(same)).distinct()
+    bad = cut(bad)
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
+    return docs.join(bad, docs[key].eqNullSafe(bad[own]) & (F.xxhash64(docs[text]) == bad[same]), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
