@@ -31,7 +31,7 @@ from .tokens import chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Pieces:
