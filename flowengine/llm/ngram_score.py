@@ -11,7 +11,7 @@
    p3 = c3 / (C + T) + T / (C + T) p2 (Witten-Bell interpolation), from the start of the text with what context it has.
 
 All counts cover all training texts; nothing is pruned or capped. Words are 64-bit hashes, successors in a context 32-bit
-ones. Defined results: a null or empty text has one token, the end; a null doc_id is a training row; repeated rows count
+ones, third words LAST_BITS ones. Defined results: a null or empty text has one token, the end; a null doc_id is a training row; repeated rows count
 each and score alike; an empty table gives an empty result.
 """
 
@@ -30,6 +30,8 @@ from .shared import cut, table
 from .tokens import Words, chunks, mix
 
 PART_BYTES = 12 << 20
+#: Bits of a third word's hash. In a context of k successors a new word meets a known one with the chance k / 2 ** LAST_BITS.
+LAST_BITS = 24
 END = np.uint64(0x51ED270B7A14C9D3)
 _U = np.uint64
 
@@ -44,7 +46,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     """(h, c): count of every different token of the rows that are not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 16 << 20):
+        for b in chunks(batches, 32 << 20):
             h, c = np.unique(_tokens(b.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
@@ -61,57 +63,66 @@ class Part:
         n = len(self.tokens)
         self.words, w = np.unique(self.tokens, return_inverse=True)
         end = np.searchsorted(self.words, END)
-        one = (w + 1).astype(_U)  # 0: nothing stands there
-        two, three = np.zeros(n + 2, _U), np.zeros(n + 2, _U)
-        two[: n - 1], three[: n - 2] = one[1:], one[2:]
+        del self.tokens
+        w = w.astype(np.int32)
+        one = (w + 1).astype(np.uint32)  # 0: nothing stands there
+        two, three = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        two[:-1], three[:-2] = one[1:], one[2:]
         ends = np.flatnonzero(w == end)
         two[ends], three[ends], three[ends[ends > 0] - 1] = 0, 0, 0
-        two, three = two[:n], three[:n]
         bits = _U(len(self.words).bit_length())
         if 3 * int(bits) <= 64:
-            key = (((one << bits) | two) << bits) | three
-            order = np.argsort(key)
-            new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+            key = one.astype(_U)
+            for more in (two, three):
+                key <<= bits
+                key |= more
+            order = np.argsort(key).astype(np.int32)
+            key = key[order]
+            new = np.ones(n, bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            del key
         else:
             order = np.lexsort((three, two, one))
             new = np.ones(n, bool)
             new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0) | (np.diff(three[order]) != 0)
-        self.of_token = np.empty(n, np.int64)  # the trigram that begins at each token
-        self.of_token[order] = np.cumsum(new) - 1
+        self.of_token = np.empty(n, np.int32)  # the trigram that begins at each token
+        self.of_token[order] = np.cumsum(new, dtype=np.int32) - 1
         at = np.flatnonzero(new)
         pick = order[at]
-        a, b, c = one[pick].astype(np.int64), two[pick].astype(np.int64), three[pick].astype(np.int64)
-        self.count = np.add.reduceat((~held[order]).astype(np.int64), at)
+        a, b, c = one[pick], two[pick], three[pick]
+        del one, two, three, new, pick
+        self.count = np.add.reduceat((~held[order]).astype(np.int32), at)
+        del order
         fresh = np.ones(len(a), bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.pair_of = np.cumsum(fresh) - 1  # of each trigram
+        self.pair_of = np.cumsum(fresh, dtype=np.int32) - 1  # of each trigram
         pairs = np.flatnonzero(fresh)
         hashes = np.concatenate([np.zeros(1, _U), self.words])
-        self.a, self.b2, self.c3 = a[pairs] - 1, (hashes[b[pairs]] >> _U(32)).astype(np.uint32), (hashes[c] >> _U(32)).astype(np.uint32)
+        self.a, self.b2, self.c3 = (a[pairs] - 1).astype(np.int32), (hashes >> _U(32)).astype(np.uint32)[b[pairs]], (hashes >> _U(64 - LAST_BITS)).astype(np.uint32)[c]
         self.word_count = np.bincount(w[~held], minlength=len(self.words))
         self.word_of_token, self.shards = w, shards
-        self.word_shard = ((self.words >> _U(7)) % _U(shards)).astype(np.int64)
         # pairs lie where their first word does; those of a frequent word go to several shards in a row
         home = (mix(self.words) % _U(shards)).astype(np.int64)
         over = np.ones(len(self.words), np.int64)
         _, mine, known = np.intersect1d(self.words, spread[0], assume_unique=True, return_indices=True)
         over[mine] = spread[1][known]
-        self.pair_shard = (home[self.a] + (mix(hashes[b[pairs]]) % over[self.a].astype(_U)).astype(np.int64)) % shards
+        self.word_shard, self.pair_shard = home, ((home[self.a] + (mix(hashes)[b[pairs]] % over[self.a].astype(_U)).astype(np.int64)) % shards).astype(np.int32)
         self.ask: dict[int, list[int]] = {}  # shards that hold successors of a frequent word, whether this part has such pairs or not
         for w in mine.tolist():
             for j in range(int(over[w])):
                 self.ask.setdefault((int(home[w]) + j) % shards, []).append(w)
 
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(shard, its words, the heads of its pairs, pairs of each head, its pairs, its trigrams): indices into this part."""
+        """(shard, words, count of each that it owns, pairs of each word, pairs, trigrams): indices into this part."""
         tri_shard = self.pair_shard[self.pair_of]
-        orders = [np.argsort(x, kind="stable") for x in (self.word_shard, self.pair_shard, tri_shard)]
+        orders = [np.argsort(x, kind="stable").astype(np.int32) for x in (self.word_shard, self.pair_shard, tri_shard)]
         bounds = [np.searchsorted(x[o], np.arange(self.shards + 1)) for x, o in zip((self.word_shard, self.pair_shard, tri_shard), orders)]
+        del tri_shard
         for s in range(self.shards):
-            words, pairs, tris = (o[b[s] : b[s + 1]] for o, b in zip(orders, bounds))
-            if len(words) or len(pairs) or s in self.ask:
-                heads = np.unique(np.concatenate([self.a[pairs], np.array(self.ask.get(s, []), np.int64)]))
-                yield s, words, heads, np.bincount(np.searchsorted(heads, self.a[pairs]), minlength=len(heads)), pairs, tris
+            own, pairs, tris = (o[b[s] : b[s + 1]] for o, b in zip(orders, bounds))
+            words = np.unique(np.concatenate([own, self.a[pairs], np.array(self.ask.get(s, []), np.int32)]))
+            if len(words):
+                yield s, words, np.where(self.word_shard[words] == s, self.word_count[words], 0), np.bincount(np.searchsorted(words, self.a[pairs]), minlength=len(words)), pairs, tris
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -129,6 +140,19 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The low LAST_BITS / 8 bytes of each number, byte by byte."""
+    return np.stack([(x >> np.uint32(8 * k)).astype(np.uint8) for k in range(LAST_BITS // 8)]).ravel()
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    rows = planes.reshape(LAST_BITS // 8, -1)
+    out = rows[0].astype(np.uint32)
+    for k in range(1, len(rows)):
+        out |= rows[k].astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32 if x.max() < 1 << 32 else _U)
 
@@ -143,43 +167,40 @@ def answer(group: pa.Table) -> pa.Table:
     parts = group.column("part").to_pylist()
     sent = [unpack(x) for x in group.column("data").to_pylist()]
     words, inverse = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([s[1] for s in sent]), len(words)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    heads = np.unique(np.concatenate([s[2] for s in sent]))
-    key2, of3, c3 = [], [], []
-    base = 0
-    for s in sent:
-        key2.append((np.repeat(np.searchsorted(heads, s[2]), s[3]).astype(_U) << _U(32)) | s[4].astype(_U))
-        of3.append(np.repeat(np.arange(base, base + len(s[4])), s[5]))
-        base += len(s[4])
-        c3.append(s[7])
-    pairs, of2 = np.unique(np.concatenate(key2), return_inverse=True)
-    key3 = (of2[np.concatenate(of3)].astype(_U) << _U(32)) | np.concatenate([s[6] for s in sent]).astype(_U)
-    order = np.argsort(key3)
-    sorted3 = key3[order]
-    at = np.flatnonzero(np.diff(sorted3, prepend=~sorted3[:1]) != 0)
-    triples = sorted3[at]
-    count3 = np.add.reduceat(np.concatenate(c3).astype(np.int64)[order], at) if len(at) else np.zeros(0, np.int64)
+    counts = np.bincount(inverse, np.concatenate([s[1] for s in sent]), len(words)).astype(np.int64)
+    del inverse
+    key2 = np.concatenate([(np.repeat(np.searchsorted(words, s[0]), s[2]).astype(_U) << _U(32)) | s[3].astype(_U) for s in sent])
+    pairs, of2 = np.unique(key2, return_inverse=True)
+    del key2
+    sizes = np.concatenate([s[4] for s in sent])
+    key3 = (np.repeat(of2.astype(_U), sizes) << _U(32)) | np.concatenate([_whole(s[5]) for s in sent]).astype(_U)
+    del of2, sizes
+    order = np.argsort(key3).astype(np.int32)
+    key3 = key3[order]
+    new = np.ones(len(key3), bool)
+    np.not_equal(key3[1:], key3[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    triples, count3 = key3[at], np.add.reduceat(np.concatenate([s[6] for s in sent]).astype(np.int64)[order], at) if len(at) else np.zeros(0, np.int64)
+    del key3, order, new, at
     # only what training texts hold goes into the trie; indices close up
     triples, count3 = triples[count3 > 0], count3[count3 > 0]
     of = (triples >> _U(32)).astype(np.int64)
     count2 = np.bincount(of, count3, len(pairs)).astype(np.int64)
     kept2 = count2 > 0
-    place2 = np.cumsum(kept2) - 1
-    triples = (place2[of].astype(_U) << _U(32)) | (triples & _U(0xFFFFFFFF))
+    triples = ((np.cumsum(kept2) - 1)[of].astype(_U) << _U(32)) | (triples & _U(0xFFFFFFFF))
     pairs = pairs[kept2]
-    of1 = (pairs >> _U(32)).astype(np.int64)
-    kept1 = np.bincount(of1, minlength=len(heads)) > 0
-    place1 = np.cumsum(kept1) - 1
-    pairs = (place1[of1].astype(_U) << _U(32)) | (pairs & _U(0xFFFFFFFF))
-    trie = NgramTrie(heads[kept1], pairs, count2[kept2], triples, count3)
+    of = (pairs >> _U(32)).astype(np.int64)
+    kept1 = np.bincount(of, minlength=len(words)) > 0
+    pairs = ((np.cumsum(kept1) - 1)[of].astype(_U) << _U(32)) | (pairs & _U(0xFFFFFFFF))
+    trie = NgramTrie(words[kept1], pairs, count2[kept2], triples, count3)
+    del triples, count3, pairs, count2, kept2, of
     out = []
     shard = group.column("shard")[0].as_py()
     for part, s in zip(parts, sent):
-        i = trie.words.find(s[2])
-        j = trie.pair(np.repeat(i, s[3]), s[4])
-        k = trie.triple(np.repeat(j, s[5]), s[6])
-        own = counts[np.searchsorted(words, s[0])]
-        out.append((part, shard, pack(_small(own), _small(trie.successors(s[2])), trie.take(trie.pair_codes, j), trie.take(trie.weight_codes, j), trie.take(trie.triple_codes, k))))
+        i = trie.words.find(s[0])
+        j = trie.pair(np.repeat(i, s[2]), s[3])
+        k = trie.triple(np.repeat(j, s[4]), _whole(s[5]))
+        out.append((part, shard, pack(_small(counts[np.searchsorted(words, s[0])]), _small(trie.successors(s[0])), trie.take(trie.pair_codes, j), trie.take(trie.weight_codes, j), trie.take(trie.triple_codes, k))))
     return _rows(out, ["part", "shard"])
 
 
@@ -200,8 +221,8 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
     def send(group: pa.Table) -> pa.Table:
         p, part, out = Part(group, parts, spread), group.column("part")[0].as_py(), []
         sizes3 = np.bincount(p.pair_of)
-        for s, words, heads, sizes, pairs, tris in p.slices():
-            out.append((s, part, pack(p.words[words], _small(p.word_count[words]), p.words[heads], _small(sizes), p.b2[pairs], _small(sizes3[pairs]), p.c3[tris], _small(p.count[tris]))))
+        for s, words, counts, sizes, pairs, tris in p.slices():
+            out.append((s, part, pack(p.words[words], _small(counts), _small(sizes), p.b2[pairs], _small(sizes3[pairs]), _planes(p.c3[tris]), _small(p.count[tris]))))
         return _rows(out, ["shard", "part"])
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -209,10 +230,10 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
         got = {s: unpack(x) for s, x in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist())}
         c1, t1 = np.zeros(len(p.words)), np.zeros(len(p.words))
         c2, weight, p3 = np.zeros(len(p.a), np.uint8), np.zeros(len(p.a), np.uint8), np.zeros(len(p.pair_of), np.uint8)
-        for s, words, heads, _, pairs, tris in p.slices():
-            own, follow, code2, code_w, code3 = got[s]
-            c1[words] = own
-            t1[heads] += follow
+        for s, words, _, _, pairs, tris in p.slices():
+            total, follow, code2, code_w, code3 = got[s]
+            c1[words] += total  # only the owner counts
+            t1[words] += follow
             c2[pairs], weight[pairs], p3[tris] = code2, code_w, code3
         w, first = p.word_of_token, p.first
         at = np.arange(len(w)) - np.repeat(first[:-1], np.diff(first))  # place in the text
