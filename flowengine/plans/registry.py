@@ -1,4 +1,545 @@
-"""All queries of the engine with their SQL twins."""
+"""All queries of the engine on the test tables, with their SQL twins.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The domain's tables are mapped onto the test tables: agents are users, orders or customers; edges, nodes, cells and layers
+are keys of the other tables. Computed doubles are rounded on both sides, as sums of doubles depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from flowengine.functions import expressions as X
+from flowengine.operators import graph, passage, population, raster, scenario, simulate, spatial, species
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# ---- passage -------------------------------------------------------------------------------------------------------
+
+EVENT_NODES = "CASE event_type {} END"
+
+
+@query("""SELECT edge AS edge_id, count(DISTINCT l_orderkey) AS n FROM (SELECT l_orderkey, l_suppkey * 50 + l_partkey % 50 AS edge FROM lineitem) GROUP BY 1""")
+def edge_passage(spark, d):
+    visits = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") * 50 + F.col("l_partkey") % 50).alias("edge_id"))
+    return passage.visits_passage(visits, "l_orderkey", "edge_id")
+
+
+@query("""SELECT s AS edge_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) GROUP BY 1""")
+def edge_passage_arrays(spark, d):
+    hist = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("prior_e"))
+    return passage.edge_passage(hist)
+
+
+_FAMILIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("""WITH v AS (SELECT DISTINCT l_orderkey, o_orderpriority AS f, l_suppkey AS edge_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT edge_id, count(*) AS passage, count(*) FILTER (f = '1-URGENT') AS p1, count(*) FILTER (f = '2-HIGH') AS p2, count(*) FILTER (f = '3-MEDIUM') AS p3,
+count(*) FILTER (f = '4-NOT SPECIFIED') AS p4, count(*) FILTER (f = '5-LOW') AS p5 FROM v GROUP BY 1""")
+def edge_passage_by_family(spark, d):
+    hist = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("prior_e"))
+    hist = hist.join(t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("family")), "o_orderkey")
+    out = passage.family_passage(hist, families=_FAMILIES)
+    return out.withColumnsRenamed({f"passage_{f}": f"p{f[0]}" for f in _FAMILIES})
+
+
+@query("SELECT event_type AS node_id, count(*) AS n FROM events GROUP BY 1")
+def node_passage_multiplicity(spark, d):
+    hist = t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.when(F.col("value") >= 0.5, F.col("event_type"))).alias("prior_v"), F.collect_list(F.when(~(F.col("value") >= 0.5) | F.col("value").isNull(), F.col("event_type"))).alias("retraced_v"))
+    return passage.node_passage(hist, "prior_v", "retraced_v")
+
+
+_FAM = "CASE l_orderkey % 4 WHEN 0 THEN 'walk' WHEN 1 THEN 'dog' WHEN 2 THEN 'bike' ELSE 'jog' END"
+_COUNTS = ", ".join(f"coalesce(count(*) FILTER ({c}), 0) AS {n}" for n, c in [("passage", "true"), ("passage_aoi", "a = 1")] + [(f"passage_{f}{s}", f"f = '{f}'{x}") for f in X.FAMILIES for s, x in (("", ""), ("_aoi", " AND a = 1"))])
+
+
+def _histories(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("prior_e"), F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("prior_e_aoi")).withColumn("family", F.expr(_FAM))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT l_orderkey, {_FAM} AS f, l_suppkey AS e, 0 AS a FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, {_FAM}, l_suppkey, 1 FROM lineitem WHERE l_returnflag = 'R')
+SELECT s_suppkey AS edge_id, {_COUNTS.replace('FILTER (true)', 'FILTER (e IS NOT NULL)')} FROM supplier LEFT JOIN h ON e = s_suppkey GROUP BY 1""")
+def passage_combine(spark, d):
+    edges = t(spark, d, "supplier").select(F.col("s_suppkey").alias("edge_id"))
+    return passage.combined_passage(edges, _histories(spark, d))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS edge_id, o_custkey % 50 AS a, o_orderkey % 50 AS b, CAST(floor(o_totalprice / 1000) AS BIGINT) AS p FROM orders)
+SELECT edge_id, CASE WHEN a IN (3, 7) OR b IN (3, 7) THEN p ELSE 0 END AS passage_aoi2 FROM e""")
+def passage_aoi_incident(spark, d):
+    edges = t(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), (F.col("o_custkey") % 50).alias("from"), (F.col("o_orderkey") % 50).alias("to"), F.floor(F.col("o_totalprice") / 1000).alias("passage"))
+    nodes = spark.createDataFrame([(3,), (7,)], "node_id long")
+    return passage.incident_passage(edges, nodes).select("edge_id", "passage_aoi2")
+
+
+def _moves(spark, d):
+    return passage.trajectory_edges(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS "from", event_type AS "to" FROM events QUALIFY "from" IS NOT NULL""")
+def trajectory_edges(spark, d):
+    return _moves(spark, d)
+
+
+@query("""WITH m AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events),
+e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM m WHERE a IS NOT NULL), i AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS edge_id FROM e)
+SELECT i.edge_id, count(DISTINCT user_id) AS n FROM m JOIN i ON least(m.a, m.b) = i.a AND greatest(m.a, m.b) = i.b WHERE m.a IS NOT NULL GROUP BY 1""")
+def trajectory_passage(spark, d):
+    moves = _moves(spark, d)
+    ends = moves.select(F.least("from", "to").alias("from"), F.greatest("from", "to").alias("to")).distinct()
+    edges = graph.dense_ids(ends, ["from", "to"], "edge_id")
+    return passage.visits_passage(passage.match_edges(moves, edges), "user_id", "edge_id")
+
+
+@query("""SELECT s_suppkey AS edge_id, round(2 + 2.0 * (s_acctbal / (SELECT max(s_acctbal) FROM supplier)), 6) AS width FROM supplier""")
+def line_style(spark, d):
+    edges = t(spark, d, "supplier").select(F.col("s_suppkey").alias("edge_id"), F.col("s_acctbal").alias("passage"))
+    return passage.line_style(edges, "passage", "passage").select("edge_id", r6("width").alias("width"))
+
+
+@query("""SELECT s_suppkey AS edge_id, count(DISTINCT l_orderkey) FILTER (l_orderkey % 4 = 1) AS selected FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' GROUP BY 1""")
+def selected_passage(spark, d):
+    edges = t(spark, d, "supplier").select(F.col("s_suppkey").alias("edge_id"))
+    return passage.selected_passage(passage.combined_passage(edges, _histories(spark, d)), 3, True)
+
+
+@query("SELECT c_custkey AS node_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def start_points(spark, d):
+    nodes = t(spark, d, "customer").select(F.col("c_custkey").alias("node_id"))
+    return passage.start_points(nodes, t(spark, d, "orders").select(F.col("o_custkey").alias("start_v")))
+
+
+# ---- weights and times ---------------------------------------------------------------------------------------------
+
+_W = "greatest(least(p_retailprice * (1 - CASE WHEN p_size <> 0 THEN 1.0 / (k / 45.2423 * p_size) END), p_retailprice), 10)"
+
+
+@query(f"""SELECT p_partkey, weighting, round(CASE WHEN p_size = 0 THEN 10 ELSE {_W} END, 6) AS w FROM part, (VALUES ('distance', 8.0::DOUBLE), ('little_attr', 4.0::DOUBLE), ('mostly_attr', 2.0::DOUBLE)) AS v(weighting, k)""")
+def weighted_lengths(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("duln"))
+    return rows.select(*X.weightings(["p_partkey"], "p_retailprice", "duln", 11.0)).select("p_partkey", "x.weighting", r6("x.w").alias("w"))
+
+
+_TYPES = list(X.SPEED)
+_TYPE_SQL = "CASE {} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_TYPES)) + " END"
+_SPEED_SQL = "CASE {} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(X.SPEED.values())) + " END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(ceil(l_extendedprice / ({_SPEED_SQL.format('l_linenumber % 7')} * 1000 / 60.0)) AS BIGINT) AS minutes,
+CAST(ceil(ceil(l_extendedprice / ({_SPEED_SQL.format('l_linenumber % 7')} * 1000 / 60.0)) * 3) AS BIGINT) AS steps FROM lineitem""")
+def travel_time(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), F.col("l_linenumber") % 7 + 1)
+    rows = t(spark, d, "lineitem").withColumn("minutes", X.travel_minutes(F.col("l_extendedprice"), X.lookup(X.SPEED, kind)))
+    return rows.select("l_orderkey", "l_linenumber", "minutes", X.timesteps(F.col("minutes"), "m").alias("steps"))
+
+
+@query("""SELECT n_nationkey, chr(65 + n_nationkey) AS label, CASE WHEN n_nationkey + 25 <= 26 THEN chr(n_nationkey + 89) ELSE chr(65 + CAST(floor((n_nationkey - 2) / 26) AS INT)) || chr(65 + (n_nationkey - 2) % 26) END AS later FROM nation""")
+def aoi_labels(spark, d):
+    n = F.col("n_nationkey")
+    return t(spark, d, "nation").select("n_nationkey", X.aoi_label(n + 1).alias("label"), X.aoi_label(n + 25).alias("later"))
+
+
+# ---- choices -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT c_nationkey AS k, avg(c_acctbal) / 1000 AS duln FROM customer GROUP BY 1),
+r AS (SELECT c_custkey AS agent_id, o.n_nationkey AS node_id, duln, o.n_nationkey % 5 = 0 AS visited, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE -2.0 END * (o.n_nationkey % 2) AS bonus
+  FROM customer JOIN nation h ON c_nationkey = h.n_nationkey JOIN nation o ON o.n_regionkey = h.n_regionkey AND o.n_nationkey <> h.n_nationkey LEFT JOIN b ON b.k = o.n_nationkey)
+SELECT agent_id, node_id, round(CASE WHEN visited AND count(*) OVER w > 1 THEN 1e-5 ELSE exp((coalesce(duln, 0) + bonus) / 0.5) / sum(exp((coalesce(duln, 0) + bonus) / 0.5)) OVER w END, 6) AS p FROM r WINDOW w AS (PARTITION BY agent_id)""")
+def route_choice_probs(spark, d):
+    customer, nation = t(spark, d, "customer"), t(spark, d, "nation")
+    duln = customer.groupBy(F.col("c_nationkey").alias("node_id")).agg((F.avg("c_acctbal") / 1000).alias("duln"))
+    home = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    other = nation.select(F.col("n_nationkey").alias("node_id"), "n_regionkey")
+    routes = customer.join(home, "c_nationkey").join(other, "n_regionkey").where("node_id <> c_nationkey").join(duln, "node_id", "left")
+    k = F.col("agent_id") % 3
+    bonus = F.when(k == 0, 1.0).when(k == 1, 0.0).otherwise(-2.0) * (F.col("node_id") % 2)
+    p = X.route_probability(F.col("duln"), bonus, F.col("node_id") % 5 == 0, "agent_id")
+    return routes.withColumnRenamed("c_custkey", "agent_id").select("agent_id", "node_id", r6(p).alias("p"))
+
+
+def _e(i: int) -> str:
+    return f"CAST(embedding[{i}] AS DOUBLE)"
+
+
+@query(f"""WITH a AS (SELECT vec_id, abs(atan2({_e(4)} - {_e(2)}, {_e(3)} - {_e(1)}) - atan2({_e(4)} - {_e(6)}, {_e(3)} - {_e(5)}) * 180 / {X.PI_AS_WRITTEN}) AS x FROM embeddings),
+f AS (SELECT vec_id, CASE WHEN x > 180 THEN 360 - x ELSE x END AS x FROM a)
+SELECT vec_id, round(x, 6) AS angle, CASE WHEN x <= 45 THEN 1.0 WHEN x <= 90 THEN 0.0 ELSE -2.0 END::DOUBLE AS bonus FROM f""")
+def direction_bonus(spark, d):
+    e = [F.get("embedding", F.lit(i)).cast("double") for i in range(6)]
+    a = X.angle(*e)
+    return t(spark, d, "embeddings").select("vec_id", r6(a).alias("angle"), X.direction_bonus(a).alias("bonus"))
+
+
+_REACHED_SQL = f"""SELECT c_custkey AS agent_id, r_name AS aoi, CAST(r_regionkey AS BIGINT) AS node_id, CAST(500 + (c_custkey * 37 + r_regionkey * 911) % 3000 AS DOUBLE) AS distance, CAST(10 + r_regionkey * 7 AS DOUBLE) AS duln,
+(r_regionkey + 1) * 250000.0::DOUBLE AS area, {_SPEED_SQL.format('c_custkey % 7')} AS speed, CASE c_custkey % 5 WHEN 0 THEN 30 WHEN 1 THEN 60 WHEN 2 THEN 120 WHEN 3 THEN 180 ELSE 240 END AS duration FROM customer, region"""
+_UTILITY_SQL = f"""WITH x AS ({_REACHED_SQL}), g AS (SELECT min(duln) AS dl, max(duln) AS dh, min(duration) AS tl, max(duration) AS th FROM x),
+y AS (SELECT *, greatest(distance / (speed * 1000), 0.01) AS hours, least(sqrt(area), 7000) AS size, min(distance) OVER (PARTITION BY agent_id) AS near, max(distance) OVER (PARTITION BY agent_id) AS far FROM x, g),
+z AS (SELECT *, CASE WHEN hours <= 0.1 * duration / 60 THEN 3.23695 * (9 * (duln * size / duration - dl * 316 / th) / (dh * 15000 / tl - dl * 316 / th) + 1) - 6.65703 * (9 * (hours / duration - near / 20000 / th) / (far / 2000 / tl - near / 20000 / th) + 1) END AS u FROM y),
+p AS (SELECT *, coalesce(exp(u) / sum(exp(u)) OVER (PARTITION BY agent_id), 0) AS p FROM z)"""
+
+
+def _reached(spark, d):
+    c, r = F.col("c_custkey"), F.col("r_regionkey")
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (c % 7 + 1).cast("int"))
+    rows = t(spark, d, "customer").join(F.broadcast(t(spark, d, "region")), how="cross")  # the five areas to every agent
+    return rows.select(
+        c.alias("agent_id"), F.col("r_name").alias("aoi"), r.cast("long").alias("node_id"), (500 + (c * 37 + r * 911) % 3000).cast("double").alias("distance"), (10 + r * 7).cast("double").alias("duln"),
+        ((r + 1) * 250000.0).alias("area"), X.lookup(X.SPEED, kind).alias("speed"), F.element_at(F.array(*map(F.lit, X.DURATIONS)), (c % 5 + 1).cast("int")).alias("duration"),
+    )
+
+
+@query(_UTILITY_SQL + " SELECT agent_id, aoi, round(u, 6) AS u, round(p, 6) AS p FROM p")
+def aoi_utility_probs(spark, d):
+    return population.aoi_utility(_reached(spark, d)).select("agent_id", "aoi", r6("u").alias("u"), r6("p").alias("p"))
+
+
+def _u(label: str, key: str, seed: int = 1) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{label}', CAST({key} AS VARCHAR))), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(_UTILITY_SQL + f""", q AS (SELECT *, sum(p) OVER (PARTITION BY agent_id ORDER BY aoi) AS upto, sum(p) OVER (PARTITION BY agent_id) AS top FROM p WHERE p > 0),
+s AS (SELECT agent_id, arg_min(node_id, aoi) AS goal_v, min(aoi) AS aoi_goal FROM q WHERE {_u('aoi', 'agent_id')} * top < upto GROUP BY 1)
+SELECT c_custkey AS agent_id, coalesce(goal_v, -1) AS goal_v, coalesce(aoi_goal, 'NO_GOAL') AS aoi_goal FROM customer LEFT JOIN s ON agent_id = c_custkey""")
+def aoi_draw_seeded(spark, d):
+    return population.drawn_aoi(population.aoi_utility(_reached(spark, d)))
+
+
+def _pick_sql(u: str, values: list, weights) -> str:
+    below, cases = 0.0, []
+    for v, w in list(zip(values, weights))[:-1]:
+        below += w
+        cases.append(f"WHEN {u} < {below / sum(weights)!r} THEN {v!r}")
+    return f"CASE {' '.join(cases)} ELSE {values[-1]!r} END"
+
+
+_TYPE_DRAW = _pick_sql(_u("type", "c_custkey"), list(X.TYPE_WEIGHT), list(X.TYPE_WEIGHT.values()))
+
+
+def _agents(spark, d):
+    return population.with_type(t(spark, d, "customer").select(F.col("c_custkey").alias("agent_id")))
+
+
+@query(f"SELECT c_custkey AS agent_id, {_TYPE_DRAW} AS agent_type FROM customer")
+def population_types(spark, d):
+    return _agents(spark, d)
+
+
+_DUR_CASES = " ".join(f"WHEN '{k}' THEN {_pick_sql(_u('duration', 'agent_id'), list(X.DURATIONS), w)}" for k, w in X.DURATION_WEIGHT.items())
+_SPEED_OF = " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.SPEED.items())
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS agent_id, {_TYPE_DRAW} AS agent_type FROM customer)
+SELECT agent_id, agent_type, CASE agent_type {_DUR_CASES} END AS time_ext, CASE agent_type {_SPEED_OF} END AS speed FROM a""")
+def population_durations(spark, d):
+    return population.with_duration(_agents(spark, d))
+
+
+_MASS_SQL = "SELECT s_suppkey AS node_id, s_acctbal AS m FROM supplier WHERE s_acctbal > 0"
+
+
+@query(f"""WITH m AS ({_MASS_SQL}), c AS (SELECT node_id, sum(m) OVER (ORDER BY node_id) AS upto, sum(m) OVER () AS total FROM m),
+a AS (SELECT c_custkey AS agent_id, {_u('start_v', 'c_custkey')} * (SELECT max(total) FROM c) AS x FROM customer)
+SELECT agent_id, (SELECT min(node_id) FROM c WHERE upto > x) AS start_v FROM a""")
+def start_node_draw(spark, d):
+    nodes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_acctbal").alias("residents"), F.lit(0.0).alias("new_residential"), F.lit(0.0).alias("parking"), F.lit(1.0).alias("parking_attr"))
+    return population.drawn_nodes(t(spark, d, "customer").select(F.col("c_custkey").alias("agent_id")), population.node_mass(nodes))
+
+
+# ---- rasters and species -------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT p_brand, l_extendedprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY l_extendedprice DESC) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT p_brand, round((median(v) FILTER (rn <= greatest(1, n // 4)) + median(v)) / 2, 6) AS blend FROM r GROUP BY 1""")
+def top_quartile_blend(spark, d):
+    rows = t(spark, d, "lineitem").select("l_partkey", "l_extendedprice").join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return raster.top_quartile_blend(rows, "p_brand", "l_extendedprice").select("p_brand", r6("blend").alias("blend"))
+
+
+def _layers(spark, d):
+    rows = t(spark, d, "lineitem")
+    return rows.select(F.col("l_partkey").alias("cell"), (F.col("l_suppkey") % 10).alias("layer"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("value"))
+
+
+@query("""SELECT l_partkey AS cell, round(CASE WHEN count(*) FILTER (l_linenumber = 7) = 0 THEN sum(l_quantity * (l_suppkey % 10 + 1)) END, 6) AS sensitivity FROM lineitem GROUP BY 1""")
+def sensitivity_matrix(spark, d):
+    weights = spark.range(10).select(F.col("id").alias("layer"), (F.col("id") + 1).alias("weight"))
+    return raster.sensitivity(_layers(spark, d), weights).select("cell", r6("sensitivity").alias("sensitivity"))
+
+
+@query("""SELECT l_suppkey % 10 AS layer, round(sum(l_quantity) FILTER (l_linenumber <> 7), 6) AS cover FROM lineitem GROUP BY 1 HAVING cover > 0""")
+def layer_cover(spark, d):
+    return raster.layer_cover(_layers(spark, d)).select("layer", r6("cover").alias("cover"))
+
+
+@query("""SELECT l_suppkey % 10 AS layer, min(l_quantity) FILTER (l_linenumber <> 7) AS low, max(l_quantity) FILTER (l_linenumber <> 7) AS high FROM lineitem GROUP BY 1""")
+def layer_range(spark, d):
+    return raster.layer_range(_layers(spark, d))
+
+
+_THREAT = "CASE p_size % 6 WHEN 0 THEN 'CR' WHEN 1 THEN 'EN' WHEN 2 THEN 'VU' WHEN 3 THEN 'NT' WHEN 4 THEN 'LC' ELSE 'DD' END"
+_PRIORITY = "CASE p_size % 5 WHEN 0 THEN 'PR1' WHEN 1 THEN 'PR2' WHEN 2 THEN 'PR3' WHEN 3 THEN 'PR4' ELSE '' END"
+
+
+def _species(spark, d):
+    return t(spark, d, "part").select(F.col("p_partkey").alias("species"), F.expr(_THREAT).alias("threat"), F.expr(_PRIORITY).alias("ch_priority"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS species, {_THREAT} AS t, {_PRIORITY} AS p FROM part)
+SELECT 's4' AS code, species FROM s WHERE p IN ('PR1', 'PR2', 'PR3') UNION ALL SELECT 's8', species FROM s WHERE t IN ('CR', 'EN', 'VU') UNION ALL SELECT 's1', species FROM s""")
+def species_filter(spark, d):
+    s = _species(spark, d)
+    a, b, c = (species.filtered(s, code).select(F.lit(code).alias("code"), "species") for code in ("s4", "s8", "s1"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS species, {_THREAT} AS t, {_PRIORITY} AS p FROM part)
+SELECT species, CASE t WHEN 'CR' THEN 5 WHEN 'EN' THEN 4 WHEN 'VU' THEN 3 WHEN 'NT' THEN 2 WHEN 'LC' THEN 1 END AS by_threat, CASE p WHEN 'PR1' THEN 5 WHEN 'PR2' THEN 4 WHEN 'PR3' THEN 3 WHEN 'PR4' THEN 2 ELSE 1 END AS by_priority FROM s""")
+def species_weights(spark, d):
+    x = species.weighted(species.weighted(_species(spark, d)).withColumnRenamed("weight", "by_threat"), "priority")
+    return x.select("species", "by_threat", F.col("weight").alias("by_priority"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS species, p_brand AS g FROM part UNION SELECT p_partkey, p_type FROM part), s AS (SELECT p_partkey AS species FROM part WHERE p_size > 10)
+SELECT species FROM s WHERE species NOT IN (SELECT species FROM m WHERE g IN (SELECT min(p_brand) FROM part)) UNION SELECT species FROM m WHERE g IN (SELECT max(p_type) FROM part)""")
+def species_toggles(spark, d):
+    part = t(spark, d, "part")
+    low, high = part.agg(F.min("p_brand"), F.max("p_type")).first()
+    members = part.select(F.col("p_partkey").alias("species"), F.explode(F.array("p_brand", "p_type")).alias("group"))
+    return species.toggled(part.where("p_size > 10").select(F.col("p_partkey").alias("species")), members, [high], [low])
+
+
+@query("SELECT c_custkey, c_acctbal / count(*) OVER (PARTITION BY c_nationkey) AS share FROM customer")
+def cell_mass_spread(spark, d):
+    return raster.spread_mass(t(spark, d, "customer"), ["c_nationkey"], "c_acctbal", "share").select("c_custkey", "share")
+
+
+def _grid(spark, d):
+    k = F.col("p_partkey")
+    return t(spark, d, "part").select(F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
+
+
+@query("""WITH g AS (SELECT CAST(floor(p_partkey / 50) AS INT) AS r, p_partkey % 50 AS c, p_retailprice AS value FROM part)
+SELECT c_custkey, value FROM customer LEFT JOIN g ON r = CAST(floor((400.0 - c_custkey % 400 * 0.99) / 10.0) AS INT) AND c = CAST(floor(c_custkey % 47 * 12.5 / 10.0) AS INT)""")
+def raster_sample(spark, d):
+    k = F.col("c_custkey")
+    points = t(spark, d, "customer").select(k, (k % 47 * 12.5).alias("x"), (k % 400 * 0.99).alias("y"))
+    return raster.sampled(points, _grid(spark, d), 0.0, 400.0, 10.0).select("c_custkey", "value")
+
+
+_COMPONENTS = """WITH RECURSIVE n AS ({nodes}), e AS ({edges}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(v, c) AS (SELECT v, v FROM n UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.v WHERE r.c < s.b), l AS (SELECT v, min(c) AS c FROM r GROUP BY 1)"""
+_CELLS = _COMPONENTS.format(
+    nodes="SELECT p_partkey AS v FROM part WHERE p_partkey * 7919 % 100 < 45",
+    edges="SELECT x.v AS a, y.v AS b FROM (SELECT p_partkey AS v FROM part WHERE p_partkey * 7919 % 100 < 45) x JOIN (SELECT p_partkey AS v FROM part WHERE p_partkey * 7919 % 100 < 45) y ON y.v = x.v + 50 OR (y.v = x.v + 1 AND x.v % 50 <> 49)",
+)
+
+
+@query(_CELLS + " SELECT CAST(floor(v / 50) AS INT) AS \"row\", CAST(v % 50 AS INT) AS col, c AS component FROM l")
+def raster_threshold_components(spark, d):
+    k = F.col("p_partkey")
+    grid = t(spark, d, "part").select(F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"), (100 - k * 7919 % 100).alias("value"))
+    return raster.cell_components(raster.thresholded(grid, 56).drop("value"), 50)
+
+
+# ---- space ---------------------------------------------------------------------------------------------------------
+
+_RINGS = {"A": [(-0.3, -0.3), (0.1, -0.3), (0.1, 0.1), (-0.3, 0.1)], "B": [(0.0, 0.0), (0.3, 0.05), (0.15, 0.3)], "C": [(-0.2, 0.05), (-0.05, 0.25), (-0.25, 0.3), (-0.3, 0.1)]}
+_SIDES = ", ".join(f"('{n}', {a}, {b}, {c}, {e})" for n, r in _RINGS.items() for (a, b), (c, e) in zip(r, r[1:] + r[:1]))
+
+
+@query(f"""WITH s(aoi, ax, ay, bx, by_) AS (SELECT v.a, v.b::DOUBLE, v.c::DOUBLE, v.d::DOUBLE, v.e::DOUBLE FROM (VALUES {_SIDES}) AS v(a, b, c, d, e)), p AS (SELECT vec_id, {_e(1)} AS x, {_e(2)} AS y FROM embeddings),
+h AS (SELECT vec_id, aoi FROM p, s WHERE (ay > y) <> (by_ > y) AND x < ax + (y - ay) / (by_ - ay) * (bx - ax) GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+SELECT p.vec_id, coalesce(min(aoi), '0') AS aoi FROM p LEFT JOIN h USING (vec_id) GROUP BY 1""")
+def point_in_polygon(spark, d):
+    points = t(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    rings = spark.createDataFrame([(n, [(float(a), float(b)) for a, b in r]) for n, r in _RINGS.items()], "aoi string, ring array<struct<x: double, y: double>>")
+    return spatial.points_in_polygons(points, rings, 0.1).select("vec_id", "aoi")
+
+
+_XY = f"SELECT vec_id, {_e(1)} AS x, {_e(2)} AS y FROM embeddings"
+
+
+def _points(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+
+
+_TARGETS = [(i, round(0.3 - 0.07 * i, 2), round(0.05 * i - 0.2, 2)) for i in range(9)]
+_TARGET_SQL = "(SELECT v.a::BIGINT AS target, v.b::DOUBLE AS tx, v.c::DOUBLE AS ty FROM (VALUES " + ", ".join(map(str, _TARGETS)) + ") AS v(a, b, c))"
+
+
+@query(f"""SELECT vec_id, target, round(d, 6) AS distance FROM (SELECT vec_id, target, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS d FROM ({_XY}), {_TARGET_SQL}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, target) = 1""")
+def nearest_feature(spark, d):
+    targets = spark.createDataFrame(_TARGETS, "target long, x double, y double")
+    return spatial.nearest(_points(spark, d), targets, "vec_id", "target").withColumn("distance", r6("distance"))
+
+
+@query(f"SELECT vec_id FROM ({_XY}) WHERE EXISTS (SELECT 1 FROM {_TARGET_SQL} WHERE (x - tx) * (x - tx) + (y - ty) * (y - ty) <= 0.05 * 0.05)")
+def within_distance(spark, d):
+    return spatial.within_distance(_points(spark, d), spark.createDataFrame(_TARGETS, "target long, x double, y double"), 0.05).select("vec_id")
+
+
+# ---- graphs --------------------------------------------------------------------------------------------------------
+
+_SPARSE = "SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0 AND l_linenumber = 1"
+_NODES = f"SELECT a AS v FROM ({_SPARSE}) UNION SELECT b FROM ({_SPARSE})"
+
+
+def _sparse(spark, d):
+    e = t(spark, d, "lineitem").where("l_orderkey % 40 = 0 AND l_linenumber = 1").select(F.col("l_suppkey").alias("from"), (F.col("l_partkey") + 1000000).alias("to")).distinct()
+    return e.select(F.explode(F.array("from", "to")).alias("node_id")).distinct(), e
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS node_id FROM supplier")
+def graph_dense_ids(spark, d):
+    return graph.dense_ids(t(spark, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], "node_id").select("s_suppkey", "node_id")
+
+
+@query(f"""WITH e AS ({_SPARSE}) SELECT a AS node_id, b AS neighbour FROM e UNION SELECT b, a FROM e UNION SELECT v, v FROM ({_NODES})""")
+def neighbourhood_1hop(spark, d):
+    nodes, edges = _sparse(spark, d)
+    return graph.neighbourhood(edges, nodes)
+
+
+@query(f"WITH e AS ({_SPARSE}) SELECT a AS src, list_sort(list(b)) AS neighbours FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) GROUP BY 1")
+def adjacency_lists(spark, d):
+    return graph.adjacency(_sparse(spark, d)[1]).select("src", F.transform("neighbours", lambda x: x["dst"]).alias("neighbours"))
+
+
+_GRAPH = _COMPONENTS.format(nodes=_NODES, edges=_SPARSE)
+
+
+@query(_GRAPH + ", z AS (SELECT c, count(*) AS n FROM l GROUP BY 1 ORDER BY n DESC, c LIMIT 1) SELECT v AS node_id FROM l WHERE c = (SELECT c FROM z)")
+def largest_component(spark, d):
+    return graph.largest_component(*_sparse(spark, d))[0].select("node_id")
+
+
+@query(_GRAPH + " SELECT c AS component, count(*) AS n FROM l GROUP BY 1 ORDER BY n DESC, c LIMIT 10")
+def component_sizes_top10(spark, d):
+    return graph.component_sizes(graph.components(*_sparse(spark, d))).orderBy(F.desc("n"), "component").limit(10)
+
+
+# a ring of 40 suppliers with chords to the one seven further on
+_RING = "SELECT s_suppkey % 40 AS src, (s_suppkey + 1) % 40 AS dst, CAST(50 + s_suppkey * 13 % 40 AS DOUBLE) AS w FROM supplier WHERE s_suppkey BETWEEN 1 AND 40 UNION ALL SELECT s_suppkey % 40, (s_suppkey + 7) % 40, CAST(200 + s_suppkey * 17 % 90 AS DOUBLE) FROM supplier WHERE s_suppkey BETWEEN 1 AND 40"
+
+
+def _ring(spark, d):
+    s = F.col("s_suppkey")
+    some = t(spark, d, "supplier").where("s_suppkey BETWEEN 1 AND 40")
+    one = lambda step, w: some.select((s % 40).alias("from"), ((s + step) % 40).alias("to"), w.cast("double").alias("w"))
+    edges = one(1, 50 + s * 13 % 40).unionByName(one(7, 200 + s * 17 % 90))
+    return graph.symmetric(edges, "w").withColumn("weighting", F.lit("distance"))
+
+
+# after k rounds every distance of at most k edges is exact; the ring's shortest paths have fewer than 12
+_DIST = f"""WITH e0 AS ({_RING}), e AS (SELECT src, dst, min(w) AS w FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, w FROM e0) GROUP BY 1, 2), r0 AS (SELECT DISTINCT src AS s, src AS v, 0.0::DOUBLE AS d FROM e WHERE src < 5)""" + "".join(
+    f", r{k} AS (SELECT s, v, min(d) AS d FROM (SELECT s, v, d FROM r{k - 1} UNION ALL SELECT s, dst, d + w FROM r{k - 1} JOIN e ON src = v) GROUP BY 1, 2)" for k in range(1, 21)
+)
+
+
+@query(_DIST + " SELECT s AS src, v AS goal, d AS distance FROM r20")
+def shortest_distance(spark, d):
+    w = _ring(spark, d)
+    nodes = w.select("src").distinct()
+    pairs = nodes.where("src < 5").join(nodes.withColumnRenamed("src", "goal"), how="cross").withColumn("weighting", F.lit("distance"))  # five sources to 40 goals
+    return graph.shortest_paths(w, pairs).select("src", "goal", "distance")
+
+
+@query(_DIST + " SELECT s AS src, v AS node_id, d AS distance FROM r20")
+def relational_distance(spark, d):
+    w = _ring(spark, d)
+    return graph.relational_distances(w, w.where("src < 5").select("weighting", "src")).select("src", "node_id", "distance")
+
+
+@query(_DIST + " SELECT s AS src, chr(CAST(65 + v % 3 AS INT)) AS aoi, v AS node_id, d AS distance FROM r20 WHERE v % 4 = 1 QUALIFY row_number() OVER (PARTITION BY s, v % 3 ORDER BY d, v) = 1")
+def nearest_aoi_node(spark, d):
+    w = _ring(spark, d)
+    labels = w.select(F.col("src").alias("node_id")).distinct().withColumn("aoi", F.when(F.col("node_id") % 4 == 1, F.chr(65 + F.col("node_id") % 3)).otherwise("0"))
+    return graph.nearest_label_nodes(w, w.where("src < 5").select("weighting", "src"), labels).select("src", "aoi", "node_id", "distance")
+
+
+@query()
+def shortest_path_nodes(spark, d):
+    w = _ring(spark, d)
+    nodes = w.select("src").distinct()
+    return graph.shortest_paths(w, nodes.where("src < 5").join(nodes.withColumnRenamed("src", "goal"), how="cross").withColumn("weighting", F.lit("distance"))).select("src", "goal", "path")
+
+
+# ---- scenarios and simulation --------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT s_suppkey AS v, CAST(s_suppkey % 10 AS DOUBLE) AS x, CAST(s_suppkey // 10 AS DOUBLE) AS y FROM supplier WHERE s_suppkey <> 5),
+e AS (SELECT s_suppkey AS edge_id, s_suppkey AS a, s_suppkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS b, 1.0::DOUBLE AS shape_leng, 0.0::DOUBLE AS duln FROM supplier UNION ALL SELECT 1000001, 3, 8, NULL, 0),
+k AS (SELECT * FROM e WHERE edge_id <> 9 AND a <> 5 AND b <> 5)
+SELECT edge_id, a AS "from", b AS "to", round(coalesce(shape_leng, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), 6) AS shape_leng, CASE WHEN edge_id = 7 THEN 3.5 ELSE 0 END::DOUBLE AS duln FROM k JOIN n p ON p.v = a JOIN n q ON q.v = b""")
+def scenario_apply_edits(spark, d):
+    s, supplier = F.col("s_suppkey"), t(spark, d, "supplier")
+    top = supplier.agg(F.max(s)).first()[0]
+    nodes = supplier.select(s.alias("node_id"), (s % 10).cast("double").alias("x"), F.floor(s / 10).cast("double").alias("y"), F.lit(0.0).alias("duln"))
+    edges = supplier.select(s.alias("edge_id"), s.alias("from"), (s % top + 1).alias("to"), F.lit(1.0).alias("shape_leng"), F.lit(0.0).alias("duln"))
+    log = [(1, "delete_node", 5, None, None, None), (2, "add_edge", 1000001, 3, 8, None), (3, "delete_edge", 9, None, None, None), (4, "change_edge", 7, None, None, 1.0), (5, "change_edge", 7, None, None, 2.5)]
+    edits = spark.createDataFrame(log, "seq int, op string, id long, `from` long, `to` long, delta double").withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    out = scenario.edited(nodes, edges, edits)[1]
+    return out.select("edge_id", "from", "to", r6("shape_leng").alias("shape_leng"), "duln")
+
+
+_LEVELS = {k: ("walkBike{}", 4, "p_partkey % 4 + 1", "p_size % 4 + 1") for k in ("walk",)} | {"nat": ("hardNatur{}", 2, "p_partkey % 2 + 1", "p_size % 2 + 1"), "wid": ("width{}", 4, "p_partkey // 4 % 4 + 1", "p_size // 4 % 4 + 1")}
+
+
+def _effect_sql(i: int, which: int) -> str:
+    return " + ".join(f"CASE {x[which]} " + " ".join(f"WHEN {k} THEN {scenario.EFFECTS[x[0].format(k)][i]}" for k in range(1, x[1] + 1)) + " END" for x in _LEVELS.values())
+
+
+@query("SELECT p_partkey, " + ", ".join(f'{_effect_sql(i, 3)} - ({_effect_sql(i, 2)}) AS "d_{c}"' for i, c in enumerate(scenario.EFFECT_COLUMNS)) + " FROM part")
+def attribute_delta(spark, d):
+    part = t(spark, d, "part").select("p_partkey", "p_size")
+    for k, (name, _, old, new) in _LEVELS.items():
+        for tag, e in (("old", old), ("new", new)):
+            part = part.withColumn(f"{tag}_{k}", F.concat(F.lit(name[:-2]), F.expr(e.replace("//", "DIV")).cast("string")))
+    out = scenario.attribute_delta(part, [f"old_{k}" for k in _LEVELS], [f"new_{k}" for k in _LEVELS])
+    return out.select("p_partkey", *[f"d_{c}" for c in scenario.EFFECT_COLUMNS])
+
+
+def simulation_inputs(spark, d, n_agents: int = 200):
+    """A ring with chords as the network; customers as agents."""
+    s = F.col("s_suppkey")
+    some = t(spark, d, "supplier").where("s_suppkey BETWEEN 1 AND 40")
+    nodes = some.select((s % 40).alias("node_id"), F.cos(s / 6.3).alias("x"), F.sin(s / 6.3).alias("y"), F.when(s % 40 >= 20, "A").otherwise("0").alias("aoi"))
+    one = lambda step, base: some.select((s + base).alias("edge_id"), (s % 40).alias("from"), ((s + step) % 40).alias("to"), (50 + s * 13 % 40).cast("double").alias("shape_leng"))
+    edges = one(1, 0).unionByName(one(7, 100))
+    both = graph.symmetric(edges, "shape_leng").withColumnRenamed("shape_leng", "w")
+    weights = both.withColumn("weighting", F.lit("distance")).unionByName(both.withColumn("weighting", F.lit("little_attr")))
+    duln = nodes.join(F.broadcast(spark.createDataFrame([(k,) for k in X.SPEED], "agent_type string")), how="cross").select("agent_type", "node_id", (F.col("node_id") % 5).cast("double").alias("duln"))
+    agents = population.with_duration(population.with_type(t(spark, d, "customer").where(F.col("c_custkey") < n_agents).select(F.col("c_custkey").alias("agent_id"))))
+    agents = agents.withColumns({"start_v": F.col("agent_id") % 20, "goal_v": 20 + F.col("agent_id") % 20, "aoi_goal": F.lit("A")})
+    return agents, weights, nodes, edges, duln
+
+
+@query()
+def simulate_passage(spark, d):
+    agents, weights, nodes, edges, duln = simulation_inputs(spark, d, 1 << 40)
+    log = graph.cut(simulate.simulated(agents, weights, nodes, edges, duln))
+    return passage.combined_passage(edges.select("edge_id"), simulate.histories(log, agents))
