@@ -99,8 +99,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.a * self.raw(ids, first, tables) + self.b, -40, 40)))
 
 
-def fit(texts: list[np.ndarray], label: np.ndarray, lang: list[str], epochs: int = 8, rate: float = 0.08, batch: int = 64, seed: int = 7) -> Network:
-    """Adagrad on the logistic loss; gradients reach only the words that won the pooling."""
+def fit(texts: list[np.ndarray], label: np.ndarray, lang: list[str], epochs: int = 8, least_steps: int = 300, rate: float = 0.08, batch: int = 64, seed: int = 7) -> Network:
+    """Adagrad on the logistic loss, both classes weighing the same; gradients reach only the words that won the pooling."""
     net, rng = Network(seed), np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     kept = order[: max(1, len(texts) // 5)]  # for calibration
@@ -114,7 +114,8 @@ def fit(texts: list[np.ndarray], label: np.ndarray, lang: list[str], epochs: int
         s[at] += g * g
         x[at] -= rate * g / np.sqrt(s[at])
 
-    for _ in range(epochs):
+    weight = np.where(label == 1, 0.5 / max(label[train].mean(), 1e-9), 0.5 / max(1 - label[train].mean(), 1e-9)).astype(np.float32)
+    for _ in range(max(epochs, -(-least_steps * batch // len(train)))):  # small samples take more rounds
         rng.shuffle(train)
         for i in range(0, len(train), batch):
             some = train[i : i + batch]
@@ -125,7 +126,7 @@ def fit(texts: list[np.ndarray], label: np.ndarray, lang: list[str], epochs: int
             local = np.hstack([net.table[rows] @ net.filters[w][k] for w, k in _SLOTS])  # only the rows in use
             best, where = net.pooled(flat, first, local)
             p = 1 / (1 + np.exp(-np.clip(best @ net.out + net.bias, -30, 30)))
-            g = ((p - label[some]) / len(some)).astype(np.float32)
+            g = ((p - label[some]) * weight[some] / len(some)).astype(np.float32)
             back = g[:, None] * net.out  # on the pooled answers
             grow = np.zeros((len(rows), DIM), np.float32)
             turn = [np.zeros_like(x) for x in net.filters]
