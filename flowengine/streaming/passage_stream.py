@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def windowed_passage(visits: DataFrame, ts: str = "ts", edge: str = "edge_id", length: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """(start, edge, n) per window; windows close once the watermark has passed them."""
-    counts = visits.withWatermark(ts, late).groupBy(F.window(ts, length).alias("w"), F.col(edge)).agg(F.count("*").alias("n"))
+    counts = visits.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, length).alias("w"), F.col(edge)).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("start"), edge, "n")
