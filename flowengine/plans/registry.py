@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowengine.functions import expressions as X
-from flowengine.operators import graph, passage, population, raster, scenario, simulate, spatial, species
+from flowengine.operators import aoi, graph, passage, population, raster, scenario, simulate, spatial, species
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -543,3 +543,146 @@ def simulate_passage(spark, d):
     agents, weights, nodes, edges, duln = simulation_inputs(spark, d, 1 << 40)
     log = graph.cut(simulate.simulated(agents, weights, nodes, edges, duln))
     return passage.combined_passage(edges.select("edge_id"), simulate.histories(log, agents))
+
+
+# ---- more of the inventory -----------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT p_partkey AS cell, abs(p_size * 9 - 255) / 255.0 AS alpha FROM part) SELECT cell, alpha::DOUBLE AS alpha FROM a""")
+def grey_alpha(spark, d):
+    return t(spark, d, "part").select(F.col("p_partkey").alias("cell"), X.grey_alpha(F.col("p_size") * 9).alias("alpha"))
+
+
+@query("SELECT s_nationkey, round(avg(s_acctbal) FILTER (s_acctbal > -20), 6) AS mean FROM supplier GROUP BY 1")
+def mean_above(spark, d):
+    return raster.mean_above(t(spark, d, "supplier"), "s_nationkey", "s_acctbal").select("s_nationkey", r6("mean").alias("mean"))
+
+
+@query("SELECT l_suppkey % 10 AS layer, count(*) AS n FROM lineitem WHERE l_suppkey % 10 IN (SELECT l_suppkey % 10 FROM lineitem GROUP BY 1 HAVING max(CASE WHEN l_suppkey % 10 < 3 THEN 0 ELSE l_quantity END) > 0) GROUP BY 1")
+def non_empty_layers(spark, d):
+    x = _layers(spark, d).withColumn("value", F.when(F.col("layer") < 3, 0.0).otherwise(F.col("value")))
+    return raster.non_empty_layers(x).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS node_id, s_acctbal AS mass FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_suppkey, s_nationkey * (s_suppkey % 7) * 0.1::DOUBLE FROM supplier WHERE s_nationkey * (s_suppkey % 7) > 0")
+def node_mass(spark, d):
+    s = F.col("s_suppkey")
+    nodes = t(spark, d, "supplier").select(s.alias("node_id"), F.col("s_acctbal").alias("residents"), F.lit(None).cast("double").alias("new_residential"), F.col("s_nationkey").cast("double").alias("parking"), (s % 7).cast("double").alias("parking_attr"))
+    return population.node_mass(nodes)
+
+
+@query("SELECT CAST(floor(sum(c_acctbal) / 50) AS BIGINT) AS n_agents, count(*) FILTER (c_acctbal > 0) AS active FROM customer")
+def agent_counts(spark, d):
+    return t(spark, d, "customer").agg(F.floor(F.sum("c_acctbal") / 50).alias("n_agents"), F.count_if(F.col("c_acctbal") > 0).alias("active"))
+
+
+@query("SELECT o_orderkey, o_custkey % 11 AS family FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey % 11 <> 0")
+def routable_agents(spark, d):
+    """Agents without a goal (-1) are not routed."""
+    rows = t(spark, d, "orders").where("o_orderkey % 9 = 0").select("o_orderkey", F.when(F.col("o_custkey") % 11 == 0, -1).otherwise(F.col("o_custkey") % 11).alias("family"))
+    return rows.where("family <> -1")
+
+
+@query(f"""WITH e AS ({_SPARSE}) SELECT a AS "from", b AS "to" FROM e WHERE a % 10 = 3 OR b % 10 = 3""")
+def incident_edges(spark, d):
+    nodes, edges = _sparse(spark, d)
+    return graph.incident_edges(edges, nodes.where("node_id % 10 = 3"))
+
+
+@query(f"""WITH n AS ({_NODES}), k AS (SELECT v, row_number() OVER (ORDER BY v) AS id FROM n WHERE v % 10 <> 3), e AS ({_SPARSE})
+SELECT x.id AS "from", y.id AS "to" FROM e JOIN k x ON x.v = a JOIN k y ON y.v = b""")
+def redensified_ids(spark, d):
+    """Node ids closed up after deletions, and the ends of the edges that are left."""
+    nodes, edges = _sparse(spark, d)
+    kept = graph.cut(graph.dense_ids(nodes.where("node_id % 10 <> 3"), ["node_id"], "id"))
+    a, b = kept.select(F.col("node_id").alias("from"), F.col("id").alias("a")), kept.select(F.col("node_id").alias("to"), F.col("id").alias("b"))
+    return edges.join(a, "from").join(b, "to").select(F.col("a").alias("from"), F.col("b").alias("to"))
+
+
+@query(_DIST + """ SELECT s AS src, min(d) AS distance, arg_min(v, (d, v)) AS goal FROM r20 WHERE v IN (11, 23, 31) GROUP BY 1""")
+def nearest_of_goals(spark, d):
+    w = _ring(spark, d)
+    goals = spark.createDataFrame([(11,), (23,), (31,)], "goal long")
+    pairs = w.where("src < 5").select("weighting", "src").distinct().join(F.broadcast(goals), how="cross")
+    best = graph.shortest_paths(w, pairs).groupBy("src").agg(F.min(F.struct("distance", "goal")).alias("m"))
+    return best.select("src", "m.distance", "m.goal")
+
+
+@query("""WITH p AS (SELECT o_custkey AS src, o_orderkey AS goal, [o_custkey % 7, o_orderkey % 7, o_orderkey % 5] AS path FROM orders WHERE o_orderkey % 3 = 0),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(i) AS id FROM (SELECT n_nationkey AS i, n_nationkey % 7 AS a, n_nationkey % 5 AS b FROM nation) GROUP BY 1, 2)
+SELECT src, goal, x.id AS first_edge, y.id AS current FROM p LEFT JOIN e x ON x.a = least(path[1], path[2]) AND x.b = greatest(path[1], path[2]) LEFT JOIN e y ON y.a = least(path[2], path[3]) AND y.b = greatest(path[2], path[3])""")
+def path_edges(spark, d):
+    o, c, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
+    paths = t(spark, d, "orders").where(o % 3 == 0).select(c.alias("src"), o.alias("goal"), F.array(c % 7, o % 7, o % 5).alias("path"))
+    edges = t(spark, d, "nation").select(n.alias("edge_id"), (n % 7).cast("long").alias("from"), (n % 5).cast("long").alias("to"))
+    return graph.path_edges(paths, edges).select("src", "goal", F.get("history", F.lit(0)).alias("first_edge"), "current")
+
+
+_AREAS = "SELECT DISTINCT chr(CAST(65 + p_size % 3 AS INT)) AS aoi, CAST(floor(p_partkey / 50) AS INT) AS \"row\", CAST(p_partkey % 50 AS INT) AS col FROM part WHERE p_size < 12"
+
+
+def _areas(spark, d):
+    k = F.col("p_partkey")
+    return t(spark, d, "part").where("p_size < 12").select(F.chr(65 + F.col("p_size") % 3).alias("aoi"), F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"))
+
+
+@query(f"""WITH a AS ({_AREAS}), m AS (SELECT DISTINCT aoi FROM a WHERE "row" = 2 AND col < 10)
+SELECT aoi, "row", col FROM a WHERE aoi NOT IN (SELECT aoi FROM m) UNION SELECT 'Z', "row", col FROM a WHERE aoi IN (SELECT aoi FROM m) UNION SELECT 'Z', 2, range FROM range(10)""")
+def aoi_merge(spark, d):
+    drawn = spark.range(10).select(F.lit(2).alias("row"), F.col("id").cast("int").alias("col"))
+    return aoi.merged(_areas(spark, d), drawn, "Z")
+
+
+@query(f"""WITH a AS ({_AREAS}) SELECT * FROM a WHERE NOT ("row" = 2 AND col < 10)""")
+def aoi_erase(spark, d):
+    return aoi.erased(_areas(spark, d), spark.range(10).select(F.lit(2).alias("row"), F.col("id").cast("int").alias("col")))
+
+
+@query(f"""WITH a AS ({_AREAS}) SELECT DISTINCT a.aoi, CAST(p_size AS INT) AS size FROM a JOIN (SELECT p_size, floor(p_partkey / 50) AS r, p_partkey % 50 AS c FROM part WHERE p_size > 8) b ON r = "row" AND c = col""")
+def aoi_overlaps(spark, d):
+    k = F.col("p_partkey")
+    other = t(spark, d, "part").where("p_size > 8").select(F.col("p_size").cast("int").alias("size"), F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"))
+    return aoi.overlapping(_areas(spark, d), other, "aoi", "size")
+
+
+@query("""SELECT c_custkey AS agent_id, c_nationkey AS node_id FROM customer WHERE c_nationkey NOT IN (c_custkey % 25, c_custkey % 7) AND c_nationkey % 5 <> 4""")
+def viable_routes(spark, d):
+    """Routes that are neither the place before, nor retraced, nor outside the area: an anti join on (agent, node)."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    routes = t(spark, d, "customer").select(c.alias("agent_id"), n.cast("long").alias("node_id"))
+    banned = t(spark, d, "customer").select(c.alias("agent_id"), F.explode(F.array(c % 25, c % 7)).alias("node_id"))
+    return routes.join(banned, ["agent_id", "node_id"], "left_anti").where("node_id % 5 <> 4")
+
+
+@query("""SELECT 'base' AS scenario_id, n_nationkey AS edge_id FROM nation UNION ALL SELECT 'base_2', n_nationkey FROM nation""")
+def scenario_copy(spark, d):
+    base = t(spark, d, "nation").select(F.lit("base").alias("scenario_id"), F.col("n_nationkey").alias("edge_id"))
+    return scenario.copied(base, "base", scenario.free_name("base", ["base"]))
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 1 END AS walk_bike, CASE p_size % 3 WHEN 2 THEN 1 ELSE 2 END AS hard_natur, CASE p_size % 5 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 5 END AS road_width FROM part""")
+def edit_codes(spark, d):
+    s = F.col("p_size")
+    edits = t(spark, d, "part").select("p_partkey", F.concat(F.lit("c"), s % 5).alias("signage"), F.concat(F.lit("c"), s % 3).alias("surface"), F.concat(F.lit("c"), s % 5).alias("width"))
+    return scenario.edit_codes(edits).select("p_partkey", "walk_bike", "hard_natur", "road_width")
+
+
+@query("""WITH m AS (SELECT DISTINCT p_brand AS g, p_size AS s FROM part) SELECT DISTINCT g AS "group" FROM m WHERE g NOT IN (SELECT g FROM m WHERE s > 48)""")
+def complete_groups(spark, d):
+    members = t(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_size").alias("species")).distinct()
+    return species.complete_groups(members.where("species <= 48").select("species").distinct(), members)
+
+
+@query("""SELECT n_nationkey AS line_id, 'walk' AS layer, round(avg(v), 6) AS value FROM (SELECT n_nationkey, p_partkey, any_value(p_retailprice) AS v FROM nation JOIN part ON floor(p_partkey / 50) = n_nationkey % 4 AND p_partkey % 50 BETWEEN n_nationkey AND n_nationkey + 10 GROUP BY 1, 2) GROUP BY 1""")
+def raster_line_mean(spark, d):
+    """Each line runs along the middle of a raster row, from column n to n + 10."""
+    n = F.col("n_nationkey")
+    y = 400.0 - (n % 4 + 0.5) * 10.0
+    lines = t(spark, d, "nation").select(n.alias("line_id"), F.array(F.struct(((n + 0.5) * 10.0).alias("x"), y.alias("y")), F.struct(((n + 10.5) * 10.0).alias("x"), y.alias("y"))).alias("coords"))
+    return raster.line_mean(lines, _grid(spark, d).withColumn("layer", F.lit("walk")), 0.0, 400.0, 10.0, 5.0, "line_id").withColumn("value", r6("value"))
+
+
+@query("""SELECT CAST(ts AS TIMESTAMP) AS first_ts, event_type, n FROM (SELECT event_type, min(ts) AS ts, count(*) AS n FROM events GROUP BY 1)""")
+def event_spans(spark, d):
+    x = t(spark, d, "events").groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+    return x.select(F.col("first_ts").cast("timestamp").alias("first_ts"), "event_type", "n")
