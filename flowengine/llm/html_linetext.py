@@ -7,7 +7,7 @@
    lines from each line on are summed. A surge is where a line with text begins a window of at least `floor` characters
    (less on a short page), a dive is the first empty line with an empty window behind it, or a stripped element.
 3. Keep: all lines between surge and dive of every region with at least a fifth of the largest region's mass. A heading
-   right above a region joins it. Where the page marks its article (article, main), surge and dive are its edges.
+   right above a region joins it. Where the page marks its article (article, main), the marking enters the weights.
 
 Each page is read whole and on its own, whatever its length; broken and cut off markup is read as far as it goes.
 Defined results: null or empty html has the empty text; repeated rows give repeated results; an empty table gives an
@@ -134,34 +134,39 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+def distribution(lines: list[tuple[str, int, int, bool]], window: int, floor: int) -> tuple[list[int], list[int]]:
+    """Weight of every line, and the sum of the weights of `window` lines from each on.
+
+    Where the page marks an article, a line in it weighs `floor` characters more and a line outside nothing: so the
+    surge comes with the article's first line and no dive before its last one, or before an element stripped in it.
+    """
+    marked = any(a and w > 0 for _, w, a, _ in lines)
+    weights = [(max(w, 0) + floor if a and t else 0) if marked else max(w, 0) for t, w, a, _ in lines]
+    return weights, [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
 def main_text(page: str | None, window: int = WINDOW, floor: int = FLOOR) -> str:
     lines = lines_of(page or "")
-    mass: dict[int, int] = {}
-    for text, weight, article, _ in lines:
-        if article:
-            mass[article] = mass.get(article, 0) + max(weight, 0)
-    if mass and max(mass.values()):
-        most = max(mass.values())
-        return " ".join(t for t, _, a, _ in lines if t and a and 5 * mass[a] >= most)
     n = len(lines)
-    weights = [max(w, 0) for _, w, _, _ in lines]
-    sums = [sum(weights[i : i + window]) for i in range(n)]
+    weights, sums = distribution(lines, window, floor)
     floor = min(floor, max(sums, default=0) // 2 + 1)
-    regions, i = [], 0
+    regions, mass, i = [], {}, 0
     while i < n:
         if not weights[i] or sums[i] < floor:
             i += 1
             continue
-        j = i
-        while j < n and lines[j][1] >= 0 and sums[j] > 0:
-            j += 1
-        while j > i and not weights[j - 1]:
+        article, j = lines[i][2], i  # surge
+        while j < n and lines[j][1] >= 0 and sums[j] > 0 and lines[j][2] == article:
+            j += 1  # dive
+        while not weights[j - 1]:
             j -= 1
-        k = i - 1 if i and lines[i - 1][3] and lines[i - 1][0] else i
-        regions.append((k, j, sum(weights[i:j])))
-        i = max(j, i + 1)
-    most = max((r[2] for r in regions), default=0)
-    return " ".join(t for a, b, w in regions if 5 * w >= most for t, _, _, _ in lines[a:b] if t)
+        k = i - 1 if i and lines[i - 1][3] and lines[i - 1][0] and lines[i - 1][2] == article else i
+        part = (article, 0 if article else i)  # regions of one article stay or go together
+        mass[part] = mass.get(part, 0) + sum(weights[i:j])
+        regions.append((k, j, part))
+        i = j
+    most = max(mass.values(), default=0)
+    return " ".join(t for a, b, part in regions if 5 * mass[part] >= most for t, _, _, _ in lines[a:b] if t)
 
 
 def main_texts(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:
