@@ -3,9 +3,10 @@
 An item with q distinct shingles is contained in a text when at least need = ceil(threshold * q) of them occur there.
 Then at most q - need are missing, so among the item's q - need + 1 smallest shingle hashes (its bottom-k MinHash
 sketch) at least one occurs in the text: the search by sketches misses no contained item. Items are partitioned by
-size; each partition has its own ceiling, the largest hash in its sketches, and the shingles of the texts are held
-against the ceiling of the largest before the join, which leaves about the share 1 - threshold of them. Every candidate
-pair is then verified with the shingles themselves.
+size (doublings of q); each partition has its own ceiling, the largest hash in its sketches, and its least need. A text
+meets only the partitions whose least need it reaches, and of its shingles only those up to the highest of their
+ceilings go into the join, about the share 1 - threshold of them. Every text with a candidate is then verified with the
+shingles themselves.
 
 Shingles have `width` words (lower-case runs of letters and digits); an item with fewer words is one shingle of all its
 words, looked up among shingles of that many words. Defined results: null and empty texts, and items without words,
@@ -25,11 +26,14 @@ BROADCAST_SHINGLES, BROADCAST_KEYS = 200_000, 200_000
 
 
 def _shingles(df: DataFrame, keep: list, width: int, whole_if_short: bool) -> DataFrame:
-    """Rows (keep..., s0 .. s[width - 1]) of the word shingles of df.w."""
-    n = F.size("w")
-    stop = F.greatest(n - width, F.lit(0)) if whole_if_short else n - width
-    rows = df.where(n > 0 if whole_if_short else n >= width).select(*keep, "w", F.explode(F.sequence(F.lit(0), stop)).alias("p"))
-    return rows.select(*keep, *[F.get("w", F.col("p") + i).alias(f"s{i}") for i in range(width)])
+    """Rows (keep..., n shingles of the text, s0 .. s[width - 1]) of the word shingles of df.w.
+
+    The outer form keeps Spark from splitting each text once more to look for empty sequences.
+    """
+    last = F.size("w") - width
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))) if whole_if_short else F.when(last >= 0, F.sequence(F.lit(0), last))
+    rows = df.select(*keep, "w", F.explode_outer(places).alias("p")).where("p IS NOT NULL")
+    return rows.select(*keep, (F.size("w") - width + 1).alias("n"), *[F.get("w", F.col("p") + i).alias(f"s{i}") for i in range(width)])
 
 
 def _hash(width: int) -> F.Column:
@@ -39,25 +43,27 @@ def _hash(width: int) -> F.Column:
 def item_sketches(items: DataFrame, key: str, text: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Distinct shingles of the items (item, m words, s0.., h, q, need, sketch), and the ceiling of each size partition."""
     rows = items.select(F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
-    one = _shingles(rows.withColumn("m", F.least(F.size("w"), F.lit(width))), ["item", "m"], width, True).distinct()
+    one = _shingles(rows.withColumn("m", F.least(F.size("w"), F.lit(width))), ["item", "m"], width, True).drop("n").distinct()
     w = Window.partitionBy("item")
     one = one.withColumn("h", _hash(width)).withColumn("q", F.count("*").over(w)).withColumn("need", F.ceil(F.col("q") * threshold))
     one = one.withColumn("sketch", F.row_number().over(w.orderBy("h", *[f"s{i}" for i in range(width)])) <= F.col("q") - F.col("need") + 1)
     one = one.withColumn("size_class", F.floor(F.log2("q")))
-    return one, one.where("sketch").groupBy("m", "size_class").agg(F.max("h").alias("ceiling"), F.count("*").alias("n"))
+    return one, one.where("sketch").groupBy("m", "size_class").agg(F.max("h").alias("ceiling"), F.min("need").alias("least"))
 
 
 def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int, threshold: float) -> DataFrame:
     """(k, same, item, q, n_shared) of the pairs that verify; `same` is the hash of the text."""
     one, per_class = item_sketches(items, item_key, item_text, width, threshold)
     one = cut(one)
-    classes = per_class.groupBy("m").agg(F.max("ceiling").alias("ceiling"), F.sum("n").alias("n")).collect()  # at most `width` rows
+    classes: dict[int, list] = {}
+    for c in per_class.collect():  # a row for each m up to `width` and each doubling of the item size
+        classes.setdefault(c["m"], []).append((c["least"], c["ceiling"]))
     small = F.broadcast if one.count() <= BROADCAST_SHINGLES else (lambda df: df)
     raw = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     rows = raw.select("k", "same", words(F.col("text")).alias("w"))
     out = docs.sparkSession.createDataFrame([], f"k {docs.schema[key].dataType.simpleString()}, same long, item {items.schema[item_key].dataType.simpleString()}, q long, n_shared long")
-    for c in sorted(classes, key=lambda c: c["m"]):
-        m, cols = c["m"], [f"s{i}" for i in range(c["m"])]
+    for m in sorted(classes):
+        cols = [f"s{i}" for i in range(m)]
         of = one.where(F.col("m") == m).withColumn("h", _hash(m))  # short items: only their m words
         same = F.col("dh") == F.col("h")
         for x in cols:
@@ -65,13 +71,19 @@ def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key:
         renamed = [F.col(x).alias("i" + x) for x in cols]
         found = _shingles(rows, ["k", "same"], m, False).withColumn("dh", _hash(m))
         if m == width:
-            found = found.where(F.col("dh") <= c["ceiling"])
-        found = cut(found.join(small(of.where("sketch").select("item", "h", *renamed)), same).select("k", "same").distinct())
+            # a text of n shingles meets only the size partitions whose items it can hold, and so the highest of their ceilings
+            ceiling, top = F.lit(None).cast("long"), None
+            for least, high in sorted(classes[m]):
+                top = high if top is None else max(top, high)
+                ceiling = F.when(F.col("n") >= least, top).otherwise(ceiling)
+            found = found.where(F.col("dh") <= ceiling)
+        found = found.join(small(of.where("sketch").select("item", "h", "need", *renamed)), same & (F.col("n") >= F.col("need")))
+        found = cut(found.select("k", "same").distinct())
         # verification: the texts with candidates once more, now against all shingles of the items
         keys = found.select(F.col("k").alias("ck"), F.col("same").alias("cs"))
         keys = F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys
         texts = raw.join(keys, F.col("k").eqNullSafe(F.col("ck")) & (F.col("same") == F.col("cs")), "left_semi")
-        hits = _shingles(texts.select("k", "same", words(F.col("text")).alias("w")), ["k", "same"], m, False).withColumn("dh", _hash(m))
+        hits = _shingles(texts.select("k", "same", words(F.col("text")).alias("w")), ["k", "same"], m, False).drop("n").withColumn("dh", _hash(m))
         hits = hits.join(small(of.select("item", "h", "q", "need", *renamed)), same)
         out = out.unionByName(hits.groupBy("k", "same", "item", "q", "need").agg(F.count_distinct(*cols).alias("n_shared")).where("n_shared >= need").drop("need"))
     return out
