@@ -61,7 +61,8 @@ def license_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", slac
     )
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), words(F.col(text)).alias("w"))
     # one row per word and one more, at p = size(w), that keeps texts without hits
-    at = rows.select("k", "same", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("p"))
+    # (the outer form drops nothing here, and keeps Spark from splitting each text once more to look for empty sequences)
+    at = rows.select("k", "same", "w", F.explode_outer(F.sequence(F.lit(0), F.size("w"))).alias("p"))
     a, b = F.get("w", F.col("p")), F.get("w", F.col("p") + 1)
     at = at.select("k", "same", "p", F.size("w").alias("n"), a.alias("wa"), b.alias("wb"), F.xxhash64(a, b).alias("wh"))
     hit = at.join(lists, (F.col("wh") == F.col("h")) & (F.col("wa") == F.col("a")) & (F.col("wb") == F.col("b")), "left")
