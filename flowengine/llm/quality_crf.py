@@ -130,8 +130,11 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.a * self.raw(f, size, first) + self.b, -40, 40)))
 
 
-def fit(f: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 80, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood of the line labels by Adam, each document weighing the same whatever its number of lines."""
+def fit(f: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, good: float | None = None, steps: int = 80, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+    """Maximum likelihood of the line labels by Adam, each document weighing the same whatever its number of lines.
+
+    `good` is the share of label 1 among all labelled documents, for the calibration.
+    """
     mean, scale = f.mean(0), f.std(0) + 1e-3
     model = Field(mean, scale, np.zeros(3 * OWN + 1), np.zeros((2, 2)))
     x, lines = model.inputs(f, first), np.diff(first)
@@ -147,17 +150,20 @@ def fit(f: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, s
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     model.weights, model.trans = theta[:-4].copy(), theta[-4:].reshape(2, 2).copy()
-    model.a, model.b = platt(model.raw(f, size, first), label)
+    mine = label.mean()
+    weight = None if good is None else np.where(label == 1, good / mine, (1 - good) / (1 - mine))
+    model.a, model.b = platt(model.raw(f, size, first), label, weight)
     return model
 
 
-def platt(z: np.ndarray, label: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
-    """a, b of sigmoid(a z + b), by Newton steps; the slope stays positive."""
+def platt(z: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, steps: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
+    """a, b of sigmoid(a z + b), by Newton steps on the weighted rows; the slope stays positive."""
     x, w = np.stack([z, np.ones(len(z))], 1), np.zeros(2)
+    share = np.full(len(z), 1 / len(z)) if weight is None else weight / weight.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (label - p) / len(z) - ridge * w
-        h = (x.T * (p * (1 - p))) @ x / len(z) + ridge * np.eye(2)
+        g = x.T @ ((label - p) * share) - ridge * w
+        h = (x.T * (p * (1 - p) * share)) @ x + ridge * np.eye(2)
         w = w + np.clip(np.linalg.solve(h, g), -1, 1)
     return float(max(w[0], 1e-3)), float(w[1])
 
@@ -176,9 +182,10 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "d
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
+    good = labels.where(F.col(label).isin(0, 1) & F.coalesce(learn, F.lit(False))).agg(F.avg(label)).first()[0]
     sizes = [np.frombuffer(r.size, "<f4") for r in rows]
     f = np.concatenate([np.frombuffer(r.f, "<f4").reshape(-1, OWN) for r in rows]).astype(np.float64)
-    return fit(f, np.concatenate(sizes).astype(np.float64), np.concatenate([[0], np.cumsum([len(s) for s in sizes])]), y)
+    return fit(f, np.concatenate(sizes).astype(np.float64), np.concatenate([[0], np.cumsum([len(s) for s in sizes])]), y, good)
 
 
 def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
