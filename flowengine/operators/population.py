@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from flowengine.functions import expressions as X
 
-#: Range buckets of the cumulative mass; each holds about this share of the nodes in one window.
-BUCKETS = 256
+from .graph import cut
+
+#: Range buckets of the cumulative mass; each is one window.
+BUCKETS = 32
 
 
 def with_type(agents: DataFrame, seed: int = 1, key: str = "agent_id") -> DataFrame:
@@ -44,7 +46,8 @@ def drawn_nodes(agents: DataFrame, mass: DataFrame, seed: int = 1, key: str = "a
     The cumulative mass runs in node order. Nodes fall into range buckets whose sums (one row a bucket) give the bucket of
     a draw; in a bucket nodes and draws are one sorted window in which a draw takes the next node, so no pairs arise.
     """
-    keyed = mass.groupBy("node_id").agg(F.sum("mass").alias("mass")).withColumn("bucket", F.ntile(BUCKETS).over(Window.orderBy("node_id")))
+    keyed = mass.groupBy("node_id").agg(F.sum("mass").alias("mass")).repartitionByRange(BUCKETS, "node_id")
+    keyed = cut(keyed.withColumn("bucket", F.spark_partition_id()))  # range partitions rise with the node
     inner = keyed.withColumn("upto", F.sum("mass").over(Window.partitionBy("bucket").orderBy("node_id")))
     sums = inner.groupBy("bucket").agg(F.max("upto").alias("total"))
     order = Window.orderBy("bucket")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowengine.functions.expressions import STEPS_PER_MINUTE
+from flowengine.functions.expressions import FAMILY, STEPS_PER_MINUTE, lookup
 
 from .graph import Csr, _graph, path_to
 
@@ -133,8 +133,6 @@ def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: Da
 
 def histories(log: DataFrame, agents: DataFrame) -> DataFrame:
     """(agent_id, family, prior_e, prior_e_aoi) from the log, in walking order."""
-    from flowengine.functions.expressions import FAMILY, lookup
-
     in_order = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", "edge_id")))), lambda x: x["edge_id"])
     per = log.where("edge_id IS NOT NULL").groupBy("agent_id").agg(in_order(F.lit(True)).alias("prior_e"), in_order(F.col("in_aoi")).alias("prior_e_aoi"))
     return agents.select("agent_id", lookup(FAMILY, F.col("agent_type")).alias("family")).join(per, "agent_id", "left")
