@@ -60,7 +60,9 @@ def drawn_nodes(agents: DataFrame, mass: DataFrame, seed: int = 1, key: str = "a
     ends = inner.select("bucket", F.col("upto").alias("at"), F.lit(1).alias("is_node"), F.col("node_id").cast("bigint").alias("node"), F.lit(None).cast(draws.schema["agent"].dataType).alias("agent"))
     # a node's share ends just before its cumulative mass: nodes sort first, and a draw looks beyond equal ones
     w = Window.partitionBy("bucket").orderBy("at", F.desc("is_node")).rowsBetween(0, Window.unboundedFollowing)
-    return draws.unionByName(ends).withColumn(out, F.first("node", ignorenulls=True).over(w)).where("is_node = 0").select("agent.*", out)
+    # sums of doubles may leave a draw just beyond the last node of its bucket: then it takes that node
+    taken = F.coalesce(F.first("node", ignorenulls=True).over(w), F.max("node").over(Window.partitionBy("bucket")))
+    return draws.unionByName(ends).withColumn(out, taken).where("is_node = 0").select("agent.*", out)
 
 
 def aoi_utility(reached: DataFrame) -> DataFrame:
