@@ -2,7 +2,7 @@
 
 1. vocabulary(): counts of the training tokens (one pass, counts added before the shuffle); from them N, V and the
    words with more than a shard's share of all tokens, of which there are fewer than shards.
-2. Texts are dealt into parts of some MB. Each part sorts its different trigrams and sends them, with their training
+2. Texts are dealt into parts of some MB, as compressed pieces. Each part sorts its different trigrams and sends them, with their training
    counts, to the shard that owns their first word; its words go to the shard that owns the word. The pairs of a
    frequent word spread over as many shards as its share of the tokens asks for, and a part asks each of them.
 3. Each shard adds up the counts, builds its trie (see elias_fano), and answers every part: training counts of words,
@@ -11,8 +11,8 @@
    p3 = c3 / (C + T) + T / (C + T) p2 (Witten-Bell interpolation), from the start of the text with what context it has.
 
 All counts cover all training texts; nothing is pruned or capped. Words are 64-bit hashes, successors in a context 32-bit
-ones, third words LAST_BITS ones. Defined results: a null or empty text has one token, the end; a null doc_id is a training row; repeated rows count
-each and score alike; an empty table gives an empty result.
+ones, third words LAST_BITS ones. Defined results: a null or empty text has one token, the end; a null doc_id is a
+training row; repeated rows count each and score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .elias_fano import NgramTrie, count_of, prob_of
 from .shared import cut, table
 from .tokens import Words, chunks, mix
 
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 #: Bits of a third word's hash. In a context of k successors a new word meets a known one with the chance k / 2 ** LAST_BITS.
 LAST_BITS = 24
 END = np.uint64(0x51ED270B7A14C9D3)
@@ -57,8 +57,7 @@ class Part:
     """The different words, pairs and trigrams of one part, in the order of their hashes, and which shard owns each."""
 
     def __init__(self, group: pa.Table, shards: int, spread: tuple[np.ndarray, np.ndarray]):
-        column = group.column("text").combine_chunks()
-        self.tokens, self.first = _tokens(column if isinstance(column, pa.Array) else column.chunk(0))
+        self.tokens, self.first = _tokens(group.column("text").chunk(0))
         held = np.repeat(group.column("held_out").to_numpy(), np.diff(self.first))
         n = len(self.tokens)
         self.words, w = np.unique(self.tokens, return_inverse=True)
@@ -126,20 +125,47 @@ class Part:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays)] + [v for x in arrays for v in (ord(x.dtype.char), x.nbytes)], np.int64)
-    return head.tobytes() + b"".join(x.tobytes() for x in arrays)
+    """The arrays one after another, each compressed where that makes it shorter, behind (type, size, bytes kept) of each."""
+    kept = [min(raw := x.tobytes(), pa.compress(raw, "zstd", asbytes=True), key=len) if x.size else b"" for x in arrays]
+    head = np.array([len(arrays)] + [v for x, k in zip(arrays, kept) for v in (ord(x.dtype.char), x.nbytes, len(k))], np.int64)
+    return head.tobytes() + b"".join(kept)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2), 8 + 16 * n, []
-    for kind, size in head.tolist():
-        kind = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
-        at += size
+    head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3), 8 + 24 * n, []
+    for kind, size, kept in head.tolist():
+        part = memoryview(raw)[at : at + kept]
+        out.append(np.frombuffer(part if kept == size else pa.decompress(part, size, "zstd"), np.dtype(chr(kind))))
+        at += kept
     return out
 
 
+def deal(rows: DataFrame) -> DataFrame:
+    """(part, data): the rows of each part as compressed pieces, one for each slice of the input that holds some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in chunks(batches, 16 << 20):
+            part = b.column("part").to_numpy()
+            order = np.argsort(part, kind="stable")
+            b, part = b.select(["k", "text", "held_out"]).take(pa.array(order)), part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            data = []
+            for i, j in zip(cuts, [*cuts[1:], len(part)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                    out.write_batch(b.slice(i, j - i))
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(data, pa.binary())], ["part", "data"])
+
+    return rows.select("k", "text", "held_out", "part").mapInArrow(run, "part long, data binary")
+
+
+def dealt_rows(group: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("data")]).combine_chunks()
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
     """The low LAST_BITS / 8 bytes of each number, byte by byte."""
     return np.stack([(x >> np.uint32(8 * k)).astype(np.uint8) for k in range(LAST_BITS // 8)]).ravel()
@@ -219,13 +245,14 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
     spread = np.array([h for h, _ in often], _U), np.array([min(k, parts) for _, k in often], np.int64)
 
     def send(group: pa.Table) -> pa.Table:
-        p, part, out = Part(group, parts, spread), group.column("part")[0].as_py(), []
+        p, part, out = Part(dealt_rows(group), parts, spread), group.column("part")[0].as_py(), []
         sizes3 = np.bincount(p.pair_of)
         for s, words, counts, sizes, pairs, tris in p.slices():
             out.append((s, part, pack(p.words[words], _small(counts), _small(sizes), p.b2[pairs], _small(sizes3[pairs]), _planes(p.c3[tris]), _small(p.count[tris]))))
         return _rows(out, ["shard", "part"])
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
+        group = dealt_rows(group)
         p = Part(group, parts, spread)
         got = {s: unpack(x) for s, x in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist())}
         c1, t1 = np.zeros(len(p.words)), np.zeros(len(p.words))
@@ -251,7 +278,7 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
         columns = [group.column("k"), group.column("held_out"), np.diff(first), total((c1[w] > 0).astype(np.int64)), np.full(len(first) - 1, n), total(base), total(np.log10(np.minimum(prob, 1.0)))]
         return pa.table(columns, names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    dealt = dealt.select("k", "text", "held_out", "part")
+    dealt = deal(dealt)
     answers = dealt.groupBy("part").applyInArrow(send, "shard long, part long, data binary").groupBy("shard").applyInArrow(answer, "part long, shard long, data binary")
     out = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, f"k {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("k", key)
