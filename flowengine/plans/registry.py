@@ -604,7 +604,8 @@ def nearest_of_goals(spark, d):
     w = _ring(spark, d)
     goals = spark.createDataFrame([(11,), (23,), (31,)], "goal long")
     pairs = w.where("src < 5").select("weighting", "src").distinct().join(F.broadcast(goals), how="cross")
-    best = graph.shortest_paths(w, pairs).groupBy("src").agg(F.min(F.struct("distance", "goal")).alias("m"))
+    reached = graph.shortest_paths(w, pairs).where(F.size("path") > 0)  # a goal out of reach has distance 0 and no path
+    best = reached.groupBy("src").agg(F.min(F.struct("distance", "goal")).alias("m"))
     return best.select("src", "m.distance", "m.goal")
 
 
