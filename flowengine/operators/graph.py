@@ -217,20 +217,26 @@ def nearest_label_nodes(weights: DataFrame, sources: DataFrame, labels: DataFram
     return sources.select("weighting", "src").distinct().mapInPandas(run, "weighting string, src long, aoi string, node_id long, distance double")
 
 
-def relational_distances(weights: DataFrame, sources: DataFrame, hops: int = 1_000) -> DataFrame:
-    """(weighting, src, node_id, distance) by Bellman-Ford supersteps, for graphs too large to broadcast; ends when nothing falls."""
+def relational_distances(weights: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
+    """(weighting, src, node_id, distance) by Bellman-Ford supersteps, for graphs too large to broadcast; ends when nothing falls.
+
+    Weights must not be negative. With `hops`, a graph that needs more supersteps raises.
+    """
     dist = cut(sources.select("weighting", "src", F.col("src").alias("node_id"), F.lit(0.0).alias("distance")).distinct())
     front = dist
     e = weights.select("weighting", F.col("src").alias("node_id"), "dst", "w")
-    for _ in range(hops):
+    done = 0
+    while True:
         step = front.join(e, ["weighting", "node_id"]).groupBy("weighting", "src", F.col("dst").alias("node_id")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
         both = cut(dist.join(step, ["weighting", "src", "node_id"], "full").select("weighting", "src", "node_id", "distance", "via"))
         better = F.col("via").isNotNull() & (F.col("distance").isNull() | (F.col("via") < F.col("distance")))
         front = both.where(better).select("weighting", "src", "node_id", F.col("via").alias("distance"))
         dist = both.select("weighting", "src", "node_id", F.when(better, F.col("via")).otherwise(F.col("distance")).alias("distance"))
         if front.isEmpty():
-            break
-    return dist
+            return dist
+        done += 1
+        if hops is not None and done >= hops:
+            raise ValueError(f"distances still fall after {hops} supersteps")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

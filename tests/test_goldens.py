@@ -1,5 +1,6 @@
 """Values worked out by hand, and properties of the model."""
 
+import inspect
 import math
 
 import pytest
@@ -95,6 +96,15 @@ def test_shortest_paths(spark):
     assert far == {1: 0, 2: 100, 3: 170, 4: 50, 5: 200}
 
 
+def test_relational_distances_are_whole_or_raise(spark):
+    chain = graph.symmetric(spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "`from` long, `to` long, w double"), "w").withColumn("weighting", F.lit("distance"))
+    source = chain.where("src = 0").select("weighting", "src")
+    assert {r.node_id: r.distance for r in graph.relational_distances(chain, source).collect()} == {i: float(i) for i in range(7)}
+    with pytest.raises(ValueError):
+        graph.relational_distances(chain, source, hops=3)
+    assert inspect.signature(graph.relational_distances).parameters["hops"].default is None
+
+
 def test_lines_to_graph_and_components(spark):
     lines = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0)]), (2, [(1.0000000001, 0.0), (2.0, 0.0)]), (3, [(9.0, 9.0), (8.0, 8.0)])], "line_id long, coords array<struct<x: double, y: double>>")
     nodes, edges = graph.lines_to_graph(lines)
