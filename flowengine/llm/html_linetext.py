@@ -7,7 +7,7 @@
    lines from each line on are summed. A surge is where a line with text begins a window of at least `floor` characters
    (less on a short page), a dive is the first empty line with an empty window behind it, or a stripped element.
 3. Keep: all lines between surge and dive of every region with at least a fifth of the largest region's mass. A heading
-   right above a region joins it. Where the page marks its article (article, main), the marking enters the weights.
+   right above a region joins it. Where the page marks an article (article, main), its lines get a bounded bonus.
 
 Each page is read whole and on its own, whatever its length; broken and cut off markup is read as far as it goes.
 Defined results: null or empty html has the empty text; repeated rows give repeated results; an empty table gives an
@@ -137,11 +137,11 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
 def distribution(lines: list[tuple[str, int, int, bool]], window: int, floor: int) -> tuple[list[int], list[int]]:
     """Weight of every line, and the sum of the weights of `window` lines from each on.
 
-    Where the page marks an article, a line in it weighs `floor` characters more and a line outside nothing: so the
-    surge comes with the article's first line and no dive before its last one, or before an element stripped in it.
+    A line with unlinked text in a marked article weighs a little more; the bonus of a window stays below `floor`, so no
+    mark alone makes a surge, and text outside keeps its weight.
     """
-    marked = any(a and w > 0 for _, w, a, _ in lines)
-    weights = [(max(w, 0) + floor if a and t else 0) if marked else max(w, 0) for t, w, a, _ in lines]
+    bonus = max(floor - 1, 0) // window
+    weights = [w + (bonus if a else 0) if w > 0 else 0 for _, w, a, _ in lines]
     return weights, [sum(weights[i : i + window]) for i in range(len(weights))]
 
 

@@ -226,6 +226,17 @@ def test_main_text(spark):
     assert html_linetext.main_texts(df.limit(0)).count() == 0
 
 
+def test_main_text_is_weighed_inside_and_outside_articles():
+    body = ["The river rose over night and the road along the bank was closed to all. " * 3 + str(i) for i in range(6)]
+    card = "<article><h3>More news</h3><p>A short teaser of another story that ran here.</p><a href=x>Read on</a></article>"
+    page = "<body>" + "".join(f"<div>{x}</div>" for x in body) + "<hr>" * 4 + card * 3 + "</body>"
+    assert html_linetext.main_text(page) == " ".join(body)
+    links = "".join(f"<p><a href=x>Link to another page of this site {i}</a></p>" for i in range(5))
+    assert html_linetext.main_text("<article>" + "".join(f"<p>{x}</p>" for x in body) + links + "</article>") == " ".join(body)
+    lines = [("x", 1, 1, False)] * 5
+    assert max(html_linetext.distribution(lines, 3, 120)[1]) < 123
+
+
 def test_classifiers_score_every_row(spark, docs, clashing):
     rng = np.random.default_rng(2)
     vocab = [f"w{i}" for i in range(300)]
