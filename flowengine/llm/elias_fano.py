@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import mmap
 import tempfile
 
@@ -76,13 +77,23 @@ def count_of(code: np.ndarray) -> np.ndarray:
     return np.where(x < 64, x, 64 * 2 ** ((x - 64) / 8))
 
 
-def prob_code(p: np.ndarray) -> np.ndarray:
-    """Probabilities in 8 bits: 0 for none, else fortieths of a decade."""
-    return np.where(p > 0, 1 + np.minimum(254, np.rint(-40 * np.log10(np.maximum(p, 1e-30)))), 0).astype(np.uint8)
+#: Finest step of quantised probabilities, in decades.
+STEP = 1 / 40
 
 
-def prob_of(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10 ** (-(code.astype(np.float64) - 1) / 40), 0.0)
+def prob_step(*probs: np.ndarray) -> float:
+    """The step at which the smallest positive probability still has a code: STEP, or more where it is below 10 ** -6.35."""
+    low = min((float(p[p > 0].min()) for p in probs if (p > 0).any()), default=1.0)
+    return max(STEP, -math.log10(low) / 254)
+
+
+def prob_code(p: np.ndarray, step: float = STEP) -> np.ndarray:
+    """Probabilities in 8 bits: 0 for none, else steps of a decade."""
+    return np.where(p > 0, 1 + np.minimum(254, np.rint(-np.log10(np.maximum(p, 1e-30)) / step)), 0).astype(np.uint8)
+
+
+def prob_of(code: np.ndarray, step: float | np.ndarray = STEP) -> np.ndarray:
+    return np.where(code > 0, 10 ** (-(code.astype(np.float64) - 1) * step), 0.0)
 
 
 class NgramTrie:
@@ -91,7 +102,7 @@ class NgramTrie:
     A level holds (context index << 32) + successor id, one rising sequence over all contexts, so the search for a
     successor is relative to its context. Rising pointers give the range of each context's successors; their number T
     and the count C of the context give the Witten-Bell weight T / (C + T) and the smoothed probability c / (C + T),
-    both quantised. Pairs keep their quantised count: a word's total is known only over all shards.
+    both quantised in steps that follow the smallest of them (`step`). Pairs keep their quantised count: a word's total is known only over all shards.
     """
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
@@ -101,7 +112,10 @@ class NgramTrie:
         total = np.maximum(pair_counts + t, 1)
         of = (triples >> _U(32)).astype(np.int64)
         levels = [words, first(pairs, len(words)), pairs, starts, triples]
-        codes = [count_code(pair_counts), prob_code(t / total), prob_code(triple_counts / total[of]) if len(of) else np.zeros(0, np.uint8)]
+        weight, smoothed = t / total, triple_counts / total[of] if len(of) else np.zeros(0)
+        self.step = prob_step(weight, smoothed)
+        codes = [count_code(pair_counts), prob_code(weight, self.step), prob_code(smoothed, self.step)]
+        del weight, smoothed
         heads, blocks = zip(*map(EliasFano.encode, levels))
         parts = [x for b in blocks for x in b] + codes
         with tempfile.TemporaryFile() as f:  # task scratch without a name, gone with the task

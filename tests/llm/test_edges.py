@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowengine.llm import chat_format, decontaminate, html_linetext, license_scan, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
-from flowengine.llm.elias_fano import EliasFano
+from flowengine.llm.elias_fano import EliasFano, NgramTrie, prob_of
+from flowengine.llm.tokens import Words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 40_000
@@ -117,6 +118,26 @@ def test_lm_scores(spark, docs):
         assert abs(r.score - model(w)) <= 0.02 * len(w) + 0.02  # eight-bit probabilities
 
 
+def test_rare_continuations_of_a_large_context_keep_their_probability():
+    rare, u = 25_000_000, np.uint64
+    trie = NgramTrie(np.array([7], u), np.array([3], u), np.array([rare]), np.array([5, 9], u), np.array([1, rare - 1]))
+    p = prob_of(trie.triple_codes, trie.step)
+    assert p == pytest.approx([1 / (rare + 2), (rare - 1) / (rare + 2)], rel=0.05)
+    assert prob_of(trie.weight_codes, trie.step) == pytest.approx([2 / (rare + 2)], rel=0.05)
+
+
+def test_third_words_of_large_contexts_take_32_bits(spark, monkeypatch):
+    names = np.array([f"w{i}" for i in range(20_000)])
+    h = Words(pa.array(names)).hashes() >> np.uint64(40)
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.diff(h[order]) == 0)[0]
+    known, other = names[order[at]], names[order[at + 1]]  # equal in 24 bits
+    df = spark.createDataFrame([(i, f"a b {known}") for i in range(50)] + [(99, f"a b {other}")], "doc_id long, text string")
+    monkeypatch.setattr(ngram_score, "WIDE", 10)
+    got = {r.doc_id: r.score for r in ngram_score.lm_scores(df, F.col("doc_id") == 99).collect()}
+    assert got[99] < got[0] - 1
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((0, 10), (1, 1 << 60), (1000, 5000), (3000, 1 << 63), (2000, 2001)):
