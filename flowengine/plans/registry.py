@@ -687,3 +687,69 @@ def raster_line_mean(spark, d):
 def event_spans(spark, d):
     x = t(spark, d, "events").groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
     return x.select(F.col("first_ts").cast("timestamp").alias("first_ts"), "event_type", "n")
+
+
+# ---- whole tables --------------------------------------------------------------------------------------------------
+# The graph queries above read one in 160 lineitems, or 40 suppliers, as their SQL does. These read all rows. Where
+# recursive or unrolled SQL cannot follow a graph that grows, there is none, and the tests hold them against brute force.
+
+_WHOLE = "SELECT DISTINCT l_suppkey AS a, 10000000000 + l_partkey AS b FROM lineitem"
+_WHOLE_NODES = f"SELECT a AS v FROM ({_WHOLE}) UNION SELECT b FROM ({_WHOLE})"
+
+
+def whole_graph(spark, d):
+    """(nodes, edges): every supplier and part of lineitem, joined where they occur together."""
+    e = t(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("from"), (F.col("l_partkey") + 10_000_000_000).alias("to")).distinct()
+    return e.select(F.explode(F.array("from", "to")).alias("node_id")).distinct(), e
+
+
+@query(f"""WITH e AS ({_WHOLE}) SELECT a AS node_id, b AS neighbour FROM e UNION SELECT b, a FROM e UNION SELECT v, v FROM ({_WHOLE_NODES})""")
+def whole_neighbourhood_1hop(spark, d):
+    nodes, edges = whole_graph(spark, d)
+    return graph.neighbourhood(edges, nodes)
+
+
+@query(f"WITH e AS ({_WHOLE}) SELECT a AS src, list_sort(list(b)) AS neighbours FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) GROUP BY 1")
+def whole_adjacency_lists(spark, d):
+    return graph.adjacency(whole_graph(spark, d)[1]).select("src", F.transform("neighbours", lambda x: x["dst"]).alias("neighbours"))
+
+
+@query()
+def whole_largest_component(spark, d):
+    return graph.largest_component(*whole_graph(spark, d))[0].select("node_id")
+
+
+@query()
+def whole_component_sizes(spark, d):
+    return graph.component_sizes(graph.components(*whole_graph(spark, d)))
+
+
+@query(f"""WITH e AS ({_WHOLE}) SELECT a AS "from", b AS "to" FROM e WHERE a % 10 = 3 OR b % 10 = 3""")
+def whole_incident_edges(spark, d):
+    nodes, edges = whole_graph(spark, d)
+    return graph.incident_edges(edges, nodes.where("node_id % 10 = 3"))
+
+
+@query(f"""WITH n AS ({_WHOLE_NODES}), k AS (SELECT v, row_number() OVER (ORDER BY v) AS id FROM n WHERE v % 10 <> 3), e AS ({_WHOLE})
+SELECT x.id AS "from", y.id AS "to" FROM e JOIN k x ON x.v = a JOIN k y ON y.v = b""")
+def whole_redensified_ids(spark, d):
+    nodes, edges = whole_graph(spark, d)
+    kept = graph.cut(graph.dense_ids(nodes.where("node_id % 10 <> 3"), ["node_id"], "id"))
+    a, b = kept.select(F.col("node_id").alias("from"), F.col("id").alias("a")), kept.select(F.col("node_id").alias("to"), F.col("id").alias("b"))
+    return edges.join(a, "from").join(b, "to").select(F.col("a").alias("from"), F.col("b").alias("to"))
+
+
+@query("SELECT o_orderkey, o_custkey % 11 AS family FROM orders WHERE o_custkey % 11 <> 0")
+def whole_routable_agents(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 11 == 0, -1).otherwise(F.col("o_custkey") % 11).alias("family"))
+    return rows.where("family <> -1")
+
+
+@query("""WITH p AS (SELECT o_custkey AS src, o_orderkey AS goal, [o_custkey % 7, o_orderkey % 7, o_orderkey % 5] AS path FROM orders),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(i) AS id FROM (SELECT n_nationkey AS i, n_nationkey % 7 AS a, n_nationkey % 5 AS b FROM nation) GROUP BY 1, 2)
+SELECT src, goal, x.id AS first_edge, y.id AS current FROM p LEFT JOIN e x ON x.a = least(path[1], path[2]) AND x.b = greatest(path[1], path[2]) LEFT JOIN e y ON y.a = least(path[2], path[3]) AND y.b = greatest(path[2], path[3])""")
+def whole_path_edges(spark, d):
+    o, c, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
+    paths = t(spark, d, "orders").select(c.alias("src"), o.alias("goal"), F.array(c % 7, o % 7, o % 5).alias("path"))
+    edges = t(spark, d, "nation").select(n.alias("edge_id"), (n % 7).cast("long").alias("from"), (n % 5).cast("long").alias("to"))
+    return graph.path_edges(paths, edges).select("src", "goal", F.get("history", F.lit(0)).alias("first_edge"), "current")

@@ -113,6 +113,28 @@ def test_lines_to_graph_and_components(spark):
     assert big.count() == 3 and sorted(r.line_id for r in inner.collect()) == [1, 2]
 
 
+def test_whole_graph_components(spark):
+    """All of lineitem against union-find."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    up = {}
+
+    def find(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for s, p in rows:
+        a, b = find(s), find(p + 10_000_000_000)
+        up[max(a, b)] = min(a, b)
+    want = {}
+    for v in list(up):
+        want.setdefault(find(v), set()).add(v)
+    assert {r.component: r.n for r in registry.QUERIES["whole_component_sizes"](spark, "/root/testdata/sf0.001").collect()} == {c: len(x) for c, x in want.items()}
+    best = min(want, key=lambda c: (-len(want[c]), c))
+    assert {r.node_id for r in registry.QUERIES["whole_largest_component"](spark, "/root/testdata/sf0.001").collect()} == want[best]
+    assert len(up) == len({s for s, _ in rows}) + len({p for _, p in rows})
+
+
 def test_induced_labels(spark):
     nodes = spark.createDataFrame([(i, "A" if i in (1, 2, 3, 7) else "0") for i in range(1, 9)], "node_id long, aoi string")
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 8)], "`from` long, `to` long")
