@@ -6,6 +6,7 @@ are keys of the other tables. Computed doubles are rounded on both sides, as sum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -753,3 +754,75 @@ def whole_path_edges(spark, d):
     paths = t(spark, d, "orders").select(c.alias("src"), o.alias("goal"), F.array(c % 7, o % 7, o % 5).alias("path"))
     edges = t(spark, d, "nation").select(n.alias("edge_id"), (n % 7).cast("long").alias("from"), (n % 5).cast("long").alias("to"))
     return graph.path_edges(paths, edges).select("src", "goal", F.get("history", F.lit(0)).alias("first_edge"), "current")
+
+
+def whole_ring(spark, d):
+    """(weights, n): a ring of all n suppliers, with chords 7 and about the root of n further on, so that its width grows with n."""
+    supplier = t(spark, d, "supplier")
+    n = supplier.count()
+    s = F.col("s_suppkey")
+    one = lambda step, w: supplier.select((s % n).alias("from"), ((s + step) % n).alias("to"), w.cast("double").alias("w"))
+    edges = one(1, 50 + s * 13 % 40).unionByName(one(7, 200 + s * 17 % 90)).unionByName(one(math.isqrt(n), 400 + s * 19 % 70))
+    return graph.symmetric(edges, "w").withColumn("weighting", F.lit("distance")), n
+
+
+def _five_to_all(w: DataFrame) -> DataFrame:
+    """The stated query set: the first five nodes to every node."""
+    nodes = w.select("src").distinct()
+    return nodes.where("src < 5").join(nodes.withColumnRenamed("src", "goal"), how="cross").withColumn("weighting", F.lit("distance"))
+
+
+@query()
+def whole_shortest_distance(spark, d):
+    w, _ = whole_ring(spark, d)
+    return graph.shortest_paths(w, _five_to_all(w)).select("src", "goal", "distance")
+
+
+@query()
+def whole_relational_distance(spark, d):
+    w, _ = whole_ring(spark, d)
+    return graph.relational_distances(w, w.where("src < 5").select("weighting", "src")).select("src", "node_id", "distance")
+
+
+@query()
+def whole_nearest_aoi_node(spark, d):
+    w, _ = whole_ring(spark, d)
+    labels = w.select(F.col("src").alias("node_id")).distinct().withColumn("aoi", F.when(F.col("node_id") % 4 == 1, F.chr(65 + F.col("node_id") % 3)).otherwise("0"))
+    return graph.nearest_label_nodes(w, w.where("src < 5").select("weighting", "src"), labels).select("src", "aoi", "node_id", "distance")
+
+
+@query()
+def whole_shortest_path_nodes(spark, d):
+    w, _ = whole_ring(spark, d)
+    return graph.shortest_paths(w, _five_to_all(w)).select("src", "goal", "path")
+
+
+@query()
+def whole_nearest_of_goals(spark, d):
+    w, n = whole_ring(spark, d)
+    goals = spark.createDataFrame([(n // 4,), (n // 2,), (3 * n // 4,)], "goal long")
+    pairs = w.where("src < 5").select("weighting", "src").distinct().join(F.broadcast(goals), how="cross")
+    best = graph.shortest_paths(w, pairs).where(F.size("path") > 0).groupBy("src").agg(F.min(F.struct("distance", "goal")).alias("m"))
+    return best.select("src", "m.distance", "m.goal")
+
+
+def whole_simulation_inputs(spark, d):
+    """simulation_inputs over all suppliers and customers; the second half of the ring is the area."""
+    ring, n = whole_ring(spark, d)
+    s, half = F.col("s_suppkey"), n // 2
+    supplier = t(spark, d, "supplier")
+    nodes = supplier.select((s % n).alias("node_id"), F.cos(s * (2 * math.pi / n)).alias("x"), F.sin(s * (2 * math.pi / n)).alias("y"), F.when(s % n >= half, "A").otherwise("0").alias("aoi"))
+    one = lambda step, k, w: supplier.select((s + k * n).alias("edge_id"), (s % n).alias("from"), ((s + step) % n).alias("to"), w.cast("double").alias("shape_leng"))
+    edges = one(1, 0, 50 + s * 13 % 40).unionByName(one(7, 1, 200 + s * 17 % 90)).unionByName(one(math.isqrt(n), 2, 400 + s * 19 % 70))
+    weights = ring.unionByName(ring.withColumn("weighting", F.lit("little_attr")))
+    duln = nodes.join(F.broadcast(spark.createDataFrame([(k,) for k in X.SPEED], "agent_type string")), how="cross").select("agent_type", "node_id", (F.col("node_id") % 5).cast("double").alias("duln"))
+    agents = population.with_duration(population.with_type(t(spark, d, "customer").select(F.col("c_custkey").alias("agent_id"))))
+    agents = agents.withColumns({"start_v": F.col("agent_id") % half, "goal_v": half + F.col("agent_id") % (n - half), "aoi_goal": F.lit("A")})
+    return agents, weights, nodes, edges, duln
+
+
+@query()
+def whole_simulate_passage(spark, d):
+    agents, weights, nodes, edges, duln = whole_simulation_inputs(spark, d)
+    log = graph.cut(simulate.simulated(agents, weights, nodes, edges, duln))
+    return passage.combined_passage(edges.select("edge_id"), simulate.histories(log, agents))

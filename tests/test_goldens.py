@@ -3,6 +3,7 @@
 import inspect
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,33 @@ def test_whole_graph_components(spark):
     assert len(up) == len({s for s, _ in rows}) + len({p for _, p in rows})
 
 
+def test_whole_ring(spark):
+    """All suppliers against Floyd-Warshall, and a simulation that reaches the whole network."""
+    d = "/root/testdata/sf0.01"
+    w, n = registry.whole_ring(spark, d)
+    assert n == spark.read.parquet(f"{d}/supplier.parquet").count() > 40
+    dist = np.full((n, n), np.inf)
+    np.fill_diagonal(dist, 0)
+    for r in w.collect():
+        dist[r.src, r.dst] = min(dist[r.src, r.dst], r.w)
+    step = dist.copy()
+    for k in range(n):
+        dist = np.minimum(dist, dist[:, k, None] + dist[k])
+    want = {(s, g): dist[s, g] for s in range(5) for g in range(n)}
+    run = lambda name: registry.QUERIES[name](spark, d).collect()
+    assert {(r.src, r.goal): r.distance for r in run("whole_shortest_distance")} == want
+    assert {(r.src, r.node_id): r.distance for r in run("whole_relational_distance")} == want
+    for r in run("whole_shortest_path_nodes"):
+        path = [r.src, *r.path]
+        assert path[-1] == r.goal and sum(step[a, b] for a, b in zip(path, path[1:])) == want[r.src, r.goal]
+    near = {(s, chr(65 + r)): min((dist[s, v], v) for v in range(n) if v % 4 == 1 and v % 3 == r) for s in range(5) for r in range(3)}
+    assert {(r.src, r.aoi): (r.distance, r.node_id) for r in run("whole_nearest_aoi_node")} == near
+    goals = {s: min((dist[s, g], g) for g in (n // 4, n // 2, 3 * n // 4)) for s in range(5)}
+    assert {r.src: (r.distance, r.goal) for r in run("whole_nearest_of_goals")} == goals
+    walked = run("whole_simulate_passage")
+    assert len(walked) == 3 * n and sum(r.passage > 0 for r in walked) > n
+
+
 def test_induced_labels(spark):
     nodes = spark.createDataFrame([(i, "A" if i in (1, 2, 3, 7) else "0") for i in range(1, 9)], "node_id long, aoi string")
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 8)], "`from` long, `to` long")
