@@ -167,17 +167,21 @@ def path_to(before: dict[int, int], source: int, goal: int) -> list[int]:
 
 
 def _graph(spark: SparkSession, weights: DataFrame):
-    """Broadcast adjacency of every weighting. The number of edges is checked before anything is collected."""
-    n = weights.count()
-    if n > BROADCAST_EDGES:
-        raise ValueError(f"{n} directed edges exceed BROADCAST_EDGES; use relational_distances")
+    """Broadcast adjacency of every weighting, or None above BROADCAST_EDGES. The edges are counted before anything is collected."""
+    if weights.count() > BROADCAST_EDGES:
+        return None
     rows = weights.select("weighting", "src", "dst", "w").toPandas()
     return spark.sparkContext.broadcast({k: Csr(g.src.to_numpy(), g.dst.to_numpy(), g.w.to_numpy(float)) for k, g in rows.groupby("weighting")})
 
 
 def shortest_paths(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(weighting, src, goal, distance, path) of distinct pairs; pairs of one source share a run. Unreachable: 0 and an empty path."""
+    """(weighting, src, goal, distance, path) of distinct pairs; pairs of one source share a run. Unreachable: 0 and an empty path.
+
+    Graphs above BROADCAST_EDGES go by supersteps; their weights must not be negative.
+    """
     graph = _graph(pairs.sparkSession, weights)
+    if graph is None:
+        return relational_paths(weights, pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -195,10 +199,16 @@ def shortest_paths(weights: DataFrame, pairs: DataFrame) -> DataFrame:
 def nearest_label_nodes(weights: DataFrame, sources: DataFrame, labels: DataFrame, none: str = "0") -> DataFrame:
     """(weighting, src, aoi, node_id, distance): from each source the nearest node of each label it reaches, nearest label first.
 
-    `labels` (node_id, aoi) belongs to the graph and is bounded as the graph is.
+    Graphs above BROADCAST_EDGES go by supersteps. `labels` (node_id, aoi) belongs to the graph and is bounded as the graph is.
     """
     graph = _graph(sources.sparkSession, weights)
-    named = labels.where(F.col("aoi") != none).join(weights.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi").toPandas()
+    named = labels.where(F.col("aoi") != none).join(weights.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
+    if graph is None:
+        some = sources.join(weights.select("weighting").distinct(), "weighting", "left_semi")
+        found = relational_distances(weights, some).join(named.select("node_id", "aoi"), "node_id")
+        best = found.groupBy("weighting", "src", "aoi").agg(F.min(F.struct("distance", "node_id")).alias("m"))
+        return best.select("weighting", "src", "aoi", "m.node_id", "m.distance")
+    named = named.toPandas()
     sent = sources.sparkSession.sparkContext.broadcast(dict(zip(named.node_id.tolist(), named.aoi.tolist())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,21 +227,19 @@ def nearest_label_nodes(weights: DataFrame, sources: DataFrame, labels: DataFram
     return sources.select("weighting", "src").distinct().mapInPandas(run, "weighting string, src long, aoi string, node_id long, distance double")
 
 
-def relational_distances(weights: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
-    """(weighting, src, node_id, distance) by Bellman-Ford supersteps, for graphs too large to broadcast; ends when nothing falls.
-
-    Weights must not be negative. With `hops`, a graph that needs more supersteps raises.
-    """
-    dist = cut(sources.select("weighting", "src", F.col("src").alias("node_id"), F.lit(0.0).alias("distance")).distinct())
+def _settled(weights: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
+    """(weighting, src, node_id, at (distance, hops)): the least distance, and the fewest hops with it."""
+    at = lambda d, h: F.struct(d.alias("distance"), h.alias("hops"))
+    dist = cut(sources.select("weighting", "src", F.col("src").alias("node_id"), at(F.lit(0.0), F.lit(0))).toDF("weighting", "src", "node_id", "at").distinct())
     front = dist
     e = weights.select("weighting", F.col("src").alias("node_id"), "dst", "w")
     done = 0
     while True:
-        step = front.join(e, ["weighting", "node_id"]).groupBy("weighting", "src", F.col("dst").alias("node_id")).agg(F.min(F.col("distance") + F.col("w")).alias("via"))
-        both = cut(dist.join(step, ["weighting", "src", "node_id"], "full").select("weighting", "src", "node_id", "distance", "via"))
-        better = F.col("via").isNotNull() & (F.col("distance").isNull() | (F.col("via") < F.col("distance")))
-        front = both.where(better).select("weighting", "src", "node_id", F.col("via").alias("distance"))
-        dist = both.select("weighting", "src", "node_id", F.when(better, F.col("via")).otherwise(F.col("distance")).alias("distance"))
+        step = front.join(e, ["weighting", "node_id"]).groupBy("weighting", "src", F.col("dst").alias("node_id")).agg(F.min(at(F.col("at.distance") + F.col("w"), F.col("at.hops") + 1)).alias("via"))
+        both = cut(dist.join(step, ["weighting", "src", "node_id"], "full").select("weighting", "src", "node_id", "at", "via"))
+        better = F.col("via").isNotNull() & (F.col("at").isNull() | (F.col("via") < F.col("at")))
+        front = both.where(better).select("weighting", "src", "node_id", F.col("via").alias("at"))
+        dist = both.select("weighting", "src", "node_id", F.when(better, F.col("via")).otherwise(F.col("at")).alias("at"))
         if front.isEmpty():
             return dist
         done += 1
@@ -239,6 +247,39 @@ def relational_distances(weights: DataFrame, sources: DataFrame, hops: int | Non
             raise ValueError(f"distances still fall after {hops} supersteps")
 
 
+def relational_distances(weights: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
+    """(weighting, src, node_id, distance) by Bellman-Ford supersteps, for graphs too large to broadcast; ends when nothing falls.
+
+    Weights must not be negative. With `hops`, a graph that needs more supersteps raises.
+    """
+    return _settled(weights, sources, hops).select("weighting", "src", "node_id", "at.distance")
+
+
+def relational_paths(weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """shortest_paths by supersteps: distances first, then each path back from its goal, a node a step.
+
+    Of several predecessors the one settled first (distance, node id) counts; across edges of weight 0 one with fewer hops.
+    """
+    pairs = cut(pairs.select("weighting", "src", "goal").distinct())
+    dist = _settled(weights, pairs)
+    v = dist.select("weighting", "src", F.col("node_id").alias("v"), F.col("at").alias("v_at"))
+    tight = weights.select("weighting", F.col("src").alias("v"), F.col("dst").alias("node_id"), "w").join(v, ["weighting", "v"]).join(dist, ["weighting", "src", "node_id"])
+    tight = tight.where((F.col("v_at.distance") + F.col("w") == F.col("at.distance")) & (F.col("v_at") < F.col("at")))
+    before = cut(tight.groupBy("weighting", "src", F.col("node_id").alias("here")).agg(F.min_by("v", F.struct("v_at.distance", "v")).alias("v")))
+    walk = pairs.withColumns({"here": F.col("goal"), "path": F.array().cast("array<long>"), "moved": F.lit(True)})
+    while True:
+        walk = cut(
+            walk.join(before, ["weighting", "src", "here"], "left").select(
+                "weighting", "src", "goal", F.coalesce("v", "here").alias("here"), F.when(F.col("v").isNull(), F.col("path")).otherwise(F.concat(F.array("here"), "path")).alias("path"), F.col("v").isNotNull().alias("moved")
+            )
+        )
+        if walk.where("moved").isEmpty():
+            break
+    far = dist.select("weighting", "src", F.col("node_id").alias("goal"), F.col("at.distance").alias("distance"))
+    path = F.when(F.col("src") == F.col("goal"), F.array("goal")).otherwise(F.col("path"))
+    return walk.join(far, ["weighting", "src", "goal"], "left").select("weighting", "src", "goal", F.coalesce("distance", F.lit(0.0)).alias("distance"), path.alias("path"))
+
+
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, goal, history, current): edge ids along a path. The hop from the source to the first node is not recorded and the
     last edge stands apart; a path of one node is the edge from the source."""

@@ -117,6 +117,8 @@ def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: Da
     """The log of all agents. `duln` is (agent_type, node_id, duln); the graph's size is checked before it is broadcast."""
     spark = agents.sparkSession
     graphs = _graph(spark, weights)
+    if graphs is None:
+        raise ValueError("the simulation takes networks of up to graph.BROADCAST_EDGES rows of weights")
     n, e, d = nodes.select("node_id", "x", "y", "aoi").toPandas(), edges.select("edge_id", "from", "to", "shape_leng").toPandas(), duln.select("agent_type", "node_id", "duln").toPandas()
     e = e.sort_values("edge_id", ascending=False)  # of parallel edges the first stays
     ends = {(min(a, b), max(a, b)): (i, w) for i, a, b, w in e.itertuples(index=False)}

@@ -163,6 +163,17 @@ def test_whole_ring(spark):
     assert len(walked) == 3 * n and sum(r.passage > 0 for r in walked) > n
 
 
+def test_large_graphs_have_paths_and_labels(spark, monkeypatch):
+    edges = spark.createDataFrame([*EDGES, (7, 5, 6, 0.0), (8, 6, 7, 0.0), (9, 7, 5, 0.0), (10, 8, 9, 1.0)], "edge_id long, `from` long, `to` long, w double")
+    w = graph.symmetric(edges, "w").withColumn("weighting", F.lit("distance"))
+    pairs = spark.createDataFrame([("distance", a, b) for a in (1, 5, 8, 77) for b in (1, 2, 3, 4, 5, 7, 9, 77)] + [("no", 1, 1), ("no", 1, 2)], "weighting string, src long, goal long")
+    labels = spark.createDataFrame([(2, "A"), (3, "A"), (7, "B"), (9, "C"), (77, "D"), (4, "0")], "node_id long, aoi string")
+    sources = pairs.select("weighting", "src")
+    small = sorted(graph.shortest_paths(w, pairs).collect()), sorted(graph.nearest_label_nodes(w, sources, labels).collect())
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 3)
+    assert (sorted(graph.shortest_paths(w, pairs).collect()), sorted(graph.nearest_label_nodes(w, sources, labels).collect())) == small
+
+
 def test_induced_labels(spark):
     nodes = spark.createDataFrame([(i, "A" if i in (1, 2, 3, 7) else "0") for i in range(1, 9)], "node_id long, aoi string")
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 8)], "`from` long, `to` long")
