@@ -10,7 +10,8 @@ shingles themselves.
 
 Shingles have `width` words (lower-case runs of letters and digits); an item with fewer words is one shingle of all its
 words, looked up among shingles of that many words. Defined results: null and empty texts, and items without words,
-match nothing; repeated texts each match, repeated items (same id and text) count once; ties do not arise.
+match nothing; repeated texts each match, repeated items (same id and text) count once. Different texts under one id, or
+under none, are looked up apart, and the best contained one is reported; ties go to the more shared shingles.
 """
 
 from __future__ import annotations
@@ -41,10 +42,11 @@ def _hash(width: int) -> F.Column:
 
 
 def item_sketches(items: DataFrame, key: str, text: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct shingles of the items (item, m words, s0.., h, q, need, sketch), and the ceiling of each size partition."""
+    """Distinct shingles of the items (item, item_text, m words, s0.., h, q, need, sketch), and the ceiling of each size partition."""
     rows = items.select(F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
-    one = _shingles(rows.withColumn("m", F.least(F.size("w"), F.lit(width))), ["item", "m"], width, True).drop("n").distinct()
-    w = Window.partitionBy("item")
+    rows = rows.withColumn("item_text", F.xxhash64("w"))
+    one = _shingles(rows.withColumn("m", F.least(F.size("w"), F.lit(width))), ["item", "item_text", "m"], width, True).drop("n").distinct()
+    w = Window.partitionBy("item", "item_text")
     one = one.withColumn("h", _hash(width)).withColumn("q", F.count("*").over(w)).withColumn("need", F.ceil(F.col("q") * threshold))
     one = one.withColumn("sketch", F.row_number().over(w.orderBy("h", *[f"s{i}" for i in range(width)])) <= F.col("q") - F.col("need") + 1)
     one = one.withColumn("size_class", F.floor(F.log2("q")))
@@ -52,7 +54,7 @@ def item_sketches(items: DataFrame, key: str, text: str, width: int, threshold:
 
 
 def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int, threshold: float) -> DataFrame:
-    """(k, same, item, q, n_shared) of the pairs that verify; `same` is the hash of the text."""
+    """(k, same, item, q, n_shared) of the pairs that verify, one for each text of an item; `same` is the hash of the document's text."""
     one, per_class = item_sketches(items, item_key, item_text, width, threshold)
     one = cut(one)
     classes: dict[int, list] = {}
@@ -84,17 +86,16 @@ def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key:
         keys = F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys
         texts = raw.join(keys, F.col("k").eqNullSafe(F.col("ck")) & (F.col("same") == F.col("cs")), "left_semi")
         hits = _shingles(texts.select("k", "same", words(F.col("text")).alias("w")), ["k", "same"], m, False).drop("n").withColumn("dh", _hash(m))
-        hits = hits.join(small(of.select("item", "h", "q", "need", *renamed)), same)
-        out = out.unionByName(hits.groupBy("k", "same", "item", "q", "need").agg(F.count_distinct(*cols).alias("n_shared")).where("n_shared >= need").drop("need"))
+        hits = hits.join(small(of.select("item", "item_text", "h", "q", "need", *renamed)), same)
+        out = out.unionByName(hits.groupBy("k", "same", "item", "item_text", "q", "need").agg(F.count_distinct(*cols).alias("n_shared")).where("n_shared >= need").drop("item_text", "need"))
     return out
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """Pairs (key, item_key, n_shared, n_shingles, containment) of whole texts and the items they contain."""
     found = _contained(docs, items, key, text, item_key, item_text, width, threshold)
-    return found.groupBy(F.col("k").alias(key), F.col("item").alias(item_key)).agg(
-        F.max("n_shared").alias("n_shared"), F.max_by("q", "n_shared").alias("n_shingles"), F.max(F.col("n_shared") / F.col("q")).alias("containment")
-    )
+    best = found.groupBy("k", "item").agg(F.max(F.struct((F.col("n_shared") / F.col("q")).alias("containment"), "n_shared", "q")).alias("m"))
+    return best.select(F.col("k").alias(key), F.col("item").alias(item_key), "m.n_shared", F.col("m.q").alias("n_shingles"), "m.containment")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:

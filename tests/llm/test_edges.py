@@ -183,6 +183,15 @@ def test_decontamination(spark, docs):
     assert decontaminate.contained_items(rows, none).count() == 0 and decontaminate.decontaminated(rows, none).count() == rows.count()
 
 
+def test_items_that_share_an_id_are_looked_up_apart(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    items = spark.createDataFrame([(1, one), (1, two), (None, one + " end"), (None, two + " stop here")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, f"x {one} y"), (2, "nothing of it"), (3, f"{two} stop here")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_shingles) for r in decontaminate.contained_items(rows, items).collect()}
+    assert got == {(1, 1): (16, 16), (1, None): (16, 17), (3, 1): (16, 16), (3, None): (18, 18)}
+    assert [r.doc_id for r in decontaminate.decontaminated(rows, items).collect()] == [2]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = np.round(rng.normal(0, 0.2, (400, 12)), 2)
