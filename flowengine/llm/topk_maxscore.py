@@ -3,7 +3,7 @@
 Vectors become floor(256 x). Queries and candidates are cut into blocks; a pair of blocks is one task, so no query is
 held against rows one pair at a time, and every query meets every row. In a block each dimension is a query term with a
 postings column and, for a query, an upper bound of its contribution. Terms are sorted by the width of their bounds;
-those whose bounds together can still lift a row over the k-th best score so far are essential. Essential postings are
+the first 2 * GROUP count as essential, a fixed split that does not follow the k-th best score. Essential postings are
 traversed for all rows; of the rest only rows whose partial score plus the remaining bounds stays competitive are
 probed, term group by term group. Each block returns its k best for each query, and a window merges the blocks.
 
