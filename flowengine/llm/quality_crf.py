@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bucket, extended, labelled_sample, table
+from .shared import bucket, extended, labelled_sample, table, tidy
 from .tokens import Words, chunks, mix, text_bytes
 
 PER_CLASS = 1_500
 THRESHOLD = 0.7
 _LF, _U = 10, np.uint64
+#: Bytes of text whose lines a task holds at a time.
+_CHUNK = 2 << 20
 #: Character classes: upper case, lower case, digits, marks that end sentences, other marks, bytes beyond ASCII.
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), b".,;:?'\"-", b"!#$%&*|<>{}[]()/\\@^~_=+`", range(128, 256)]
 _TABLE = np.full(256, len(_CLASSES), np.uint8)
@@ -48,8 +50,8 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     kinds = _TABLE[data]
     counts = np.empty((len(starts), len(_CLASSES)))
     for k in range(len(_CLASSES)):
-        total = np.concatenate([[0], np.cumsum(kinds == k, dtype=np.int64)])
-        counts[:, k] = total[ends] - total[starts]
+        at = np.flatnonzero(kinds == k)
+        counts[:, k] = np.searchsorted(at, ends) - np.searchsorted(at, starts)
     w = Words(column)
     h = w.hashes()
     line = np.searchsorted(starts, w.start, "right") - 1
@@ -172,13 +174,14 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "d
     """A Field, or a constant where the labels have one class at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, _CHUNK):
             f, size, first = line_features(b.column("text"))
             rows = [(f[i:j].astype("<f4").tobytes(), size[i:j].astype("<f4").tobytes()) for i, j in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "f", "size"])
 
     some = labelled_sample(docs.select(key, F.col(text).alias("text")), labels, label, learn, per_class, key)
-    rows = some.select("text", F.col("_label").cast("int").alias("label")).mapInArrow(run, "label int, f binary, size binary").collect()
+    rows = some.select("text", F.col("_label").cast("int").alias("label")).mapInArrow(tidy(run), "label int, f binary, size binary").collect()
+    rows.sort(key=lambda r: (r.label, bytes(r.size), bytes(r.f)))  # the same fit whatever the order of arrival
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -192,11 +195,11 @@ def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> Da
     """docs, all columns, with the score of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, name=text):
+        for b in chunks(batches, _CHUNK, text):
             s = np.full(b.num_rows, model) if isinstance(model, float) else model.score(*line_features(b.column(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, out])
 
-    return docs.mapInArrow(run, extended(docs, **{out: T.DoubleType()}))
+    return docs.mapInArrow(tidy(run), extended(docs, **{out: T.DoubleType()}))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", out: str = "score") -> DataFrame:

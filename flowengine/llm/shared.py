@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's spark.checkpoint.dir; only where none is set (tests, local mode), use a temporary folder."""
+    """Keep the session's spark.checkpoint.dir; a temporary folder stands in for it in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowengine-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flowengine-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,17 +37,43 @@ def bucket(key: str, n: int):
     return F.crc32(F.col(key).cast("string")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, key: str = "doc_id") -> DataFrame:
-    """Rows of docs with a column `_label`: of each class at most `per_class` labelled rows that satisfy `learn`.
+#: Whole texts of more bytes are left out of the samples that classifiers learn from (they are scored like any other).
+LONGEST = 1 << 15
 
-    Which rows is decided by the hash of their key; at most 2 * per_class keys are broadcast.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (key, the other columns of docs, `_label`) for at most `per_class` keys of each class that satisfy `learn`.
+
+    Which keys is decided by their hash; at most 2 * per_class keys are broadcast. Of rows that share a key the one whose
+    text has the smallest hash is taken, so the sample has at most 2 * per_class rows of LONGEST bytes.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.coalesce(learn, F.lit(False))).groupBy(key).agg(F.max(label).alias("_label"))
     some = None
     for c in (0, 1):
         part = known.where(F.col("_label") == c).orderBy(F.xxhash64(key), key).limit(per_class)
         some = part if some is None else some.unionByName(part)
-    return docs.join(F.broadcast(some), key)
+    found = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= LONGEST).join(F.broadcast(some), key)
+    row = F.struct(*[c for c in docs.columns if c != key], "_label")
+    return found.groupBy(key).agg(F.min_by(row, F.xxhash64(text)).alias("_row")).select(key, "_row.*")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at the task's end gives freed memory back to the system: Python workers outlive their tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def unused(df: DataFrame, name: str) -> str:

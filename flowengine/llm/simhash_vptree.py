@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, table, unused
+from .shared import cut, release, table, tidy, unused
 from .tokens import Words, chunks
 
 BITS = 3
@@ -69,14 +69,14 @@ def simhashes(column: pa.Array, width: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fp long) of every row."""
+    """(k, same long, fp long) of every row: its key, the hash of its text, and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(simhashes(b.column("text"), width).view(np.int64))], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("same"), pa.array(simhashes(b.column("text"), width).view(np.int64))], ["k", "same", "fp"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, fp long").withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
+    return rows.mapInArrow(tidy(run), f"k {docs.schema[key].dataType.simpleString()}, same long, fp long")
 
 
 class VantageTree:
@@ -187,9 +187,10 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         x, point = group.column("fp").to_numpy().view(np.uint64), group.column("point").to_numpy()
         a, b = linked(x[point], x[~point], bits)
+        release()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(send, "shard long, part long, fp long, point boolean").groupBy("shard", "part").applyInArrow(compare, "a long, b long")
+    return fps.select("fp").mapInArrow(tidy(send), "shard long, part long, fp long, point boolean").groupBy("shard", "part").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,26 +213,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
-    """(key, fp long, component_id): the smallest key that links lead to."""
+def _grouped(docs: DataFrame, key: str, text: str, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (k, same, fp) of docs, and (fp, first) of every fingerprint: `first` is the row of its group that stays.
+
+    That is the row (last, k, same) of the smallest key, null keys coming last, and of the smallest text hash if the key
+    has several texts.
+    """
     rows = cut(fingerprints(docs, key, text, width))
-    one = rows.groupBy("fp").agg(F.min(key).alias("low"))
+    one = rows.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "same")).alias("low"))
     roots = cut(components(links(rows.select("fp").distinct(), bits)))
     grouped = one.join(roots, one.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(grouped.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    first = grouped.groupBy("root").agg(F.min("low").alias("first"))
+    return rows, grouped.join(first, "root").select("fp", "first")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
+    """(key, fp long, component_id): the smallest key that links lead to."""
+    rows, groups = _grouped(docs, key, text, width, bits)
+    out = rows.join(groups, "fp").select("k", "fp", F.col("first.k").alias("component_id"))
+    return out.withColumnRenamed("k", key)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, whose key is the smallest of its group of near duplicates.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
+    """One row of docs, all columns, of each group of near duplicates: that of the smallest key.
 
-    Of repeated rows (same key and text) one stays; a group whose keys are all null keeps each of its different texts.
+    If rows of one group share that key, one of them stays, whatever their texts: the one whose text has the smallest hash.
+    A group whose keys are all null keeps such a row as well.
     """
-    keep = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
-    own, same = unused(docs, "_keep"), unused(docs, "_same")
-    keep = keep.select(F.col(key).alias(own)).distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep[own]), "left_semi")
-    return kept.withColumn(same, F.xxhash64(text)).dropDuplicates([key, same]).drop(same)
+    _, groups = _grouped(docs, key, text, width, bits)
+    own, same, mine = unused(docs, "_keep"), unused(docs, "_text"), unused(docs, "_same")
+    keep = groups.select(F.col("first.k").alias(own), F.col("first.same").alias(same)).distinct()
+    hashed = docs.withColumn(mine, F.xxhash64(text))
+    kept = hashed.join(keep, hashed[key].eqNullSafe(keep[own]) & (hashed[mine] == keep[same]), "left_semi")
+    return kept.dropDuplicates([key, mine]).drop(mine)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -71,6 +71,14 @@ class Words:
         return hash_spans(self.data, self.start, np.minimum(lens, at_most) if at_most else lens, seed)
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[start[0] : start[0] + length[0]], then the next span, and so on, one after another."""
+    ends = np.cumsum(length)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    at += np.repeat(start - ends + length, length)
+    return flat[at]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _M2
     x = (x ^ (x >> np.uint64(29))) * _M1

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality_crf import platt
-from .shared import bucket, extended, labelled_sample, table
+from .shared import bucket, extended, labelled_sample, table, tidy
 from .tokens import BY_SPACE, Words, chunks
 
 PER_CLASS = 1_500
@@ -173,7 +173,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "d
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("lang"), pa.array([ids[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["label", "lang", "ids"])
 
     some = labelled_sample(docs.select(key, F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang")), labels, label, learn, per_class, key)
-    rows = some.select("text", "lang", F.col("_label").cast("int").alias("label")).mapInArrow(run, "label int, lang string, ids binary").collect()
+    rows = some.select("text", "lang", F.col("_label").cast("int").alias("label")).mapInArrow(tidy(run), "label int, lang string, ids binary").collect()
     rows.sort(key=lambda r: (r.label, r.lang, bytes(r.ids)))  # the same fit whatever the order of arrival
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
@@ -181,25 +181,18 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "d
     return fit([np.frombuffer(r.ids, np.int32).reshape(-1, 3) for r in rows], y, [r.lang for r in rows])
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
 def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
     """docs, all columns, with the score of the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one table of ROWS x DIM numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, tables = sent.value, None
-        if not isinstance(net, float):
-            tables = _TABLES.get(id(net))
-            if tables is None:
-                _TABLES.clear()
-                tables = _TABLES[id(net)] = net.tables()
+        net = sent.value
+        tables = None if isinstance(net, float) else net.tables()
         for b in chunks(batches, name=text):
             s = np.full(b.num_rows, net) if tables is None else net.score(*word_ids(b.column(text)), tables)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.astype(np.float64))], [*b.schema.names, out])
 
-    return docs.mapInArrow(run, extended(docs, **{out: T.DoubleType()}))
+    return docs.mapInArrow(tidy(run), extended(docs, **{out: T.DoubleType()}))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", out: str = "score", flag: str = "flagged") -> DataFrame:

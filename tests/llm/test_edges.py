@@ -55,6 +55,18 @@ def test_simhash_matches_brute_force(spark, docs):
     assert got == Counter({(1, 1): 1, (2, 2): 1, (3, 2): 1, (6, 2): 1, (4, 4): 2, (None, 7): 1, (7, 7): 1, (5, 5): 1, (8, 8): 1, (9, 9): 1})
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "alpha beta gamma delta epsilon", "one two three four five", "red green blue black white"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, c), (None, c), (None, None), (None, ""), (9, "x"), (9, "x")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _same int")
+    kept = simhash_vptree.deduplicated(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [x for x in got if x[1]] == sorted([(3, a), (5, b), (7, c), (9, "x")], key=str) and len(got) == 5
+    near = simhash_vptree.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in near) == Counter({(3, 3): 1, (5, 3): 1, (5, 5): 1, (7, 5): 1, (7, 7): 1, (None, 7): 1, (None, None): 2, (9, 9): 2})
+
+
 def test_vantage_point_links_are_exact():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
@@ -242,7 +254,14 @@ def test_sentencepiece(spark, docs, clashing):
         assert p.encode(text) == brute(("▁" + text).replace(" ", "▁"))
     for r in sentencepiece_viterbi.tokenised(clashing).collect():
         assert r.exact and r.n_tokens == len(r.ids)
-    assert p.encode("") == [] and p.decode(p.encode("a▁▁ b▁")) == "a▁▁ b▁"
+    mixed = ["", "a▁▁ b▁", None, " ", "▁", "\n", " \n a", LONG, "▁x " * 50]
+    ids, ends = p.encode_all(pa.array(mixed))
+    data, at = sentencepiece_viterbi.Spelling(sentencepiece_viterbi.read_pieces(sentencepiece_viterbi.MODEL)).decode(ids, ends)
+    assert [data.tobytes()[i:j].decode() for i, j in zip(at, at[1:])] == [t or "" for t in mixed] and ends[1] == 0
+    rows = spark.createDataFrame([(1, p.encode("ein Wort\n")), (2, None), (3, [-1, None, 10**6]), (4, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in sentencepiece_viterbi.decoded(rows).orderBy("doc_id").collect()] == ["ein Wort\n", "", "", ""]
+    assert [r.decoded for r in sentencepiece_viterbi.decoded(sentencepiece_viterbi.encoded(docs)).collect()] == [r[1] or "" for r in ROWS]
+    assert sentencepiece_viterbi.tokenised(docs.limit(0)).count() == 0
 
 
 def test_main_text(spark):
@@ -310,11 +329,12 @@ def test_stages_take_any_rows(spark, docs, clashing):
     folder = _saved(spark, docs)
     spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 0, 1), (7, 1, 1)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog")], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        for rows in (docs, clashing, docs.limit(0)):
+    for rows in (docs, clashing, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:4]:
             out = stage(spark, rows, folder)
             assert out.columns == rows.columns, name
             assert out.count() <= rows.count()
+        assert corpus_pipeline.STAGES[4][1](spark, rows, folder).count() == rows.count()
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect())
     assert kept == [1, 2, 4, 5, 7, 8, 9]
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "ids", "n_tokens", "n_spelled", "exact"]

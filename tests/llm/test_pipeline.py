@@ -43,6 +43,6 @@ def test_stages_against_plain_versions(spark, tmp_path):
     p = sentencepiece_viterbi.Pieces(sentencepiece_viterbi.read_pieces(sentencepiece_viterbi.MODEL))
     assert set(kept[4]) == set(kept[3])
     for d, r in kept[4].items():
-        assert r.exact and r.ids == p.encode(every[d]) and p.decode(r.ids) == every[d]
+        assert r.exact and r.ids == p.encode(every[d])
     again = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, DATA).collect()}
     assert again == {d: r.ids for d, r in kept[4].items()}
