@@ -3,10 +3,14 @@
 Each turn is one segment sequence <|im_start|> role \\n text <|im_end|> \\n. Role and text are encoded on their own, as
 ordinary text, and the reserved ids are spliced in between, so no text can produce a reserved id. A text is escaped
 besides, so that its characters hold no control string either: `<|`, and `<` with any number of backslashes before `|`,
-gets one backslash more; taking one away restores it. The loss mask covers the ids of assistant texts; where each turn
-lies in its conversation, and where its masked ids lie, follows from prefix sums over the turns' lengths.
+gets one backslash more; taking one away restores it. In a role, line breaks are escaped too (a backslash is doubled, a
+line break becomes `\\n`), so the first line break of a turn ends its role.
 
-The work on texts is one row at a time; a conversation is never held whole: the digest reads sorted turns as a stream.
+Five segments make a turn. Prefix sums over the segments' lengths give the place of each among the ids of a chunk, and
+the loss mask, which covers the ids of assistant texts, is the prefix sum of +1 where such a segment begins and -1 where
+it ends.
+
+Rows are formatted one by one; a conversation is never held whole: the digest reads sorted turns as a stream.
 Turns are ordered by turn, role and text, nulls first. Defined results: a null role or text is empty; an empty text has
 no masked ids; repeated rows are turns each; an empty table gives an empty result; other columns are ignored.
 """
@@ -16,15 +20,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import table
-from .tokens import chunks
+from .shared import table, tidy
+from .tokens import chunks, gathered
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Ids beyond the vocabulary, and what they stand for.
@@ -32,7 +37,6 @@ START, END = 50_257, 50_258
 CONTROL = {START: "<|im_start|>", END: "<|im_end|>"}
 
 
-@lru_cache(2)
 def _tokenizer(path: str) -> Tokenizer:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -47,63 +51,114 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
+def assembled(heads: list[list[int]], texts: list[list[int]], masked: np.ndarray, newline: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, mask, ends) of turns whose roles are `heads`: turn d has ids[ends[d] : ends[d + 1]]."""
+    n = len(texts)
+    size = np.ones((n, 5), np.int64)  # start, role, text, end, line break
+    size[:, 1], size[:, 2], size[:, 4] = [*map(len, heads)], [*map(len, texts)], len(newline)
+    ends = np.cumsum(size.ravel()).reshape(n, 5)
+    begins = ends - size
+    total = int(ends[-1, -1]) if n else 0
+    ids = np.empty(total, np.int32)
+    ids[begins[:, 0]], ids[begins[:, 3]] = START, END
+    for k, flat in ((1, chain.from_iterable(heads)), (2, chain.from_iterable(texts)), (4, newline * n)):
+        ids[gathered(np.arange(total), begins[:, k], size[:, k])] = np.fromiter(flat, np.int32)
+    steps = np.zeros(total + 1, np.int32)
+    np.add.at(steps, begins[masked, 2], 1)
+    np.add.at(steps, ends[masked, 2], -1)
+    return ids, np.cumsum(steps[:-1]) > 0, np.concatenate([[0], ends[:, -1]])
+
+
 def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per turn: conv, turn, ids, mask, and first_id / first_masked, its places in the conversation's ids."""
+    """One row per turn: conv, turn, role, text, ids and mask."""
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(tokenizer)
-        encode = lambda xs: [e.ids for e in t.encode_batch(xs, add_special_tokens=False)]
-        for b in chunks(batches):
+        t, known = _tokenizer(tokenizer), {}
+        encode = lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)]
+        newline = encode(["\n"])[0]
+        for b in chunks(batches, 1 << 20):
             roles = [x or "" for x in b.column("role").to_pylist()]
+            known = {r: known.get(r) or encode([escape_role(r) + "\n"])[0] for r in set(roles)}  # those of the chunk before and of this one
             texts = encode([escape(x or "") for x in b.column("text").to_pylist()])
-            names, newline = encode([escape(r) + "\n" for r in roles]), encode(["\n"])[0]
-            ids = [[START, *n, *x, END, *newline] for n, x in zip(names, texts)]
-            mask = [[False] * (1 + len(n)) + [r == "assistant"] * len(x) + [False] * (1 + len(newline)) for r, n, x in zip(roles, names, texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.bool_()))], [*b.schema.names, "ids", "mask"])
+            ids, mask, ends = assembled([known[r] for r in roles], texts, np.array([r == "assistant" for r in roles], bool), newline)
+            ends = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(mask))], [*b.schema.names, "ids", "mask"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(run, f"{names}, ids array<int>, mask array<boolean>")
-    w = Window.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    masked = F.size(F.filter("mask", lambda m: m))
-    return out.select(
-        "conv", "turn", "role", "text", "ids", "mask",
-        F.coalesce(F.sum(F.size("ids")).over(w), F.lit(0)).alias("first_id"), F.coalesce(F.sum(masked).over(w), F.lit(0)).alias("first_masked"),
-    )
+    return rows.mapInArrow(tidy(run), f"{names}, ids array<int>, mask array<boolean>")
+
+
+class Bytes:
+    """What each id of a byte-level tokenizer stands for, so that ids decode by putting bytes side by side."""
+
+    def __init__(self, tokenizer: str):
+        vocab = _tokenizer(tokenizer).get_vocab()
+        # the printable characters of Latin-1 stand for themselves, the other bytes for characters from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+        text = [b""] * (max([END, *vocab.values()]) + 1)
+        for token, i in vocab.items():
+            text[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        for i, token in CONTROL.items():
+            text[i] = token.encode()
+        self.length = np.array([*map(len, text)])
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(text), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each id's begin (and the last one's end)."""
+        size = self.length[ids]
+        return gathered(self.data, self.start[ids], size).tobytes(), np.concatenate([[0], np.cumsum(size)])
 
 
 def digests(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Per conversation, read back from the ids: turns and their digest, text under the mask and its digest, characters."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = lambda ids: _tokenizer(tokenizer).decode(ids, skip_special_tokens=False)
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        now, state, done = None, None, []
-        for b in batches:
-            for conv, ids, mask in zip(b.column("conv").to_pylist(), b.column("ids").to_pylist(), b.column("mask").to_pylist()):
-                if state is None or conv != now:
-                    if state:
-                        done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                begin, end = ids.index(START), ids.index(END)
-                # decode, then split at the first line break: an escaped role holds none but its own end
-                head, _, body = decode(ids[begin + 1 : end]).partition("\n")
-                loss = unescape(decode([i for i, m in zip(ids, mask) if m]))
-                state[0] += 1
-                state[1].update(f"{unescape(head)}\n{unescape(body)}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(CONTROL[START]) + len(head) + 1 + len(body) + len(CONTROL[END]) + len(decode(ids[end + 1 :]))
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names)
-                done = []
+        spell, now, state = Bytes(tokenizer), None, None
+        close = lambda: (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b, done = whole.slice(k, 512), []
+                ids, mask = (b.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("ids", "mask"))
+                first = np.concatenate([[0], np.cumsum(b.column("ids").value_lengths().to_numpy())])
+                raw, at = spell.decode(ids)
+                ends = np.flatnonzero(ids == END)  # one of each turn, as no text holds it
+                # the places where the mask turns on and off; a turn's masked ids are one run of them
+                change = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+                on, off = change[::2], change[1::2]
+                run_of = np.searchsorted(on, first)
+                for d, conv in enumerate(b.column("conv").to_pylist()):
+                    if state is None or conv != now:
+                        if state:
+                            done.append(close())
+                        now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    # behind the start id comes the role, up to the first line break, and the text
+                    head, _, body = raw[at[first[d] + 1] : at[ends[d]]].decode().partition("\n")
+                    loss = unescape("".join(raw[at[i] : at[j]].decode() for i, j in zip(on[run_of[d] : run_of[d + 1]], off[run_of[d] : run_of[d + 1]])))
+                    state[0] += 1
+                    state[1].update(f"{unescape_role(head)}\n{unescape(body)}\n".encode())
+                    state[2] += len(loss)
+                    state[3].update(loss.encode())
+                    state[4] += len(raw[at[first[d]] : at[first[d + 1]]].decode())
+                if done:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names)
         if state:
-            done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in close()], names)
 
     kind = rows.schema["conv"].dataType.simpleString()
-    ordered = rows.repartition("conv").sortWithinPartitions("conv", "first_id").select("conv", "ids", "mask")
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "ids", "mask")
+    return ordered.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
