@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import extended, table
+from .shared import extended, table, tidy
 from .tokens import chunks
 
 WINDOW, FLOOR = 3, 120
 #: HTML element names by their part on the page.
-OPAQUE = "script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|title"
+OPAQUE = set("script style noscript template svg math iframe object canvas select textarea title".split())
 STRIPPED = set("head nav footer aside header form button menu dialog fieldset figcaption".split())
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -43,15 +43,70 @@ _MARKS = (
     r"breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|reply|replies|respond|share\w*|social\w*|related|recommended|newsletter|subscribe\w*|signup|login|popup|modal|overlay|widget\w*|copyright|disclaimer|pagination|toolbar|skip"
 )
 NOISE = re.compile(rf"(?<![a-z0-9])(?:{_MARKS})(?![a-z0-9])")
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({OPAQUE})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*|[^<>]*)>|</?[a-z][^<>]*\Z""",
-    re.I | re.S,
-)
+_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_QUOTE, _ANGLE = re.compile(r"""[<>"']"""), re.compile("[<>]")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in OPAQUE}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HEADING = re.compile(r"h[1-3]$")
 
 
+def _tag_end(page: str, at: int, known: dict[int, int]) -> int:
+    """Where the tag whose name ends at `at` has its `>`; len(page) if the page ends first, -1 if another tag begins first.
+
+    Quoted values hold any character. Where the quotes don't close, they count as letters. `known` has, for each quote
+    met, where the tag ends if that quote opens a value, so no stretch of the page is read again and again.
+    """
+    met, i = [], at
+    while True:
+        m = _QUOTE.search(page, i)
+        if m is None or m[0] == "<":
+            end = -1
+        elif m[0] == ">":
+            end = m.start()
+        elif m.start() in known:
+            end = known[m.start()]
+        else:
+            met.append(m.start())
+            i = page.find(m[0], m.end()) + 1
+            if i:
+                continue
+            end = -1
+        break
+    known.update(dict.fromkeys(met, end))
+    if end < 0:
+        m = _ANGLE.search(page, at)
+        end = len(page) if m is None else m.start() if m[0] == ">" else -1
+    return end
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, stop, name, closing, attributes) of every tag; comments and declarations have the name '', and an opaque
+    element is one tag with all that it holds. One scan: the time grows with the page's length, however broken it is."""
+    at, known, last = 0, {}, {}
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            stop = page.find(mark, at + 2 * len(mark) - 2 if len(mark) > 1 else at)
+            stop = len(page) if stop < 0 else stop + len(mark)
+            yield at, stop, "", False, ""
+            at = stop
+            continue
+        m = _NAME.match(page, at)
+        end = _tag_end(page, m.end(), known) if m else -1
+        if end < 0:
+            at += 1  # a mark of the text
+            continue
+        stop, name, attrs = min(end + 1, len(page)), m[2].lower(), page[m.end() : end]
+        if name in OPAQUE and not m[1] and not (name in ("svg", "math") and attrs.endswith("/")):
+            close = last.get(name)
+            if close is None or 0 <= close.start() < stop:
+                close = _CLOSE[name].search(page, stop)
+                last[name] = close
+            stop = close.end() if close else len(page)
+        yield at, stop, name, bool(m[1]), attrs
+        at = stop
+
+
 def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in STRIPPED and not (tag in ("header", "figcaption") and in_article):
         return True
@@ -89,21 +144,21 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * (in_link > 0)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and not skip and m[1].lower() in BLOCKS:
+    for start, stop, tag, closing, attrs in tags_of(page):
+        if start > at and not skip:
+            parts.append(page[at:start])
+            linked += (start - at) * (in_link > 0)
+        at = stop
+        if not tag:
+            continue
+        if tag in OPAQUE:
+            if not skip and tag in BLOCKS:
                 flush()
             continue
-        tag, closing = tag.lower(), bool(m[2])
         if skip:
-            if tag == skipped and not m[4].endswith("/"):
+            if tag == skipped and not attrs.endswith("/"):
                 skip += -1 if closing else 1
-            elif tag in ("article", "main") and not closing and not articles and not _noise(tag, m[4], False):
+            elif tag in ("article", "main") and not closing and not articles and not _noise(tag, attrs, False):
                 skip = 0  # an element that was never closed does not swallow the article
             elif skipped in ("p", "li") and tag in BLOCKS and (tag != "li" or skipped == "li"):
                 skip = 0
@@ -111,7 +166,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
                 skip = 0
             if skip or tag == skipped and closing:
                 continue
-        if not closing and tag not in VOID and not m[4].endswith("/") and _noise(tag, m[4], article > 0):
+        if not closing and tag not in VOID and not attrs.endswith("/") and _noise(tag, attrs, article > 0):
             flush()
             out.append(("", -1, article, False))
             skip, skipped = 1, tag
@@ -178,7 +233,7 @@ def main_texts(pages: DataFrame, source: str = "html", out: str = "text") -> Dat
             kept = [i for i, name in enumerate(b.schema.names) if name != source]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], texts], [*[b.schema.names[i] for i in kept], out])
 
-    return pages.mapInArrow(run, T.StructType([f for f in extended(pages, **{out: T.StringType()}) if f.name != source]))
+    return pages.mapInArrow(tidy(run), T.StructType([f for f in extended(pages, **{out: T.StringType()}) if f.name != source]))
 
 
 def op4_main_text(spark, sf_dir: str) -> DataFrame:
