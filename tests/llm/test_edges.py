@@ -170,6 +170,16 @@ def test_license(spark, docs):
     text = "foo this program is entirely free software you can redistribute it and or modify it under terms of the gnu general public license bar"
     spans = license_scan.license_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
     assert {(s.label, s.base) for s in spans} == {("gpl", True), ("gpl", False)}
+    # its pieces in another order are no copy, and neither are pieces that chance hits chain over far diagonals
+    head, tail = "it under the terms of the gnu general public license", "this program is free software you can redistribute it and or modify"
+    w = license_scan.NOTICES[6][0].split()
+    apart = " ".join(x for i in range(0, len(w), 2) for x in [*w[i : i + 3], "pad", "pad"])
+    texts = [f"{head} {tail}", apart, license_scan.NOTICES[10][0], "released under the MIT lice\u212ase", "creative WOR\u212a is licensed under a creative commons"]
+    found = license_scan.license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [sorted({(s.template, s.label) for s in r.spans if not s.base}) for r in found] == [[], [], [(4, "mit"), (13, "mit")], [], []]
+    assert license_scan.license_spans(docs.limit(0)).count() == 0
+    clash = docs.select("*", *[F.lit(1).alias(n) for n in "k same w p n t a b h template label votes words run spans n_words copies".split()])
+    assert license_scan.license_spans(clash).count() == len(ROWS)
 
 
 _FOLDERS = {}
@@ -314,6 +324,28 @@ def test_main_text_is_weighed_inside_and_outside_articles():
     assert max(html_linetext.distribution(lines, 3, 120)[1]) < 123
 
 
+def test_main_text_reads_broken_and_long_pages_in_one_scan():
+    import time
+
+    for x in ("<script ", '<a "', "<a '\"", '<a href="', "<!--", "<a '<b \"", "</script ", '"<a ', "<p class='x", "&#x"):
+        began = time.process_time()
+        html_linetext.main_text(x * 200_000)  # 2 MB: hours, if the time grew with the square
+        assert time.process_time() - began < 60, x
+    words_ = "An unlinked sentence that goes on for a good while, as those of articles do. " * 3
+    assert html_linetext.main_text(f"<div><p title='a > b' data-x=\"<p>no</p>\">{words_}<svg/><p>{words_}") == " ".join((words_ * 2).split())
+    long_page = "<article>" + f"<p>{words_}</p>" * 5_000 + "</article>"
+    assert html_linetext.main_text(long_page) == " ".join((words_ * 5_000).split())
+
+
+def test_main_text_needs_no_article_mark():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    plain = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p) for p in pages]
+    same = [html_linetext.main_text(a) == html_linetext.main_text(b) for a, b in zip(pages, plain)]
+    assert np.mean(same) > 0.95
+
+
 def test_classifiers_score_every_row(spark, docs, clashing):
     rng = np.random.default_rng(2)
     vocab = [f"w{i}" for i in range(300)]
