@@ -3,19 +3,23 @@
 An item with q distinct shingles is contained in a text when at least need = ceil(threshold * q) of them occur there.
 Then at most q - need are missing, so among the item's q - need + 1 smallest shingle hashes (its bottom-k MinHash
 sketch) at least one occurs in the text: the search by sketches misses no contained item. Items are partitioned by
-size (doublings of q); each partition has its own ceiling, the largest hash in its sketches, and its least need. A text
-meets only the partitions whose least need it reaches, and of its shingles only those up to the highest of their
-ceilings go into the join, about the share 1 - threshold of them. Every text with a candidate is then verified with the
-shingles themselves.
-
-Shingles have `width` words (lower-case runs of letters and digits); an item with fewer words is one shingle of all its
-words, looked up among shingles of that many words. Defined results: null and empty texts, and items without words,
-match nothing; repeated texts each match, repeated items (same id and text) count once. Different texts under one id, or
-under none, are looked up apart, and the best contained one is reported; ties go to the more shared shingles.
+size: the words of their shingles, and doublings of q. A partition has its own ceiling, the largest hash in its sketches,
+and its least need; its number is part of the join's key. One scan sends each shingle of a text to the partitions whose
+least need the text reaches and whose ceiling the shingle's hash does not pass. A second one reads the texts with a
+candidate again and verifies them with the shingles themselves.
+
+Shingles have `width` words (lower-case runs of letters and digits; only A-Z are lower-cased); an item with fewer words
+is one shingle of all its words, looked up among shingles of that many words. Defined results: null and empty texts, and
+items without words, match nothing; repeated texts each match, repeated items (same id and text) count once. Different
+texts under one id, or under none, are looked up apart, and the best contained one is reported; ties go to the more
+shared shingles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +30,13 @@ from .shared import cut, table, unused
 BROADCAST_SHINGLES, BROADCAST_KEYS = 200_000, 200_000
 
 
-def _shingles(df: DataFrame, keep: list, width: int, whole_if_short: bool) -> DataFrame:
-    """Rows (keep..., n shingles of the text, s0 .. s[width - 1]) of the word shingles of df.w.
+def _shingles(df: DataFrame, keep: list, width: int) -> DataFrame:
+    """Rows (keep..., n words of the text, p, s0 .. s[width - 1]): the words of df.w from each place p on, null behind the text's end.
 
     The outer form keeps Spark from splitting each text once more to look for empty sequences.
     """
-    last = F.size("w") - width
-    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))) if whole_if_short else F.when(last >= 0, F.sequence(F.lit(0), last))
-    rows = df.select(*keep, "w", F.explode_outer(places).alias("p")).where("p IS NOT NULL")
-    return rows.select(*keep, (F.size("w") - width + 1).alias("n"), *[F.get("w", F.col("p") + i).alias(f"s{i}") for i in range(width)])
+    rows = df.select(*keep, "w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("p")).where("p IS NOT NULL")
+    return rows.select(*keep, F.size("w").alias("n"), "p", *[F.get("w", F.col("p") + i).alias(f"s{i}") for i in range(width)])
 
 
 def _hash(width: int) -> F.Column:
@@ -42,53 +44,63 @@ def _hash(width: int) -> F.Column:
 
 
 def item_sketches(items: DataFrame, key: str, text: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct shingles of the items (item, item_text, m words, s0.., h, q, need, sketch), and the ceiling of each size partition."""
+    """Distinct shingles of the items (item, item_text, m words, s0.., h, q, need, sketch, size_class), and the ceiling of each size partition."""
     rows = items.select(F.col(key).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
-    rows = rows.withColumn("item_text", F.xxhash64("w"))
-    one = _shingles(rows.withColumn("m", F.least(F.size("w"), F.lit(width))), ["item", "item_text", "m"], width, True).drop("n").distinct()
+    rows = rows.withColumn("item_text", F.xxhash64("w")).withColumn("m", F.least(F.size("w"), F.lit(width)))
+    one = _shingles(rows, ["item", "item_text", "m"], width).where(F.col("p") <= F.col("n") - F.col("m")).drop("n", "p").distinct()
     w = Window.partitionBy("item", "item_text")
     one = one.withColumn("h", _hash(width)).withColumn("q", F.count("*").over(w)).withColumn("need", F.ceil(F.col("q") * threshold))
     one = one.withColumn("sketch", F.row_number().over(w.orderBy("h", *[f"s{i}" for i in range(width)])) <= F.col("q") - F.col("need") + 1)
-    one = one.withColumn("size_class", F.floor(F.log2("q")))
+    one = one.withColumn("size_class", F.floor(F.log2("q")).cast("int"))
     return one, one.where("sketch").groupBy("m", "size_class").agg(F.max("h").alias("ceiling"), F.min("need").alias("least"))
 
 
+def _sent(shingles: DataFrame, keep: list, width: int, partitions: list[tuple[int, int | None, int]]) -> DataFrame:
+    """(keep..., part, h, s0..): each shingle once for every partition (m, ceiling, least) that it may hit, its words cut to m.
+
+    Words behind the m-th are null, as they are in items of m words, so all of them are compared and hashed alike.
+    """
+    w = [f"s{i}" for i in range(width)]
+    cut_to = {m: [F.col(x) if i < m else F.lit(None).cast("string") for i, x in enumerate(w)] for m, _, _ in partitions}
+    lengths = sorted(cut_to)
+    hashed = shingles.select(*keep, "n", "p", *w, *[F.xxhash64(*cut_to[m]).alias(f"h{m}") for m in lengths])
+
+    def goes(m: int, ceiling: int | None, least: int) -> F.Column:
+        fits = (F.col("n") - m + 1 >= least) & (F.col("p") <= F.col("n") - m)
+        return fits if ceiling is None else fits & (F.col(f"h{m}") <= ceiling)
+
+    somewhere = [goes(*p) for p in partitions]
+    rows = hashed.where(reduce(or_, somewhere)).withColumn("part", F.explode(F.array(*[F.when(g, k) for k, g in enumerate(somewhere)]))).where("part IS NOT NULL")
+    of = lambda f: F.coalesce(*[F.when(F.col("part") == k, f(p[0])) for k, p in enumerate(partitions)])
+    m = of(F.lit)
+    return rows.select(*keep, "n", "part", of(lambda x: F.col(f"h{x}")).alias("h"), *[F.when(m > i, F.col(x)).alias(x) for i, x in enumerate(w)])
+
+
 def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int, threshold: float) -> DataFrame:
     """(k, same, item, q, n_shared) of the pairs that verify, one for each text of an item; `same` is the hash of the document's text."""
     one, per_class = item_sketches(items, item_key, item_text, width, threshold)
     one = cut(one)
-    classes: dict[int, list] = {}
-    for c in per_class.collect():  # a row for each m up to `width` and each doubling of the item size
-        classes.setdefault(c["m"], []).append((c["least"], c["ceiling"]))
+    classes = sorted(tuple(c) for c in per_class.select("m", "size_class", "ceiling", "least").collect())  # each m up to `width`, each doubling of the item size
+    if not classes:
+        return docs.sparkSession.createDataFrame([], f"k {docs.schema[key].dataType.simpleString()}, same long, item {items.schema[item_key].dataType.simpleString()}, q long, n_shared long")
+    w = [f"s{i}" for i in range(width)]
+    other = [F.col(x).alias("i" + x) for x in ("part", "h", *w)]
+    alike = reduce(and_, [F.col("h") == F.col("ih"), F.col("part") == F.col("ipart"), *[F.col(x).eqNullSafe(F.col("i" + x)) for x in w]])
     small = F.broadcast if one.count() <= BROADCAST_SHINGLES else (lambda df: df)
     raw = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     rows = raw.select("k", "same", words(F.col("text")).alias("w"))
-    out = docs.sparkSession.createDataFrame([], f"k {docs.schema[key].dataType.simpleString()}, same long, item {items.schema[item_key].dataType.simpleString()}, q long, n_shared long")
-    for m in sorted(classes):
-        cols = [f"s{i}" for i in range(m)]
-        of = one.where(F.col("m") == m).withColumn("h", _hash(m))  # short items: only their m words
-        same = F.col("dh") == F.col("h")
-        for x in cols:
-            same = same & (F.col(x) == F.col("i" + x))
-        renamed = [F.col(x).alias("i" + x) for x in cols]
-        found = _shingles(rows, ["k", "same"], m, False).withColumn("dh", _hash(m))
-        if m == width:
-            # a text of n shingles meets only the size partitions whose items it can hold, and so the highest of their ceilings
-            ceiling, top = F.lit(None).cast("long"), None
-            for least, high in sorted(classes[m]):
-                top = high if top is None else max(top, high)
-                ceiling = F.when(F.col("n") >= least, top).otherwise(ceiling)
-            found = found.where(F.col("dh") <= ceiling)
-        found = found.join(small(of.where("sketch").select("item", "h", "need", *renamed)), same & (F.col("n") >= F.col("need")))
-        found = cut(found.select("k", "same").distinct())
-        # verification: the texts with candidates once more, now against all shingles of the items
-        keys = found.select(F.col("k").alias("ck"), F.col("same").alias("cs"))
-        keys = F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys
-        texts = raw.join(keys, F.col("k").eqNullSafe(F.col("ck")) & (F.col("same") == F.col("cs")), "left_semi")
-        hits = _shingles(texts.select("k", "same", words(F.col("text")).alias("w")), ["k", "same"], m, False).drop("n").withColumn("dh", _hash(m))
-        hits = hits.join(small(of.select("item", "item_text", "h", "q", "need", *renamed)), same)
-        out = out.unionByName(hits.groupBy("k", "same", "item", "item_text", "q", "need").agg(F.count_distinct(*cols).alias("n_shared")).where("n_shared >= need").drop("item_text", "need"))
-    return out
+    number = F.coalesce(*[F.when((F.col("m") == m) & (F.col("size_class") == c), k) for k, (m, c, _, _) in enumerate(classes)])
+    sketches = one.where("sketch").withColumn("part", number).select("m", "need", *other)
+    found = _sent(_shingles(rows, ["k", "same"], width), ["k", "same"], width, [(m, ceiling, least) for m, _, ceiling, least in classes])
+    found = cut(found.join(small(sketches), alike & (F.col("n") - F.col("m") + 1 >= F.col("need"))).select("k", "same").distinct())
+    # verification: the texts with candidates once more, now against all shingles of the items, partitioned by their words only
+    keys = found.select(F.col("k").alias("ck"), F.col("same").alias("cs"))
+    keys = F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys
+    texts = raw.join(keys, F.col("k").eqNullSafe(F.col("ck")) & (F.col("same") == F.col("cs")), "left_semi").select("k", "same", words(F.col("text")).alias("w"))
+    lengths = sorted({m for m, _, _, _ in classes})
+    every = one.withColumn("part", F.coalesce(*[F.when(F.col("m") == m, k) for k, m in enumerate(lengths)])).select("item", "item_text", "q", "need", *other)
+    hits = _sent(_shingles(texts, ["k", "same"], width), ["k", "same"], width, [(m, None, 1) for m in lengths]).join(small(every), alike)
+    return hits.groupBy("k", "same", "item", "item_text", "q", "need").agg(F.count_distinct("h", F.struct(*w)).alias("n_shared")).where("n_shared >= need").drop("item_text", "need")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -205,6 +205,33 @@ def test_decontamination(spark, docs):
     assert decontaminate.contained_items(rows, none).count() == 0 and decontaminate.decontaminated(rows, none).count() == rows.count()
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab, rng.choice([1, 2, 3, 4, 5, 6, 9, 17, 40])))) for i in range(40)] + [(50, "wor\u212a one two"), (51, "ÄB c")]
+    rows = [(i, " ".join(x for part in rng.choice(len(items), 3) for x in [items[part][1], *rng.choice(vocab, 2)])) for i in range(120)] + [(200, "work one two"), (201, "äb c"), (202, "Äb C")]
+    for i in range(0, 120, 3):  # some with a word changed
+        w = rows[i][1].split()
+        w[rng.integers(len(w))] = "zzz"
+        rows[i] = (i, " ".join(w))
+
+    def shingles_(t, m):
+        w = re.findall("[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+        return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+
+    want = set()
+    for i, t in items:
+        m = min(5, len(t.split()))
+        q = shingles_(t, m)
+        want |= {(d, i, len(q & shingles_(x, m)), len(q)) for d, x in rows if len(q & shingles_(x, m)) >= math.ceil(0.8 * len(q))}
+    extra = "k same w n p s0 h part item q n_shared m need sketch".split()
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in extra])
+    items_ = spark.createDataFrame(items, "item_id long, text string").select("*", *[F.lit(1).alias(c) for c in extra])
+    got = {tuple(r)[:4] for r in decontaminate.contained_items(docs_, items_).collect()}
+    assert got == want
+    assert {r.doc_id for r in decontaminate.decontaminated(docs_, items_).collect()} == {d for d, _ in rows} - {d for d, *_ in want}
+
+
 def test_items_that_share_an_id_are_looked_up_apart(spark):
     one, two = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
     items = spark.createDataFrame([(1, one), (1, two), (None, one + " end"), (None, two + " stop here")], "item_id long, text string")
