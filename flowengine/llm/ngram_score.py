@@ -11,7 +11,11 @@
    p3 = c3 / (C + T) + T / (C + T) p2 (Witten-Bell interpolation), from the start of the text with what context it has.
 
 All counts cover all training texts; nothing is pruned or capped. Words are 64-bit hashes, successors in a context 32-bit
-ones, third words LAST_BITS ones, or 32-bit ones in contexts of two words that both occur more than WIDE times. Defined results: a null or empty text has one token, the end; a null doc_id is a
+ones, third words LAST_BITS ones, or 32-bit ones in contexts of two words that both occur more than WIDE times. A score is
+the log10 probability of the whole text, so it falls with the text's length, and it is higher for what the corpus says
+often: a document that occurs twice is part of what its own score learnt from, held-out rows are not. Parts and shards are
+as many as the input has part_bytes, and each part has a message for each shard: 14 million small ones at 30 GB; larger
+inputs want larger parts, and executors to hold them. Defined results: a null or empty text has one token, the end; a null doc_id is a
 training row; repeated rows count each and score alike; an empty table gives an empty result.
 """
 
@@ -22,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import STEP, NgramTrie, count_of, prob_of
-from .shared import cut, table
+from .shared import cut, release, table, tidy
 from .tokens import Words, chunks, mix
 
 PART_BYTES = 8 << 20
@@ -53,7 +58,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             h, c = np.unique(_tokens(b.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return rows.where(~F.col("held_out")).select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Part:
@@ -61,8 +66,9 @@ class Part:
 
     def __init__(self, group: pa.Table, shards: int, spread: tuple[np.ndarray, np.ndarray], common: np.ndarray):
         self.tokens, self.first = _tokens(group.column("text").chunk(0))
-        held = np.repeat(group.column("held_out").to_numpy(), np.diff(self.first))
         n = len(self.tokens)
+        times = np.where(group.column("held_out").to_numpy(), 0, group.column("copies").to_numpy())  # how often a text was learnt from
+        times = np.repeat(times.astype(np.int32 if n * int(times.max(initial=0)) < 1 << 31 else np.int64), np.diff(self.first))
         self.words, w = np.unique(self.tokens, return_inverse=True)
         end = np.searchsorted(self.words, END)
         del self.tokens
@@ -93,7 +99,7 @@ class Part:
         pick = order[at]
         a, b, c = one[pick], two[pick], three[pick]
         del one, two, three, new, pick
-        self.count = np.add.reduceat((~held[order]).astype(np.int32), at)
+        self.count = np.add.reduceat(times[order], at)
         del order
         fresh = np.ones(len(a), bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -103,7 +109,7 @@ class Part:
         self.a, self.b2, self.c3 = (a[pairs] - 1).astype(np.int32), (hashes >> _U(32)).astype(np.uint32)[b[pairs]], (hashes >> _U(32)).astype(np.uint32)[c]
         often = np.concatenate([np.zeros(1, bool), np.isin(self.words, common)])
         self.wide = often[a[pairs]] & often[b[pairs]]  # pairs whose third words take 32 bits
-        self.word_count = np.bincount(w[~held], minlength=len(self.words))
+        self.word_count = np.bincount(w, times, len(self.words)).astype(np.int64)
         self.word_of_token, self.shards = w, shards
         # pairs lie where their first word does; those of a frequent word go to several shards in a row
         home = (mix(self.words) % _U(shards)).astype(np.int64)
@@ -147,14 +153,28 @@ def unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def deal(rows: DataFrame) -> DataFrame:
-    """(part, data): the rows of each part as compressed pieces, one for each slice of the input that holds some."""
+    """(part, data): the rows of each part as compressed pieces, one for each slice of the input that holds some.
+
+    Equal rows of a slice become one, with their number, so a row that is repeated all over the table does not fill the
+    part that it belongs to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in chunks(batches, 16 << 20):
-            part = b.column("part").to_numpy()
-            order = np.argsort(part, kind="stable")
-            b, part = b.select(["k", "text", "held_out"]).take(pa.array(order)), part[order]
+            part, row = b.column("part").to_numpy(), b.column("row").to_numpy()
+            order = np.lexsort((row, part))
+            b, part, row = b.select(["k", "text", "held_out"]).take(pa.array(order)), part[order], row[order]
+            new = np.ones(len(part), bool)
+            maybe = np.flatnonzero((row[1:] == row[:-1]) & (part[1:] == part[:-1]))  # equal hashes; now the rows themselves
+            one, other = b.take(pa.array(maybe + 1)), b.take(pa.array(maybe))
+            same = np.ones(len(maybe), bool)
+            for x, y in zip(one.columns, other.columns):
+                both_null = pc.and_(pc.is_null(x), pc.is_null(y))
+                same &= pc.or_(pc.fill_null(pc.equal(x, y), False), both_null).to_numpy(zero_copy_only=False)
+            new[maybe[same] + 1] = False
+            at = np.flatnonzero(new)
+            b, part = b.take(pa.array(at)).append_column("copies", pa.array(np.diff(at, append=len(new)))), part[at]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             data = []
             for i, j in zip(cuts, [*cuts[1:], len(part)]):
@@ -164,7 +184,7 @@ def deal(rows: DataFrame) -> DataFrame:
                 data.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(data, pa.binary())], ["part", "data"])
 
-    return rows.select("k", "text", "held_out", "part").mapInArrow(run, "part long, data binary")
+    return rows.select("k", "text", "held_out", "part", "row").mapInArrow(tidy(run), "part long, data binary")
 
 
 def dealt_rows(group: pa.Table) -> pa.Table:
@@ -242,6 +262,8 @@ def answer(group: pa.Table) -> pa.Table:
         j = trie.pair(np.repeat(i, s[2]), s[3])
         k = trie.triple(np.repeat(j, s[4]), _third_ids(s))
         out.append((part, shard, pack(_small(counts[np.searchsorted(words, s[0])]), _small(trie.successors(s[0])), trie.take(trie.pair_codes, j), trie.take(trie.weight_codes, j), trie.take(trie.triple_codes, k), np.array([trie.step]))))
+    del trie, sent
+    release()
     return _rows(out, ["part", "shard"])
 
 
@@ -252,7 +274,7 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
     counts = cut(vocabulary(rows))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     parts = max(math.ceil(size / part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("k", "text"), F.lit(parts)))
+    dealt = rows.withColumn("row", F.xxhash64("k", "text", "held_out")).withColumn("part", F.pmod(F.xxhash64("k", "text"), F.lit(parts)))
     key_type = docs.schema[key].dataType.simpleString()
     z = float(n + v + 1)
     # words with more than a shard's share of all tokens: at most `parts` of them
@@ -295,13 +317,14 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
         lam = prob_of(weight[pair], step)
         prob[x] = np.where(lam > 0, prob_of(p3[tri], step) + lam * prob[x], prob[x])
         total = lambda v: np.add.reduceat(v, first[:-1])
-        columns = [group.column("k"), group.column("held_out"), np.diff(first), total((c1[w] > 0).astype(np.int64)), np.full(len(first) - 1, n), total(base), total(np.log10(np.minimum(prob, 1.0)))]
-        return pa.table(columns, names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        columns = [group.column("k"), group.column("held_out"), group.column("copies"), np.diff(first), total((c1[w] > 0).astype(np.int64)), np.full(len(first) - 1, n), total(base), total(np.log10(np.minimum(prob, 1.0)))]
+        return pa.table(columns, names=["k", "held_out", "copies", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     dealt = deal(dealt)
     answers = dealt.groupBy("part").applyInArrow(send, "shard long, part long, data binary").groupBy("shard").applyInArrow(answer, "part long, shard long, data binary")
-    out = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, f"k {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("k", key)
+    out = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, f"k {key_type}, held_out boolean, copies long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # a row's copies are those of one slice of the input
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies").withColumnRenamed("k", key)
 
 
 def op1_lm_scores(spark, sf_dir: str) -> DataFrame:

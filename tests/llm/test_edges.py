@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowengine.llm import chat_format, decontaminate, html_linetext, license_scan, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
+from flowengine.llm.shared import labelled_sample
 from flowengine.llm.elias_fano import EliasFano, NgramTrie, prob_of
 from flowengine.llm.tokens import Words
 
@@ -130,6 +131,34 @@ def test_lm_scores(spark, docs):
         assert abs(r.score - model(w)) <= 0.02 * len(w) + 0.02  # eight-bit probabilities
 
 
+def test_lm_scores_count_repeated_rows_and_take_any_table(spark, docs, clashing):
+    rows = [(1, "a b c a b")] * 300 + [(2, "a b c"), (None, "b")] + [(None, None)] * 50 + [(3, "c c d")] * 2
+    held = lambda df: F.col("doc_id") == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_score.lm_scores(df, held(df)).collect()
+    train = [(t or "").split() + ["\n"] for d, t in rows if d != 2]
+    c = Counter(x for w in train for x in w)
+    n, v = sum(c.values()), len(c)
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows) and {r.train_tokens for r in got} == {n}
+    base = {d: sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*(t or "").split(), "\n"]) for d, t in rows if d}
+    assert all(math.isclose(r.base_score, base[r.doc_id], rel_tol=1e-9) for r in got if r.doc_id)
+    p2 = (300 * 2 + 0 + 1 * (c["b"] + 1) / (n + v + 1)) / (c["a"] + 1)  # after a stands b alone
+    p3 = (300 + 2 * (300 + 3 * (c["c"] + 1) / (n + v + 1)) / (c["b"] + 3)) / (600 + 2)  # after a b: c or an end
+    end = 1 / (300 + 1) * 3 * (c["\n"] + 1) / (n + v + 1) / (c["c"] + 3)  # after b c stands a alone, after c: a, c or d
+    two = next(r for r in got if r.doc_id == 2)
+    assert two.held_out and abs(two.score - math.log10((c["a"] + 1) / (n + v + 1) * p2 * p3 * end)) < 0.1
+    assert len(ngram_score.lm_scores(clashing).collect()) == len(ROWS)
+    assert ngram_score.lm_scores(docs.limit(0)).collect() == []
+
+
+def test_smoothed_probabilities_of_a_context_sum_to_about_one():
+    rng, u = np.random.default_rng(6), np.uint64
+    counts = rng.integers(1, 40, 30)
+    trie = NgramTrie(np.array([7], u), np.array([3], u), np.array([counts.sum()]), np.arange(30).astype(u), counts)
+    total = prob_of(trie.triple_codes, trie.step).sum() + prob_of(trie.weight_codes, trie.step)[0]
+    assert abs(total - 1) < 0.03
+
+
 def test_rare_continuations_of_a_large_context_keep_their_probability():
     rare, u = 25_000_000, np.uint64
     trie = NgramTrie(np.array([7], u), np.array([3], u), np.array([rare]), np.array([5, 9], u), np.array([1, rare - 1]))
@@ -397,6 +426,70 @@ def test_classifiers_score_every_row(spark, docs, clashing):
     assert quality_crf.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_score_against_a_plain_field():
+    """Features, forward-backward by all labellings, length weights and calibration, line by line."""
+    import itertools
+
+    texts = ["Good line here.\nanother one, of words\n\nBAD BAD BAD!!", "", None, "x\n", "12 34 ab ab"]
+    f, size, first = quality_crf.line_features(pa.array(texts))
+    lines = [(t or "").split("\n") for t in texts]
+    assert np.diff(first).tolist() == [len(x) for x in lines]
+    classes = [set(map(chr, range(65, 91))), set(map(chr, range(97, 123))), set("0123456789"), set(".,;:?'\"-"), set("!#$%&*|<>{}[]()/\\@^~_=+`")]
+    for row, n, text in zip(f, size, (x for t in lines for x in t)):
+        w, raw = text.split(), len(text) + (0 if text is None else 0)
+        chars = int(n)
+        assert chars - raw in (0, 1)  # a line has its break
+        lower = [x.lower() for x in w]
+        shares = [sum(c in k for c in text) / max(chars, 1) for k in classes]
+        want = [math.log1p(chars), math.log1p(len(w)), *shares, 0.0, sum(c in classes[0] for c in text) / max(sum(c in classes[0] | classes[1] for c in text), 1), len(set(lower)) / max(len(w), 1), sum(a == b for a, b in zip(lower, lower[1:])) / max(len(w), 1), min(chars / max(len(w), 1), 30) / 10, not w]
+        assert np.allclose(row, want), (text, row, want)
+    rng = np.random.default_rng(9)
+    m = quality_crf.Field(rng.normal(0, 1, quality_crf.OWN), rng.uniform(0.5, 2, quality_crf.OWN), rng.normal(0, 0.5, 3 * quality_crf.OWN + 1), rng.normal(0, 1, (2, 2)), 1.3, -0.2)
+    got = m.score(f, size, first)
+    for d in range(len(texts)):
+        z = np.clip((f[first[d] : first[d + 1]] - m.mean) / m.scale, -4, 4)
+        zero = np.zeros(quality_crf.OWN)
+        u = [np.concatenate([z[i], z[i - 1] if i else zero, z[i + 1] if i + 1 < len(z) else zero, [1.0]]) @ m.weights for i in range(len(z))]
+        total, good = 0.0, np.zeros(len(z))
+        for y in itertools.product((0, 1), repeat=len(z)):
+            e = math.exp(sum(a * b for a, b in zip(u, y)) + sum(m.trans[a, b] for a, b in zip(y, y[1:])))
+            total, good = total + e, good + e * np.array(y)
+        w = size[first[d] : first[d + 1]] + 1
+        q = min(max(float((good / total) @ w / w.sum()), 1e-4), 1 - 1e-4)
+        assert math.isclose(got[d], 1 / (1 + math.exp(-(1.3 * math.log(q / (1 - q)) - 0.2))), rel_tol=1e-6)
+
+
+def test_toxicity_score_against_a_plain_convolution():
+    texts = ["you are a total idiot, really", "one", "", None, "a b", "word " * 70]
+    ids, first = toxicity_cnn.word_ids(pa.array(texts))
+    net = toxicity_cnn.Network(3)
+    rng = np.random.default_rng(1)
+    net.table = rng.normal(0, 1, net.table.shape).astype(np.float32)
+    net.out, net.a, net.b = rng.normal(0, 1, net.out.shape).astype(np.float32), 1.2, 0.3
+    got = net.score(ids, first)
+    block, toxicity_cnn.BLOCK = toxicity_cnn.BLOCK, 7  # windows that cross blocks
+    assert np.allclose(net.score(ids, first), got, rtol=1e-4)
+    toxicity_cnn.BLOCK = block
+    for d in range(len(texts)):
+        e = [sum(net.table[i] for i in row) for row in ids[first[d] : first[d + 1]]]
+        best = []
+        for w, width in enumerate(toxicity_cnn.WIDTHS):
+            answers = [sum(e[i + k] @ net.filters[w][k] for k in range(width)) for i in range(len(e) - width + 1)]
+            best += np.max([np.zeros(toxicity_cnn.FILTERS), *answers], axis=0).tolist()
+        z = 1.2 * (float(np.dot(best, net.out)) + net.bias) + 0.3
+        assert math.isclose(got[d], 1 / (1 + math.exp(-z)), rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_samples_of_labelled_rows_are_bounded(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c" * 40_000), (3, None), (None, "x")] + [(i, "t") for i in range(10, 60)]
+    docs_ = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (None, 1)] + [(i, i % 2) for i in range(10, 60)], "doc_id long, quality int")
+    got = labelled_sample(docs_, labels, "quality", F.lit(True), 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 20 and 2 not in {r.doc_id for r in got}
+    every = labelled_sample(docs_, labels, "quality", F.lit(True), 1000)
+    assert sorted(r.doc_id for r in every.collect()) == [1, 3, *range(10, 60)] and every.columns == ["doc_id", "text", "_row", "_label"]
+
+
 def test_forward_backward_is_exact():
     import itertools
 
