@@ -49,21 +49,17 @@ def item_sketches(items: DataFrame, key: str, text: str, width: int, threshold:
     rows = rows.withColumn("item_text", F.xxhash64("w")).withColumn("m", F.least(F.size("w"), F.lit(width)))
     one = _shingles(rows, ["item", "item_text", "m"], width).where(F.col("p") <= F.col("n") - F.col("m")).drop("n", "p").distinct()
     w = Window.partitionBy("item", "item_text")
-    one = one.withColumn("h", _hash(width)).withColumn("q", F.count("*").over(w)).withColumn("need", F.ceil(F.col("q") * threshold))
+    h = F.coalesce(*[F.when(F.col("m") == m, _hash(m)) for m in range(1, width + 1)])
+    one = one.withColumn("h", h).withColumn("q", F.count("*").over(w)).withColumn("need", F.ceil(F.col("q") * threshold))
     one = one.withColumn("sketch", F.row_number().over(w.orderBy("h", *[f"s{i}" for i in range(width)])) <= F.col("q") - F.col("need") + 1)
     one = one.withColumn("size_class", F.floor(F.log2("q")).cast("int"))
     return one, one.where("sketch").groupBy("m", "size_class").agg(F.max("h").alias("ceiling"), F.min("need").alias("least"))
 
 
 def _sent(shingles: DataFrame, keep: list, width: int, partitions: list[tuple[int, int | None, int]]) -> DataFrame:
-    """(keep..., part, h, s0..): each shingle once for every partition (m, ceiling, least) that it may hit, its words cut to m.
-
-    Words behind the m-th are null, as they are in items of m words, so all of them are compared and hashed alike.
-    """
+    """(keep..., n, part, h, s0..): each shingle once for every partition (m, ceiling, least) that it may hit; h hashes its first m words."""
     w = [f"s{i}" for i in range(width)]
-    cut_to = {m: [F.col(x) if i < m else F.lit(None).cast("string") for i, x in enumerate(w)] for m, _, _ in partitions}
-    lengths = sorted(cut_to)
-    hashed = shingles.select(*keep, "n", "p", *w, *[F.xxhash64(*cut_to[m]).alias(f"h{m}") for m in lengths])
+    hashed = shingles.select(*keep, "n", "p", *w, *[_hash(m).alias(f"h{m}") for m in sorted({m for m, _, _ in partitions})])
 
     def goes(m: int, ceiling: int | None, least: int) -> F.Column:
         fits = (F.col("n") - m + 1 >= least) & (F.col("p") <= F.col("n") - m)
@@ -71,9 +67,19 @@ def _sent(shingles: DataFrame, keep: list, width: int, partitions: list[tuple[in
 
     somewhere = [goes(*p) for p in partitions]
     rows = hashed.where(reduce(or_, somewhere)).withColumn("part", F.explode(F.array(*[F.when(g, k) for k, g in enumerate(somewhere)]))).where("part IS NOT NULL")
-    of = lambda f: F.coalesce(*[F.when(F.col("part") == k, f(p[0])) for k, p in enumerate(partitions)])
-    m = of(F.lit)
-    return rows.select(*keep, "n", "part", of(lambda x: F.col(f"h{x}")).alias("h"), *[F.when(m > i, F.col(x)).alias(x) for i, x in enumerate(w)])
+    h = F.coalesce(*[F.when(F.col("part") == k, F.col(f"h{m}")) for k, (m, _, _) in enumerate(partitions)])
+    return rows.select(*keep, "n", "part", h.alias("h"), *w)
+
+
+def _alike(width: int) -> F.Column:
+    """Joins shingles (part, h, s0..) to those of items (ipart, ih, im, is0..).
+
+    One long number is the join's key, which Spark looks up fastest; partition and words are then compared one by one, in
+    a form that keeps them out of the key.
+    """
+    same = lambda a, b: F.greatest(a, b) == F.least(a, b)
+    words_ = [(F.col("im") <= i) | same(f"s{i}", f"is{i}") for i in range(width)]
+    return reduce(and_, [F.col("h").bitwiseXOR(F.col("part")) == F.col("ih").bitwiseXOR(F.col("ipart")), same("part", "ipart"), *words_])
 
 
 def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int, threshold: float) -> DataFrame:
@@ -84,23 +90,24 @@ def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, item_key:
     if not classes:
         return docs.sparkSession.createDataFrame([], f"k {docs.schema[key].dataType.simpleString()}, same long, item {items.schema[item_key].dataType.simpleString()}, q long, n_shared long")
     w = [f"s{i}" for i in range(width)]
-    other = [F.col(x).alias("i" + x) for x in ("part", "h", *w)]
-    alike = reduce(and_, [F.col("h") == F.col("ih"), F.col("part") == F.col("ipart"), *[F.col(x).eqNullSafe(F.col("i" + x)) for x in w]])
+    other = ["ipart", F.col("h").alias("ih"), F.col("m").alias("im"), *[F.col(x).alias("i" + x) for x in w]]
+    alike = _alike(width)
     small = F.broadcast if one.count() <= BROADCAST_SHINGLES else (lambda df: df)
     raw = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     rows = raw.select("k", "same", words(F.col("text")).alias("w"))
     number = F.coalesce(*[F.when((F.col("m") == m) & (F.col("size_class") == c), k) for k, (m, c, _, _) in enumerate(classes)])
-    sketches = one.where("sketch").withColumn("part", number).select("m", "need", *other)
+    sketches = one.where("sketch").withColumn("ipart", number).select("need", *other)
     found = _sent(_shingles(rows, ["k", "same"], width), ["k", "same"], width, [(m, ceiling, least) for m, _, ceiling, least in classes])
-    found = cut(found.join(small(sketches), alike & (F.col("n") - F.col("m") + 1 >= F.col("need"))).select("k", "same").distinct())
+    found = cut(found.join(small(sketches), alike & (F.col("n") - F.col("im") + 1 >= F.col("need"))).select("k", "same").distinct())
     # verification: the texts with candidates once more, now against all shingles of the items, partitioned by their words only
     keys = found.select(F.col("k").alias("ck"), F.col("same").alias("cs"))
     keys = F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys
     texts = raw.join(keys, F.col("k").eqNullSafe(F.col("ck")) & (F.col("same") == F.col("cs")), "left_semi").select("k", "same", words(F.col("text")).alias("w"))
     lengths = sorted({m for m, _, _, _ in classes})
-    every = one.withColumn("part", F.coalesce(*[F.when(F.col("m") == m, k) for k, m in enumerate(lengths)])).select("item", "item_text", "q", "need", *other)
+    every = one.withColumn("ipart", F.coalesce(*[F.when(F.col("m") == m, k) for k, m in enumerate(lengths)])).select("item", "item_text", "q", "need", *other)
     hits = _sent(_shingles(texts, ["k", "same"], width), ["k", "same"], width, [(m, None, 1) for m in lengths]).join(small(every), alike)
-    return hits.groupBy("k", "same", "item", "item_text", "q", "need").agg(F.count_distinct("h", F.struct(*w)).alias("n_shared")).where("n_shared >= need").drop("item_text", "need")
+    mine = [F.when(F.col("im") > i, F.col(x)) for i, x in enumerate(w)]
+    return hits.groupBy("k", "same", "item", "item_text", "q", "need").agg(F.count_distinct(F.struct(*mine)).alias("n_shared")).where("n_shared >= need").drop("item_text", "need")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:

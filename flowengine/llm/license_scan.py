@@ -91,8 +91,10 @@ def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, str, int, str
 
 
 def words(text: str | F.Column) -> F.Column:
-    """Words of the text, A-Z lower-cased and no other letter."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), NOT_WORD), "")
+    """Words of the text, A-Z lower-cased and no other letter: lower() does that in ASCII texts, faster than translate()."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+    return F.array_remove(F.split(low, NOT_WORD), "")
 
 
 def in_order(hits: F.Column) -> F.Column:
