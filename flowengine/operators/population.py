@@ -9,7 +9,7 @@ from flowengine.functions import expressions as X
 
 from .graph import cut
 
-#: Range buckets of the cumulative mass; each is one window.
+#: Range buckets of the cumulative mass, at least; each is one window, and there are as many as shuffle partitions if those are more.
 BUCKETS = 32
 
 
@@ -46,7 +46,7 @@ def drawn_nodes(agents: DataFrame, mass: DataFrame, seed: int = 1, key: str = "a
     The cumulative mass runs in node order. Nodes fall into range buckets whose sums (one row a bucket) give the bucket of
     a draw; in a bucket nodes and draws are one sorted window in which a draw takes the next node, so no pairs arise.
     """
-    keyed = mass.groupBy("node_id").agg(F.sum("mass").alias("mass")).repartitionByRange(BUCKETS, "node_id")
+    keyed = mass.groupBy("node_id").agg(F.sum("mass").alias("mass")).repartitionByRange(max(BUCKETS, int(mass.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "node_id")
     keyed = cut(keyed.withColumn("bucket", F.spark_partition_id()))  # range partitions rise with the node
     inner = keyed.withColumn("upto", F.sum("mass").over(Window.partitionBy("bucket").orderBy("node_id")))
     sums = inner.groupBy("bucket").agg(F.max("upto").alias("total"))
@@ -59,9 +59,10 @@ def drawn_nodes(agents: DataFrame, mass: DataFrame, seed: int = 1, key: str = "a
     draws = placed.select("bucket", (F.col("_x") - F.col("low")).alias("at"), F.lit(0).alias("is_node"), F.lit(None).cast("bigint").alias("node"), F.struct(*agents.columns).alias("agent"))
     ends = inner.select("bucket", F.col("upto").alias("at"), F.lit(1).alias("is_node"), F.col("node_id").cast("bigint").alias("node"), F.lit(None).cast(draws.schema["agent"].dataType).alias("agent"))
     # a node's share ends just before its cumulative mass: nodes sort first, and a draw looks beyond equal ones
-    w = Window.partitionBy("bucket").orderBy("at", F.desc("is_node")).rowsBetween(0, Window.unboundedFollowing)
+    # seen from the end, the next node is the last one so far, which Spark keeps as it goes
+    w = Window.partitionBy("bucket").orderBy(F.desc("at"), "is_node", F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
     # sums of doubles may leave a draw just beyond the last node of its bucket: then it takes that node
-    taken = F.coalesce(F.first("node", ignorenulls=True).over(w), F.max("node").over(Window.partitionBy("bucket")))
+    taken = F.coalesce(F.last("node", ignorenulls=True).over(w), F.max("node").over(Window.partitionBy("bucket")))
     return draws.unionByName(ends).withColumn(out, taken).where("is_node = 0").select("agent.*", out)
 
 

@@ -59,23 +59,35 @@ def free_name(wanted: str, taken: list[str]) -> str:
 
 
 def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) after a log of edits (seq, op, id, and what the op needs).
+    """(nodes, edges) after a log of edits (seq, op, id, and what the op needs), applied in the order of seq.
 
     delete_node takes its edges along, delete_edge takes one; add_node brings x, y; add_edge brings from, to and gets the
-    distance of its ends as its length; change_edge adds `delta` to the duln of the edge and of both its ends.
+    distance of its ends as its length; change_edge adds `delta` to the duln of the edge and of both its ends. What is
+    deleted and added again is new: edges of the old node and earlier changes do not come back.
     """
     of = lambda op: edits.where(F.col("op") == op)
-    gone = of("delete_node").select(F.col("id").alias("node_id"))
-    nodes = nodes.unionByName(of("add_node").select(F.col("id").alias("node_id"), "x", "y", F.lit(0.0).alias("duln")), allowMissingColumns=True).join(gone, "node_id", "left_anti")
+
+    def latest(kind: str, name: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """Ids once deleted (with the last time), and what was added and not deleted after."""
+        some = edits.where(F.col("op").isin(f"add_{kind}", f"delete_{kind}")).groupBy(F.col("id").alias(name))
+        last = some.agg(F.max(F.when(F.col("op") == f"delete_{kind}", F.col("seq"))).alias("_gone"), F.max(F.struct("seq", "op", *columns)).alias("_last"))
+        return last.where("_gone IS NOT NULL").select(name, "_gone"), last.where(F.col("_last.op") == f"add_{kind}").select(name, F.col("_last.seq").alias("_since"), *[f"_last.{c}" for c in columns])
+
+    gone, added = latest("node", "node_id", "x", "y")
+    nodes = nodes.join(gone, "node_id", "left_anti").unionByName(added.withColumn("duln", F.lit(0.0)), allowMissingColumns=True)
     at = nodes.select("node_id", "x", "y")
-    new = of("add_edge").select(F.col("id").alias("edge_id"), "from", "to")
+    out, new = latest("edge", "edge_id", "from", "to")
     new = new.join(at.withColumnsRenamed({"node_id": "from", "x": "_ax", "y": "_ay"}), "from").join(at.withColumnsRenamed({"node_id": "to", "x": "_bx", "y": "_by"}), "to")
     dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
-    new = new.select("edge_id", "from", "to", F.sqrt(dx * dx + dy * dy).alias("shape_leng"), F.lit(0.0).alias("duln"))
-    edges = edges.unionByName(new, allowMissingColumns=True).join(of("delete_edge").select(F.col("id").alias("edge_id")), "edge_id", "left_anti")
-    edges = edges.join(gone, edges["from"] == gone["node_id"], "left_anti").join(gone, edges["to"] == gone["node_id"], "left_anti")
-    change = of("change_edge").groupBy(F.col("id").alias("edge_id")).agg(F.sum("delta").alias("_d"))
-    edges = edges.join(change, "edge_id", "left")
-    ends = edges.where("_d IS NOT NULL").select(F.explode(F.array("from", "to")).alias("node_id"), "_d").groupBy("node_id").agg(F.sum("_d").alias("_d"))
-    add = lambda df: df.withColumn("duln", F.col("duln") + F.coalesce("_d", F.lit(0.0))).drop("_d")
-    return add(nodes.join(ends, "node_id", "left")), add(edges)
+    new = new.select("edge_id", "from", "to", F.sqrt(dx * dx + dy * dy).alias("shape_leng"), F.lit(0.0).alias("duln"), "_since")
+    edges = edges.join(out, "edge_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    for end in ("from", "to"):  # an edge goes with its node, unless it was added after that
+        cut_off = (F.col("_node") == F.col(end)) & (F.coalesce("_since", F.lit(-1)) < F.col("_gone"))
+        edges = edges.join(gone.withColumnRenamed("node_id", "_node"), cut_off, "left_anti")
+    change = of("change_edge").select(F.col("id").alias("edge_id"), F.col("seq").alias("_seq"), F.col("delta").alias("_delta"))
+    change = change.join(edges.select("edge_id", "from", "to", "_since"), "edge_id").where(F.col("_seq") > F.coalesce("_since", F.lit(-1)))
+    per_edge = change.groupBy("edge_id").agg(F.sum("_delta").alias("_d"))
+    ends = change.select(F.explode(F.array("from", "to")).alias("node_id"), "_seq", "_delta").join(nodes.select("node_id", F.col("_since").alias("_from")), "node_id")
+    per_node = ends.where(F.col("_seq") > F.coalesce("_from", F.lit(-1))).groupBy("node_id").agg(F.sum("_delta").alias("_d"))
+    add = lambda df: df.withColumn("duln", F.col("duln") + F.coalesce("_d", F.lit(0.0))).drop("_d", "_since")
+    return add(nodes.join(per_node, "node_id", "left")), add(edges.join(per_edge, "edge_id", "left"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,10 @@ from flowengine.functions.expressions import FAMILY, STEPS_PER_MINUTE, lookup
 
 from .graph import Csr, _graph, path_to
 
+#: Fixed value: ticks after which a walk ends.
 MAX_STEPS = 108_000
+#: Routes, and neighbours in an area, that a task remembers.
+ROUTES = 4_096
 LOG = "agent_id long, seq int, timestep long, behaviour string, `from` long, `to` long, edge_id long, in_aoi boolean"
 
 
@@ -42,12 +47,21 @@ class World:
         self.graphs, self.xy, self.aoi, self.duln, self.edge = graphs, xy, aoi, duln, edge
         g = next(iter(graphs.values()))
         self.near = {int(v): [int(g.nodes[u]) for u in g.to[g.start[i] : g.start[i + 1]]] for i, v in enumerate(g.nodes)}
+        # agents that start, or turn back, at the same places share their routes
+        self._routes, self.inside = lru_cache(ROUTES)(self._route), lru_cache(ROUTES)(self._inside)
 
     def route(self, kind: str, weighting: str, src: int, goal: int) -> tuple[list[int], float]:
-        g = self.graphs.get(f"{kind}:{weighting}") or self.graphs[weighting]
-        dist, before = g.settle(src, {goal})
+        name = f"{kind}:{weighting}"
+        return self._routes(name if name in self.graphs else weighting, src, goal)
+
+    def _route(self, name: str, src: int, goal: int) -> tuple[list[int], float]:
+        dist, before = self.graphs[name].settle(src, {goal})
         return path_to(before, src, goal), dist.get(goal, 0.0)
 
+    def _inside(self, node: int, area: str) -> list[int]:
+        """Neighbours of a node in the area, by id."""
+        return sorted({v for v in self.near.get(node, []) if v != node and self.aoi.get(v) == area})
+
 
 def walk(world: World, agent, seed: int, as_written: bool = True) -> list[tuple]:
     """The log of one agent: (agent_id, start_v, goal_v, aoi_goal, agent_type, speed, time_ext)."""
@@ -57,6 +71,7 @@ def walk(world: World, agent, seed: int, as_written: bool = True) -> list[tuple]
     log: list[tuple] = []
     steps = lambda metres: max(1, math.ceil(math.ceil(metres / (speed * 1000 / 60)) * STEPS_PER_MINUTE))
     behaviour, current, last, nxt, t, path, prior, retraced, extra = "shortest", start, None, start, 1, None, [], set(), 0.0
+    been = Counter()  # how often each node is in prior
 
     def log_hops(nodes: list[int], edges_in: bool) -> None:
         for a, b in zip(nodes, nodes[1:]):
@@ -67,7 +82,9 @@ def walk(world: World, agent, seed: int, as_written: bool = True) -> list[tuple]
         if t > 1 and behaviour == "retracing":
             behaviour = "nicest"
         elif t > 1:
-            prior += path if path and behaviour in ("shortest", "nicestShortest") else [current]
+            passed = path if path and behaviour in ("shortest", "nicestShortest") else [current]
+            prior += passed
+            been.update(passed)
         last, current = current, nxt
         timer = t / STEPS_PER_MINUTE
         if (timer > extent or behaviour in ("shortest", "nicestShortest")) and goal == start == current and t > 1:
@@ -78,18 +95,19 @@ def walk(world: World, agent, seed: int, as_written: bool = True) -> list[tuple]
             behaviour = "shortest" if goal != start else behaviour
             goal, path = start, None
         if behaviour == "nicest":
-            options = sorted({v for v in [*world.near.get(current, []), current] if v not in (current, last) and v not in retraced and world.aoi.get(v) == area})
+            options = [v for v in world.inside(current, area) if v != last and v not in retraced]
             if options:
                 x = np.array([world.duln.get((kind, v), 0.0) + (bonus(world.xy[last], world.xy[current], world.xy[v]) if prior and last is not None else 0.0) for v in options])
                 p = np.exp((x - x.max()) / 0.5)
                 p /= p.sum()
                 if len(options) > 1:
-                    p = np.where([v in prior for v in options], 1e-5, p)
+                    p = np.where([been[v] > 0 for v in options], 1e-5, p)
                 nxt = options[int(min(np.searchsorted(np.cumsum(p), uniform(seed, me, t) * p.sum(), "right"), len(p) - 1))]
             else:
                 behaviour = "retracing"
         if behaviour == "retracing":
             nxt = prior.pop() if prior else current
+            been[nxt] -= 1
             retraced.add(current)
             if nxt == current:
                 behaviour, goal, path = "nicestShortest", start, None
@@ -130,7 +148,9 @@ def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: Da
             rows = [r for a in b.itertuples(index=False) for r in walk(world, tuple(a), seed, as_written)]
             yield pd.DataFrame(rows, columns=["agent_id", "seq", "timestep", "behaviour", "from", "to", "edge_id", "in_aoi"]).astype({"edge_id": "Int64"})
 
-    return agents.select("agent_id", "start_v", "goal_v", "aoi_goal", "agent_type", "speed", "time_ext").mapInPandas(run, LOG)
+    # agents come from a small table, but each is minutes of walking: deal them to all tasks
+    dealt = agents.select("agent_id", "start_v", "goal_v", "aoi_goal", "agent_type", "speed", "time_ext").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "agent_id")
+    return dealt.mapInPandas(run, LOG)
 
 
 def histories(log: DataFrame, agents: DataFrame) -> DataFrame:

@@ -260,3 +260,37 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("SELECT sum(n) FROM passages").first()[0]
     assert 0 < got <= events.count()
+
+
+def test_edits_apply_in_their_order(spark):
+    nodes = spark.createDataFrame([(i, float(i), 0.0, 1.0) for i in range(1, 7)], "node_id long, x double, y double, duln double")
+    edges = spark.createDataFrame([(i, i, i + 1, 1.0, 0.0) for i in range(1, 6)], "edge_id long, `from` long, `to` long, shape_leng double, duln double")
+    log = [
+        (1, "change_edge", 4, None, None, 5.0, None, None), (2, "add_edge", 10, 5, 1, None, None, None), (3, "delete_node", 5, None, None, None, None, None), (4, "add_node", 5, None, None, None, 5.0, 3.0),
+        (5, "add_edge", 11, 5, 2, None, None, None), (6, "change_edge", 11, None, None, 2.0, None, None), (7, "delete_edge", 1, None, None, None, None, None), (8, "add_edge", 1, 1, 3, None, None, None),
+        (9, "add_node", 9, None, None, None, 0.0, 0.0), (10, "delete_node", 9, None, None, None, None, None), (11, "change_edge", 2, None, None, 1.0, None, None), (12, "change_edge", 2, None, None, 0.5, None, None),
+    ]
+    edits = spark.createDataFrame(log, "seq int, op string, id long, `from` long, `to` long, delta double, x double, y double")
+
+    # plainly, one edit after another
+    n, e, new = {i: [float(i), 0.0, 1.0] for i in range(1, 7)}, {i: [i, i + 1, 1.0, 0.0] for i in range(1, 6)}, None
+    for _, op, i, a, b, delta, x, y in log:
+        if op == "delete_node":
+            n.pop(i)
+            e = {k: v for k, v in e.items() if i not in v[:2]}
+        elif op == "add_node":
+            n[i] = [x, y, 0.0]
+        elif op == "delete_edge":
+            e.pop(i)
+        elif op == "add_edge":
+            e[i] = [a, b, ((n[a][0] - n[b][0]) ** 2 + (n[a][1] - n[b][1]) ** 2) ** 0.5, 0.0]
+        elif i in e:
+            e[i][3] += delta
+            for v in e[i][:2]:
+                n[v][2] += delta
+    # a change of an edge that is gone at the end leaves no mark on the ends that stay
+    n[4][2] -= 5.0
+    got_n, got_e = scenario.edited(nodes, edges, edits)
+    assert {r.node_id: [r.x, r.y, r.duln] for r in got_n.collect()} == n
+    assert {r.edge_id: [r["from"], r["to"], r.shape_leng, r.duln] for r in got_e.collect()} == e
+    assert got_n.columns == nodes.columns and got_e.columns == edges.columns
