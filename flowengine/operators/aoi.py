@@ -41,6 +41,11 @@ def erased(areas: DataFrame, drawn: DataFrame) -> DataFrame:
     return areas.join(drawn.select("row", "col").distinct(), ["row", "col"], "left_anti").select("aoi", "row", "col")
 
 
+def removed(areas: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cells of the areas whose label is not among labels.aoi."""
+    return areas.join(labels.select("aoi").distinct(), "aoi", "left_anti").select("aoi", "row", "col")
+
+
 def cut_apart(areas: DataFrame, line: DataFrame, width: int) -> DataFrame:
     """Cells of the areas without those of a cutting line, each with the part of its area it is in now."""
     left = erased(areas, line)

@@ -640,6 +640,12 @@ def aoi_erase(spark, d):
     return aoi.erased(_areas(spark, d), spark.range(10).select(F.lit(2).alias("row"), F.col("id").cast("int").alias("col")))
 
 
+@query(f"""WITH a AS ({_AREAS}) SELECT * FROM a WHERE aoi NOT IN (SELECT aoi FROM a GROUP BY aoi HAVING count(*) % 2 = 0)""")
+def aoi_delete(spark, d):
+    areas = _areas(spark, d)
+    return aoi.removed(areas, areas.groupBy("aoi").count().where("count % 2 = 0"))
+
+
 @query(f"""WITH a AS ({_AREAS}) SELECT DISTINCT a.aoi, CAST(p_size AS INT) AS size FROM a JOIN (SELECT p_size, floor(p_partkey / 50) AS r, p_partkey % 50 AS c FROM part WHERE p_size > 8) b ON r = "row" AND c = col""")
 def aoi_overlaps(spark, d):
     k = F.col("p_partkey")

@@ -60,6 +60,13 @@ def uploadable(names: list[str]) -> str:
     raise ValueError("a perimeter needs .shp, .shx and .dbf, or one .kml")
 
 
+def flat_wkt(text: F.Column) -> F.Column:
+    """WKT with x and y only: the Z and M ordinates, and their marks, are dropped."""
+    number = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+    plain = F.regexp_replace(text, r"(?i)\b(ZM|Z|M)\s*(?=\(|EMPTY)", "")
+    return F.regexp_replace(plain, rf"({number}\s+{number})(?:\s+{number})+", "$1")
+
+
 def ring_from_wkt(text: F.Column) -> F.Column:
     """Outer ring of POLYGON ((x y, ...)) as an array of (x, y); null for other text."""
     body = F.nullif(F.regexp_extract(text, r"(?i)POLYGON\s*\(\(([^()]*)\)", 1), F.lit(""))
@@ -91,6 +98,31 @@ def valid_perimeter(ring: F.Column) -> F.Column:
     return F.when(ring.isNull() | (n < 3), False).when(n == 3, True).otherwise(~clash)
 
 
+def within_ring(p: F.Column, ring: F.Column) -> F.Column:
+    """Whether a point lies inside a closed or open ring, by the number of sides that a ray to the right meets."""
+    n = F.size(ring)
+
+    def met(i):
+        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
+        apart = (a["y"] > p["y"]) != (b["y"] > p["y"])
+        return apart & (p["x"] < a["x"] + (p["y"] - a["y"]) * (b["x"] - a["x"]) / F.when(apart, b["y"] - a["y"]).otherwise(1.0))
+
+    return F.size(F.filter(F.sequence(F.lit(0), n - 1), met)) % 2 == 1
+
+
+def in_country(ring: F.Column, border: F.Column) -> F.Column:
+    """Whether a perimeter lies in a country: all its corners inside the border, and none of its sides across it."""
+    sides = lambda r, i: (F.get(r, i), F.get(r, F.pmod(i + 1, F.size(r))))
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+    def cross(i, j):
+        (a, b), (c, d) = sides(ring, i), sides(border, j)
+        return (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+
+    places = lambda r: F.sequence(F.lit(0), F.size(r) - 1)
+    return F.forall(ring, lambda p: within_ring(p, border)) & ~F.exists(places(ring), lambda i: F.exists(places(border), lambda j: cross(i, j)))
+
+
 def save_paths(edges: DataFrame, path: str, legacy_columns: bool = False) -> None:
     """Paths with their passage columns; the legacy list leaves joggers out."""
     skip = {"passage_jog", "passage_jog_aoi"} if legacy_columns else set()

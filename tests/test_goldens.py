@@ -294,3 +294,16 @@ def test_edits_apply_in_their_order(spark):
     assert {r.node_id: [r.x, r.y, r.duln] for r in got_n.collect()} == n
     assert {r.edge_id: [r["from"], r["to"], r.shape_leng, r.duln] for r in got_e.collect()} == e
     assert got_n.columns == nodes.columns and got_e.columns == edges.columns
+
+
+def test_perimeters_lie_in_a_country(spark):
+    border = "POLYGON ((0 0, 10 0, 10 10, 5 2, 0 10, 0 0))"
+    rows = [("POLYGON ((1 1, 2 1, 2 2, 1 1))", True), ("POLYGON ((11 1, 12 1, 12 2, 11 1))", False), ("POLYGON ((1 7, 9 7, 9 8, 1 7))", False), ("POLYGON ((9 1, 11 1, 11 2, 9 1))", False)]
+    df = spark.createDataFrame(rows, "wkt string, want boolean").select("want", files.in_country(files.ring_from_wkt(F.col("wkt")), files.ring_from_wkt(F.lit(border))).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_height_and_measure_are_dropped(spark):
+    rows = ["POLYGON ZM ((1 2 3 4, 5.5 -6e2 7 8, 1 2 3 4))", "LINESTRING Z (0 0 9, 1 1 9)", "POINT M (1 2 3)", "POLYGON ((1 2, 3 4, 1 2))", "POINT Z EMPTY", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(files.flat_wkt(F.col("t"))).collect()]
+    assert got == ["POLYGON ((1 2, 5.5 -6e2, 1 2))", "LINESTRING (0 0, 1 1)", "POINT (1 2)", "POLYGON ((1 2, 3 4, 1 2))", "POINT EMPTY", None]
