@@ -130,9 +130,9 @@ def test_whole_graph_components(spark):
     want = {}
     for v in list(up):
         want.setdefault(find(v), set()).add(v)
-    assert {r.component: r.n for r in registry.QUERIES["whole_component_sizes"](spark, "/root/testdata/sf0.001").collect()} == {c: len(x) for c, x in want.items()}
+    assert {r.component: r.n for r in registry.QUERIES["component_sizes_top10"](spark, "/root/testdata/sf0.001").collect()} == {c: len(x) for c, x in want.items()}
     best = min(want, key=lambda c: (-len(want[c]), c))
-    assert {r.node_id for r in registry.QUERIES["whole_largest_component"](spark, "/root/testdata/sf0.001").collect()} == want[best]
+    assert {r.node_id for r in registry.QUERIES["largest_component"](spark, "/root/testdata/sf0.001").collect()} == want[best]
     assert len(up) == len({s for s, _ in rows}) + len({p for _, p in rows})
 
 
@@ -150,16 +150,16 @@ def test_whole_ring(spark):
         dist = np.minimum(dist, dist[:, k, None] + dist[k])
     want = {(s, g): dist[s, g] for s in range(5) for g in range(n)}
     run = lambda name: registry.QUERIES[name](spark, d).collect()
-    assert {(r.src, r.goal): r.distance for r in run("whole_shortest_distance")} == want
-    assert {(r.src, r.node_id): r.distance for r in run("whole_relational_distance")} == want
-    for r in run("whole_shortest_path_nodes"):
+    assert {(r.src, r.goal): r.distance for r in run("shortest_distance")} == want
+    assert {(r.src, r.node_id): r.distance for r in run("relational_distance")} == want
+    for r in run("shortest_path_nodes"):
         path = [r.src, *r.path]
         assert path[-1] == r.goal and sum(step[a, b] for a, b in zip(path, path[1:])) == want[r.src, r.goal]
     near = {(s, chr(65 + r)): min((dist[s, v], v) for v in range(n) if v % 4 == 1 and v % 3 == r) for s in range(5) for r in range(3)}
-    assert {(r.src, r.aoi): (r.distance, r.node_id) for r in run("whole_nearest_aoi_node")} == near
+    assert {(r.src, r.aoi): (r.distance, r.node_id) for r in run("nearest_aoi_node")} == near
     goals = {s: min((dist[s, g], g) for g in (n // 4, n // 2, 3 * n // 4)) for s in range(5)}
-    assert {r.src: (r.distance, r.goal) for r in run("whole_nearest_of_goals")} == goals
-    walked = run("whole_simulate_passage")
+    assert {r.src: (r.distance, r.goal) for r in run("nearest_of_goals")} == goals
+    walked = run("simulate_passage")
     assert len(walked) == 3 * n and sum(r.passage > 0 for r in walked) > n
 
 
@@ -227,7 +227,8 @@ def test_scenarios():
 
 
 def test_simulation(spark):
-    agents, weights, nodes, edges, duln = registry.simulation_inputs(spark, "/root/testdata/sf0.001", 60)
+    agents, weights, nodes, edges, duln = registry.simulation_inputs(spark, "/root/testdata/sf0.001")
+    agents = agents.where("agent_id < 60")
     log = simulate.simulated(agents, weights, nodes, edges, duln).collect()
     again = simulate.simulated(agents.repartition(3), weights, nodes, edges, duln).collect()
     assert sorted(map(repr, log)) == sorted(map(repr, again))  # the same however agents are dealt
