@@ -445,6 +445,11 @@ def component_sizes_top10(spark, d):
     return graph.component_sizes(graph.components(*whole_graph(spark, d))).orderBy(F.desc("n"), "component").limit(10)
 
 
+@query(_GRAPH + " SELECT c AS component, count(*) AS n FROM l GROUP BY 1")
+def whole_component_sizes(spark, d):
+    return graph.component_sizes(graph.components(*whole_graph(spark, d)))
+
+
 def whole_ring(spark, d):
     """(weights, n): a ring of all n suppliers, with chords 7 and about the root of n further on, so that its width grows with n."""
     supplier = t(spark, d, "supplier")
