@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 BROADCAST_EDGES = 5_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once into the folder of spark.checkpoint.dir (in tests, where none is set, a temporary one)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one under a local master, an error on a cluster."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowengine-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowengine-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once into the shared folder, and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -121,6 +130,25 @@ def induced_labels(nodes: DataFrame, edges: DataFrame, label: str = "aoi", none:
     return nodes.join(new, "node_id", "left").withColumn(label, F.coalesce("_new", F.lit(none))).drop("_new")
 
 
+def labels_in_turn(nodes: DataFrame, edges: DataFrame, label: str = "aoi", none: str = "0") -> DataFrame:
+    """Nodes relabelled as by induced_labels, but label after label (A, .., Z, AA, ..), each seeing what those before it took.
+
+    Of a label's largest parts and their one-hop surroundings all nodes take it, whatever they had; its other nodes lose it.
+    Labels are those of areas of interest, so there are some hundred at most; each takes a round of joins.
+    """
+    now = cut(nodes)
+    names = [r[0] for r in now.where(F.col(label) != none).select(label).distinct().collect()]
+    for name in sorted(names, key=lambda n: (len(n), n)):
+        some = now.where(F.col(label) == name).select("node_id")
+        parts = components(some, incident_edges(edges, some, both=True))
+        sizes = component_sizes(parts)
+        best = sizes.join(F.broadcast(sizes.agg(F.max("n").alias("n"))), "n").select("component")
+        near = neighbourhood(edges, parts.join(best, "component", "left_semi")).select(F.col("neighbour").alias("node_id"), F.lit(name).alias("_new")).distinct()
+        left = F.when(F.col(label) == name, none).otherwise(F.col(label))
+        now = cut(now.join(near, "node_id", "left").withColumn(label, F.coalesce("_new", left)).drop("_new"))
+    return now
+
+
 class Csr:
     """Adjacency of one weighting in flat arrays, nodes by rank of their id."""
 

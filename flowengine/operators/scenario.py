@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from flowengine.functions import expressions as X
 
+from . import aoi, raster, spatial
+
 #: Effect of each level of an attribute on each attractiveness, in the order of EFFECT_COLUMNS.
 EFFECT_COLUMNS = ("walkNat", "walkSoc", "biker", "ebike", "all", "jogger", "dogNat", "dogProx")
 EFFECTS = {
@@ -50,6 +52,11 @@ def copied(tables: DataFrame, source: str, target: str) -> DataFrame:
     return tables.unionByName(tables.where(F.col("scenario_id") == source).withColumn("scenario_id", F.lit(target)))
 
 
+def removed(tables: DataFrame, name: str) -> DataFrame:
+    """All rows but those of scenario `name`."""
+    return tables.where(~F.col("scenario_id").eqNullSafe(name))
+
+
 def free_name(wanted: str, taken: list[str]) -> str:
     n, name = 1, wanted
     while name in taken:
@@ -58,13 +65,46 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return name
 
 
-def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_polygons(nodes: DataFrame, polygons: DataFrame, per_place: float, cell: float, out: str = "parking") -> DataFrame:
+    """Nodes after drawing polygons (id, ring) in the order of id.
+
+    The nodes in a polygon get equal shares of its area / per_place on top of `out`. Where it holds none, the node nearest
+    to its first corner takes all of it, in place of what it had.
+    """
+    h = spatial.holders(polygons, nodes, cell).withColumn("_p", F.col("area") / per_place / F.col("n"))
+    anew = h.where("NOT inside").groupBy("node_id").agg(F.max(F.struct("poly", "_p")).alias("_m"))
+    later = h.join(anew, "node_id", "left").where("inside AND (_m IS NULL OR poly > _m.poly)").groupBy("node_id").agg(F.sum("_p").alias("_more"))
+    some = nodes.join(anew, "node_id", "left").join(later, "node_id", "left")
+    return some.withColumn(out, F.coalesce("_m._p", out, F.lit(0.0)) + F.coalesce("_more", F.lit(0.0))).drop("_m", "_more")
+
+
+def without_polygons(nodes: DataFrame, polygons: DataFrame, cell: float, per_place: float = 30.0, out: str = "parking", as_written: bool = True) -> DataFrame:
+    """Nodes after removing polygons. As written, every node in a polygon loses its whole area / per_place; else its share."""
+    places = F.col("area") / per_place / (F.lit(1) if as_written else F.col("n"))
+    less = spatial.holders(polygons, nodes, cell).groupBy("node_id").agg(F.sum(places).alias("_less"))
+    return nodes.join(less, "node_id", "left").withColumn(out, F.coalesce(out, F.lit(0.0)) - F.coalesce("_less", F.lit(0.0))).drop("_less")
+
+
+def surveyed(lines: DataFrame, grid: DataFrame, cells: DataFrame, x0: float, y0: float, res: float, layers: dict[str, str], key: str = "edge_id") -> DataFrame:
+    """Drawn lines (key, coords) with the mean of each layer along them as layers[layer], 0 outside, and the first area they touch."""
+    mean = raster.line_mean(lines, grid.where(F.col("layer").isin(list(layers))), x0, y0, res, res / 2, key)
+    wide = mean.groupBy(key).pivot("layer", list(layers)).agg(F.first("value"))
+    out = lines.join(wide, key, "left").join(aoi.aoi_of_lines(lines, cells, x0, y0, res, res / 2, key), key, "left")
+    return out.withColumns({c: F.coalesce(layer, F.lit(0.0)) for layer, c in layers.items()}).drop(*[layer for layer, c in layers.items() if layer != c])
+
+
+def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after a log of edits (seq, op, id, and what the op needs), applied in the order of seq.
 
     delete_node takes its edges along, delete_edge takes one; add_node brings x, y; add_edge brings from, to and gets the
     distance of its ends as its length; change_edge adds `delta` to the duln of the edge and of both its ends. What is
-    deleted and added again is new: edges of the old node and earlier changes do not come back.
+    deleted and added again is new: edges of the old node and earlier changes do not come back. `deltas` names other
+    attractiveness columns and the edits' columns that change them. What is added starts with the edits' value of such
+    a column (a path's mean of the raster, from `surveyed`), 0 where they have none.
     """
+    deltas = deltas or {"duln": "delta"}
+    first = [c for c in (*deltas, "aoi") if c in edits.columns]
+    start = {c: F.coalesce(F.col(c), F.lit(0.0)) if c in first else F.lit(0.0) for c in deltas}
     of = lambda op: edits.where(F.col("op") == op)
 
     def latest(kind: str, name: str, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -73,21 +113,23 @@ def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFr
         last = some.agg(F.max(F.when(F.col("op") == f"delete_{kind}", F.col("seq"))).alias("_gone"), F.max(F.struct("seq", "op", *columns)).alias("_last"))
         return last.where("_gone IS NOT NULL").select(name, "_gone"), last.where(F.col("_last.op") == f"add_{kind}").select(name, F.col("_last.seq").alias("_since"), *[f"_last.{c}" for c in columns])
 
-    gone, added = latest("node", "node_id", "x", "y")
-    nodes = nodes.join(gone, "node_id", "left_anti").unionByName(added.withColumn("duln", F.lit(0.0)), allowMissingColumns=True)
+    gone, added = latest("node", "node_id", "x", "y", *first)
+    nodes = nodes.join(gone, "node_id", "left_anti").unionByName(added.withColumns(start), allowMissingColumns=True)
     at = nodes.select("node_id", "x", "y")
-    out, new = latest("edge", "edge_id", "from", "to")
+    out, new = latest("edge", "edge_id", "from", "to", *first)
     new = new.join(at.withColumnsRenamed({"node_id": "from", "x": "_ax", "y": "_ay"}), "from").join(at.withColumnsRenamed({"node_id": "to", "x": "_bx", "y": "_by"}), "to")
     dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
-    new = new.select("edge_id", "from", "to", F.sqrt(dx * dx + dy * dy).alias("shape_leng"), F.lit(0.0).alias("duln"), "_since")
+    new = new.select("edge_id", "from", "to", F.sqrt(dx * dx + dy * dy).alias("shape_leng"), *[v.alias(c) for c, v in start.items()], *[c for c in first if c == "aoi"], "_since")
     edges = edges.join(out, "edge_id", "left_anti").unionByName(new, allowMissingColumns=True)
     for end in ("from", "to"):  # an edge goes with its node, unless it was added after that
         cut_off = (F.col("_node") == F.col(end)) & (F.coalesce("_since", F.lit(-1)) < F.col("_gone"))
         edges = edges.join(gone.withColumnRenamed("node_id", "_node"), cut_off, "left_anti")
-    change = of("change_edge").select(F.col("id").alias("edge_id"), F.col("seq").alias("_seq"), F.col("delta").alias("_delta"))
+    moved = list(deltas.values())
+    change = of("change_edge").select(F.col("id").alias("edge_id"), F.col("seq").alias("_seq"), *[F.col(v).alias(f"_{v}") for v in moved])
     change = change.join(edges.select("edge_id", "from", "to", "_since"), "edge_id").where(F.col("_seq") > F.coalesce("_since", F.lit(-1)))
-    per_edge = change.groupBy("edge_id").agg(F.sum("_delta").alias("_d"))
-    ends = change.select(F.explode(F.array("from", "to")).alias("node_id"), "_seq", "_delta").join(nodes.select("node_id", F.col("_since").alias("_from")), "node_id")
-    per_node = ends.where(F.col("_seq") > F.coalesce("_from", F.lit(-1))).groupBy("node_id").agg(F.sum("_delta").alias("_d"))
-    add = lambda df: df.withColumn("duln", F.col("duln") + F.coalesce("_d", F.lit(0.0))).drop("_d", "_since")
+    total = [F.sum(f"_{v}").alias(f"_sum_{v}") for v in moved]
+    per_edge = change.groupBy("edge_id").agg(*total)
+    ends = change.select(F.explode(F.array("from", "to")).alias("node_id"), "_seq", *[f"_{v}" for v in moved]).join(nodes.select("node_id", F.col("_since").alias("_from")), "node_id")
+    per_node = ends.where(F.col("_seq") > F.coalesce("_from", F.lit(-1))).groupBy("node_id").agg(*total)
+    add = lambda df: df.withColumns({c: F.col(c) + F.coalesce(f"_sum_{v}", F.lit(0.0)) for c, v in deltas.items()}).drop("_since", *[f"_sum_{v}" for v in moved])
     return add(nodes.join(per_node, "node_id", "left")), add(edges.join(per_edge, "edge_id", "left"))

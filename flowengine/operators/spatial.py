@@ -28,21 +28,31 @@ def ring_area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def _gridded(points: DataFrame, polygons: DataFrame, cell: float, label: str) -> tuple[DataFrame, DataFrame]:
+    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
+    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
+    at = lambda v: F.floor(v / cell)
+    cells = polygons.select(F.col(label).alias("_label"), "ring", F.explode(F.sequence(at(low("x")), at(high("x")))).alias("_cx")).select("_label", "ring", "_cx", F.explode(F.sequence(at(low("y")), at(high("y")))).alias("_cy"))
+    return cells, points.withColumns({"_cx": at(F.col("x")), "_cy": at(F.col("y"))})
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, label: str = "aoi", none: str | None = "0") -> DataFrame:
     """Points with the smallest label of the rings that hold them, `none` outside of all.
 
     Rings are spread over the grid cells of their bounds and points hashed to theirs: an equi-join, then the exact test.
     """
-    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
-    at = lambda v: F.floor(v / cell)
-    cells = polygons.select(F.col(label).alias("_label"), "ring", F.explode(F.sequence(at(low("x")), at(high("x")))).alias("_cx")).select("_label", "ring", "_cx", F.explode(F.sequence(at(low("y")), at(high("y")))).alias("_cy"))
-    keyed = points.withColumns({"_cx": at(F.col("x")), "_cy": at(F.col("y"))})
+    cells, keyed = _gridded(points, polygons, cell, label)
     hit = keyed.join(cells, ["_cx", "_cy"], "left").withColumn("_label", F.when(in_ring(F.col("x"), F.col("y"), F.col("ring")), F.col("_label")))
     out = hit.groupBy(*points.columns).agg(F.min("_label").alias(label))
     return out if none is None else out.withColumn(label, F.coalesce(label, F.lit(none)))
 
 
+def points_in_polygons_all(points: DataFrame, polygons: DataFrame, cell: float, label: str) -> DataFrame:
+    """(points, label): one row for each ring that holds a point."""
+    cells, keyed = _gridded(points, polygons, cell, label)
+    return keyed.join(cells, ["_cx", "_cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).select(*points.columns, F.col("_label").alias(label))
+
+
 #: Targets up to this many are broadcast whole; more are searched through grid cells.
 BROADCAST_TARGETS = 10_000
 
@@ -78,13 +88,18 @@ def within_distance(points: DataFrame, targets: DataFrame, radius: float) -> Dat
     return keyed.join(t, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & (dx * dx + dy * dy <= radius * radius), "left_semi").drop("_px", "_py")
 
 
-def capacities(polygons: DataFrame, nodes: DataFrame, per_place: float, cell: float, out: str = "parking") -> DataFrame:
-    """Nodes with `out`: each polygon's area / per_place shared by the nodes in it, or whole on the node nearest to its first corner."""
-    named = polygons.select(F.col("id").alias("poly"), "ring", (ring_area(F.col("ring")) / per_place).alias("places"))
-    held = points_in_polygons(nodes.select("node_id", "x", "y"), named, cell, "poly", None).where("poly IS NOT NULL").select("node_id", "poly")
-    share = held.join(held.groupBy("poly").agg(F.count("*").alias("n")), "poly").join(named, "poly").select("node_id", (F.col("places") / F.col("n")).alias("_p"))
+def holders(polygons: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
+    """(poly, node_id, area, n, inside): the n nodes in each polygon, or the node nearest to its first corner (inside is false)."""
+    named = polygons.select(F.col("id").alias("poly"), "ring", ring_area(F.col("ring")).alias("area"))
+    held = points_in_polygons_all(nodes.select("node_id", "x", "y"), named, cell, "poly").select("node_id", "poly")
+    within = held.join(held.groupBy("poly").agg(F.count("*").alias("n")), "poly").join(named, "poly").select("poly", "node_id", "area", "n", F.lit(True).alias("inside"))
     empty = named.join(held.select("poly").distinct(), "poly", "left_anti")
     corner = empty.select("poly", F.get("ring", F.lit(0))["x"].alias("x"), F.get("ring", F.lit(0))["y"].alias("y"))
-    alone = nearest(corner, nodes, "poly", "node_id").join(named, "poly").select("node_id", F.col("places").alias("_p"))
-    total = share.unionByName(alone).groupBy("node_id").agg(F.sum("_p").alias(out))
+    alone = nearest(corner, nodes, "poly", "node_id").join(named, "poly").select("poly", "node_id", "area", F.lit(1).cast("long").alias("n"), F.lit(False).alias("inside"))
+    return within.unionByName(alone)
+
+
+def capacities(polygons: DataFrame, nodes: DataFrame, per_place: float, cell: float, out: str = "parking") -> DataFrame:
+    """Nodes with `out`: each polygon's area / per_place shared by the nodes in it, or whole on the node nearest to its first corner."""
+    total = holders(polygons, nodes, cell).groupBy("node_id").agg(F.sum(F.col("area") / per_place / F.col("n")).alias(out))
     return nodes.drop(out).join(total, "node_id", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))

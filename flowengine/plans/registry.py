@@ -7,6 +7,7 @@ are keys of the other tables. Computed doubles are rounded on both sides, as sum
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowengine.functions import expressions as X
 from flowengine.operators import aoi, graph, passage, population, raster, scenario, simulate, spatial, species
+from flowengine.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -703,3 +705,210 @@ def raster_line_mean(spark, d):
 def event_spans(spark, d):
     x = t(spark, d, "events").groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
     return x.select(F.col("first_ts").cast("timestamp").alias("first_ts"), "event_type", "n")
+
+
+# ---- files, lines and polygons -------------------------------------------------------------------------------------
+
+
+def _at(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _square(x, y, side: float) -> F.Column:
+    return F.array(*[F.struct((x + i * side).cast("double").alias("x"), (y + j * side).cast("double").alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+
+
+def _order_lines(spark, d):
+    """A line per order, from a point of its customer to one of its own, on whole coordinates."""
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    ends = t(spark, d, "orders").select(o.alias("line_id"), (c % 50).cast("double").alias("ax"), (c % 7).cast("double").alias("ay"), (o % 40 + 20).cast("double").alias("bx"), (o % 9).cast("double").alias("by"))
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return ends.withColumn("coords", F.array(point("ax", "ay"), point("bx", "by")))
+
+
+_LINES = "SELECT o_orderkey AS line_id, (o_custkey % 50)::DOUBLE AS ax, (o_custkey % 7)::DOUBLE AS ay, (o_orderkey % 40 + 20)::DOUBLE AS bx, (o_orderkey % 9)::DOUBLE AS by_ FROM orders"
+
+
+@query(f"SELECT line_id, CAST(line_id % 4 + 1 AS INT) AS walk_bike, (line_id % 3 + 0.5)::DOUBLE AS road_width FROM ({_LINES}) WHERE least(ax, bx) <= 25 AND greatest(ax, bx) >= 20 AND least(ay, by_) <= 5 AND greatest(ay, by_) >= 3")
+def lines_in_box(spark, d):
+    """Path lines written as a table and read back by a box, their text attributes as numbers."""
+    at, k = _at(spark, "lines"), F.col("line_id")
+    bounds = {"xmin": F.least("ax", "bx"), "xmax": F.greatest("ax", "bx"), "ymin": F.least("ay", "by"), "ymax": F.greatest("ay", "by"), "shape_leng": F.lit(1.0)}
+    text = {"walk_bike": (k % 4).cast("string"), "road_width": F.concat((k % 3).cast("string"), F.lit(".5")), "hard_natur": F.lit("none")}
+    _order_lines(spark, d).withColumns(bounds | text).drop("ax", "ay", "bx", "by").write.parquet(at)
+    return files.lines(spark, at, (21.0, 4.0, 24.0, 4.0), 1.0).select("line_id", "walk_bike", "road_width")
+
+
+@query(f"""WITH e AS ({_LINES}), p AS (SELECT ax AS x, ay AS y FROM e UNION SELECT bx, by_ FROM e), n AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM p)
+SELECT row_number() OVER (ORDER BY line_id) AS edge_id, line_id, a.id AS "from", b.id AS "to" FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = by_""")
+def graph_of_lines(spark, d):
+    return graph.lines_to_graph(_order_lines(spark, d).select("line_id", "coords"))[1].select("edge_id", "line_id", "from", "to")
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice * 10 > 10000")
+def large_lakes(spark, d):
+    return files.large_lakes(t(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 10).alias("shape_area"))).select("p_partkey")
+
+
+_LAYERED = "SELECT 'layer' || p_size % 3 AS layer, CAST(floor(p_partkey / 50) AS INT) AS \"row\", CAST(p_partkey % 50 AS INT) AS col, p_retailprice AS value FROM part"
+
+
+@query(f'SELECT layer, "row", col, value FROM ({_LAYERED}) WHERE layer IN (\'layer0\', \'layer2\') AND col BETWEEN 10 AND 29 AND "row" >= 1')
+def cropped_raster(spark, d):
+    """A raster saved by layer, cropped from its "new" source, saved and read back."""
+    k, new, out = F.col("p_partkey"), _at(spark, "raster"), _at(spark, "cropped")
+    grid = _grid(spark, d).join(t(spark, d, "part").select(F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"), F.concat(F.lit("layer"), F.col("p_size") % 3).alias("layer")), ["row", "col"])
+    files.save_raster(grid.withColumns({"x": F.col("col") + 0.5, "y": -F.col("row") - 0.5}), new)
+    files.save_cropped(spark, {"new": new}, "new", out, ["layer0", "layer2"], (10.0, -1e9, 30.0, -1.0))
+    return files.raster(spark, out).select("layer", "row", "col", "value")
+
+
+@query("SELECT p_partkey::VARCHAR AS part_key, p_brand AS brand, p_retailprice AS price FROM part")
+def species_text(spark, d):
+    """Semicolon text with decimal commas and dotted names, written and read back."""
+    at = _at(spark, "species")
+    price = F.regexp_replace(F.format_string("%.2f", "p_retailprice"), r"\.", ",")
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("part.key"), F.col("p_brand").alias("brand"), price.alias("price"))
+    rows.write.csv(at, sep=";", header=True)
+    return files.species_table(spark, at, ["price"])
+
+
+@query("SELECT p_size AS species, p_partkey AS cell FROM part WHERE p_size IN (3, 7, 30)")
+def presence_of_species(spark, d):
+    at = _at(spark, "presence")
+    t(spark, d, "part").select(F.col("p_size").alias("species"), F.col("p_partkey").alias("cell")).write.partitionBy("species").parquet(at)
+    return files.presence(spark, at, [3, 7, 30]).select(F.col("species").cast(t(spark, d, "part").schema["p_size"].dataType).alias("species"), "cell")
+
+
+@query("SELECT s_suppkey, s_suppkey % 2 = 0 AS valid, s_suppkey % 2 = 0 AND s_suppkey % 10 + 4 < 10 AS inside FROM supplier")
+def perimeters(spark, d):
+    """Squares, every other one with crossing sides, as WKT and back through GeoJSON; those up to x = 10 lie in the country."""
+    k = F.col("s_suppkey")
+    x = (k % 10).cast("string")
+    far = (k % 10 + 4).cast("string")
+    corner = lambda a, b: F.concat(a, F.lit(f" {b}"))
+    straight, crossed = [corner(x, 1), corner(far, 1), corner(far, 5), corner(x, 5)], [corner(x, 1), corner(far, 5), corner(far, 1), corner(x, 5)]
+    wkt = lambda c: F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *c), F.lit("))"))
+    ring = files.ring_from_geojson(files.geojson(files.ring_from_wkt(F.when(k % 2 == 0, wkt(straight)).otherwise(wkt(crossed)))))
+    out = t(spark, d, "supplier").select("s_suppkey", ring.alias("ring"), _square(F.lit(-1.0), F.lit(-1.0), 11.0).alias("border"))
+    ok = files.valid_perimeter(F.col("ring"))
+    return out.select("s_suppkey", ok.alias("valid"), (ok & files.in_country(F.col("ring"), F.col("border"))).alias("inside"))
+
+
+@query("SELECT 'nation' AS \"table\", n_nationkey AS k, 'step4' AS step FROM nation UNION ALL SELECT 'supplier', s_suppkey, 'step4' FROM supplier")
+def snapshot_round_trip(spark, d):
+    at = _at(spark, "snapshot")
+    files.save_snapshot({"nation": t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")), "supplier": t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))}, at, "step4")
+    step, tables = files.load_snapshot(spark, at)
+    one = [df.select(F.lit(n).alias("table"), "k", F.lit(step).alias("step")) for n, df in sorted(tables.items())]
+    return one[0].unionByName(one[1])
+
+
+@query("SELECT l_orderkey AS agent_id, CASE WHEN l_orderkey % 2 = 0 THEN 'nicest' ELSE 'shortest' END AS behaviour, list(l_suppkey % 100 ORDER BY l_linenumber, l_suppkey) AS xs FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1 HAVING count(*) > 1")
+def path_geometries(spark, d):
+    """Nodes of a history as points in order; nodes without coordinates fall out, single points are left out."""
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("agent_id"), F.when(F.col("l_orderkey") % 2 == 0, "nicest").otherwise("shortest").alias("behaviour"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("to"))
+    nodes = t(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 100).alias("x"), F.lit(0.0).alias("y"))
+    return simulate.path_geometries(rows, nodes).select("agent_id", "behaviour", F.transform("coords", lambda p: p["x"]).alias("xs"))
+
+
+def _customer_nodes(spark, d):
+    k = F.col("c_custkey")
+    return t(spark, d, "customer").select(k.alias("node_id"), (k % 40 + 0.25).cast("double").alias("x"), (F.floor(k / 40) + 0.5).cast("double").alias("y"), (k % 3).cast("double").alias("parking"))
+
+
+def _nation_squares(spark, d):
+    """A square of side 2 per nation along a diagonal over the lowest rows of nodes; from nation 20 on they hold no node."""
+    n = F.col("n_nationkey")
+    x = F.when(n >= 20, n - 20 + 0.3).otherwise(n).cast("double")
+    y = F.when(n >= 20, -3.0).otherwise((n % 2).cast("double"))
+    return t(spark, d, "nation").select(n.alias("id"), _square(x, y, 2.0).alias("ring"))
+
+
+_HELD = """n AS (SELECT c_custkey AS v, (c_custkey % 40 + 0.25)::DOUBLE AS x, (floor(c_custkey / 40) + 0.5)::DOUBLE AS y, (c_custkey % 3)::DOUBLE AS parking FROM customer),
+q AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey >= 20 THEN n_nationkey - 20 + 0.3 ELSE n_nationkey END::DOUBLE AS px, CASE WHEN n_nationkey >= 20 THEN -3.0 ELSE n_nationkey % 2 END::DOUBLE AS py FROM nation),
+w AS (SELECT id, v, count(*) OVER (PARTITION BY id) AS k, true AS inside FROM q JOIN n ON x > px AND x < px + 2 AND y > py AND y < py + 2),
+h AS (SELECT * FROM w UNION ALL SELECT id, arg_min(v, ((x - px) * (x - px) + (y - py) * (y - py), v)), 1, false FROM q, n WHERE id NOT IN (SELECT id FROM w) GROUP BY id)"""
+
+
+@query(f"WITH {_HELD} SELECT v AS node_id, round(coalesce((SELECT sum(4 / 30.0 / k) FROM h WHERE h.v = n.v), 0), 6)::DOUBLE AS parking FROM n")
+def polygon_capacity(spark, d):
+    return spatial.capacities(_nation_squares(spark, d), _customer_nodes(spark, d), 30.0, 1.0).select("node_id", r6("parking").alias("parking"))
+
+
+@query(f"""WITH {_HELD}, a AS (SELECT v, max(id) AS last FROM h WHERE NOT inside GROUP BY 1), s AS (SELECT h.v, sum(4 / 15.0 / k) AS more FROM h LEFT JOIN a USING (v) WHERE inside AND (last IS NULL OR id > last) GROUP BY 1)
+SELECT v AS node_id, round(CASE WHEN last IS NULL THEN parking ELSE 4 / 15.0 END + coalesce(more, 0), 6)::DOUBLE AS residents FROM n LEFT JOIN a USING (v) LEFT JOIN s USING (v)""")
+def polygons_drawn(spark, d):
+    nodes = _customer_nodes(spark, d).withColumnRenamed("parking", "residents")
+    return scenario.with_polygons(nodes, _nation_squares(spark, d), 15.0, 1.0, "residents").select("node_id", r6("residents").alias("residents"))
+
+
+@query(f"WITH {_HELD} SELECT v AS node_id, round(parking - coalesce((SELECT sum(4 / 30.0) FROM h WHERE h.v = n.v), 0), 6)::DOUBLE AS parking FROM n")
+def polygons_removed(spark, d):
+    return scenario.without_polygons(_customer_nodes(spark, d), _nation_squares(spark, d), 1.0).select("node_id", r6("parking").alias("parking"))
+
+
+@query("SELECT p_partkey AS cell, p_retailprice AS value, chr(CAST(65 + floor(p_partkey % 50 / 10) AS INT)) AS aoi FROM part WHERE floor(p_partkey / 50) BETWEEN 1 AND 20")
+def cells_in_polygons(spark, d):
+    """Cells of a raster whose centre lies in one of five upright strips, ten columns wide."""
+    grid = _grid(spark, d).withColumns({"cell": F.col("row") * 50 + F.col("col"), "x": F.col("col") + 0.5, "y": F.col("row") + 0.5})
+    strip = F.array(*[F.struct((F.col("id") * 10 + 10 * i).cast("double").alias("x"), F.lit(1.0 + 20 * j).alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    strips = spark.range(5).select(F.chr(65 + F.col("id")).alias("aoi"), strip.alias("ring"))
+    return aoi.cells_in(grid, strips, 5.0).select(F.col("cell").cast("long").alias("cell"), "value", "aoi")
+
+
+_BANDS = "SELECT 'band' || CAST(floor(p_partkey / 250) AS INT) AS aoi, p_partkey AS cell, p_partkey % 50 < 25 AS low FROM part WHERE p_partkey % 50 <> 25"
+
+
+@query(f"SELECT aoi, min(cell) AS component, count(*) AS n FROM ({_BANDS}) GROUP BY aoi, low")
+def areas_cut_apart(spark, d):
+    """Bands of five rows of cells, cut along column 25."""
+    bands = _grid(spark, d).select(F.concat(F.lit("band"), F.floor(F.col("row") / 5)).alias("aoi"), "row", "col")
+    line = bands.where("col = 25").select("row", "col")
+    return aoi.cut_apart(bands, line, 50).groupBy("aoi", "component").agg(F.count("*").alias("n"))
+
+
+@query("SELECT floor(p_partkey / 250)::BIGINT AS component, count(*) * 700.0::DOUBLE AS area FROM part GROUP BY 1 HAVING count(*) * 700 > 100000")
+def large_areas(spark, d):
+    grid = _grid(spark, d)
+    return raster.aois(grid.select("row", "col", F.floor(F.col("row") / 5).alias("component")), grid, 700.0).select("component", "area")
+
+
+@query("SELECT 'base_2' AS scenario_id, n_nationkey AS edge_id FROM nation")
+def scenario_removed(spark, d):
+    base = t(spark, d, "nation").select(F.lit("base").alias("scenario_id"), F.col("n_nationkey").alias("edge_id"))
+    return scenario.removed(scenario.copied(base, "base", "base_2"), "base")
+
+
+@query("""SELECT c_custkey AS agent_id, true AS active, 1 AS moving, 'shortest' AS behaviour, c_nationkey::BIGINT AS next_v, true AS fresh FROM customer""")
+def agents_at_start(spark, d):
+    agents = t(spark, d, "customer").select(F.col("c_custkey").alias("agent_id"), F.col("c_nationkey").cast("long").alias("start_v"))
+    return population.initial_state(agents).select("agent_id", "active", "moving", "behaviour", "next_v", (F.col("prior_v").isNull() & (F.col("timer") == 0)).alias("fresh"))
+
+
+_NEW = ("walkNat", "walkSoc", "biker", "ebike", "jogger", "dogNat", "dogProx")
+_START = {c: scenario.EFFECT_COLUMNS.index(c) for c in _NEW}
+_PAID = {c: sum(scenario.EFFECTS[x][i] for x in ("walkBike2", "hardNatur2", "width1")) for c, i in _START.items()}
+
+
+@query("WITH g AS (SELECT floor(p_partkey / 50) AS r, p_partkey % 50 AS c, p_retailprice AS v, chr(CAST(65 + floor(p_partkey / 250) AS INT)) AS aoi FROM part), m AS (SELECT n_nationkey AS k, avg(v) AS m, min(aoi) AS aoi FROM nation JOIN g ON r = n_nationkey % 4 AND c BETWEEN n_nationkey AND n_nationkey + 10 GROUP BY 1) SELECT k AS edge_id, aoi, "
+       + ", ".join(f'round(m * {i + 1} + {_PAID[c]}, 6) AS "{c}"' for i, c in enumerate(_NEW)) + " FROM m")
+def new_paths(spark, d):
+    """Paths drawn and submitted: the raster's mean of all seven kinds, the full effect of the chosen levels on top, and the area."""
+    k = F.col("n_nationkey")
+    y = 400.0 - (k % 4 + 0.5) * 10.0
+    lines = t(spark, d, "nation").select(k.cast("long").alias("edge_id"), F.array(F.struct(((k + 0.5) * 10.0).alias("x"), y.alias("y")), F.struct(((k + 10.5) * 10.0).alias("x"), y.alias("y"))).alias("coords"))
+    grid = _grid(spark, d).select("row", "col", F.posexplode(F.array(*map(F.lit, _NEW))).alias("i", "layer"), "value").withColumn("value", F.col("value") * (F.col("i") + 1)).drop("i")
+    cells = _grid(spark, d).select("row", "col", F.chr(65 + F.floor(F.col("row") / 5)).alias("aoi"))
+    drawn = scenario.surveyed(lines, grid, cells, 0.0, 400.0, 10.0, {c: c for c in _NEW})
+    levels = scenario.attribute_effect(["w", "h", "b"])
+    paid = drawn.withColumns({"w": F.lit("walkBike2"), "h": F.lit("hardNatur2"), "b": F.lit("width1")}).withColumns({f"d_{c}": levels[c].cast("double") for c in _NEW})
+    end = lambda i, c: F.col("coords")[i][c]
+    nodes = paid.select(F.posexplode(F.array(F.lit(0), F.lit(1))).alias("i", "_"), "edge_id", "coords").select((F.col("edge_id") * 2 + F.col("i")).alias("node_id"), F.get("coords", F.col("i"))["x"].alias("x"), F.get("coords", F.col("i"))["y"].alias("y"), *[F.lit(0.0).alias(c) for c in _NEW])
+    none = F.lit(None).cast("double")
+    log = paid.select(F.lit(1).alias("seq"), F.lit("add_edge").alias("op"), F.col("edge_id").alias("id"), (F.col("edge_id") * 2).alias("from"), (F.col("edge_id") * 2 + 1).alias("to"), end(0, "x").alias("x"), end(0, "y").alias("y"), "aoi", *_NEW, *[none.alias(f"d_{c}") for c in _NEW])
+    change = log.withColumns({"seq": F.lit(2), "op": F.lit("change_edge")}).drop(*[f"d_{c}" for c in _NEW]).join(paid.select(F.col("edge_id").alias("id"), *[f"d_{c}" for c in _NEW]), "id")
+    edges = nodes.select(F.col("node_id").alias("edge_id"), F.col("node_id").alias("from"), F.col("node_id").alias("to"), F.lit(0.0).alias("shape_leng"), *_NEW).where("false")
+    out = scenario.edited(nodes, edges, log.unionByName(change), {c: f"d_{c}" for c in _NEW})[1]
+    return out.select("edge_id", "aoi", *[r6(c).alias(c) for c in _NEW])

@@ -23,9 +23,10 @@ def build_network(lines: DataFrame, residents: DataFrame, attractiveness: DataFr
     return raster.sampled(nodes, layers, x0, y0, res), edges
 
 
-def enrich(nodes: DataFrame, edges: DataFrame, cells: DataFrame, areas: DataFrame, parking: DataFrame, x0: float, y0: float, res: float, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edge weights): labels of the areas' main parts, parking places, and the weighted lengths of every type."""
-    nodes = graph.induced_labels(aoi.labelled_nodes(nodes, cells, x0, y0, res), edges)
+def enrich(nodes: DataFrame, edges: DataFrame, cells: DataFrame, areas: DataFrame, parking: DataFrame, x0: float, y0: float, res: float, threshold: float, in_turn: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edge weights): labels of the areas' main parts (one area after the other, or all at once), parking places, and the weighted lengths of every type."""
+    settle = graph.labels_in_turn if in_turn else graph.induced_labels
+    nodes = settle(aoi.labelled_nodes(nodes, cells, x0, y0, res), edges)
     nodes = spatial.capacities(aoi.parking_near(parking, cells, x0, y0, res), nodes, 30.0, 10 * res)
     # parking is weighed by the attractiveness of the nearest area
     centre = cells.groupBy("aoi").agg((F.lit(x0) + (F.avg("col") + 0.5) * res).alias("x"), (F.lit(y0) - (F.avg("row") + 0.5) * res).alias("y"))
@@ -75,9 +76,9 @@ def sensitivity_map(presence: DataFrame, metadata: DataFrame, code: str = "s8",
     return raster.sensitivity(raster.non_empty_layers(presence), kept.select(F.col("species").alias("layer"), "weight"))
 
 
-def apply_scenario(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_scenario(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after the edits: the largest component, with dense ids; the ids before stay as node_id_2, edge_id_2, from_2, to_2."""
-    nodes, edges = graph.largest_component(*scenario.edited(nodes, edges, edits))
+    nodes, edges = graph.largest_component(*scenario.edited(nodes, edges, edits, deltas))
     nodes = graph.cut(graph.dense_ids(nodes.withColumnRenamed("node_id", "node_id_2"), ["node_id_2"], "node_id"))
     edges = edges.withColumnsRenamed({"edge_id": "edge_id_2", "from": "from_2", "to": "to_2"})
     at = nodes.select("node_id", "node_id_2")

@@ -14,12 +14,17 @@ LINES = T.StructType([
 ])
 
 
-def lines(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None, buffer: float = 1000.0) -> DataFrame:
-    """Path lines whose bounds meet the buffered box: plain comparisons, so the scan skips row groups by their statistics."""
+def lines(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None, buffer: float = 1000.0, ring: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Path lines whose bounds meet the buffered box: plain comparisons, so the scan skips row groups by their statistics.
+
+    With a perimeter (corners of a ring) only lines that meet it remain.
+    """
     df = spark.read.schema(LINES).parquet(path)
     if bbox:
         x0, y0, x1, y1 = bbox[0] - buffer, bbox[1] - buffer, bbox[2] + buffer, bbox[3] + buffer
         df = df.where((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))
+    if ring:
+        df = df.where(meets(F.col("coords"), F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])))
     # text attributes become numbers where they are numbers, else null
     number = lambda c, kind: F.expr(f"try_cast({c} AS {kind})")
     return df.withColumns({"walk_bike": number("walk_bike", "int") + 1, "road_width": number("road_width", "double"), "hard_natur": number("hard_natur", "int")})
@@ -123,6 +128,35 @@ def in_country(ring: F.Column, border: F.Column) -> F.Column:
     return F.forall(ring, lambda p: within_ring(p, border)) & ~F.exists(places(ring), lambda i: F.exists(places(border), lambda j: cross(i, j)))
 
 
+def meets(coords: F.Column, ring: F.Column) -> F.Column:
+    """Whether a line has a point inside a ring or crosses one of its sides."""
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+    def cross(i, j):
+        a, b, c, d = F.get(coords, i), F.get(coords, i + 1), F.get(ring, j), F.get(ring, F.pmod(j + 1, F.size(ring)))
+        return (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+
+    legs = F.when(F.size(coords) > 1, F.sequence(F.lit(0), F.size(coords) - 2)).otherwise(F.array().cast("array<int>"))
+    sides = F.sequence(F.lit(0), F.size(ring) - 1)
+    return F.exists(coords, lambda p: within_ring(p, ring)) | F.exists(legs, lambda i: F.exists(sides, lambda j: cross(i, j)))
+
+
+def save_raster(grid: DataFrame, path: str, info: str = "") -> None:
+    """A raster (layer, row, col, ..) partitioned by layer, and a text on how it was made beside it."""
+    grid.write.mode("overwrite").partitionBy("layer").parquet(path)
+    grid.sparkSession.createDataFrame([(info,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_info")
+
+
+def save_cropped(spark: SparkSession, sources: dict[str, str], source: str, path: str, layers: list[str], bbox: tuple[float, float, float, float]) -> None:
+    """Layers of the chosen raster ("new" or "old", by its path) within the bounds."""
+    save_raster(raster(spark, sources[source], layers, bbox), path, f"source: {source}")
+
+
+def save_outlines(rings: DataFrame, path: str) -> None:
+    """A perimeter or areas (label, ring) as GeoJSON text."""
+    rings.select("label", geojson(F.col("ring")).alias("geojson")).write.mode("overwrite").parquet(path)
+
+
 def save_paths(edges: DataFrame, path: str, legacy_columns: bool = False) -> None:
     """Paths with their passage columns; the legacy list leaves joggers out."""
     skip = {"passage_jog", "passage_jog_aoi"} if legacy_columns else set()

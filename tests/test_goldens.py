@@ -180,6 +180,68 @@ def test_induced_labels(spark):
     assert {r.node_id for r in graph.induced_labels(nodes, edges).where("aoi = 'A'").collect()} == {1, 2, 3, 4}
 
 
+def test_labels_in_turn(spark):
+    """Against a plain fold over the labels, on graphs with rings, chains and labels that touch."""
+    for seed in range(3):
+        pick = lambda i, m: (i * 7919 + seed * 104729 + i * i * 31) % m  # noqa: B023, E731
+        has = {i: ("0", "A", "B", "AA", "C")[pick(i, 5)] for i in range(40)}
+        pairs = [(i, (i + 1 + pick(i, 4)) % 40) for i in range(40)]
+        near = {i: {i} | {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in has}
+        want = dict(has)
+        for name in ("A", "B", "C", "AA"):
+            left, parts = {v for v in want if want[v] == name}, []
+            while left:
+                part, front = set(), {left.pop()}
+                while front:
+                    part |= front
+                    front = {n for v in front for n in near[v] if want[n] == name} - part
+                parts.append(part)
+                left -= part
+            top = max(map(len, parts), default=0)
+            for part in parts:
+                if len(part) < top:
+                    want.update(dict.fromkeys(part, "0"))
+            for part in [p for p in parts if len(p) == top]:
+                want.update(dict.fromkeys(set().union(*(near[v] for v in part)), name))
+        nodes = spark.createDataFrame(list(has.items()), "node_id long, aoi string")
+        got = graph.labels_in_turn(nodes, spark.createDataFrame(pairs, "`from` long, `to` long"))
+        assert {r.node_id: r.aoi for r in got.collect()} == want
+
+
+def test_drawn_polygons_apply_in_their_order(spark):
+    """A polygon without nodes takes the place of what its node had; later shares come on top."""
+    def ring(x, y):
+        return [(x, y), (x + 30.0, y), (x + 30.0, y + 30.0), (x, y + 30.0)]
+
+    nodes = spark.createDataFrame([(1, 5.0, 5.0, 100.0), (2, 500.0, 500.0, None)], "node_id long, x double, y double, parking double")
+    kind = "id long, ring array<struct<x: double, y: double>>"
+    put = lambda *rows: {r.node_id: r.parking for r in scenario.with_polygons(nodes, spark.createDataFrame(list(rows), kind), 30.0, 10.0).collect()}
+    assert put((1, ring(0.0, 0.0)), (2, ring(10.0, 10.0))) == {1: 30.0, 2: 0.0}
+    assert put((1, ring(10.0, 10.0)), (2, ring(0.0, 0.0))) == {1: 60.0, 2: 0.0}
+    both = spark.createDataFrame([(1, 5.0, 5.0, 100.0), (2, 6.0, 6.0, 100.0)], "node_id long, x double, y double, parking double")
+    gone = lambda **how: {r.node_id: r.parking for r in scenario.without_polygons(both, spark.createDataFrame([(1, ring(0.0, 0.0))], kind), 10.0, **how).collect()}
+    assert gone() == {1: 70.0, 2: 70.0} and gone(as_written=False) == {1: 85.0, 2: 85.0}
+
+
+def test_lines_meet_a_perimeter(spark):
+    """Exact after the box: through the ring without a point in it, inside it, and past its corner."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]
+    lines = {1: [(-1.0, 1.0), (5.0, 1.5)], 2: [(1.0, 1.0)], 3: [(3.0, 3.0), (4.0, 4.0)], 4: []}
+    df = spark.createDataFrame(list(lines.items()), "id long, coords array<struct<x: double, y: double>>")
+    side = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring])
+    assert {r.id for r in df.where(files.meets(F.col("coords"), side)).collect()} == {1, 2}
+
+
+def test_raster_sinks(spark, tmp_path):
+    grid = spark.createDataFrame([("a", 0, 0, 0.5, -0.5, 1.0), ("a", 0, 9, 9.5, -0.5, 2.0), ("b", 0, 0, 0.5, -0.5, 3.0)], "layer string, row int, col int, x double, y double, value double")
+    files.save_raster(grid, str(tmp_path / "new"), "smoothed")
+    assert spark.read.text(str(tmp_path / "new_info")).first()[0] == "smoothed"
+    files.save_cropped(spark, {"new": str(tmp_path / "new")}, "new", str(tmp_path / "out"), ["a"], (0.0, -1.0, 5.0, 0.0))
+    assert [(r.layer, r.value) for r in files.raster(spark, str(tmp_path / "out")).collect()] == [("a", 1.0)]
+    files.save_outlines(spark.createDataFrame([("A", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)])], "label string, ring array<struct<x: double, y: double>>"), str(tmp_path / "rings"))
+    assert spark.read.parquet(str(tmp_path / "rings")).first().geojson == '{"type":"Polygon","coordinates":[[[0.0,0.0],[1.0,0.0],[1.0,1.0]]]}'
+
+
 def test_spatial(spark):
     ring = "array<struct<x: double, y: double>>"
     poly = spark.createDataFrame([(1, [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (0.0, 30.0)]), (2, [(100.0, 100.0), (130.0, 100.0), (130.0, 130.0)])], f"id long, ring {ring}")
