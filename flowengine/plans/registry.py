@@ -746,9 +746,9 @@ def graph_of_lines(spark, d):
     return graph.lines_to_graph(_order_lines(spark, d).select("line_id", "coords"))[1].select("edge_id", "line_id", "from", "to")
 
 
-@query("SELECT p_partkey FROM part WHERE p_retailprice * 10 > 10000")
+@query("SELECT p_partkey FROM part WHERE p_size * 400 > 10000")
 def large_lakes(spark, d):
-    return files.large_lakes(t(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 10).alias("shape_area"))).select("p_partkey")
+    return files.large_lakes(t(spark, d, "part").select("p_partkey", (F.col("p_size") * 400).alias("shape_area"))).select("p_partkey")
 
 
 _LAYERED = "SELECT 'layer' || p_size % 3 AS layer, CAST(floor(p_partkey / 50) AS INT) AS \"row\", CAST(p_partkey % 50 AS INT) AS col, p_retailprice AS value FROM part"
