@@ -1,6 +1,6 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import chat_format, decontaminate, html_linetext, license_scan, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
+from . import chat_format, decontaminate, html_linetext, license_scan, mixing, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
 
 QUERIES = {
     "op1_lm_scores": ngram_score.op1_lm_scores,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_toxicity": toxicity_cnn.op8_toxicity,
     "op9_sentencepiece": sentencepiece_viterbi.op9_sentencepiece,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_mixture": mixing.op11_mixture,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.ORACLE_SQL,
     "op4_main_text": html_linetext.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_top_k": topk_maxscore.ORACLE_SQL,
+    "op11_mixture": mixing.ORACLE_SQL,
 }
