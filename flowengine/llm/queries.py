@@ -1,6 +1,6 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from . import chat_format, decontaminate, hamerly, html_linetext, license_scan, mixing, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, topk_maxscore, toxicity_cnn
+from . import chat_format, decontaminate, hamerly, html_linetext, license_scan, mixing, ngram_score, quality_crf, sentencepiece_viterbi, simhash_vptree, spelling, topk_maxscore, toxicity_cnn
 
 QUERIES = {
     "op1_lm_scores": ngram_score.op1_lm_scores,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_mixture": mixing.op11_mixture,
     "op12_clusters": hamerly.op12_clusters,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.ORACLE_SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_top_k": topk_maxscore.ORACLE_SQL,
     "op11_mixture": mixing.ORACLE_SQL,
     "op12_clusters": hamerly.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
