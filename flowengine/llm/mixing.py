@@ -37,8 +37,8 @@ SEED = 20_11
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a bucket about, and buckets of a bucket of buckets.
 BUCKET, WIDER = 1_024, 1_024
-#: Draws that one row spreads to, and sources that are broadcast at most.
-STEP, FEW = 65_536, 20_000
+#: Draws that one row spreads to, such rows that a task gets, and sources that are broadcast at most.
+STEP, EACH, FEW = 65_536, 4, 20_000
 #: Modulus and multipliers of the permutations' rounds.
 _P, _BY = 2_147_483_647, (1_103_515_245, 1_664_525, 69_621_907, 742_938_285, 950_706_376, 1_226_874_159)
 
@@ -140,7 +140,7 @@ def counts(plan: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """(shard, no, n): blocks that an output shard draws from a source."""
     total = plan.agg(F.sum("draws")).first()[0] or 0
     some = plan.where("draws > 0").select("no", "label", "draws", F.explode(F.expr(f"sequence(0L, draws - 1, {STEP}L)")).alias("_from"))
-    some = some.repartition("no", "_from")
+    some = some.repartition(max(1, -(-total // (STEP * EACH))), "no", "_from")
     labels = some.select("no", F.explode(F.expr(f"sequence(label + _from, label + least(_from + {STEP - 1}, draws - 1))")).alias("_label"), F.lit(total).alias("_n"))
     dealt = permuted(labels, "_label", "_n", f"{seed}", "_slot")
     return dealt.groupBy(F.expr(f"_slot div {shard}").alias("shard"), "no").agg(F.count("*").alias("n"))
@@ -152,7 +152,9 @@ def slots(plan: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     c = running(c.withColumn("_few", F.expr(f"shard div {WIDER}")), "no", "_few", ["shard"], "n", "_drawn").drop("_few")
     w = Window.partitionBy("shard")
     c = c.withColumn("_at", F.sum("n").over(w.orderBy("no")) - F.col("n")).withColumn("_room", F.sum("n").over(w))
-    c = c.join(_beside(plan.select("no", "blocks")), "no").withColumn("_i", F.explode(F.expr("sequence(0L, n - 1)")))
+    # few rows stand for many slots: they are dealt out by their number, not by their bytes
+    tasks = max(1, -(-(c.agg(F.sum("n")).first()[0] or 0) // (STEP * EACH)))
+    c = c.join(_beside(plan.select("no", "blocks")), "no").repartition(tasks, "shard", "no").withColumn("_i", F.explode(F.expr("sequence(0L, n - 1)")))
     c = c.withColumn("_at", F.col("_at") + F.col("_i")).withColumn("_draw", F.col("_drawn") + F.col("_i"))
     c = permuted(c, "_at", "_room", f"{seed} + 1000003 * (shard % 1000000007)", "slot")
     c = c.withColumn("_time", F.expr("_draw div blocks")).withColumn("_index", F.expr("_draw % blocks"))
