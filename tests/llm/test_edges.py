@@ -375,11 +375,44 @@ def test_main_text_is_weighed_inside_and_outside_articles():
     page = "<body>" + "".join(f"<div>{x}</div>" for x in body) + "<hr>" * 4 + card * 3 + "</body>"
     assert html_linetext.main_text(page) == " ".join(body)
     links = "".join(f"<p><a href=x>Link to another page of this site {i}</a></p>" for i in range(5))
-    assert html_linetext.main_text("<article>" + "".join(f"<p>{x}</p>" for x in body) + links + "</article>") == " ".join(body)
-    lines = [("x", 1, 1, False)] * 5
+    read = " ".join(f"Link to another page of this site {i}" for i in range(5))
+    assert html_linetext.main_text("<article>" + "".join(f"<p>{x}</p>" for x in body) + links + "</article>") == " ".join([*body, read])
+    lines = [("x", 1, 1, False, 0, True)] * 5
     assert max(html_linetext.distribution(lines, 3, 120)[1]) < 123
 
 
+PAR = "A paragraph of the article, with many words that tell of the river, the road and the bank, so that it runs on for long. " * 4
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "side-by-side", "share-prices", "no-ads with-nav", "sidebar", "content"])
+def test_a_class_of_the_wrapper_never_drops_the_article(wrapper):
+    page = f"<body><nav><a href=x>Home</a></nav><div class='{wrapper}'><h1>Title</h1><p>{PAR}</p><p>{PAR}</p></div><div class='left-sidebar'>Other stories of the week</div></body>"
+    assert html_linetext.main_text(page) == " ".join(f"Title {PAR} {PAR}".split())
+
+
+def test_short_linked_and_small_parts_of_the_article_stay():
+    text = lambda page: html_linetext.main_text(page)
+    flat = lambda *x: " ".join(" ".join(x).split())
+    for open_, close in (("<body>", "</body>"), ("<body><article>", "</article></body>"), ("<body><div id=x>", "</div></body>")):
+        assert text(f"{open_}<p>{PAR}</p><div class=ad>Buy</div><p>Short closing line.</p>{close}") == flat(PAR, "Short closing line.")
+        assert text(f"{open_}<p><a href=x>First linked.</a></p><p>{PAR}</p><p><a href=x>Last linked.</a></p>{close}") == flat("First linked.", PAR, "Last linked.")
+        assert text(f"{open_}<p>{PAR * 6}</p><aside>Buy</aside><h2>More</h2><p>{PAR}</p>{close}") == flat(PAR * 6, "More", PAR)
+    assert text(f"<body><div>{PAR * 6}</div><nav><a>Home</a></nav><section><p>{PAR}</p></section></body>") == flat(PAR * 6, PAR)
+    assert text(f"<article><div class='article-header'><h1>Title</h1><p>The lead.</p></div><p>{PAR}</p></article>") == flat("Title The lead.", PAR)
+    gap = "<p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><ul><li><a href=x>see</a></ul>"
+    assert text(f"<div><p>{PAR}</p>{gap}<p>{PAR}</p></div>") == flat(PAR, "One. Two. Three. Four. see", PAR)
+
+
+def test_what_is_not_the_article_goes_whatever_its_size():
+    remark = "<p>" + PAR + "</p>"
+    for name in ("comments", "post-comments", "comment-list", "disqus"):
+        assert html_linetext.main_text(f"<body><div class=text><p>{PAR}</p></div><div id={name}>{remark * 9}</div></body>") == " ".join(PAR.split())
+    for name in ("cookie-banner", "top-nav-bar", "site-footer", "ad-slot", "related-posts", "newsletter-signup", "main-menu", "page_header", "social-links"):
+        assert html_linetext.marked(name), name
+        assert html_linetext.main_text(f"<body><div class='x {name}'>{PAR}</div><div><p>{PAR}</p><p>{PAR}</p></div></body>") == " ".join(f"{PAR} {PAR}".split()), name
+    assert not any(map(html_linetext.marked, ["article-header", "has-sidebar", "side-by-side", "share-prices", "content", "add", "navy", "sidewalk", "postcomments"]))
+
+
 def test_main_text_reads_broken_and_long_pages_in_one_scan():
     import time
 
