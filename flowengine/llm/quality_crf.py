@@ -2,7 +2,9 @@
 
 Every line has features of its own characters and words, and those of the lines before and after it. The field labels
 each line good or bad; forward-backward gives each line's marginal, and the marginals, weighted by the lines' lengths,
-make the document's quality, calibrated on the training documents.
+make the document's quality, calibrated on the training documents. Features are made for a bounded number of lines at a
+time. A text of many lines is a chain of blocks: the blocks' 2 x 2 products advance together, carry the states from block
+to block, and give the marginals of a stretch of lines at a time, so its memory is a few numbers a line.
 
 Trained in numpy on the driver from the line features of a bounded sample of labelled documents (`PER_CLASS` of each
 class), whose lines take the label of the document. Only the text enters a score. Defined results: a null or empty text
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import bucket, extended, labelled_sample, table, tidy
-from .tokens import Words, chunks, mix, text_bytes
+from .tokens import Words, chunks, gathered, mix, text_bytes
 
 PER_CLASS = 1_500
 THRESHOLD = 0.7
 _LF, _U = 10, np.uint64
 #: Bytes of text whose lines a task holds at a time.
 _CHUNK = 2 << 20
+#: Lines whose features are held at a time, lines from which a text is read by blocks, and lines of a block.
+LINES, MANY, BLOCK = 1 << 16, 2_048, 256
 #: Character classes: upper case, lower case, digits, marks that end sentences, other marks, bytes beyond ASCII.
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), b".,;:?'\"-", b"!#$%&*|<>{}[]()/\\@^~_=+`", range(128, 256)]
 _TABLE = np.full(256, len(_CLASSES), np.uint8)
@@ -128,8 +132,94 @@ class Field:
         q = np.clip(q, 1e-4, 1 - 1e-4)
         return np.log(q / (1 - q))
 
-    def score(self, f: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * self.raw(f, size, first) + self.b, -40, 40)))
+    def unary(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of label good of every line, its length, first line of every text), from the features of LINES lines at a time."""
+        data, offsets = text_bytes(column)
+        breaks = np.flatnonzero(data == _LF) + 1
+        lines = 1 + np.diff(np.searchsorted(breaks, offsets, "right"))
+        out, sizes, d = [], [], 0
+        while d < len(lines):
+            k = max(1, int(np.searchsorted(np.cumsum(lines[d:]), LINES, "right")))
+            if lines[d] <= LINES:
+                f, size, first = line_features(column.slice(d, k))
+                out.append(self.inputs(f, first) @ self.weights)
+                sizes.append(size)
+            else:
+                k, text = 1, data[offsets[d] : offsets[d + 1]]
+                starts = np.concatenate([[0], breaks[(breaks > offsets[d]) & (breaks <= offsets[d + 1])] - offsets[d]])
+                for i in range(0, len(starts), LINES):
+                    a, b = max(i - 1, 0), min(i + LINES + 1, len(starts))  # a neighbour at both sides
+                    end = starts[b] if b < len(starts) else len(text)
+                    f, size, _ = line_features(pa.array([text[starts[a] : end].tobytes()], pa.binary()))
+                    f, size = f[: b - a], size[: b - a]  # without the empty line that the last break opens
+                    own = slice(i - a, i - a + min(LINES, len(starts) - i))
+                    out.append(self.inputs(f, np.array([0, len(f)]))[own] @ self.weights)
+                    sizes.append(size[own])
+            d += k
+        return np.concatenate([np.zeros(0), *out]), np.concatenate([np.zeros(0), *sizes]), np.concatenate([[0], np.cumsum(lines)]).astype(np.int64)
+
+    def share(self, unary: np.ndarray, weight: np.ndarray) -> float:
+        """Weighted mean of the marginals of one text, by blocks of lines."""
+        e = np.exp(self.trans - self.trans.max())
+
+        def nodes(i: int, j: int) -> np.ndarray:
+            u = np.clip(unary[i:j], -30, 30)
+            return np.stack([np.exp(np.minimum(-u, 0)), np.exp(np.minimum(u, 0))], -1)
+
+        # stretches of whole blocks of the lines after the first, and what is left as a block of its own
+        n, cuts = len(unary), [1]
+        while n - cuts[-1] >= BLOCK:
+            cuts.append(cuts[-1] + min(LINES, (n - cuts[-1]) // BLOCK * BLOCK))
+        cuts += [n] if cuts[-1] < n else []
+        a = nodes(0, 1)[0]
+        a = first = a / a.sum()
+        grids = []
+        for i, j in zip(cuts, cuts[1:]):
+            product = np.broadcast_to(np.eye(2), (max(1, (j - i) // BLOCK), 2, 2))
+            grid = nodes(i, j).reshape(len(product), -1, 2)
+            for t in range(grid.shape[1]):
+                product = (product @ e) * grid[:, t, None, :]
+                product = product / product.sum((1, 2), keepdims=True)
+            starts = np.empty((len(product), 2))
+            for k, p in enumerate(product):
+                starts[k], a = a, a @ p
+                a = a / a.sum()
+            grids.append((i, j, product, starts))
+        total, b = 0.0, np.ones(2)
+        for i, j, product, x in reversed(grids):
+            grid, ends = nodes(i, j).reshape(len(product), -1, 2), np.empty((len(product), 2))
+            for k in range(len(product) - 1, -1, -1):
+                ends[k], b = b, product[k] @ b
+                b = b / b.sum()
+            p = np.empty_like(grid)
+            for t in range(grid.shape[1]):
+                x = (x @ e) * grid[:, t]
+                p[:, t] = x = x / x.sum(1, keepdims=True)
+            x = ends
+            for t in range(grid.shape[1] - 1, -1, -1):
+                p[:, t] *= x
+                x = (grid[:, t] * x) @ e.T
+                x = x / x.sum(1, keepdims=True)
+            p = p.reshape(-1, 2)
+            total += float((p[:, 1] / p.sum(1) * weight[i:j]).sum())
+        p = first * b
+        return (total + float(p[1] / p.sum() * weight[0])) / float(weight.sum())
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """The score of every text of a column."""
+        unary, size, first = self.unary(column)
+        lines, q = np.diff(first), np.empty(len(first) - 1)
+        w = size + 1
+        short = np.flatnonzero(lines <= MANY)
+        if len(short):
+            rows = gathered(np.arange(len(unary)), first[:-1][short], lines[short])
+            at = np.concatenate([[0], np.cumsum(lines[short])])
+            p, _ = self.marginals(unary[rows], at)
+            q[short] = np.add.reduceat(p * w[rows], at[:-1]) / np.add.reduceat(w[rows], at[:-1])
+        for d in np.flatnonzero(lines > MANY):
+            q[d] = self.share(unary[first[d] : first[d + 1]], w[first[d] : first[d + 1]])
+        q = np.clip(q, 1e-4, 1 - 1e-4)
+        return 1 / (1 + np.exp(-np.clip(self.a * np.log(q / (1 - q)) + self.b, -40, 40)))
 
 
 def fit(f: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, good: float | None = None, steps: int = 80, rate: float = 0.1, ridge: float = 1e-3) -> Field:
@@ -196,7 +286,7 @@ def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, _CHUNK, text):
-            s = np.full(b.num_rows, model) if isinstance(model, float) else model.score(*line_features(b.column(text)))
+            s = np.full(b.num_rows, model) if isinstance(model, float) else model.scores(b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, out])
 
     return docs.mapInArrow(tidy(run), extended(docs, **{out: T.DoubleType()}))
