@@ -478,7 +478,7 @@ def test_quality_score_against_a_plain_field():
         assert np.allclose(row, want), (text, row, want)
     rng = np.random.default_rng(9)
     m = quality_crf.Field(rng.normal(0, 1, quality_crf.OWN), rng.uniform(0.5, 2, quality_crf.OWN), rng.normal(0, 0.5, 3 * quality_crf.OWN + 1), rng.normal(0, 1, (2, 2)), 1.3, -0.2)
-    got = m.score(f, size, first)
+    got = m.scores(pa.array(texts))
     for d in range(len(texts)):
         z = np.clip((f[first[d] : first[d + 1]] - m.mean) / m.scale, -4, 4)
         zero = np.zeros(quality_crf.OWN)
@@ -492,6 +492,36 @@ def test_quality_score_against_a_plain_field():
         assert math.isclose(got[d], 1 / (1 + math.exp(-(1.3 * math.log(q / (1 - q)) - 0.2))), rel_tol=1e-6)
 
 
+def test_texts_of_many_lines_score_as_by_one_chain(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = quality_crf.Field(rng.normal(0, 1, quality_crf.OWN), rng.uniform(0.5, 2, quality_crf.OWN), rng.normal(0, 0.5, 3 * quality_crf.OWN + 1), rng.normal(0, 1, (2, 2)), 1.3, -0.2)
+    some = ["Good line here.", "", "BAD BAD BAD!!", "12 34 ab ab", "a"]
+    texts = ["\n".join(some[i] for i in rng.integers(5, size=n)) for n in (1, 2, 3, 255, 256, 257, 258, 700, 1, 2049, 5000)] + ["\n" * 3000, None, "", "x\n"]
+    f, size, first = quality_crf.line_features(pa.array(texts))
+    want = 1 / (1 + np.exp(-(1.3 * m.raw(f, size, first) - 0.2)))  # all lines in memory, one step a line
+    for lines, many in ((1 << 16, 2048), (512, 1), (1024, 300), (700, 0)):
+        monkeypatch.setattr(quality_crf, "LINES", lines)
+        monkeypatch.setattr(quality_crf, "MANY", many)
+        assert np.allclose(m.scores(pa.array(texts)), want, rtol=1e-9)
+    u, s, _ = m.unary(pa.array(texts))
+    assert np.allclose(u, m.inputs(f, first) @ m.weights) and (s == size).all()
+
+
+def test_a_long_text_of_line_breaks_is_scored_in_bounded_time_and_memory():
+    import subprocess
+    import sys
+    import time
+
+    rng = np.random.default_rng(4)
+    m = quality_crf.Field(np.zeros(quality_crf.OWN), np.ones(quality_crf.OWN), rng.normal(0, 0.5, 3 * quality_crf.OWN + 1), rng.normal(0, 1, (2, 2)))
+    began = time.process_time()
+    assert 0 < m.scores(pa.array(["\n" * (1 << 20)]))[0] < 1
+    assert time.process_time() - began < 20
+    code = "import numpy as np, pyarrow as pa, resource, sys\nfrom flowengine.llm import quality_crf as q\nm = q.Field(np.zeros(q.OWN), np.ones(q.OWN), np.ones(3 * q.OWN + 1) / 9, np.eye(2))\nt = pa.array(['\\n' * (4 << 20)])\nm.scores(pa.array(['x']))\na = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nm.scores(t)\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    more = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=".").stdout)
+    assert more < 400, more
+
+
 def test_toxicity_score_against_a_plain_convolution():
     texts = ["you are a total idiot, really", "one", "", None, "a b", "word " * 70]
     ids, first = toxicity_cnn.word_ids(pa.array(texts))
