@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import heapq
 import tempfile
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A graph up to this many directed edges is sent whole to the executors (24 bytes an edge); larger ones go by supersteps.
+#: The simulation sends a graph of up to this many directed edges whole to the executors (24 bytes an edge).
 BROADCAST_EDGES = 5_000_000
+#: Nodes of a cell of the network (by ranges of ids), and searches that a task makes in a cell.
+CELL, SOURCES = 4_096, 512
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -202,110 +203,135 @@ def _graph(spark: SparkSession, weights: DataFrame):
     return spark.sparkContext.broadcast({k: Csr(g.src.to_numpy(), g.dst.to_numpy(), g.w.to_numpy(float)) for k, g in rows.groupby("weighting")})
 
 
-def shortest_paths(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(weighting, src, goal, distance, path) of distinct pairs; pairs of one source share a run. Unreachable: 0 and an empty path.
+def _within(seeds: pd.DataFrame, edges: pd.DataFrame, step: int, whole: bool) -> list[tuple]:
+    """Rows (src, node_id, distance, mark) that a cell makes of its seeds: of all its nodes, or of the nodes beyond its edges.
 
-    Graphs above BROADCAST_EDGES go by supersteps; their weights must not be negative.
+    Per source one search over the cell's nodes; the least (distance, mark) counts, and the mark grows by `step` an edge.
     """
-    graph = _graph(pairs.sparkSession, weights)
-    if graph is None:
-        return relational_paths(weights, pairs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for weighting, src, goals in b.itertuples(index=False):
-                g = graph.value.get(weighting)
-                dist, before = g.settle(src, set(goals)) if g else ({}, {})
-                rows += [(weighting, src, int(t), dist.get(int(t), 0.0), path_to(before, src, int(t))) for t in goals]
-            yield pd.DataFrame(rows, columns=["weighting", "src", "goal", "distance", "path"])
-
-    grouped = pairs.select("weighting", "src", "goal").distinct().groupBy("weighting", "src").agg(F.collect_list("goal").alias("goals"))
-    return grouped.mapInPandas(run, "weighting string, src long, goal long, distance double, path array<long>")
-
-
-def nearest_label_nodes(weights: DataFrame, sources: DataFrame, labels: DataFrame, none: str = "0") -> DataFrame:
-    """(weighting, src, aoi, node_id, distance): from each source the nearest node of each label it reaches, nearest label first.
-
-    Graphs above BROADCAST_EDGES go by supersteps. `labels` (node_id, aoi) belongs to the graph and is bounded as the graph is.
+    names = np.unique(np.concatenate([edges.node_id.to_numpy(np.int64), edges.dst.to_numpy(np.int64)[edges.inner.to_numpy(bool)], seeds.node_id.to_numpy(np.int64)]))
+    order = np.argsort(edges.node_id.to_numpy(), kind="stable")
+    tail, head, w, inner = (edges[c].to_numpy()[order] for c in ("node_id", "dst", "w", "inner"))
+    start = np.searchsorted(np.searchsorted(names, tail), np.arange(len(names) + 1)).tolist()
+    to = np.where(inner, np.searchsorted(names, head), head).tolist() if len(head) else []
+    w, inner, ids, rows = w.tolist(), inner.tolist(), names.tolist(), []
+    at = pd.Series(np.searchsorted(names, seeds.node_id.to_numpy(np.int64)), seeds.index)
+    for src, own in seeds.assign(at=at).groupby("src", sort=False):
+        heap = list(zip(own.distance.tolist(), own.mark.tolist(), own["at"].tolist()))
+        heapq.heapify(heap)
+        best, done, beyond = {i: (d, m) for d, m, i in sorted(heap, reverse=True)}, set(), {}
+        while heap:
+            d, m, i = heapq.heappop(heap)
+            if i in done:
+                continue
+            done.add(i)
+            m += step
+            for k in range(start[i], start[i + 1]):
+                j, new = to[k], (d + w[k], m)
+                seen = best if inner[k] else beyond
+                if new < seen.get(j, (np.inf, 0)):
+                    seen[j] = new
+                    if inner[k]:
+                        heapq.heappush(heap, (*new, j))
+        rows += [(src, ids[i], *best[i]) for i in done] if whole else [(src, j, *x) for j, x in beyond.items()]
+    return rows
+
+
+def settled(weights: DataFrame, seeds: DataFrame, step: int = 1, cell: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(weighting, src, node_id, at (distance, mark)): the least over all ways from the seeds (weighting, src, node_id, distance, mark).
+
+    `src` is any key of a search; with step 1 the mark counts edges, with step 0 it stays that of the seed. Weights must not
+    be negative. Nodes are dealt to cells by ranges of their ids (dense_ids numbers neighbouring places alike). A round
+    hands what newly reached a cell to that cell alone, with the cell's edges: it searches its own nodes to the end and returns
+    what leaves it. So rounds follow the cells that ways cross, not their edges, cells that nothing new reaches rest, and
+    only what came in over cells' borders is kept between rounds. A last pass fills the cells. With `rounds`, a
+    graph that needs more raises.
     """
-    graph = _graph(sources.sparkSession, weights)
-    named = labels.where(F.col("aoi") != none).join(weights.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
-    if graph is None:
-        some = sources.join(weights.select("weighting").distinct(), "weighting", "left_semi")
-        found = relational_distances(weights, some).join(named.select("node_id", "aoi"), "node_id")
-        best = found.groupBy("weighting", "src", "aoi").agg(F.min(F.struct("distance", "node_id")).alias("m"))
-        return best.select("weighting", "src", "aoi", "m.node_id", "m.distance")
-    named = named.toPandas()
-    sent = sources.sparkSession.sparkContext.broadcast(dict(zip(named.node_id.tolist(), named.aoi.tolist())))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for weighting, src in b.itertuples(index=False):
-                g, seen = graph.value.get(weighting), set()
-                dist = g.settle(src)[0] if g else {}
-                for v, d in dist.items():
-                    a = sent.value.get(v)
-                    if a is not None and a not in seen:
-                        seen.add(a)
-                        rows.append((weighting, src, a, v, d))
-            yield pd.DataFrame(rows, columns=["weighting", "src", "aoi", "node_id", "distance"])
-
-    return sources.select("weighting", "src").distinct().mapInPandas(run, "weighting string, src long, aoi string, node_id long, distance double")
-
-
-def _settled(weights: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
-    """(weighting, src, node_id, at (distance, hops)): the least distance, and the fewest hops with it."""
-    at = lambda d, h: F.struct(d.alias("distance"), h.alias("hops"))
-    dist = cut(sources.select("weighting", "src", F.col("src").alias("node_id"), at(F.lit(0.0), F.lit(0))).toDF("weighting", "src", "node_id", "at").distinct())
-    front = dist
-    e = weights.select("weighting", F.col("src").alias("node_id"), "dst", "w")
-    done = 0
+    cell = cell or CELL
+    kind = seeds.schema["src"].dataType.simpleString()
+    at = F.min(F.struct("distance", "mark")).alias("at")
+    place = F.floor(F.col("node_id") / cell)
+    e = weights.select("weighting", F.floor(F.col("src") / cell).alias("cell"), F.col("src").alias("node_id"), "dst", "w")
+    e = cut(e.withColumn("inner", F.floor(F.col("dst") / cell) == F.col("cell")))
+    best = cut(seeds.groupBy("weighting", "src", "node_id").agg(at).withColumn("cell", place))
+    most = best.groupBy("weighting").agg(F.count_distinct("src").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-most // SOURCES))  # searches that share a task; a cell with more of them is searched by several
+    part = F.pmod(F.xxhash64("src"), F.lit(parts))
+
+    def searched(rows: DataFrame, whole: bool) -> DataFrame:
+        def run(key: tuple, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+            out = pd.DataFrame(_within(own, edges, step, whole) if len(own) else [], columns=["src", "node_id", "distance", "mark"])
+            out.insert(0, "weighting", key[0])
+            return out
+
+        own = rows.select("weighting", "cell", part.alias("part"), "src", "node_id", "at.distance", "at.mark")
+        near = e.join(own.select("weighting", "cell", F.col("part").alias("near")).distinct(), ["weighting", "cell"])
+        near = near.select(*[F.col(c).alias(c) for c in near.columns])  # columns of its own, whatever the weights and seeds share
+        return own.groupBy("weighting", "cell", "part").cogroup(near.groupBy("weighting", "cell", "near")).applyInPandas(run, f"weighting string, src {kind}, node_id long, distance double, mark long")
+
+    front, done = best, 0
     while True:
-        step = front.join(e, ["weighting", "node_id"]).groupBy("weighting", "src", F.col("dst").alias("node_id")).agg(F.min(at(F.col("at.distance") + F.col("w"), F.col("at.hops") + 1)).alias("via"))
-        both = cut(dist.join(step, ["weighting", "src", "node_id"], "full").select("weighting", "src", "node_id", "at", "via"))
-        better = F.col("via").isNotNull() & (F.col("at").isNull() | (F.col("via") < F.col("at")))
-        front = both.where(better).select("weighting", "src", "node_id", F.col("via").alias("at"))
-        dist = both.select("weighting", "src", "node_id", F.when(better, F.col("via")).otherwise(F.col("at")).alias("at"))
+        active = front.select("weighting", "cell", "src").distinct()
+        out = searched(best.join(active, ["weighting", "cell", "src"], "left_semi"), False).groupBy("weighting", "src", "node_id").agg(at)
+        known = best.select("weighting", "src", "node_id", F.col("at").alias("was"))
+        front = cut(out.join(known, ["weighting", "src", "node_id"], "left").where("was IS NULL OR at < was").drop("was").withColumn("cell", place))
         if front.isEmpty():
-            return dist
+            return searched(best, True).select("weighting", "src", "node_id", F.struct("distance", "mark").alias("at"))
+        if rounds is not None and done >= rounds:
+            raise ValueError(f"distances still fall after {rounds} rounds")
         done += 1
-        if hops is not None and done >= hops:
-            raise ValueError(f"distances still fall after {hops} supersteps")
+        best = cut(best.join(front, ["weighting", "src", "node_id"], "left_anti").unionByName(front.select(*best.columns)))
 
 
-def relational_distances(weights: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
-    """(weighting, src, node_id, distance) by Bellman-Ford supersteps, for graphs too large to broadcast; ends when nothing falls.
+def _sources(df: DataFrame) -> DataFrame:
+    return df.select("weighting", "src", F.col("src").alias("node_id"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("mark")).distinct()
 
-    Weights must not be negative. With `hops`, a graph that needs more supersteps raises.
-    """
-    return _settled(weights, sources, hops).select("weighting", "src", "node_id", "at.distance")
+
+def relational_distances(weights: DataFrame, sources: DataFrame, cell: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(weighting, src, node_id, distance) from every source to every node that it reaches."""
+    return settled(weights, _sources(sources), 1, cell, rounds).select("weighting", "src", "node_id", "at.distance")
 
 
-def relational_paths(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """shortest_paths by supersteps: distances first, then each path back from its goal, a node a step.
+def shortest_paths(weights: DataFrame, pairs: DataFrame, cell: int | None = None) -> DataFrame:
+    """(weighting, src, goal, distance, path) of distinct pairs; pairs of one source share a search. Unreachable: 0 and an empty path.
 
-    Of several predecessors the one settled first (distance, node id) counts; across edges of weight 0 one with fewer hops.
+    Of several predecessors the one settled first (distance, node id) counts; across edges of weight 0 one with fewer edges.
+    Predecessors are doubled: tables of the 1st, 2nd, 4th .. node before every node, by which a path of n nodes is
+    gathered in about log n joins.
     """
     pairs = cut(pairs.select("weighting", "src", "goal").distinct())
-    dist = _settled(weights, pairs)
-    v = dist.select("weighting", "src", F.col("node_id").alias("v"), F.col("at").alias("v_at"))
-    tight = weights.select("weighting", F.col("src").alias("v"), F.col("dst").alias("node_id"), "w").join(v, ["weighting", "v"]).join(dist, ["weighting", "src", "node_id"])
-    tight = tight.where((F.col("v_at.distance") + F.col("w") == F.col("at.distance")) & (F.col("v_at") < F.col("at")))
-    before = cut(tight.groupBy("weighting", "src", F.col("node_id").alias("here")).agg(F.min_by("v", F.struct("v_at.distance", "v")).alias("v")))
-    walk = pairs.withColumns({"here": F.col("goal"), "path": F.array().cast("array<long>"), "moved": F.lit(True)})
-    while True:
-        walk = cut(
-            walk.join(before, ["weighting", "src", "here"], "left").select(
-                "weighting", "src", "goal", F.coalesce("v", "here").alias("here"), F.when(F.col("v").isNull(), F.col("path")).otherwise(F.concat(F.array("here"), "path")).alias("path"), F.col("v").isNotNull().alias("moved")
-            )
-        )
-        if walk.where("moved").isEmpty():
-            break
+    dist = cut(settled(weights, _sources(pairs), 1, cell))
+    v = dist.select("weighting", "src", F.col("node_id").alias("up"), F.col("at").alias("up_at"))
+    tight = weights.select("weighting", F.col("src").alias("up"), F.col("dst").alias("node_id"), "w").join(v, ["weighting", "up"]).join(dist, ["weighting", "src", "node_id"])
+    tight = tight.where((F.col("up_at.distance") + F.col("w") == F.col("at.distance")) & (F.col("up_at") < F.col("at")))
+    jump = cut(tight.groupBy("weighting", "src", "node_id").agg(F.min_by("up", F.struct("up_at.distance", "up")).alias("up")))
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        jump = cut(jump.withColumnRenamed("up", "mid").join(jump.withColumnRenamed("node_id", "mid"), ["weighting", "src", "mid"]).select("weighting", "src", "node_id", "up"))
+    walk = cut(pairs.withColumns({"node_id": F.col("goal"), "back": F.lit(0).cast("long")}))
+    for k in range(len(jumps) - 1, -1, -1):
+        more = walk.join(jumps[k], ["weighting", "src", "node_id"]).select("weighting", "src", "goal", F.col("up").alias("node_id"), (F.col("back") + (1 << k)).alias("back"))
+        walk = cut(walk.unionByName(more))
+    nodes = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "node_id"))), lambda x: x["node_id"])
+    path = walk.groupBy("weighting", "src", "goal").agg(nodes.alias("nodes"))
     far = dist.select("weighting", "src", F.col("node_id").alias("goal"), F.col("at.distance").alias("distance"))
-    path = F.when(F.col("src") == F.col("goal"), F.array("goal")).otherwise(F.col("path"))
-    return walk.join(far, ["weighting", "src", "goal"], "left").select("weighting", "src", "goal", F.coalesce("distance", F.lit(0.0)).alias("distance"), path.alias("path"))
+    found = path.join(far, ["weighting", "src", "goal"], "left")
+    kept = F.when(F.col("src") == F.col("goal"), F.array("goal")).when(F.col("distance").isNull(), F.array().cast("array<long>")).otherwise(F.slice("nodes", F.lit(2), F.size("nodes")))
+    return found.select("weighting", "src", "goal", F.coalesce("distance", F.lit(0.0)).alias("distance"), kept.alias("path"))
+
+
+def nearest_label_nodes(weights: DataFrame, sources: DataFrame, labels: DataFrame, none: str = "0", cell: int | None = None) -> DataFrame:
+    """(weighting, src, aoi, node_id, distance): from each source the nearest node of each label it reaches; of equal ones the smallest id.
+
+    One search a label, from all its nodes at once and against the edges' direction; every node carries its distance to the
+    label and the label's node. The work follows labels and nodes, however many sources ask.
+    """
+    some = weights.select("weighting", F.col("src").alias("node_id")).distinct()
+    seeds = labels.where(F.col("aoi") != none).select("node_id", "aoi").distinct().join(some, "node_id")
+    seeds = seeds.select("weighting", F.col("aoi").alias("src"), "node_id", F.lit(0.0).alias("distance"), F.col("node_id").cast("long").alias("mark"))
+    back = weights.select("weighting", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    reached = settled(back, seeds, 0, cell).select("weighting", F.col("src").alias("aoi"), F.col("node_id").alias("src"), F.col("at.mark").alias("node_id"), "at.distance")
+    return sources.select("weighting", "src").distinct().join(reached, ["weighting", "src"]).select("weighting", "src", "aoi", "node_id", "distance")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -442,9 +442,13 @@ def largest_component(spark, d):
     return graph.largest_component(*whole_graph(spark, d))[0].select("node_id")
 
 
-@query(_GRAPH + " SELECT c AS component, count(*) AS n FROM l GROUP BY 1 ORDER BY n DESC, c LIMIT 10")
+@query("SELECT min(o_orderkey) AS component, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus ORDER BY n DESC, component LIMIT 10")
 def component_sizes_top10(spark, d):
-    return graph.component_sizes(graph.components(*whole_graph(spark, d))).orderBy(F.desc("n"), "component").limit(10)
+    """Orders, each linked to the one before of the same customer and status: as many components as there are such series."""
+    o = t(spark, d, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderkey"))
+    edges = o.select(F.col("o_orderkey").alias("from"), before.alias("to")).where(F.col("to").isNotNull())
+    return graph.component_sizes(graph.components(o.select(F.col("o_orderkey").alias("node_id")), edges)).orderBy(F.desc("n"), "component").limit(10)
 
 
 @query(_GRAPH + " SELECT c AS component, count(*) AS n FROM l GROUP BY 1")
@@ -462,43 +466,50 @@ def whole_ring(spark, d):
     return graph.symmetric(edges, "w").withColumn("weighting", F.lit("distance")), n
 
 
-def _five_to_all(w: DataFrame) -> DataFrame:
-    """The stated query set: the first five nodes to every node."""
-    nodes = w.select("src").distinct()
-    return nodes.where("src < 5").join(nodes.withColumnRenamed("src", "goal"), how="cross").withColumn("weighting", F.lit("distance"))
+def _some(w: DataFrame) -> DataFrame:
+    """The stated query set: every node whose id is divisible by 20."""
+    return w.where("src % 20 = 0").select("weighting", "src").distinct()
+
+
+def _some_to_all(w: DataFrame) -> DataFrame:
+    """The stated query set to every node."""
+    return _some(w).join(w.select(F.col("src").alias("goal")).distinct(), how="cross")
 
 
 _RING = """n AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS k FROM supplier), e0 AS (SELECT s_suppkey % n AS src, (s_suppkey + 1) % n AS dst, CAST(50 + s_suppkey * 13 % 40 AS DOUBLE) AS w FROM supplier, n
 UNION ALL SELECT s_suppkey % n, (s_suppkey + 7) % n, CAST(200 + s_suppkey * 17 % 90 AS DOUBLE) FROM supplier, n UNION ALL SELECT s_suppkey % n, (s_suppkey + k) % n, CAST(400 + s_suppkey * 19 % 70 AS DOUBLE) FROM supplier, n),
 e AS (SELECT src, dst, min(w) AS w FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, w FROM e0) GROUP BY 1, 2)"""
 # rounds go on until no distance falls
-_DIST = f"""WITH RECURSIVE {_RING}, r(s, v, d) USING KEY (s, v) AS (SELECT DISTINCT src, src, 0.0::DOUBLE FROM e WHERE src < 5
+_DIST = f"""WITH RECURSIVE {_RING}, r(s, v, d) USING KEY (s, v) AS (SELECT DISTINCT src, src, 0.0::DOUBLE FROM e WHERE src % 20 = 0
 UNION SELECT r.s, e.dst, min(r.d + e.w) FROM r JOIN e ON e.src = r.v LEFT JOIN recurring.r AS o ON o.s = r.s AND o.v = e.dst WHERE o.d IS NULL OR r.d + e.w < o.d GROUP BY 1, 2)"""
 
 
 @query(_DIST + " SELECT s AS src, v AS goal, d AS distance FROM r")
 def shortest_distance(spark, d):
     w, _ = whole_ring(spark, d)
-    return graph.shortest_paths(w, _five_to_all(w)).select("src", "goal", "distance")
+    return graph.shortest_paths(w, _some_to_all(w)).select("src", "goal", "distance")
 
 
 @query(_DIST + " SELECT s AS src, v AS node_id, d AS distance FROM r")
 def relational_distance(spark, d):
     w, _ = whole_ring(spark, d)
-    return graph.relational_distances(w, w.where("src < 5").select("weighting", "src")).select("src", "node_id", "distance")
+    return graph.relational_distances(w, _some(w)).select("src", "node_id", "distance")
 
 
 @query(_DIST + " SELECT s AS src, chr(CAST(65 + v % 3 AS INT)) AS aoi, v AS node_id, d AS distance FROM r WHERE v % 4 = 1 QUALIFY row_number() OVER (PARTITION BY s, v % 3 ORDER BY d, v) = 1")
 def nearest_aoi_node(spark, d):
     w, _ = whole_ring(spark, d)
     labels = w.select(F.col("src").alias("node_id")).distinct().withColumn("aoi", F.when(F.col("node_id") % 4 == 1, F.chr(65 + F.col("node_id") % 3)).otherwise("0"))
-    return graph.nearest_label_nodes(w, w.where("src < 5").select("weighting", "src"), labels).select("src", "aoi", "node_id", "distance")
+    return graph.nearest_label_nodes(w, _some(w), labels).select("src", "aoi", "node_id", "distance")
 
 
-@query()
+# back from every goal, by the predecessor of the least (distance, id)
+@query(_DIST + """, p AS MATERIALIZED (SELECT r.s, r.v, arg_min(q.v, (q.d, q.v)) AS up FROM r JOIN e ON e.dst = r.v JOIN r AS q ON q.s = r.s AND q.v = e.src AND q.d + e.w = r.d GROUP BY 1, 2),
+walk AS (SELECT s, v AS goal, v AS here, [v] AS path FROM r WHERE s <> v UNION ALL SELECT walk.s, goal, up, list_prepend(up, path) FROM walk JOIN p ON p.s = walk.s AND p.v = here WHERE up <> walk.s)
+SELECT walk.s AS src, goal, path FROM walk JOIN p ON p.s = walk.s AND p.v = here WHERE up = walk.s UNION ALL SELECT s, s, [s] FROM r WHERE s = v""")
 def shortest_path_nodes(spark, d):
     w, _ = whole_ring(spark, d)
-    return graph.shortest_paths(w, _five_to_all(w)).select("src", "goal", "path")
+    return graph.shortest_paths(w, _some_to_all(w)).select("src", "goal", "path")
 
 
 # ---- scenarios and simulation --------------------------------------------------------------------------------------
@@ -616,7 +627,7 @@ def redensified_ids(spark, d):
 def nearest_of_goals(spark, d):
     w, n = whole_ring(spark, d)
     goals = spark.createDataFrame([(n // 4,), (n // 2,), (3 * n // 4,)], "goal long")
-    pairs = w.where("src < 5").select("weighting", "src").distinct().join(F.broadcast(goals), how="cross")
+    pairs = _some(w).join(F.broadcast(goals), how="cross")
     best = graph.shortest_paths(w, pairs).where(F.size("path") > 0).groupBy("src").agg(F.min(F.struct("distance", "goal")).alias("m"))
     return best.select("src", "m.distance", "m.goal")
 

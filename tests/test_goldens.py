@@ -101,9 +101,10 @@ def test_relational_distances_are_whole_or_raise(spark):
     chain = graph.symmetric(spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "`from` long, `to` long, w double"), "w").withColumn("weighting", F.lit("distance"))
     source = chain.where("src = 0").select("weighting", "src")
     assert {r.node_id: r.distance for r in graph.relational_distances(chain, source).collect()} == {i: float(i) for i in range(7)}
+    assert {r.node_id: r.distance for r in graph.relational_distances(chain, source, cell=2).collect()} == {i: float(i) for i in range(7)}
     with pytest.raises(ValueError):
-        graph.relational_distances(chain, source, hops=3)
-    assert inspect.signature(graph.relational_distances).parameters["hops"].default is None
+        graph.relational_distances(chain, source, cell=1, rounds=3)
+    assert inspect.signature(graph.relational_distances).parameters["rounds"].default is None
 
 
 def test_lines_to_graph_and_components(spark):
@@ -130,7 +131,7 @@ def test_whole_graph_components(spark):
     want = {}
     for v in list(up):
         want.setdefault(find(v), set()).add(v)
-    assert {r.component: r.n for r in registry.QUERIES["component_sizes_top10"](spark, "/root/testdata/sf0.001").collect()} == {c: len(x) for c, x in want.items()}
+    assert {r.component: r.n for r in registry.QUERIES["whole_component_sizes"](spark, "/root/testdata/sf0.001").collect()} == {c: len(x) for c, x in want.items()}
     best = min(want, key=lambda c: (-len(want[c]), c))
     assert {r.node_id for r in registry.QUERIES["largest_component"](spark, "/root/testdata/sf0.001").collect()} == want[best]
     assert len(up) == len({s for s, _ in rows}) + len({p for _, p in rows})
@@ -148,16 +149,16 @@ def test_whole_ring(spark):
     step = dist.copy()
     for k in range(n):
         dist = np.minimum(dist, dist[:, k, None] + dist[k])
-    want = {(s, g): dist[s, g] for s in range(5) for g in range(n)}
+    want = {(s, g): dist[s, g] for s in range(0, n, 20) for g in range(n)}
     run = lambda name: registry.QUERIES[name](spark, d).collect()
     assert {(r.src, r.goal): r.distance for r in run("shortest_distance")} == want
     assert {(r.src, r.node_id): r.distance for r in run("relational_distance")} == want
     for r in run("shortest_path_nodes"):
         path = [r.src, *r.path]
         assert path[-1] == r.goal and sum(step[a, b] for a, b in zip(path, path[1:])) == want[r.src, r.goal]
-    near = {(s, chr(65 + r)): min((dist[s, v], v) for v in range(n) if v % 4 == 1 and v % 3 == r) for s in range(5) for r in range(3)}
+    near = {(s, chr(65 + r)): min((dist[s, v], v) for v in range(n) if v % 4 == 1 and v % 3 == r) for s in range(0, n, 20) for r in range(3)}
     assert {(r.src, r.aoi): (r.distance, r.node_id) for r in run("nearest_aoi_node")} == near
-    goals = {s: min((dist[s, g], g) for g in (n // 4, n // 2, 3 * n // 4)) for s in range(5)}
+    goals = {s: min((dist[s, g], g) for g in (n // 4, n // 2, 3 * n // 4)) for s in range(0, n, 20)}
     assert {r.src: (r.distance, r.goal) for r in run("nearest_of_goals")} == goals
     walked = run("simulate_passage")
     assert len(walked) == 3 * n and sum(r.passage > 0 for r in walked) > n
@@ -169,9 +170,46 @@ def test_large_graphs_have_paths_and_labels(spark, monkeypatch):
     pairs = spark.createDataFrame([("distance", a, b) for a in (1, 5, 8, 77) for b in (1, 2, 3, 4, 5, 7, 9, 77)] + [("no", 1, 1), ("no", 1, 2)], "weighting string, src long, goal long")
     labels = spark.createDataFrame([(2, "A"), (3, "A"), (7, "B"), (9, "C"), (77, "D"), (4, "0")], "node_id long, aoi string")
     sources = pairs.select("weighting", "src")
-    small = sorted(graph.shortest_paths(w, pairs).collect()), sorted(graph.nearest_label_nodes(w, sources, labels).collect())
-    monkeypatch.setattr(graph, "BROADCAST_EDGES", 3)
-    assert (sorted(graph.shortest_paths(w, pairs).collect()), sorted(graph.nearest_label_nodes(w, sources, labels).collect())) == small
+    dist = {(a, b): 0.0 if a == b else np.inf for a in range(1, 10) for b in range(1, 10)}
+    for r in w.collect():
+        dist[r.src, r.dst] = min(dist[r.src, r.dst], r.w)
+    for k in range(1, 10):
+        for a, b in list(dist):
+            dist[a, b] = min(dist[a, b], dist[a, k] + dist[k, b])
+    near = {(a, x): min((dist[a, v], v) for v in vs) for a in (1, 5, 8) for x, vs in {"A": (2, 3), "B": (7,), "C": (9,)}.items()}
+    whole = None
+    for cell, searches in ((4096, 512), (3, 1), (1, 2)):
+        monkeypatch.setattr(graph, "SOURCES", searches)
+        paths = sorted(graph.shortest_paths(w, pairs, cell=cell).collect())
+        for r in paths:
+            ends = (r.src, r.goal)
+            assert r.distance == (dist[ends] if r.weighting == "distance" and dist.get(ends, np.inf) < np.inf else 0.0)
+            assert r.path[-1:] == ([r.goal] if r.src == r.goal or r.distance or ends == (5, 7) else []) and len(set(r.path)) == len(r.path)
+            if len(r.path) and r.src != r.goal:
+                assert sum(dist[p] for p in zip([r.src, *r.path], r.path)) == r.distance
+        whole = whole or paths
+        assert paths == whole
+        got = graph.nearest_label_nodes(w, sources, labels, cell=cell).collect()
+        assert {(r.src, r.aoi): (r.distance, r.node_id) for r in got} == {k: v for k, v in near.items() if v[0] < np.inf} and len(got) == len({(r.src, r.aoi) for r in got})
+
+
+def test_long_ways_take_few_rounds(spark):
+    """A grid of 2 x 1,200 nodes, whose ways have over 1,000 edges: rounds follow the cells, path joins the logarithm."""
+    n, wide = 1_200, 2
+    edges = [(wide * i + j, wide * i + j + 1, 1.0 + i % 3) for i in range(n) for j in range(wide - 1)] + [(wide * i + j, wide * i + wide + j, 2.0 + (i * 7 + j * 3) % 5) for i in range(n - 1) for j in range(wide)]
+    w = graph.symmetric(spark.createDataFrame(edges, "`from` long, `to` long, w double"), "w").withColumn("weighting", F.lit("distance")).cache()
+    best = {v: np.inf for v in range(n * wide)} | {0: 0.0}
+    for _ in range(3):  # forward and backward sweeps along the grid
+        for a, b, c in sorted(edges) + sorted(edges, reverse=True):
+            best[b], best[a] = min(best[b], best[a] + c), min(best[a], best[b] + c)
+    source = spark.createDataFrame([("distance", 0)], "weighting string, src long")
+    got = {r.node_id: r.distance for r in graph.relational_distances(w, source, cell=400, rounds=10).collect()}
+    assert got == best
+    pairs = spark.createDataFrame([("distance", 0, n * wide - 1), ("distance", n * wide - 1, 5)], "weighting string, src long, goal long")
+    step = {(a, b): c for x, y, c in edges for a, b in ((x, y), (y, x))}
+    for r in graph.shortest_paths(w, pairs).collect():
+        path = [r.src, *r.path]
+        assert len(path) > 1_000 and path[-1] == r.goal and sum(step[p] for p in zip(path, path[1:])) == r.distance
 
 
 def test_induced_labels(spark):
