@@ -62,9 +62,9 @@ def overlapping(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     return a.select(left, "row", "col").join(b.select(right, "row", "col"), ["row", "col"]).select(left, right).distinct()
 
 
-def aoi_of_lines(lines: DataFrame, cells: DataFrame, x0: float, y0: float, res: float, step: float, key: str = "edge_id") -> DataFrame:
+def aoi_of_lines(lines: DataFrame, cells: DataFrame, x0: float, y0: float, res: float, key: str = "edge_id") -> DataFrame:
     """(key, aoi): the smallest label of the cells that a line touches."""
-    return raster.line_mean(lines, cells.select("row", "col", F.col("aoi").alias("layer"), F.lit(1.0).alias("value")), x0, y0, res, step, key).groupBy(key).agg(F.min("layer").alias("aoi"))
+    return raster.line_cells(lines, x0, y0, res, key).join(cells, ["row", "col"]).groupBy(key).agg(F.min("aoi").alias("aoi"))
 
 
 def labelled_nodes(nodes: DataFrame, cells: DataFrame, x0: float, y0: float, res: float) -> DataFrame:

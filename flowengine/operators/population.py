@@ -9,7 +9,7 @@ from flowengine.functions import expressions as X
 
 from .graph import cut
 
-#: Range buckets of the cumulative mass, at least; each is one window, and there are as many as shuffle partitions if those are more.
+#: Ranges of nodes and of the cumulative mass, at least; each is one window, and there are as many as shuffle partitions if those are more.
 BUCKETS = 32
 
 
@@ -43,27 +43,32 @@ def node_mass(nodes: DataFrame, parking_intensity: float = 0.1) -> DataFrame:
 def drawn_nodes(agents: DataFrame, mass: DataFrame, seed: int = 1, key: str = "agent_id", out: str = "start_v") -> DataFrame:
     """Agents with a node drawn in proportion to its mass.
 
-    The cumulative mass runs in node order. Nodes fall into range buckets whose sums (one row a bucket) give the bucket of
-    a draw; in a bucket nodes and draws are one sorted window in which a draw takes the next node, so no pairs arise.
+    The cumulative mass runs in node order, by range buckets of nodes and their sums. Nodes and draws are then dealt together
+    by their place on it, so the draws of a heavy node spread over many tasks; in each a draw takes the next node, or
+    the first node of a later part, of which there is one a part.
     """
-    keyed = mass.groupBy("node_id").agg(F.sum("mass").alias("mass")).repartitionByRange(max(BUCKETS, int(mass.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "node_id")
+    parts = max(BUCKETS, int(mass.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = mass.groupBy("node_id").agg(F.sum("mass").alias("mass")).repartitionByRange(parts, "node_id")
     keyed = cut(keyed.withColumn("bucket", F.spark_partition_id()))  # range partitions rise with the node
     inner = keyed.withColumn("upto", F.sum("mass").over(Window.partitionBy("bucket").orderBy("node_id")))
-    sums = inner.groupBy("bucket").agg(F.max("upto").alias("total"))
-    order = Window.orderBy("bucket")
-    sums = sums.select("bucket", (F.sum("total").over(order) - F.col("total")).alias("low"), F.sum("total").over(order).alias("high"), F.sum("total").over(Window.partitionBy()).alias("all"))
+    sums = cut(inner.groupBy("bucket").agg(F.max("upto").alias("total")))  # one row a bucket
+    low = sums.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("low"))
+    all_ = sums.agg(F.sum("total")).first()[0] or 0.0
     u = X.uniform(seed, F.lit(out), F.col(key))
-    all_ = F.broadcast(sums.select("all").limit(1))
-    placed = agents.join(all_, how="cross").withColumn("_x", u * F.col("all")).drop("all")
-    placed = placed.join(F.broadcast(sums.drop("all")), (F.col("_x") >= F.col("low")) & (F.col("_x") < F.col("high")), "left")
-    draws = placed.select("bucket", (F.col("_x") - F.col("low")).alias("at"), F.lit(0).alias("is_node"), F.lit(None).cast("bigint").alias("node"), F.struct(*agents.columns).alias("agent"))
-    ends = inner.select("bucket", F.col("upto").alias("at"), F.lit(1).alias("is_node"), F.col("node_id").cast("bigint").alias("node"), F.lit(None).cast(draws.schema["agent"].dataType).alias("agent"))
-    # a node's share ends just before its cumulative mass: nodes sort first, and a draw looks beyond equal ones
-    # seen from the end, the next node is the last one so far, which Spark keeps as it goes
-    w = Window.partitionBy("bucket").orderBy(F.desc("at"), "is_node", F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
-    # sums of doubles may leave a draw just beyond the last node of its bucket: then it takes that node
-    taken = F.coalesce(F.last("node", ignorenulls=True).over(w), F.max("node").over(Window.partitionBy("bucket")))
-    return draws.unionByName(ends).withColumn(out, taken).where("is_node = 0").select("agent.*", out)
+    draws = agents.select((u * all_).alias("at"), F.lit(0).alias("is_node"), F.lit(None).cast("bigint").alias("node"), F.struct(*agents.columns).alias("agent"))
+    ends = inner.join(F.broadcast(low), "bucket").select((F.col("low") + F.col("upto")).alias("at"), F.lit(1).alias("is_node"), F.col("node_id").cast("bigint").alias("node"), F.lit(None).cast(draws.schema["agent"].dataType).alias("agent"))
+    spread = draws.unionByName(ends).withColumn("_mix", F.when(F.col("is_node") == 0, F.xxhash64("agent")).otherwise(0))
+    both = cut(spread.repartitionByRange(parts, "at", F.desc("is_node"), "_mix").withColumn("_part", F.spark_partition_id()))
+    # seen from the end, the next node is the last one so far, which Spark keeps as it goes; a draw looks beyond equal places
+    w = Window.partitionBy("_part").orderBy(F.desc("at"), "is_node", F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
+    firsts = both.groupBy("_part").agg(F.min(F.when(F.col("is_node") == 1, F.struct("at", "node"))).alias("_first"))  # one row a part
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select("_part", F.last("_first.node", ignorenulls=True).over(later).alias("_later"))
+    # sums of doubles may leave a draw just beyond the last node: then it takes that node
+    top = ends.agg(F.max(F.struct("at", "node")).alias("m")).select(F.col("m.node").alias("_top"))
+    taken = F.coalesce(F.last("node", ignorenulls=True).over(w), "_later", "_top")
+    found = both.join(F.broadcast(carried), "_part").join(F.broadcast(top), how="cross").withColumn(out, taken)
+    return found.where("is_node = 0").select("agent.*", out)
 
 
 def aoi_utility(reached: DataFrame) -> DataFrame:

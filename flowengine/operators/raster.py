@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, cut
+from .polygons import cells_along
+from .spatial import in_ring
 
 
 def cell_of(x, y, x0: float, y0: float, res: float):
@@ -19,15 +21,31 @@ def sampled(points: DataFrame, raster: DataFrame, x0: float, y0: float, res: flo
     return points.withColumns({"row": row, "col": col}).join(raster, ["row", "col"], "left").drop("row", "col")
 
 
-def line_mean(lines: DataFrame, raster: DataFrame, x0: float, y0: float, res: float, step: float, key: str = "edge_id") -> DataFrame:
-    """(key, layer, value): mean of the cells that points at most `step` apart along each line fall on."""
-    pairs = lines.select(key, F.explode(F.arrays_zip(F.slice("coords", F.lit(1), F.size("coords") - 1).alias("a"), F.slice("coords", F.lit(2), F.size("coords") - 1).alias("b"))).alias("s"))
-    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
-    n = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / step), F.lit(1)).cast("int")
-    dense = pairs.select(key, dx.alias("dx"), dy.alias("dy"), "s", n.alias("n")).select(key, "dx", "dy", "s", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
-    points = dense.select(key, (F.col("s.a.x") + F.col("dx") * F.col("i") / F.col("n")).alias("x"), (F.col("s.a.y") + F.col("dy") * F.col("i") / F.col("n")).alias("y"))
-    row, col = cell_of(F.col("x"), F.col("y"), x0, y0, res)
-    return points.select(key, row.alias("row"), col.alias("col")).distinct().join(raster, ["row", "col"]).groupBy(key, "layer").agg(F.avg("value").alias("value"))
+def line_cells(lines: DataFrame, x0: float, y0: float, res: float, key: str = "edge_id") -> DataFrame:
+    """(key, row, col): the cells that each line crosses, each once, however short its way through a cell."""
+    at = lambda p: ((p["x"] - x0) / res, (F.lit(y0) - p["y"]) / res)
+    pairs = lines.where(F.size("coords") > 1).select(key, F.explode(F.arrays_zip(F.slice("coords", F.lit(1), F.size("coords") - 1).alias("a"), F.slice("coords", F.lit(2), F.size("coords") - 1).alias("b"))).alias("s"))
+    cells = pairs.select(key, F.explode(cells_along(*at(F.col("s.a")), *at(F.col("s.b")), 1.0)).alias("c"))
+    return cells.select(key, F.col("c.cy").cast("int").alias("row"), F.col("c.cx").cast("int").alias("col")).distinct()
+
+
+def line_mean(lines: DataFrame, raster: DataFrame, x0: float, y0: float, res: float, key: str = "edge_id") -> DataFrame:
+    """(key, layer, value): mean of the cells that each line crosses."""
+    return line_cells(lines, x0, y0, res, key).join(raster, ["row", "col"]).groupBy(key, "layer").agg(F.avg("value").alias("value"))
+
+
+def masked(grid: DataFrame, presence: DataFrame, cell: float) -> DataFrame:
+    """The cells (layer, x, y, ..) whose centre lies in a ring (layer, ring) of their layer; layers without such a ring drop out.
+
+    Rings go to the squares of `cell` that their bounds cover, cells to their own: an equi-join by layer and square.
+    """
+    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
+    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
+    at = lambda v: F.floor(v / cell)
+    rings = presence.select("layer", "ring", F.explode(F.sequence(at(low("x")), at(high("x")))).alias("_cx")).select("layer", "ring", "_cx", F.explode(F.sequence(at(low("y")), at(high("y")))).alias("_cy"))
+    keyed = grid.withColumns({"_cx": at(F.col("x")), "_cy": at(F.col("y"))}).alias("g")
+    same = (F.col("g.layer") == F.col("p.layer")) & (F.col("g._cx") == F.col("p._cx")) & (F.col("g._cy") == F.col("p._cy"))
+    return keyed.join(rings.alias("p"), same & in_ring(F.col("g.x"), F.col("g.y"), F.col("p.ring")), "left_semi").drop("_cx", "_cy")
 
 
 def thresholded(raster: DataFrame, t: float) -> DataFrame:
@@ -45,11 +63,27 @@ def cell_components(cells: DataFrame, width: int) -> DataFrame:
 
 
 def top_quartile_blend(rows: DataFrame, group: str, value: str, count_nulls: bool = False) -> DataFrame:
-    """(group, blend): mean of the median of all and the median of the top max(1, n / 4); nulls sort last and count in n only on demand."""
+    """(group, blend): mean of the median of all and the median of the top max(1, n / 4); nulls sort last and count in n only on demand.
+
+    Equal values are counted first. Different ones lie in ranges of (group, value), whose sums give every value its places
+    in the group, so no group is sorted in one task; the medians are the values at up to four places.
+    """
     some = rows if count_nulls else rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(group)
-    ranked = some.select(group, value, F.row_number().over(w.orderBy(F.desc_nulls_last(value))).alias("rn"), F.greatest(F.lit(1), F.floor(F.count("*").over(w) / 4)).alias("k"))
-    return ranked.groupBy(group).agg(((F.median(F.when(F.col("rn") <= F.col("k"), F.col(value))) + F.median(value)) / 2).alias("blend"))
+    counts = some.groupBy(group, value).agg(F.count("*").alias("_n"))
+    n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    parts = cut(counts.repartitionByRange(n, group, value).withColumn("_part", F.spark_partition_id()))
+    known = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
+    sizes = parts.groupBy(group, "_part").agg(F.sum(known).alias("_m"))  # at most one row a group and partition
+    before = sizes.withColumn("_before", F.sum("_m").over(Window.partitionBy(group).orderBy("_part")) - F.col("_m")).drop("_m")
+    inner = F.sum("_n").over(Window.partitionBy(group, "_part").orderBy(value)) - F.col("_n")
+    placed = parts.where(F.col(value).isNotNull()).withColumn("_in", inner).join(before, [group, "_part"]).withColumn("_low", F.col("_in") + F.col("_before"))
+    stats = parts.groupBy(group).agg(F.sum("_n").alias("_all"), F.sum(known).alias("_m"))
+    stats = stats.withColumn("_k", F.least(F.greatest(F.lit(1), F.floor(F.col("_all") / 4)), F.col("_m")))
+    first = F.col("_m") - F.col("_k")
+    places = {"_a": F.floor((F.col("_m") - 1) / 2), "_b": F.floor(F.col("_m") / 2), "_c": first + F.floor((F.col("_k") - 1) / 2), "_d": first + F.floor(F.col("_k") / 2)}
+    at = lambda c: F.max(F.when((F.col("_low") <= F.col(c)) & (F.col(c) < F.col("_low") + F.col("_n")), F.col(value)))
+    found = placed.join(stats.select(group, *[e.alias(c) for c, e in places.items()]), group).groupBy(group).agg(*[at(c).alias(c) for c in places])
+    return stats.select(group).join(found, group, "left").select(group, ((F.col("_a") + F.col("_b") + F.col("_c") + F.col("_d")) / 4).alias("blend"))
 
 
 def mean_above(rows: DataFrame, group: str, value: str, low: float = -20.0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from flowengine.functions import expressions as X
 
 from . import aoi, raster, spatial
+from . import polygons as rings
+from .graph import cut
 
 #: Effect of each level of an attribute on each attractiveness, in the order of EFFECT_COLUMNS.
 EFFECT_COLUMNS = ("walkNat", "walkSoc", "biker", "ebike", "all", "jogger", "dogNat", "dogProx")
@@ -65,13 +67,13 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return name
 
 
-def with_polygons(nodes: DataFrame, polygons: DataFrame, per_place: float, cell: float, out: str = "parking") -> DataFrame:
+def with_polygons(nodes: DataFrame, polygons: DataFrame, per_place: float, cell: float, out: str = "parking", held: DataFrame | None = None) -> DataFrame:
     """Nodes after drawing polygons (id, ring) in the order of id.
 
     The nodes in a polygon get equal shares of its area / per_place on top of `out`. Where it holds none, the node nearest
-    to its first corner takes all of it, in place of what it had.
+    to its first corner takes all of it, in place of what it had. `held` names the nodes in their stead (polygons.holders).
     """
-    h = spatial.holders(polygons, nodes, cell).withColumn("_p", F.col("area") / per_place / F.col("n"))
+    h = (spatial.holders(polygons, nodes, cell) if held is None else held).withColumn("_p", F.col("area") / per_place / F.col("n"))
     anew = h.where("NOT inside").groupBy("node_id").agg(F.max(F.struct("poly", "_p")).alias("_m"))
     later = h.join(anew, "node_id", "left").where("inside AND (_m IS NULL OR poly > _m.poly)").groupBy("node_id").agg(F.sum("_p").alias("_more"))
     some = nodes.join(anew, "node_id", "left").join(later, "node_id", "left")
@@ -85,22 +87,31 @@ def without_polygons(nodes: DataFrame, polygons: DataFrame, cell: float, per_pla
     return nodes.join(less, "node_id", "left").withColumn(out, F.coalesce(out, F.lit(0.0)) - F.coalesce("_less", F.lit(0.0))).drop("_less")
 
 
+def admitted(drawn: DataFrame, same: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, ring, group) after drawing polygons (id, ring): what meets one of the other kind is refused; of the rest and those
+    of the same kind that are there already, those that hang together form a group, named by its smallest id."""
+    refused = rings.meeting(drawn, other.select(F.col("id").alias("_other"), "ring"), "id", "_other").select("id").distinct()
+    whole = cut(drawn.select("id", "ring").join(refused, "id", "left_anti").unionByName(same.select("id", "ring")))
+    return whole.join(rings.groups(whole), "id")
+
+
 def surveyed(lines: DataFrame, grid: DataFrame, cells: DataFrame, x0: float, y0: float, res: float, layers: dict[str, str], key: str = "edge_id") -> DataFrame:
     """Drawn lines (key, coords) with the mean of each layer along them as layers[layer], 0 outside, and the first area they touch."""
-    mean = raster.line_mean(lines, grid.where(F.col("layer").isin(list(layers))), x0, y0, res, res / 2, key)
+    mean = raster.line_mean(lines, grid.where(F.col("layer").isin(list(layers))), x0, y0, res, key)
     wide = mean.groupBy(key).pivot("layer", list(layers)).agg(F.first("value"))
-    out = lines.join(wide, key, "left").join(aoi.aoi_of_lines(lines, cells, x0, y0, res, res / 2, key), key, "left")
+    out = lines.join(wide, key, "left").join(aoi.aoi_of_lines(lines, cells, x0, y0, res, key), key, "left")
     return out.withColumns({c: F.coalesce(layer, F.lit(0.0)) for layer, c in layers.items()}).drop(*[layer for layer, c in layers.items() if layer != c])
 
 
-def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas: dict[str, str] | None = None, geodesic: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after a log of edits (seq, op, id, and what the op needs), applied in the order of seq.
 
     delete_node takes its edges along, delete_edge takes one; add_node brings x, y; add_edge brings from, to and gets the
     distance of its ends as its length; change_edge adds `delta` to the duln of the edge and of both its ends. What is
     deleted and added again is new: edges of the old node and earlier changes do not come back. `deltas` names other
     attractiveness columns and the edits' columns that change them. What is added starts with the edits' value of such
-    a column (a path's mean of the raster, from `surveyed`), 0 where they have none.
+    a column (a path's mean of the raster, from `surveyed`), 0 where they have none. With `geodesic`, x and y are degrees of
+    longitude and latitude, and lengths are metres on the sphere.
     """
     deltas = deltas or {"duln": "delta"}
     first = [c for c in (*deltas, "aoi") if c in edits.columns]
@@ -119,7 +130,8 @@ def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas: dict[st
     out, new = latest("edge", "edge_id", "from", "to", *first)
     new = new.join(at.withColumnsRenamed({"node_id": "from", "x": "_ax", "y": "_ay"}), "from").join(at.withColumnsRenamed({"node_id": "to", "x": "_bx", "y": "_by"}), "to")
     dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
-    new = new.select("edge_id", "from", "to", F.sqrt(dx * dx + dy * dy).alias("shape_leng"), *[v.alias(c) for c, v in start.items()], *[c for c in first if c == "aoi"], "_since")
+    length = X.haversine(F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")) if geodesic else F.sqrt(dx * dx + dy * dy)
+    new = new.select("edge_id", "from", "to", length.alias("shape_leng"), *[v.alias(c) for c, v in start.items()], *[c for c in first if c == "aoi"], "_since")
     edges = edges.join(out, "edge_id", "left_anti").unionByName(new, allowMissingColumns=True)
     for end in ("from", "to"):  # an edge goes with its node, unless it was added after that
         cut_off = (F.col("_node") == F.col(end)) & (F.coalesce("_since", F.lit(-1)) < F.col("_gone"))

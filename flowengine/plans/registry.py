@@ -709,7 +709,7 @@ def raster_line_mean(spark, d):
     n = F.col("n_nationkey")
     y = 400.0 - (n % 4 + 0.5) * 10.0
     lines = t(spark, d, "nation").select(n.alias("line_id"), F.array(F.struct(((n + 0.5) * 10.0).alias("x"), y.alias("y")), F.struct(((n + 10.5) * 10.0).alias("x"), y.alias("y"))).alias("coords"))
-    return raster.line_mean(lines, _grid(spark, d).withColumn("layer", F.lit("walk")), 0.0, 400.0, 10.0, 5.0, "line_id").withColumn("value", r6("value"))
+    return raster.line_mean(lines, _grid(spark, d).withColumn("layer", F.lit("walk")), 0.0, 400.0, 10.0, "line_id").withColumn("value", r6("value"))
 
 
 @query("""SELECT CAST(ts AS TIMESTAMP) AS first_ts, event_type, n FROM (SELECT event_type, min(ts) AS ts, count(*) AS n FROM events GROUP BY 1)""")

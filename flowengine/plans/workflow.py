@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowengine.functions import expressions as X
-from flowengine.operators import aoi, graph, passage, population, raster, scenario, simulate, spatial, species
+from flowengine.operators import aoi, graph, passage, population, raster, scenario, simulate, species
+from flowengine.operators import polygons as rings
 
 
 def build_network(lines: DataFrame, residents: DataFrame, attractiveness: DataFrame, x0: float, y0: float, res: float, spread: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -27,20 +28,31 @@ def enrich(nodes: DataFrame, edges: DataFrame, cells: DataFrame, areas: DataFram
     """(nodes, edge weights): labels of the areas' main parts (one area after the other, or all at once), parking places, and the weighted lengths of every type."""
     settle = graph.labels_in_turn if in_turn else graph.induced_labels
     nodes = settle(aoi.labelled_nodes(nodes, cells, x0, y0, res), edges)
-    nodes = spatial.capacities(aoi.parking_near(parking, cells, x0, y0, res), nodes, 30.0, 10 * res)
-    # parking is weighed by the attractiveness of the nearest area
-    centre = cells.groupBy("aoi").agg((F.lit(x0) + (F.avg("col") + 0.5) * res).alias("x"), (F.lit(y0) - (F.avg("row") + 0.5) * res).alias("y"))
-    near = spatial.nearest(nodes.where("parking > 0"), centre, "node_id", "aoi").join(areas.select("aoi", F.col("duln").alias("parking_attr")), "aoi")
-    nodes = nodes.join(near.select("node_id", "parking_attr"), "node_id", "left").withColumn("parking_attr", F.coalesce("parking_attr", F.lit(0.0)))
+    nodes = parked(nodes, aoi.parking_near(parking, cells, x0, y0, res), rings.outlines(cells, x0, y0, res), areas, 10 * res)
     return nodes, edge_weights(nodes, edges, threshold)
 
 
+def parked(nodes: DataFrame, parking: DataFrame, outlines: DataFrame, areas: DataFrame, cell: float, reach: float = 50.0, per_place: float = 30.0) -> DataFrame:
+    """Nodes with parking places and their attractiveness, polygon after polygon (id, ring).
+
+    Nodes in a polygon share its places; a polygon without nodes puts all of them, in place of what was there, on the node
+    nearest to its border among those within `reach` of any polygon. A node's parking is as attractive as the area nearest
+    to the border of the last polygon it took places from.
+    """
+    held = graph.cut(rings.holders(parking, nodes, cell, reach))
+    near = rings.nearest(parking.select(F.col("id").alias("poly"), "ring"), outlines.select("aoi", "ring"), "poly", "aoi").join(areas.select("aoi", "duln"), "aoi")
+    last = held.join(near, "poly").groupBy("node_id").agg(F.max_by("duln", "poly").alias("parking_attr"))
+    out = scenario.with_polygons(nodes.drop("parking_attr").withColumn("parking", F.lit(0.0)), parking, per_place, cell, "parking", held)
+    return out.join(last, "node_id", "left").withColumn("parking_attr", F.coalesce("parking_attr", F.lit(0.0)))
+
+
 def edge_weights(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """(agent_type, weighting, src, dst, w) in both directions; an edge's attractiveness is the mean of its ends'."""
+    """(agent_type, weighting, src, dst, w) in both directions, by the edge's own attractiveness; where it has none, the mean of its ends'."""
     kinds = list(X.SPEED)
+    own = F.array(*[F.col(k).cast("double") if k in edges.columns else F.lit(None).cast("double") for k in kinds])
     at = nodes.select("node_id", F.array(*kinds).alias("d"))
     both = edges.join(at.withColumnsRenamed({"node_id": "from", "d": "_a"}), "from").join(at.withColumnsRenamed({"node_id": "to", "d": "_b"}), "to")
-    typed = both.select("edge_id", "from", "to", "shape_leng", F.posexplode(F.arrays_zip("_a", "_b")).alias("i", "d")).withColumn("duln", (F.col("d._a") + F.col("d._b")) / 2)
+    typed = both.select("edge_id", "from", "to", "shape_leng", F.posexplode(F.arrays_zip("_a", "_b", own.alias("_own"))).alias("i", "d")).withColumn("duln", F.coalesce("d._own", (F.col("d._a") + F.col("d._b")) / 2))
     typed = typed.withColumn("agent_type", F.get(F.array(*map(F.lit, kinds)), F.col("i")))
     long = typed.select(*X.weightings(["edge_id", "from", "to", "agent_type"], "shape_leng", "duln", threshold)).select("edge_id", "from", "to", "agent_type", F.concat_ws(":", "agent_type", "x.weighting").alias("weighting"), "x.w")
     return graph.symmetric(long, "agent_type", "weighting", "w").where("w IS NOT NULL")
@@ -84,3 +96,9 @@ def apply_scenario(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas:
     at = nodes.select("node_id", "node_id_2")
     edges = edges.join(at.withColumnsRenamed({"node_id": "from", "node_id_2": "from_2"}), "from_2").join(at.withColumnsRenamed({"node_id": "to", "node_id_2": "to_2"}), "to_2")
     return nodes, graph.dense_ids(edges, ["edge_id_2"], "edge_id")
+
+
+def scenario_weights(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deltas: dict[str, str], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, weights) after the edits: weights are made anew from the edited edges' own attractiveness."""
+    nodes, edges = map(graph.cut, apply_scenario(nodes, edges, edits, deltas))
+    return nodes, edges, edge_weights(nodes, edges, threshold)

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowengine.functions.expressions import SPEED
+from flowengine.operators.polygons import outlines
+
 LINES = T.StructType([
     T.StructField("line_id", T.LongType()), T.StructField("coords", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
     *[T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax", "shape_leng")], *[T.StructField(c, T.StringType()) for c in ("walk_bike", "road_width", "hard_natur")],
+    *[T.StructField(c, T.DoubleType()) for c in SPEED],  # the path's own attractiveness for each kind of visitor, null where the file has none
 ])
 
 
@@ -157,6 +161,12 @@ def save_outlines(rings: DataFrame, path: str) -> None:
     rings.select("label", geojson(F.col("ring")).alias("geojson")).write.mode("overwrite").parquet(path)
 
 
+def save_areas(cells: DataFrame, path: str, x0: float, y0: float, res: float) -> None:
+    """Areas of interest (aoi, row, col) as GeoJSON outlines, a row a ring; holes say so."""
+    rings = outlines(cells, x0, y0, res)
+    rings.select("aoi", "ring_id", "hole", "area", geojson(F.col("ring")).alias("geojson")).write.mode("overwrite").parquet(path)
+
+
 def save_paths(edges: DataFrame, path: str, legacy_columns: bool = False) -> None:
     """Paths with their passage columns; the legacy list leaves joggers out."""
     skip = {"passage_jog", "passage_jog_aoi"} if legacy_columns else set()
