@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowengine.functions import expressions as X
-from flowengine.operators import aoi, graph, passage, population, raster, scenario, simulate, spatial, species
+from flowengine.operators import aoi, graph, passage, polygons, population, raster, scenario, simulate, spatial, species
+from flowengine.plans import workflow
 from flowengine.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -923,3 +924,114 @@ def new_paths(spark, d):
     edges = nodes.select(F.col("node_id").alias("edge_id"), F.col("node_id").alias("from"), F.col("node_id").alias("to"), F.lit(0.0).alias("shape_leng"), *_NEW).where("false")
     out = scenario.edited(nodes, edges, log.unionByName(change), {c: f"d_{c}" for c in _NEW})[1]
     return out.select("edge_id", "aoi", *[r6(c).alias(c) for c in _NEW])
+
+
+# ---- polygons, borders and oblique lines ---------------------------------------------------------------------------
+
+
+def _ring(*corners) -> F.Column:
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+
+
+def _bars(spark, d):
+    """(nations' long, suppliers' short) oblique bars on whole coordinates: many cross, touch or hold each other, and a bar's
+    middle is far from its ends."""
+    n, s = F.col("n_nationkey"), F.col("s_suppkey")
+    x, y = n * 5 % 60, n * 7 % 40
+    long = t(spark, d, "nation").select(n.cast("long").alias("long"), _ring((x, y), (x + 20, y - 6), (x + 20, y - 5), (x, y + 1)).alias("ring"))
+    x, y = s * 3 % 111, s * 4 % 92
+    return long, t(spark, d, "supplier").select(s.alias("short"), _ring((x, y), (x + 1, y), (x + 7, y + 6), (x + 6, y + 6)).alias("ring"))
+
+
+_BARS = """p AS (SELECT n_nationkey::BIGINT AS id, 'l' AS kind, unnest([[x, y], [x + 20, y - 6], [x + 20, y - 5], [x, y + 1]]) AS c, unnest([0, 1, 2, 3]) AS i FROM (SELECT n_nationkey, (n_nationkey * 5 % 60)::DOUBLE AS x, (n_nationkey * 7 % 40)::DOUBLE AS y FROM nation)
+  UNION ALL SELECT s_suppkey, 's', unnest([[x, y], [x + 1, y], [x + 7, y + 6], [x + 6, y + 6]]), unnest([0, 1, 2, 3]) FROM (SELECT s_suppkey, (s_suppkey * 3 % 111)::DOUBLE AS x, (s_suppkey * 4 % 92)::DOUBLE AS y FROM supplier)),
+g AS (SELECT a.id, a.kind, a.i, a.c[1] AS ax, a.c[2] AS ay, b.c[1] AS bx, b.c[2] AS by_ FROM p a JOIN p b ON a.id = b.id AND a.kind = b.kind AND b.i = (a.i + 1) % 4),
+z AS (SELECT s.id AS short, l.id AS long, s.ax, s.ay, s.bx, s.by_, l.ax AS cx, l.ay AS cy, l.bx AS dx, l.by_ AS dy FROM g s JOIN g l ON s.kind = 's' AND l.kind = 'l'),
+o AS (SELECT *, sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) AS o1, sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) AS o2, sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) AS o3, sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) AS o4 FROM z),
+w AS (SELECT *, o1 * o2 <= 0 AND o3 * o4 <= 0 AND greatest(ax, bx) >= least(cx, dx) AND greatest(cx, dx) >= least(ax, bx) AND greatest(ay, by_) >= least(cy, dy) AND greatest(cy, dy) >= least(ay, by_) AS meet FROM o),
+held AS (SELECT a.kind, a.id, g.id AS other FROM p a JOIN g ON g.kind <> a.kind WHERE a.i = 0 AND (g.ay > a.c[2]) <> (g.by_ > a.c[2]) AND a.c[1] < g.ax + (a.c[2] - g.ay) / nullif(g.by_ - g.ay, 0) * (g.bx - g.ax) GROUP BY ALL HAVING count(*) % 2 = 1),
+nested AS (SELECT id AS short, other AS long FROM held WHERE kind = 's' UNION SELECT other, id FROM held WHERE kind = 'l')"""
+
+
+def _to_side(x: str, y: str, ax: str, ay: str, bx: str, by: str) -> str:
+    s = f"least(greatest((({x} - {ax}) * ({bx} - {ax}) + ({y} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay})), 0), 1)"
+    return f"(pow({x} - ({ax} + {s} * ({bx} - {ax})), 2) + pow({y} - ({ay} + {s} * ({by} - {ay})), 2))"
+
+
+_FROM_SIDE = f"least({_to_side('ax', 'ay', 'cx', 'cy', 'dx', 'dy')}, {_to_side('bx', 'by_', 'cx', 'cy', 'dx', 'dy')}, {_to_side('cx', 'cy', 'ax', 'ay', 'bx', 'by_')}, {_to_side('dx', 'dy', 'ax', 'ay', 'bx', 'by_')})"
+
+
+@query(f"WITH {_BARS} SELECT short, long FROM w WHERE meet UNION SELECT short, long FROM nested")
+def areas_meeting(spark, d):
+    """Pairs of bars that share a point: borders that cross or touch, and bars inside bars."""
+    long, short = _bars(spark, d)
+    return polygons.meeting(short, long, "short", "long")
+
+
+@query(f"""WITH {_BARS}, m AS (SELECT short, long, min(CASE WHEN meet THEN 0 ELSE {_FROM_SIDE} END) AS d FROM w GROUP BY ALL UNION ALL SELECT short, long, 0 FROM nested),
+q AS (SELECT short, long, round(sqrt(min(d)), 6) AS d FROM m GROUP BY ALL) SELECT short, min(d) AS distance, min(abs(d - e)) < 1e-6 AS nearest FROM q JOIN (SELECT short, min(d) AS e FROM q GROUP BY 1) USING (short) GROUP BY 1""")
+def nearest_area(spark, d):
+    """The distance of each short bar to the long bar nearest to its border; the bar that is named has that distance."""
+    long, short = _bars(spark, d)
+    found = graph.cut(polygons.nearest(short, long, "short", "long"))
+    own = polygons.within(polygons.sides(short, "short"), polygons.sides(long, "long"), "short", "long", 200.0).withColumnRenamed("distance", "e")
+    met = polygons.meeting(short, long, "short", "long").withColumn("meets", F.lit(True))
+    right = F.when(F.col("meets").isNotNull(), F.col("distance") == 0).otherwise(F.abs(F.col("distance") - F.col("e")) < 1e-6)
+    return found.join(own, ["short", "long"]).join(met, ["short", "long"], "left").select("short", r6("distance").alias("distance"), right.alias("nearest"))
+
+
+@query(_COMPONENTS.format(nodes="SELECT p_partkey AS v FROM part", edges="SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_size % 3 = y.p_size % 3 AND (y.p_partkey = x.p_partkey + 50 OR (y.p_partkey = x.p_partkey + 1 AND x.p_partkey % 50 <> 49))")
+       + """, c AS (SELECT chr(CAST(65 + p_size % 3 AS INT)) AS aoi, floor(p_partkey / 50) AS r, p_partkey % 50 AS c, l.c AS part FROM part JOIN l ON l.v = p_partkey),
+k AS (SELECT aoi, r + i AS r, c + j AS c, count(*) AS n, max(c.r) > min(c.r) AND max(c.c) > min(c.c) AS across FROM c, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY aoi, r + i, c + j),
+q AS (SELECT aoi, count(*) FILTER (n = 1) AS q1, count(*) FILTER (n = 3) AS q3, count(*) FILTER (n = 2 AND across) AS qd FROM k GROUP BY aoi)
+SELECT c.aoi, any_value(2 * parts - (q1 - q3 + 2 * qd) // 4)::BIGINT AS rings, any_value(parts - (q1 - q3 + 2 * qd) // 4)::BIGINT AS holes, any_value(q1 + q3 + 2 * qd)::BIGINT AS corners, count(*)::DOUBLE * 100 AS area
+FROM c JOIN q USING (aoi) JOIN (SELECT aoi, count(DISTINCT part) AS parts FROM c GROUP BY 1) USING (aoi) GROUP BY 1""")
+def area_outlines(spark, d):
+    """Outlines of three scattered areas. In SQL, rings follow from the patches and Euler's number, corners from squares of four cells."""
+    rings = polygons.outlines(_areas(spark, d), 0.0, 400.0, 10.0)
+    return rings.groupBy("aoi").agg(F.count("*").alias("rings"), F.count_if("hole").alias("holes"), F.sum(F.size("ring")).alias("corners"), F.sum("area").alias("area"))
+
+
+@query("""SELECT DISTINCT 'L' || p_size % 5 AS layer, CAST(floor(p_partkey / 50) AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col FROM part JOIN nation ON n_nationkey % 4 = p_size % 5
+WHERE p_partkey % 50 + 0.5 > n_nationkey * 2 AND p_partkey % 50 + 0.5 < n_nationkey * 2 + 7 AND floor(p_partkey / 50) + 0.5 > n_nationkey % 5 AND floor(p_partkey / 50) + 0.5 < n_nationkey % 5 + 7""")
+def masked_layers(spark, d):
+    """Layers cut down to where their species is present; the layer of the fifth species, which is present nowhere, goes."""
+    k, n = F.col("p_partkey"), F.col("n_nationkey")
+    grid = t(spark, d, "part").select(F.concat(F.lit("L"), F.col("p_size") % 5).alias("layer"), F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"))
+    presence = t(spark, d, "nation").select(F.concat(F.lit("L"), n % 4).alias("layer"), _square(n * 2, n % 5, 7.0).alias("ring"))
+    return raster.masked(grid.withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5}), presence, 4.0).select("layer", "row", "col").distinct()
+
+
+@query("""WITH s AS (SELECT o_orderkey AS line_id, o_orderkey % 31 * 1.3::DOUBLE + 0.2::DOUBLE AS au, o_orderkey % 17 * 1.7::DOUBLE + 0.1::DOUBLE AS av, o_custkey % 29 * 1.1::DOUBLE + 0.3::DOUBLE AS bu, o_custkey % 13 * 2.3::DOUBLE + 0.45::DOUBLE AS bv FROM orders),
+r AS (SELECT *, unnest(range(floor(least(av, bv))::BIGINT, floor(greatest(av, bv))::BIGINT + 1)) AS r FROM s),
+u AS (SELECT *, au + (greatest(least(av, bv), r) - av) * ((bu - au) / (bv - av)) AS u1, au + (least(greatest(av, bv), r + 1) - av) * ((bu - au) / (bv - av)) AS u2 FROM r)
+SELECT line_id, count(*) AS cells, sum(r)::BIGINT AS "rows", sum(c)::BIGINT AS cols FROM (SELECT line_id, r, unnest(range(floor(least(u1, u2))::BIGINT, floor(greatest(u1, u2))::BIGINT + 1)) AS c FROM u) GROUP BY 1""")
+def oblique_line_cells(spark, d):
+    """The cells of a raster that oblique lines cross."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    end = lambda x, y: F.struct(x.cast("double").alias("x"), (F.lit(0.0) - y.cast("double")).alias("y"))
+    lines = t(spark, d, "orders").select(o.alias("line_id"), F.array(end(o % 31 * 1.3 + 0.2, o % 17 * 1.7 + 0.1), end(c % 29 * 1.1 + 0.3, c % 13 * 2.3 + 0.45)).alias("coords"))
+    cells = raster.line_cells(lines, 0.0, 0.0, 1.0, "line_id")
+    return cells.groupBy("line_id").agg(F.count("*").alias("cells"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+
+
+_KINDS = list(X.SPEED)
+_EDGE_DULN = "(CASE WHEN edge_id % 3 = 0 THEN 9 + i + edge_id % 11 ELSE (a % 5 + b % 5) * 0.5 + i + CASE WHEN a IN (6, 7) THEN 2.0 * (i + 1) ELSE 0 END + CASE WHEN b IN (6, 7) THEN 2.0 * (i + 1) ELSE 0 END END + CASE WHEN edge_id = 6 THEN 4.0 * (i + 1) ELSE 0 END)"
+
+
+@query(f"""WITH e AS (SELECT s_suppkey AS edge_id, s_suppkey AS a, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS b, (50 + s_suppkey % 40)::DOUBLE AS len FROM supplier), k AS (SELECT unnest([{", ".join(f"'{x}'" for x in _KINDS)}]) AS agent_type, unnest(range(7)) AS i),
+x AS (SELECT edge_id, agent_type, len, {_EDGE_DULN}::DOUBLE AS duln FROM e, k), v AS (SELECT * FROM (VALUES ('distance', 8.0::DOUBLE), ('little_attr', 4.0::DOUBLE), ('mostly_attr', 2.0::DOUBLE)) AS v(weighting, k))
+SELECT edge_id, agent_type || ':' || weighting AS weighting, round(CASE WHEN duln = 0 THEN 10 ELSE greatest(least(len * (1 - 1 / (k / 45.2423 * duln)), len), 10) END, 6) AS w FROM x, v""")
+def edge_attractiveness(spark, d):
+    """Weights after edge 6 was changed, which raises its two ends as well: of the edges with an attractiveness of their own
+    only this one moves; edges without take the mean of their ends."""
+    s, supplier = F.col("s_suppkey"), t(spark, d, "supplier")
+    n = supplier.count()
+    nodes = supplier.select(s.alias("node_id"), s.cast("double").alias("x"), F.lit(0.0).alias("y"), *[(s % 5 + i).cast("double").alias(c) for i, c in enumerate(_KINDS)])
+    own = [F.when(s % 3 == 0, 9.0 + i + s % 11).alias(c) for i, c in enumerate(_KINDS)]
+    edges = supplier.select(s.alias("edge_id"), s.alias("from"), ((s + 1) % n).alias("to"), (50 + s % 40).cast("double").alias("shape_leng"), *own)
+    change = spark.createDataFrame([(1, "change_edge", 6, None, None, None, None, *[4.0 * (i + 1) for i in range(7)])], "seq int, op string, id long, `from` long, `to` long, x double, y double, " + ", ".join(f"d_{c} double" for c in _KINDS))
+    nodes, edges = scenario.edited(nodes, edges, change, {c: f"d_{c}" for c in _KINDS})
+    w = workflow.edge_weights(nodes, edges, 11.0)
+    ends = edges.select("edge_id", F.col("from").alias("src"), F.col("to").alias("dst"))
+    return w.join(ends, ["src", "dst"]).select("edge_id", "weighting", r6("w").alias("w"))
