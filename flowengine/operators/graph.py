@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder, and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write df once into the shared folder as Parquet, and go on from there.
+
+    A checkpoint would do, but it keeps the estimated size of the plan before it. In loops of joins these estimates
+    multiply until planning takes longer than the work; a table has the size of its files.
+    """
+    at = f"{shared_folder(df.sparkSession)}/cut-{uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
@@ -110,7 +116,7 @@ def largest_component(nodes: DataFrame, edges: DataFrame, keep_ties: bool = Fals
     sizes = component_sizes(labels)
     top = sizes.agg(F.max("n").alias("n"))
     best = sizes.join(F.broadcast(top), "n") if keep_ties else sizes.orderBy(F.desc("n"), "component").limit(1)
-    kept = nodes.join(labels.join(F.broadcast(best.select("component")), "component", "left_semi"), "node_id", "left_semi")
+    kept = nodes.join(labels.join(best.select("component"), "component", "left_semi"), "node_id", "left_semi")
     return kept, incident_edges(edges, kept, both=True)
 
 

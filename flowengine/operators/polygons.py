@@ -72,10 +72,23 @@ def _near(a: DataFrame, b: DataFrame, left: str, right: str, cell: float) -> tup
     return x.join(y, "_c"), [F.col(c) for c in SIDE], [F.col(f"_{c}") for c in SIDE]
 
 
-def _cell_width(b: DataFrame) -> float | None:
-    """Width of grid cells by the number of sides and their bounds; None without sides."""
-    n, x0, y0, x1, y1 = b.agg(F.count("*"), F.min(F.least("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by"))).first()
-    return max(x1 - x0, y1 - y0, 1e-9) / max(1.0, n**0.5) if n else None
+def _cell_width(b: DataFrame, a: DataFrame | None = None) -> float | None:
+    """Width of grid cells: by b's number of sides and their bounds, and no less than an eighth of the mean side of both, so that
+    a side crosses few cells; None without sides."""
+
+    def measured(x: DataFrame) -> tuple:
+        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+        return x.agg(F.count("*"), F.min(F.least("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by")), F.coalesce(F.sum(F.sqrt(dx * dx + dy * dy)), F.lit(0.0))).first()
+
+    n, x0, y0, x1, y1, length = measured(b)
+    if not n:
+        return None
+    width = max(max(x1 - x0, y1 - y0) / n**0.5, length / n / 8)
+    if a is not None:
+        m, ax0, ay0, ax1, ay1, more = measured(a)
+        if m:
+            width = max(width, more / m / 8, max(x1, ax1) - min(x0, ax0), max(y1, ay1) - min(y0, ay0)) if width <= 0 else max(width, more / m / 8)
+    return width or 1.0
 
 
 def within(a: DataFrame, b: DataFrame, left: str, right: str, reach: float) -> DataFrame:
@@ -96,7 +109,7 @@ def inside(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
 def meeting(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     """(left, right): pairs of rings that share a point: borders that cross or touch, and rings one in the other."""
     x, y = cut(sides(a, left)), cut(sides(b, right))
-    width = _cell_width(y)
+    width = _cell_width(y, x)
     nested = inside(a, b, left, right).unionByName(inside(b, a, right, left).select(left, right))
     if width is None:
         return nested.distinct()
@@ -110,8 +123,8 @@ def nearest_sides(a: DataFrame, b: DataFrame, left: str, right: str, known: Data
     Each round joins sides over neighbouring cells; what lies within a cell's width is final, the rest takes wider cells.
     `known` (left, right) are pairs at distance 0.
     """
-    b = cut(b)
-    width, todo, out = _cell_width(b), cut(a), None
+    b, todo, out = cut(b), cut(a), None
+    width = _cell_width(b, todo)
     if width is None:
         return a.select(left).limit(0).join(b.select(right).limit(0), how="cross").withColumn("distance", F.lit(0.0))
     while not todo.isEmpty():

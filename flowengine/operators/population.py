@@ -34,6 +34,21 @@ def initial_state(agents: DataFrame) -> DataFrame:
     })
 
 
+def agent_number(nodes: DataFrame, residents: str = "residents", per_agent: float = 50.0) -> DataFrame:
+    """One row (n_agents, active): one visitor for so many residents, and the nodes that have any."""
+    return nodes.agg(F.coalesce(F.floor(F.sum(residents) / per_agent), F.lit(0)).alias("n_agents"), F.count_if(F.col(residents) > 0).alias("active"))
+
+
+def routable(agents: DataFrame, goal: str = "goal_v") -> DataFrame:
+    """Agents with a goal; -1 and null are none."""
+    return agents.where(F.col(goal) != -1)
+
+
+def viable(routes: DataFrame, banned: DataFrame, area: DataFrame) -> DataFrame:
+    """Routes (agent_id, node_id) whose node lies in the area (node_id) and is not banned (agent_id, node_id): where an agent was, or has turned back."""
+    return routes.join(banned.select("agent_id", "node_id").distinct(), ["agent_id", "node_id"], "left_anti").join(area.select("node_id").distinct(), "node_id", "left_semi").select(*routes.columns)
+
+
 def node_mass(nodes: DataFrame, parking_intensity: float = 0.1) -> DataFrame:
     """(node_id, mass) of residents, parking by its attractiveness, and new residents; only positive finite masses count."""
     parts = F.array(F.col("residents"), F.col("new_residential"), F.col("parking") * F.col("parking_attr") * parking_intensity)

@@ -106,7 +106,7 @@ def non_empty_layers(raster: DataFrame) -> DataFrame:
 
 def sensitivity(presence: DataFrame, weights: DataFrame, cell: str = "cell") -> DataFrame:
     """(cell, sensitivity): weighted sum over the layers; one null layer makes the cell null."""
-    x = presence.join(F.broadcast(weights), "layer")
+    x = presence.join(weights, "layer")
     return x.groupBy(cell).agg(F.when(F.count_if(F.col("value").isNull()) == 0, F.sum(F.col("value") * F.col("weight"))).alias("sensitivity"))
 
 

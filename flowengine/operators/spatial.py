@@ -54,7 +54,7 @@ def points_in_polygons_all(points: DataFrame, polygons: DataFrame, cell: float,
 
 
 #: Targets up to this many are broadcast whole; more are searched through grid cells.
-BROADCAST_TARGETS = 10_000
+BROADCAST_TARGETS = 500
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str) -> DataFrame:

@@ -598,14 +598,14 @@ def node_mass(spark, d):
 
 @query("SELECT CAST(floor(sum(c_acctbal) / 50) AS BIGINT) AS n_agents, count(*) FILTER (c_acctbal > 0) AS active FROM customer")
 def agent_counts(spark, d):
-    return t(spark, d, "customer").agg(F.floor(F.sum("c_acctbal") / 50).alias("n_agents"), F.count_if(F.col("c_acctbal") > 0).alias("active"))
+    return population.agent_number(t(spark, d, "customer"), "c_acctbal")
 
 
 @query("SELECT o_orderkey, o_custkey % 11 AS family FROM orders WHERE o_custkey % 11 <> 0")
 def routable_agents(spark, d):
     """Agents without a goal (-1) are not routed."""
     rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 11 == 0, -1).otherwise(F.col("o_custkey") % 11).alias("family"))
-    return rows.where("family <> -1")
+    return population.routable(rows, "family")
 
 
 @query(f"""WITH e AS ({_WHOLE}) SELECT a AS "from", b AS "to" FROM e WHERE a % 10 = 3 OR b % 10 = 3""")
@@ -682,7 +682,8 @@ def viable_routes(spark, d):
     c, n = F.col("c_custkey"), F.col("c_nationkey")
     routes = t(spark, d, "customer").select(c.alias("agent_id"), n.cast("long").alias("node_id"))
     banned = t(spark, d, "customer").select(c.alias("agent_id"), F.explode(F.array(c % 25, c % 7)).alias("node_id"))
-    return routes.join(banned, ["agent_id", "node_id"], "left_anti").where("node_id % 5 <> 4")
+    area = t(spark, d, "nation").select(n.cast("long").alias("node_id")).where("node_id % 5 <> 4")
+    return population.viable(routes, banned, area)
 
 
 @query("""SELECT 'base' AS scenario_id, n_nationkey AS edge_id FROM nation UNION ALL SELECT 'base_2', n_nationkey FROM nation""")

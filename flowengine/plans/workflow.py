@@ -61,7 +61,7 @@ def edge_weights(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFr
 def run_simulation(nodes: DataFrame, edges: DataFrame, weights: DataFrame, areas: DataFrame, n_agents: int | None = None, seed: int = 1, parking_intensity: float = 0.1) -> dict[str, DataFrame]:
     """Visitors, their log, and passage per edge. Without a number, one visitor stands for 50 residents."""
     spark = nodes.sparkSession
-    n = n_agents if n_agents is not None else int((nodes.agg(F.sum("residents")).first()[0] or 0) // 50)
+    n = n_agents if n_agents is not None else int(population.agent_number(nodes).first().n_agents)
     ids = spark.range(1, n + 1).withColumnRenamed("id", "agent_id")
     agents = population.drawn_nodes(population.with_duration(population.with_type(ids, seed), seed), population.node_mass(nodes, parking_intensity), seed)
     agents = graph.cut(agents)
