@@ -682,7 +682,7 @@ def viable_routes(spark, d):
     c, n = F.col("c_custkey"), F.col("c_nationkey")
     routes = t(spark, d, "customer").select(c.alias("agent_id"), n.cast("long").alias("node_id"))
     banned = t(spark, d, "customer").select(c.alias("agent_id"), F.explode(F.array(c % 25, c % 7)).alias("node_id"))
-    area = t(spark, d, "nation").select(n.cast("long").alias("node_id")).where("node_id % 5 <> 4")
+    area = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node_id")).where("node_id % 5 <> 4")
     return population.viable(routes, banned, area)
 
 

@@ -14,8 +14,9 @@ from flowengine.operators.polygons import outlines
 LINES = T.StructType([
     T.StructField("line_id", T.LongType()), T.StructField("coords", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
     *[T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax", "shape_leng")], *[T.StructField(c, T.StringType()) for c in ("walk_bike", "road_width", "hard_natur")],
-    *[T.StructField(c, T.DoubleType()) for c in SPEED],  # the path's own attractiveness for each kind of visitor, null where the file has none
 ])
+#: A path's own attractiveness for each kind of visitor, null where the file has none.
+OWN = [T.StructField(c, T.DoubleType()) for c in SPEED]
 
 
 def lines(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None, buffer: float = 1000.0, ring: list[tuple[float, float]] | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def lines(spark: SparkSession, path: str, bbox: tuple[float, float, float, float
 
     With a perimeter (corners of a ring) only lines that meet it remain.
     """
-    df = spark.read.schema(LINES).parquet(path)
+    df = spark.read.schema(T.StructType([*LINES.fields, *OWN])).parquet(path)
     if bbox:
         x0, y0, x1, y1 = bbox[0] - buffer, bbox[1] - buffer, bbox[2] + buffer, bbox[3] + buffer
         df = df.where((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))
