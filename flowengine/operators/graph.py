@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+        if named is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowengine-"))
     return sc.getCheckpointDir()
@@ -297,6 +297,13 @@ def relational_distances(weights: DataFrame, sources: DataFrame, cell: int | Non
     return settled(weights, _sources(sources), 1, cell, rounds).select("weighting", "src", "node_id", "at.distance")
 
 
+def shortest_distances(weights: DataFrame, pairs: DataFrame, cell: int | None = None) -> DataFrame:
+    """(weighting, src, goal, distance) of distinct pairs; unreachable: 0. Without paths no predecessors are looked up."""
+    pairs = pairs.select("weighting", "src", "goal").distinct()
+    far = relational_distances(weights, pairs, cell).withColumnRenamed("node_id", "goal")
+    return pairs.join(far, ["weighting", "src", "goal"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+
+
 def shortest_paths(weights: DataFrame, pairs: DataFrame, cell: int | None = None) -> DataFrame:
     """(weighting, src, goal, distance, path) of distinct pairs; pairs of one source share a search. Unreachable: 0 and an empty path.
 

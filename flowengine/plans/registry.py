@@ -488,7 +488,7 @@ UNION SELECT r.s, e.dst, min(r.d + e.w) FROM r JOIN e ON e.src = r.v LEFT JOIN r
 @query(_DIST + " SELECT s AS src, v AS goal, d AS distance FROM r")
 def shortest_distance(spark, d):
     w, _ = whole_ring(spark, d)
-    return graph.shortest_paths(w, _some_to_all(w)).select("src", "goal", "distance")
+    return graph.shortest_distances(w, _some_to_all(w)).select("src", "goal", "distance")
 
 
 @query(_DIST + " SELECT s AS src, v AS node_id, d AS distance FROM r")
