@@ -11,17 +11,20 @@ import numpy as np
 _U = np.uint64
 
 
+#: Keys that find() and access() look up at a time, which bounds their scratch memory.
+CHUNK = 1 << 16
+
+
 class EliasFano:
     """A sorted sequence of n integers below a bound: the upper bits in unary, the lower bits as they are.
 
-    Lower bits lie in byte planes; the unary part is packed, and `open` derives from it where each bucket (all elements
-    with the same upper bits) begins. find() goes to the bucket of a key and searches the lower bits in it.
+    Lower bits lie in byte planes. The unary part stays packed in 64-bit words, beside the number of ones before each word
+    (`ranks`); the k-th one or zero is in the word that its rank names, and bits are counted on from there. find() goes to
+    the bucket of a key (all elements with the same upper bits) and searches the lower bits in it.
     """
 
-    def __init__(self, n: int, low_bits: int, planes: np.ndarray, unary: np.ndarray):
-        self.n, self.low_bits, self.planes, self.unary = n, low_bits, planes, unary
-        zeros = np.flatnonzero(np.unpackbits(unary, bitorder="little") == 0)
-        self.ends = zeros - np.arange(len(zeros))  # elements in buckets up to this one
+    def __init__(self, n: int, low_bits: int, buckets: int, planes: np.ndarray, unary: np.ndarray, ranks: np.ndarray):
+        self.n, self.low_bits, self.buckets, self.planes, self.unary, self.ranks = n, low_bits, buckets, planes, unary, ranks
         self.mask = _U((1 << low_bits) - 1)
 
     @staticmethod
@@ -31,10 +34,13 @@ class EliasFano:
         low = max(0, (top // max(n, 1)).bit_length() - 1)
         planes = np.stack([(values >> _U(8 * k)).astype(np.uint8) if 8 * k + 8 <= low else ((values & _U((1 << low) - 1)) >> _U(8 * k)).astype(np.uint8) for k in range(-(-low // 8))]) if low else np.zeros((0, n), np.uint8)
         high = (values >> _U(low)).astype(np.int64)
-        bits = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
+        buckets = (int(high[-1]) if n else 0) + 1  # each ends with a zero
+        bits = np.zeros(n + buckets, np.uint8)
         bits[high + np.arange(n)] = 1
-        pad = -len(bits) % 8
-        return [n, low], [planes, np.packbits(np.concatenate([bits, np.ones(pad, np.uint8)]), bitorder="little")]
+        unary = np.packbits(np.concatenate([bits, np.ones(-len(bits) % 64, np.uint8)]), bitorder="little").view(_U)
+        ones = np.bitwise_count(unary)
+        ranks = (np.cumsum(ones, dtype=np.int64) - ones).astype(np.uint32 if n < 1 << 31 else np.int64)
+        return [n, low, buckets], [planes, unary, ranks]
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         x = np.zeros(len(at), _U)
@@ -42,19 +48,44 @@ class EliasFano:
             x |= self.planes[k][at].astype(_U) << _U(8 * k)
         return x
 
+    def _zeros(self) -> np.ndarray:
+        """The number of zeros before each word."""
+        return np.arange(0, 64 * len(self.ranks), 64) - self.ranks
+
+    @staticmethod
+    def _select(k: np.ndarray, before: np.ndarray, words: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the k-th (from 0) one of the words, or zero with flip; `before` counts those in front of each word."""
+        word = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+        x, left = words[word], (k - before[word]).astype(np.uint8)
+        if flip:
+            x = ~x
+        at = np.zeros(len(k), np.uint8)
+        for width in (32, 16, 8, 4, 2, 1):
+            here = np.bitwise_count(x & _U((1 << width) - 1))
+            skip = np.where(here <= left, np.uint8(width), np.uint8(0))
+            left -= np.where(skip, here, np.uint8(0))
+            x >>= skip.astype(_U)
+            at += skip
+        return 64 * word + at
+
     def access(self, at: np.ndarray) -> np.ndarray:
-        return (np.searchsorted(self.ends, at, "right").astype(_U) << _U(self.low_bits)) | self._low(at)
+        parts = [at[i : i + CHUNK] for i in range(0, len(at), CHUNK)]
+        return np.concatenate([np.zeros(0, _U)] + [((self._select(p, self.ranks, self.unary, False) - p).astype(_U) << _U(self.low_bits)) | self._low(p) for p in parts])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, or -1: the successor of a key in its bucket, if it equals the key."""
         if not self.n:
             return np.full(len(keys), -1)
+        zeros = self._zeros()
+        return np.concatenate([np.zeros(0, np.int64)] + [self._find(keys[i : i + CHUNK], zeros) for i in range(0, len(keys), CHUNK)])
+
+    def _find(self, keys: np.ndarray, zeros: np.ndarray) -> np.ndarray:
         bucket, low = keys >> _U(self.low_bits), keys & self.mask
-        inside = bucket < len(self.ends)
-        b = np.where(inside, bucket, 0).astype(np.int64)
-        lo = np.where(b > 0, self.ends[np.maximum(b - 1, 0)], 0)
-        hi = np.where(inside, self.ends[b], 0)
-        end = np.where(inside, hi, lo)
+        inside = bucket < _U(self.buckets)
+        b = np.where(inside, bucket, _U(0)).astype(np.int64)
+        until = lambda b: self._select(b, zeros, self.unary, True) - b  # noqa: E731 elements in buckets up to this one
+        lo, end = np.where(b > 0, until(np.maximum(b - 1, 0)), 0), until(b)
+        end = np.where(inside, end, lo)
         hi = end.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):
@@ -126,10 +157,10 @@ class NgramTrie:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         at, views = 0, []
         for x in parts:
-            views.append(np.frombuffer(self.map, np.uint8, x.size, at).reshape(x.shape))
-            at += x.size
+            views.append(np.frombuffer(self.map, x.dtype, x.size, at).reshape(x.shape))
+            at += x.nbytes
         self.size = at
-        self.words, self.pair_start, self.pairs, self.triple_start, self.triples = (EliasFano(*h, *views[2 * k : 2 * k + 2]) for k, h in enumerate(heads))
+        self.words, self.pair_start, self.pairs, self.triple_start, self.triples = (EliasFano(*h, *views[3 * k : 3 * k + 3]) for k, h in enumerate(heads))
         self.pair_codes, self.weight_codes, self.triple_codes = views[-3:]
 
     def successors(self, words: np.ndarray) -> np.ndarray:

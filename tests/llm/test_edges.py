@@ -190,6 +190,20 @@ def test_elias_fano():
         assert (e.find(q) >= 0).tolist() == np.isin(q, x).tolist()
 
 
+def test_elias_fano_selects_over_packed_bits():
+    rng, u = np.random.default_rng(4), np.uint64
+    x = np.unique(np.concatenate([rng.integers(0, 1 << 50, 150_000, dtype=u), np.arange(1 << 40, (1 << 40) + 90_000, dtype=u)]))  # spread, and one run
+    head, parts = EliasFano.encode(x)
+    e = EliasFano(*head, *parts)
+    assert (e.find(x) == np.arange(len(x))).all() and (e.access(np.arange(len(x))) == x).all()
+    assert (e.find(x + u(1)) >= 0).tolist() == np.isin(x + u(1), x).tolist()
+    # what a level searches is what the file maps
+    trie = NgramTrie(np.arange(3, 1_003, dtype=u), np.arange(0, 1_000, dtype=u) << u(32), np.ones(1_000, np.int64), np.arange(0, 1_000, dtype=u) << u(32), np.ones(1_000, np.int64))
+    levels = (trie.words, trie.pair_start, trie.pairs, trie.triple_start, trie.triples)
+    held = [a for level in levels for a in vars(level).values() if isinstance(a, np.ndarray)]
+    assert sum(a.nbytes for a in held) < trie.size and all(not a.flags.owndata and not a.flags.writeable for a in held)
+
+
 def test_license(spark, docs):
     got = sorted((r.doc_id or 0, r.n_words, r.labels) for r in license_scan.op3_license_scan(spark, _saved(spark, docs)).collect())
     assert got[0] == (0, 9, "") and (2, 0, "") in got and got.count((4, 1, "")) == 2 and len(got) == len(ROWS)
