@@ -11,8 +11,7 @@
    p3 = c3 / (C + T) + T / (C + T) p2 (Witten-Bell interpolation), from the start of the text with what context it has.
 
 All counts cover all training texts; nothing is pruned or capped. Words are 64-bit hashes, successors in a context 32-bit
-ones, third words LAST_BITS ones, or 32-bit ones in contexts of two words that both occur more than WIDE times. A score is
-the log10 probability of the whole text, so it falls with the text's length, and it is higher for what the corpus says
+ones: in a context of k successors a new word meets a known one with the chance k / 2 ** 32. A score is the log10 probability of the whole text, so it falls with the text's length, and it is higher for what the corpus says
 often: a document that occurs twice is part of what its own score learnt from, held-out rows are not. Parts and shards are
 as many as the input has part_bytes, and each part has a message for each shard: 14 million small ones at 30 GB; larger
 inputs want larger parts, and executors to hold them. Defined results: a null or empty text has one token, the end; a null doc_id is a
@@ -35,11 +34,6 @@ from .shared import cut, release, table, tidy
 from .tokens import Words, chunks, mix
 
 PART_BYTES = 8 << 20
-#: Bits of a third word's hash. In a context of k successors a new word meets a known one with the chance k / 2 ** LAST_BITS.
-LAST_BITS = 24
-#: A context has at most as many successors as the rarer of its words has occurrences. Above this count, where the chance
-#: would pass 0.4 percent, the hash has 32 bits.
-WIDE = 1 << 16
 END = np.uint64(0x51ED270B7A14C9D3)
 _U = np.uint64
 
@@ -64,7 +58,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 class Part:
     """The different words, pairs and trigrams of one part, in the order of their hashes, and which shard owns each."""
 
-    def __init__(self, group: pa.Table, shards: int, spread: tuple[np.ndarray, np.ndarray], common: np.ndarray):
+    def __init__(self, group: pa.Table, shards: int, spread: tuple[np.ndarray, np.ndarray]):
         self.tokens, self.first = _tokens(group.column("text").chunk(0))
         n = len(self.tokens)
         times = np.where(group.column("held_out").to_numpy(), 0, group.column("copies").to_numpy())  # how often a text was learnt from
@@ -107,8 +101,6 @@ class Part:
         pairs = np.flatnonzero(fresh)
         hashes = np.concatenate([np.zeros(1, _U), self.words])
         self.a, self.b2, self.c3 = (a[pairs] - 1).astype(np.int32), (hashes >> _U(32)).astype(np.uint32)[b[pairs]], (hashes >> _U(32)).astype(np.uint32)[c]
-        often = np.concatenate([np.zeros(1, bool), np.isin(self.words, common)])
-        self.wide = often[a[pairs]] & often[b[pairs]]  # pairs whose third words take 32 bits
         self.word_count = np.bincount(w, times, len(self.words)).astype(np.int64)
         self.word_of_token, self.shards = w, shards
         # pairs lie where their first word does; those of a frequent word go to several shards in a row
@@ -191,29 +183,6 @@ def dealt_rows(group: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("data")]).combine_chunks()
 
 
-def _thirds(ids: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The high LAST_BITS / 8 bytes of each 32-bit id, byte by byte, and the rest of the wide ones."""
-    planes = lambda x, first, last: np.stack([(x >> np.uint32(8 * k)).astype(np.uint8) for k in range(first, last)]).ravel()
-    low = 4 - LAST_BITS // 8
-    return planes(ids, low, 4), planes(ids[wide], 0, low)
-
-
-def _whole(high: np.ndarray, low: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """The ids of _thirds; the low bytes of narrow ones are 0."""
-    n = 4 - LAST_BITS // 8
-    out = np.zeros(len(wide), np.uint32)
-    for k, x in enumerate(high.reshape(4 - n, -1), n):
-        out |= x.astype(np.uint32) << np.uint32(8 * k)
-    for k, x in enumerate(low.reshape(n, -1)):
-        out[wide] |= x.astype(np.uint32) << np.uint32(8 * k)
-    return out
-
-
-def _third_ids(sent: list[np.ndarray]) -> np.ndarray:
-    wide = np.unpackbits(sent[7], count=len(sent[4])).astype(bool)
-    return _whole(sent[5], sent[8], np.repeat(wide, sent[4]))
-
-
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32 if x.max() < 1 << 32 else _U)
 
@@ -234,7 +203,7 @@ def answer(group: pa.Table) -> pa.Table:
     pairs, of2 = np.unique(key2, return_inverse=True)
     del key2
     sizes = np.concatenate([s[4] for s in sent])
-    key3 = (np.repeat(of2.astype(_U), sizes) << _U(32)) | np.concatenate([_third_ids(s) for s in sent]).astype(_U)
+    key3 = (np.repeat(of2.astype(_U), sizes) << _U(32)) | np.concatenate([s[5] for s in sent]).astype(_U)
     del of2, sizes
     order = np.argsort(key3).astype(np.int32)
     key3 = key3[order]
@@ -260,7 +229,7 @@ def answer(group: pa.Table) -> pa.Table:
     for part, s in zip(parts, sent):
         i = trie.words.find(s[0])
         j = trie.pair(np.repeat(i, s[2]), s[3])
-        k = trie.triple(np.repeat(j, s[4]), _third_ids(s))
+        k = trie.triple(np.repeat(j, s[4]), s[5])
         out.append((part, shard, pack(_small(counts[np.searchsorted(words, s[0])]), _small(trie.successors(s[0])), trie.take(trie.pair_codes, j), trie.take(trie.weight_codes, j), trie.take(trie.triple_codes, k), np.array([trie.step]))))
     del trie, sent
     release()
@@ -279,20 +248,18 @@ def lm_scores(docs: DataFrame, held_out: DataFrame | None = None, key: str = "do
     z = float(n + v + 1)
     # words with more than a shard's share of all tokens: at most `parts` of them
     often = sorted((r.h % (1 << 64), -(-r.c * parts // n)) for r in counts.where(F.col("c") * parts > n).collect())
-    common = np.sort(np.array([r.h % (1 << 64) for r in counts.where(F.col("c") > WIDE).collect()], _U))  # at most n / WIDE words
     spread = np.array([h for h, _ in often], _U), np.array([min(k, parts) for _, k in often], np.int64)
 
     def send(group: pa.Table) -> pa.Table:
-        p, part, out = Part(dealt_rows(group), parts, spread, common), group.column("part")[0].as_py(), []
+        p, part, out = Part(dealt_rows(group), parts, spread), group.column("part")[0].as_py(), []
         sizes3 = np.bincount(p.pair_of)
         for s, words, counts, sizes, pairs, tris in p.slices():
-            high, low = _thirds(p.c3[tris], p.wide[p.pair_of[tris]])
-            out.append((s, part, pack(p.words[words], _small(counts), _small(sizes), p.b2[pairs], _small(sizes3[pairs]), high, _small(p.count[tris]), np.packbits(p.wide[pairs]), low)))
+            out.append((s, part, pack(p.words[words], _small(counts), _small(sizes), p.b2[pairs], _small(sizes3[pairs]), p.c3[tris], _small(p.count[tris]))))
         return _rows(out, ["shard", "part"])
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
         group = dealt_rows(group)
-        p = Part(group, parts, spread, common)
+        p = Part(group, parts, spread)
         got = {s: unpack(x) for s, x in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist())}
         c1, t1 = np.zeros(len(p.words)), np.zeros(len(p.words))
         c2, weight, p3 = np.zeros(len(p.a), np.uint8), np.zeros(len(p.a), np.uint8), np.zeros(len(p.pair_of), np.uint8)

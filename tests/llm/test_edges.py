@@ -167,14 +167,13 @@ def test_rare_continuations_of_a_large_context_keep_their_probability():
     assert prob_of(trie.weight_codes, trie.step) == pytest.approx([2 / (rare + 2)], rel=0.05)
 
 
-def test_third_words_of_large_contexts_take_32_bits(spark, monkeypatch):
+def test_third_words_take_32_bits(spark):
     names = np.array([f"w{i}" for i in range(20_000)])
     h = Words(pa.array(names)).hashes() >> np.uint64(40)
     order = np.argsort(h, kind="stable")
     at = np.flatnonzero(np.diff(h[order]) == 0)[0]
     known, other = names[order[at]], names[order[at + 1]]  # equal in 24 bits
     df = spark.createDataFrame([(i, f"a b {known}") for i in range(50)] + [(99, f"a b {other}")], "doc_id long, text string")
-    monkeypatch.setattr(ngram_score, "WIDE", 10)
     got = {r.doc_id: r.score for r in ngram_score.lm_scores(df, F.col("doc_id") == 99).collect()}
     assert got[99] < got[0] - 1
 
