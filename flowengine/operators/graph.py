@@ -141,19 +141,38 @@ def labels_in_turn(nodes: DataFrame, edges: DataFrame, label: str = "aoi", none:
     """Nodes relabelled as by induced_labels, but label after label (A, .., Z, AA, ..), each seeing what those before it took.
 
     Of a label's largest parts and their one-hop surroundings all nodes take it, whatever they had; its other nodes lose it.
-    Labels are those of areas of interest, so there are some hundred at most; each takes a round of joins.
+    Two labels are in conflict where an edge joins their nodes: only then one changes what the other starts from. A round
+    settles every label without a conflict with an earlier open one, all at once, so rounds follow the longest chain of
+    rising labels that touch, not their number. Of two labels that take the same node the later keeps it (`_by`, the
+    label that took it last), in whichever round they come.
     """
-    now = cut(nodes)
-    names = [r[0] for r in now.where(F.col(label) != none).select(label).distinct().collect()]
-    for name in sorted(names, key=lambda n: (len(n), n)):
-        some = now.where(F.col(label) == name).select("node_id")
-        parts = components(some, incident_edges(edges, some, both=True))
-        sizes = component_sizes(parts)
-        best = sizes.join(F.broadcast(sizes.agg(F.max("n").alias("n"))), "n").select("component")
-        near = neighbourhood(edges, parts.join(best, "component", "left_semi")).select(F.col("neighbour").alias("node_id"), F.lit(name).alias("_new")).distinct()
-        left = F.when(F.col(label) == name, none).otherwise(F.col(label))
-        now = cut(now.join(near, "node_id", "left").withColumn(label, F.coalesce("_new", left)).drop("_new"))
-    return now
+    near = cut(symmetric(edges).where("src != dst").distinct())
+    turn = lambda name: F.struct(F.length(name).alias("size"), F.col(name).alias("name"))
+    nobody = F.lit(None).cast("struct<size: int, name: string>")
+    now = cut(nodes.withColumns({"_open": F.coalesce(F.col(label) != none, F.lit(False)), "_by": nobody}))
+    while True:
+        open_ = cut(now.where("_open").select("node_id", turn(label).alias("at")))
+        if open_.isEmpty():
+            return now.drop("_open", "_by")
+        a, b = open_.select(F.col("node_id").alias("src"), F.col("at").alias("_a")), open_.select(F.col("node_id").alias("dst"), F.col("at").alias("_b"))
+        touching = cut(near.join(a, "src").join(b, "dst").where("_a <= _b"))
+        ready = cut(open_.join(touching.where("_a < _b").select(F.col("_b").alias("at")).distinct(), "at", "left_anti"))
+        inner = touching.where("_a = _b").select(F.col("src").alias("from"), F.col("dst").alias("to"))
+        parts = cut(components(ready, inner.join(ready.select(F.col("node_id").alias("from")), "from", "left_semi")).join(ready, "node_id"))
+        sizes = parts.groupBy("at", "component").agg(F.count("*").alias("n"))
+        best = sizes.join(sizes.groupBy("at").agg(F.max("n").alias("n")), ["at", "n"]).select("component")
+        core = parts.join(best, "component", "left_semi").select("node_id", "at")
+        around = near.join(core, near.src == core.node_id).select(F.col("dst").alias("node_id"), "at")
+        taken = core.unionByName(around).groupBy("node_id").agg(F.max("at").alias("_new"))
+        had = ready.select("node_id", F.lit(True).alias("_had"))
+        takes = F.coalesce(F.col("_new") > F.col("_by"), F.col("_new").isNotNull())
+        now = now.join(taken, "node_id", "left").join(had, "node_id", "left").withColumn("_takes", takes)
+        now = now.withColumns({
+            label: F.when(F.col("_takes"), F.col("_new.name")).when(F.col("_had"), none).otherwise(F.col(label)),
+            "_open": F.col("_open") & ~F.col("_takes") & F.col("_had").isNull(),
+            "_by": F.when(F.col("_takes"), F.col("_new")).otherwise(F.col("_by")),
+        })
+        now = cut(now.drop("_new", "_had", "_takes"))
 
 
 class Csr:

@@ -624,6 +624,26 @@ def redensified_ids(spark, d):
     return edges.join(a, "from").join(b, "to").select(F.col("a").alias("from"), F.col("b").alias("to"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS node_id, o_custkey, o_orderpriority FROM orders),
+l AS (SELECT node_id, CASE WHEN o_orderpriority = '5-LOW' THEN '0' ELSE 'L' || reverse(((node_id + 37 * (o_custkey % 3)) // 100 * 7)::VARCHAR) END AS aoi FROM n),
+names AS (SELECT aoi AS name, row_number() OVER (ORDER BY length(aoi), aoi) AS k FROM l WHERE aoi <> '0' GROUP BY 1),
+walk AS (SELECT 0::BIGINT AS k, node_id::BIGINT AS node_id, aoi FROM l
+ UNION ALL SELECT k, node_id, CASE WHEN bool_or(core) OVER (ORDER BY node_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) THEN name WHEN mine THEN '0' ELSE aoi END
+ FROM (SELECT *, mine AND size = max(size) FILTER (mine) OVER () AS core
+ FROM (SELECT *, count(*) OVER (PARTITION BY mine, run) AS size
+ FROM (SELECT names.k, node_id, aoi, name, aoi = name AS mine, node_id - row_number() OVER (PARTITION BY aoi = name ORDER BY node_id) AS run FROM walk JOIN names ON names.k = walk.k + 1))))
+SELECT node_id, aoi FROM walk WHERE k = (SELECT count(*) FROM names)""")
+def labels_in_turn(spark, d):
+    """Areas of some hundred orders in a row, mixed where they meet; their names are not in the order of their places."""
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    place = F.floor((F.col("node_id") + 37 * (F.col("o_custkey") % 3)) / 100) * 7
+    name = F.when(F.col("o_orderpriority") == "5-LOW", "0").otherwise(F.concat(F.lit("L"), F.reverse(place.cast("string"))))
+    nodes = graph.cut(graph.dense_ids(orders, ["o_orderkey"], "node_id").select(F.col("node_id").cast("long"), name.alias("aoi")))
+    n = nodes.count()
+    edges = spark.range(1, n).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to"))
+    return graph.labels_in_turn(nodes, edges)
+
+
 @query(_DIST + " SELECT s AS src, min(d) AS distance, arg_min(v, (d, v)) AS goal FROM r, n WHERE v IN (n // 4, n // 2, 3 * n // 4) GROUP BY 1")
 def nearest_of_goals(spark, d):
     w, n = whole_ring(spark, d)

@@ -246,6 +246,29 @@ def test_labels_in_turn(spark):
         assert {r.node_id: r.aoi for r in got.collect()} == want
 
 
+def test_labels_that_do_not_touch_settle_in_one_round(spark, monkeypatch):
+    """Forty labels along a chain, each beside two others: rounds follow the chains of rising labels, not the labels."""
+    rounds, made = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda *a: rounds.append(1) or made(*a))
+    has = [(i, None if i == 399 else f"{i // 10 * 7 % 41:02d}") for i in range(400)]
+    nodes = spark.createDataFrame(has, "node_id long, aoi string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(399)], "`from` long, `to` long")
+    got = {r.node_id: r.aoi for r in graph.labels_in_turn(nodes, edges).collect()}
+    want = [v for _, v in has]
+    for name in sorted({v for v in want if v}):
+        mine = [i for i in range(400) if want[i] == name]  # one run
+        for i in {j for i in mine for j in (i - 1, i, i + 1) if 0 <= j < 400}:
+            want[i] = name
+    assert got == dict(enumerate(want)) and len(rounds) <= 6
+
+
+def test_labels_in_turn_without_labels(spark):
+    nodes = spark.createDataFrame([(1, "0"), (2, None)], "node_id long, aoi string")
+    edges = spark.createDataFrame([(1, 2), (2, 2)], "`from` long, `to` long")
+    assert {r.node_id: r.aoi for r in graph.labels_in_turn(nodes, edges).collect()} == {1: "0", 2: None}
+    assert graph.labels_in_turn(nodes.limit(0), edges).collect() == []
+
+
 def test_drawn_polygons_apply_in_their_order(spark):
     """A polygon without nodes takes the place of what its node had; later shares come on top."""
     def ring(x, y):
