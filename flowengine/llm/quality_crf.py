@@ -261,7 +261,7 @@ def platt(z: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, st
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS):
-    """A Field, or a constant where the labels have one class at most."""
+    """A Field, or where all labels are alike that label, and without labels 1: nothing speaks against any text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, _CHUNK):
@@ -274,7 +274,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, learn, key: str = "d
     rows.sort(key=lambda r: (r.label, bytes(r.size), bytes(r.f)))  # the same fit whatever the order of arrival
     y = np.array([r.label for r in rows])
     if len(set(y.tolist())) < 2:
-        return float(y.mean()) if len(y) else 0.5
+        return float(y.mean()) if len(y) else 1.0
     good = labels.where(F.col(label).isin(0, 1) & F.coalesce(learn, F.lit(False))).agg(F.avg(label)).first()[0]
     sizes = [np.frombuffer(r.size, "<f4") for r in rows]
     f = np.concatenate([np.frombuffer(r.f, "<f4").reshape(-1, OWN) for r in rows]).astype(np.float64)

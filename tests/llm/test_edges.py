@@ -467,7 +467,7 @@ def test_classifiers_score_every_row(spark, docs, clashing):
     assert np.mean([(q[1000 + i] >= 0.7) == (i % 2 == 1) for i in held_q]) > 0.95
     assert np.mean([(t[1000 + i] >= 0.5) == (i % 3 == 0) for i in held_t]) > 0.9
     assert all(0 <= x <= 1 for x in [*q.values(), *t.values()])
-    assert len(quality_crf.quality_scores(docs, labels.limit(0)).collect()) == len(ROWS)
+    assert [r.score for r in quality_crf.quality_scores(docs, labels.limit(0)).collect()] == [1.0] * len(ROWS)
     assert {r.score for r in toxicity_cnn.toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
     assert quality_crf.quality_scores(docs.limit(0), labels).count() == 0
 
@@ -594,3 +594,29 @@ def test_stages_take_any_rows(spark, docs, clashing):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect())
     assert kept == [1, 2, 4, 5, 7, 8, 9]
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "ids", "n_tokens", "n_spelled", "exact"]
+
+
+def test_one_word_of_several_megabytes(spark):
+    """Op 8 scores it like any other text, op 10 takes it apart and puts it together again."""
+    long = "idiot" * 1_200_000
+    rows = [(1, long, "en", "a", len(long)), (2, "you idiot", "en", "a", 9), (3, "a fine day", "en", "a", 10), (4, f"{long} fine", None, "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity_cnn.toxicity_scores(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4] and all(0 <= r.score <= 1 for r in got)
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", f"{long}<|im_end|>")], "conv_id long, turn long, role string, text string")
+    x = chat_format.digests(chat_format.formatted(turns)).first()
+    loss = f"{long}<|im_end|>"
+    assert x.n_turns == 2 and x.loss_chars == len(loss) and x.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_pipeline_runs_on_empty_tables(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    for empty in (("documents",), ("labels",), ("benchmark",), ("documents", "labels", "benchmark")):
+        folder = tmp_path / "-".join(empty)
+        for name in ("documents", "labels", "benchmark"):
+            rows = spark.read.parquet(f"{data}/{name}.parquet")
+            (rows.limit(0) if name in empty else rows).write.parquet(f"{folder}/{name}.parquet")
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == ["doc_id", "ids", "n_tokens", "n_spelled", "exact"]
+        assert (out.count() == 0) == ("documents" in empty), empty  # classifiers without labels reject nothing
