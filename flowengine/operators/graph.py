@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The simulation sends a graph of up to this many directed edges whole to the executors (24 bytes an edge).
-BROADCAST_EDGES = 5_000_000
 #: Nodes of a cell of the network (by ranges of ids), and searches that a task makes in a cell.
 CELL, SOURCES = 4_096, 512
 
@@ -175,59 +173,6 @@ def labels_in_turn(nodes: DataFrame, edges: DataFrame, label: str = "aoi", none:
         now = cut(now.drop("_new", "_had", "_takes"))
 
 
-class Csr:
-    """Adjacency of one weighting in flat arrays, nodes by rank of their id."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
-        self.nodes = np.unique(np.concatenate([src, dst]))
-        order = np.lexsort((dst, src))
-        self.to, self.w = np.searchsorted(self.nodes, dst[order]), w[order]
-        self.start = np.searchsorted(np.searchsorted(self.nodes, src[order]), np.arange(len(self.nodes) + 1))
-
-    def settle(self, source: int, goals: set[int] | None = None) -> tuple[dict[int, float], dict[int, int]]:
-        """Distances and predecessors (by id), in settling order (distance, node id); stops when all goals are settled."""
-        s = int(np.searchsorted(self.nodes, source))
-        if s == len(self.nodes) or self.nodes[s] != source:
-            return {source: 0.0}, {}
-        best, before, done, heap = {s: 0.0}, {}, {}, [(0.0, s)]
-        left = None if goals is None else set(goals)
-        while heap:
-            d, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done[v] = d
-            if left is not None:
-                left.discard(int(self.nodes[v]))
-                if not left:
-                    break
-            for e in range(self.start[v], self.start[v + 1]):
-                u, x = int(self.to[e]), d + float(self.w[e])
-                if x < best.get(u, np.inf):
-                    best[u], before[u] = x, v
-                    heapq.heappush(heap, (x, u))
-        name = self.nodes
-        return {int(name[v]): d for v, d in done.items()}, {int(name[u]): int(name[v]) for u, v in before.items() if u in done}
-
-
-def path_to(before: dict[int, int], source: int, goal: int) -> list[int]:
-    """Nodes after the source up to the goal; the goal alone where it is the source, nothing where it was not reached."""
-    if source == goal:
-        return [goal]
-    path, v = [], goal
-    while v in before:
-        path.append(v)
-        v = before[v]
-    return path[::-1] if v == source else []
-
-
-def _graph(spark: SparkSession, weights: DataFrame):
-    """Broadcast adjacency of every weighting, or None above BROADCAST_EDGES. The edges are counted before anything is collected."""
-    if weights.count() > BROADCAST_EDGES:
-        return None
-    rows = weights.select("weighting", "src", "dst", "w").toPandas()
-    return spark.sparkContext.broadcast({k: Csr(g.src.to_numpy(), g.dst.to_numpy(), g.w.to_numpy(float)) for k, g in rows.groupby("weighting")})
-
-
 def _within(seeds: pd.DataFrame, edges: pd.DataFrame, step: int, whole: bool) -> list[tuple]:
     """Rows (src, node_id, distance, mark) that a cell makes of its seeds: of all its nodes, or of the nodes beyond its edges.
 

@@ -1,7 +1,9 @@
-"""Visitor simulation: one state machine per agent over a broadcast graph; agents never interact.
+"""Visitor simulation in three phases, each a few Spark jobs for all agents at once: the way out, the stroll in the area, the way home.
 
-The kernel jumps from event to event, as ticks at which an agent is not due change nothing. Output is one row per edge
-walked, so passage counts and path geometries are plain DataFrame work on the log.
+Agents never interact, and a walk is a way to its goal, moves inside one area, and a way back. Ways are shortest paths of distinct
+pairs, joined to their agents. A stroll needs one area's nodes only, so agents meet those of their area (of a cell of it, where
+the area is large) and no task holds the network. Output is one row per edge walked, so passage counts and path geometries
+are plain DataFrame work on the log.
 """
 
 from __future__ import annotations
@@ -9,23 +11,23 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowengine.functions.expressions import FAMILY, STEPS_PER_MINUTE, lookup
+from flowengine.functions.expressions import FAMILY, STEPS_PER_MINUTE, lookup, timesteps, travel_minutes
 
-from .graph import Csr, _graph, path_to
+from .graph import CELL, cut, shortest_paths
 
 #: Fixed value: ticks after which a walk ends.
 MAX_STEPS = 108_000
-#: Routes, and neighbours in an area, that a task remembers.
-ROUTES = 4_096
-LOG = "agent_id long, seq int, timestep long, behaviour string, `from` long, `to` long, edge_id long, in_aoi boolean"
+#: Moves into an area that a task holds (a larger area is walked cell by cell), and agents that share a task.
+AREA, AGENTS = 200_000, 512
+LOG = ("agent_id", "seq", "timestep", "behaviour", "from", "to", "edge_id", "in_aoi")
+STATE = ("agent_id", "now", "t", "last", "at", "x", "y", "lx", "ly", "stack", "retraced", "hops", "then")
+_STATE = "agent_id long, now long, t long, last long, at long, x double, y double, lx double, ly double, stack array<struct<node: long, wait: long, x: double, y: double>>, retraced array<long>, hops array<struct<t: long, back: boolean, a: long, b: long>>, then string"
 
 
 def uniform(seed: int, *parts) -> float:
@@ -40,117 +42,147 @@ def bonus(p, c, n) -> float:
     return 1.0 if a <= 45 else 0.0 if a <= 90 else -2.0
 
 
-class World:
-    """What all agents share: graphs by weighting, node attributes by id, edge ids by ends."""
-
-    def __init__(self, graphs: dict[str, Csr], xy: dict[int, tuple[float, float]], aoi: dict[int, str], duln: dict[tuple[str, int], float], edge: dict[tuple[int, int], tuple[int, float]]):
-        self.graphs, self.xy, self.aoi, self.duln, self.edge = graphs, xy, aoi, duln, edge
-        g = next(iter(graphs.values()))
-        self.near = {int(v): [int(g.nodes[u]) for u in g.to[g.start[i] : g.start[i + 1]]] for i, v in enumerate(g.nodes)}
-        # agents that start, or turn back, at the same places share their routes
-        self._routes, self.inside = lru_cache(ROUTES)(self._route), lru_cache(ROUTES)(self._inside)
-
-    def route(self, kind: str, weighting: str, src: int, goal: int) -> tuple[list[int], float]:
-        name = f"{kind}:{weighting}"
-        return self._routes(name if name in self.graphs else weighting, src, goal)
-
-    def _route(self, name: str, src: int, goal: int) -> tuple[list[int], float]:
-        dist, before = self.graphs[name].settle(src, {goal})
-        return path_to(before, src, goal), dist.get(goal, 0.0)
-
-    def _inside(self, node: int, area: str) -> list[int]:
-        """Neighbours of a node in the area, by id."""
-        return sorted({v for v in self.near.get(node, []) if v != node and self.aoi.get(v) == area})
-
-
-def walk(world: World, agent, seed: int, as_written: bool = True) -> list[tuple]:
-    """The log of one agent: (agent_id, start_v, goal_v, aoi_goal, agent_type, speed, time_ext)."""
-    me, start, goal, area, kind, speed, extent = agent
-    if goal == -1:
-        return []
-    log: list[tuple] = []
-    steps = lambda metres: max(1, math.ceil(math.ceil(metres / (speed * 1000 / 60)) * STEPS_PER_MINUTE))
-    behaviour, current, last, nxt, t, path, prior, retraced, extra = "shortest", start, None, start, 1, None, [], set(), 0.0
-    been = Counter()  # how often each node is in prior
-
-    def log_hops(nodes: list[int], edges_in: bool) -> None:
-        for a, b in zip(nodes, nodes[1:]):
-            e = world.edge.get((min(a, b), max(a, b)))
-            log.append((me, len(log), t, behaviour, a, b, e[0] if e else None, edges_in))
+def stroll(a, moves: dict[int, list], seed: int, width: int) -> tuple:
+    """One agent's moves from its state until it turns home, its time ends, or it leaves the nodes at hand.
 
+    `moves` has, per node, (node, x, y, metres, duln) of its neighbours in the area by id. A move goes to the stack with
+    its ticks, and is undone from there where no neighbour is left. Returns the new state; `then` names the weighting of
+    the way home, "" where the walk is over, None where it goes on in another cell.
+    """
+    t, last, at, x, y, lx, ly = int(a.t), int(a.last), int(a.at), a.x, a.y, a.lx, a.ly
+    stack, retraced, hops = [(s["node"], s["wait"], s["x"], s["y"]) for s in a.stack], set(a.retraced), []
+    came = [int(v) for v in a.path]
+    been = Counter(came + [s[0] for s in stack])
+    round_trip, cell, then = a.start_v == a.goal_v, at // width if width else 0, ""
     while t <= MAX_STEPS:
-        if t > 1 and behaviour == "retracing":
-            behaviour = "nicest"
-        elif t > 1:
-            passed = path if path and behaviour in ("shortest", "nicestShortest") else [current]
-            prior += passed
-            been.update(passed)
-        last, current = current, nxt
+        if width and at // width != cell:
+            then = None
+            break
         timer = t / STEPS_PER_MINUTE
-        if (timer > extent or behaviour in ("shortest", "nicestShortest")) and goal == start == current and t > 1:
+        if round_trip and timer > a.time_ext and at == a.start_v and t > 1:
             break
-        if behaviour == "shortest" and goal == current:
-            behaviour, path = "nicest", None
-        if extent + extra <= timer:
-            behaviour = "shortest" if goal != start else behaviour
-            goal, path = start, None
-        if behaviour == "nicest":
-            options = [v for v in world.inside(current, area) if v != last and v not in retraced]
-            if options:
-                x = np.array([world.duln.get((kind, v), 0.0) + (bonus(world.xy[last], world.xy[current], world.xy[v]) if prior and last is not None else 0.0) for v in options])
-                p = np.exp((x - x.max()) / 0.5)
-                p /= p.sum()
-                if len(options) > 1:
-                    p = np.where([been[v] > 0 for v in options], 1e-5, p)
-                nxt = options[int(min(np.searchsorted(np.cumsum(p), uniform(seed, me, t) * p.sum(), "right"), len(p) - 1))]
-            else:
-                behaviour = "retracing"
-        if behaviour == "retracing":
-            nxt = prior.pop() if prior else current
-            been[nxt] -= 1
-            retraced.add(current)
-            if nxt == current:
-                behaviour, goal, path = "nicestShortest", start, None
-        if behaviour in ("shortest", "nicestShortest"):
-            if not path:
-                path, metres = world.route(kind, "distance" if behaviour == "shortest" else "little_attr", current, goal)
-            else:
-                metres = 0.0
-            if not path:
-                break
-            nxt = goal = path[-1]
-            log_hops([current, *path], False)
-            wait = steps(metres)
-            if behaviour == "shortest":
-                extra += t + wait if as_written else wait / STEPS_PER_MINUTE
+        if not round_trip and a.time_ext + a.extra <= timer:
+            then = "distance"
+            break
+        options = [m for m in moves.get(at, ()) if m[0] != last and m[0] not in retraced]
+        if options:
+            turned = bool(came or stack)
+            w = np.array([m[4] + (bonus((lx, ly), (x, y), m[1:3]) if turned else 0.0) for m in options])
+            p = np.exp((w - w.max()) / 0.5)
+            p /= p.sum()
+            if len(options) > 1:
+                p = np.where([been[m[0]] > 0 for m in options], 1e-5, p)
+            to, tx, ty, metres, _ = options[int(min(np.searchsorted(np.cumsum(p), uniform(seed, a.agent_id, t) * p.sum(), "right"), len(p) - 1))]
+            wait = max(1, math.ceil(math.ceil(metres / (a.speed * 1000 / 60)) * STEPS_PER_MINUTE))
+            stack.append((at, wait, x, y))
+            been[at] += 1
         else:
-            e = world.edge.get((min(current, nxt), max(current, nxt)))
-            log_hops([current, nxt], True)
-            wait = steps(e[1] if e else 0.0)
+            retraced.add(at)
+            if not stack:
+                then = "little_attr"
+                break
+            to, wait, tx, ty = stack.pop()
+            been[to] -= 1
+        hops.append((t, not options, at, to))
         t += wait
-    return log
-
-
-def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: DataFrame, duln: DataFrame, seed: int = 1, as_written: bool = True) -> DataFrame:
-    """The log of all agents. `duln` is (agent_type, node_id, duln); the graph's size is checked before it is broadcast."""
-    spark = agents.sparkSession
-    graphs = _graph(spark, weights)
-    if graphs is None:
-        raise ValueError("the simulation takes networks of up to graph.BROADCAST_EDGES rows of weights")
-    n, e, d = nodes.select("node_id", "x", "y", "aoi").toPandas(), edges.select("edge_id", "from", "to", "shape_leng").toPandas(), duln.select("agent_type", "node_id", "duln").toPandas()
-    e = e.sort_values("edge_id", ascending=False)  # of parallel edges the first stays
-    ends = {(min(a, b), max(a, b)): (i, w) for i, a, b, w in e.itertuples(index=False)}
-    rest = spark.sparkContext.broadcast((dict(zip(n.node_id, zip(n.x, n.y))), dict(zip(n.node_id, n.aoi)), {(k, v): x for k, v, x in d.itertuples(index=False)}, ends))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        world = World(graphs.value, *rest.value)
-        for b in batches:
-            rows = [r for a in b.itertuples(index=False) for r in walk(world, tuple(a), seed, as_written)]
-            yield pd.DataFrame(rows, columns=["agent_id", "seq", "timestep", "behaviour", "from", "to", "edge_id", "in_aoi"]).astype({"edge_id": "Int64"})
-
-    # agents come from a small table, but each is minutes of walking: deal them to all tasks
-    dealt = agents.select("agent_id", "start_v", "goal_v", "aoi_goal", "agent_type", "speed", "time_ext").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "agent_id")
-    return dealt.mapInPandas(run, LOG)
+        last, lx, ly, at, x, y = at, x, y, to, tx, ty
+    names = ("node", "wait", "x", "y")
+    return t, last, at, x, y, lx, ly, [dict(zip(names, s)) for s in stack], list(retraced), [dict(zip(("t", "back", "a", "b"), h)) for h in hops], then
+
+
+def _strolled(agents: DataFrame, moves: DataFrame, duln: DataFrame, seed: int, area_rows: int) -> DataFrame:
+    """(agent_id, now, hops, .., then): a row for every agent and round; the row whose `then` is not null is the agent's last.
+
+    `moves` is (aoi, u, v, x, y, metres), the moves from any node to a neighbour in an area. Areas of up to `area_rows` moves are walked in
+    one round. Of larger ones every round walks the cells where agents are, and hands those that leave a cell to the next.
+    """
+    sizes = moves.groupBy("aoi").agg(F.when(F.count("*") > area_rows, min(CELL, area_rows)).otherwise(0).cast("long").alias("width"))
+    cell = lambda node: F.when(F.col("width") > 0, F.floor(node / F.col("width"))).otherwise(0)
+    moves = cut(moves.join(sizes, "aoi").withColumn("cell", cell(F.col("u"))))
+    agents = agents.join(sizes, "aoi", "left").withColumn("width", F.coalesce("width", F.lit(0)))
+    fixed = [c for c in agents.columns if c not in ("t", "last", "at", "x", "y", "lx", "ly", "stack", "retraced", "now")]
+    now, rounds = cut(agents.withColumns({"now": F.lit(0).cast("long"), "stack": F.expr("CAST(array() AS array<struct<node: long, wait: long, x: double, y: double>>)"), "retraced": F.expr("CAST(array() AS array<long>)")})), []
+
+    def run(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list] = {}
+        for u, *m in near.sort_values(["u", "v"])[["u", "v", "vx", "vy", "metres", "duln"]].itertuples(index=False):
+            by.setdefault(u, []).append(tuple(m))
+        rows = [(a.agent_id, a.now, *stroll(a, by, seed, int(a.width))) for a in own.itertuples(index=False)]
+        return pd.DataFrame(rows, columns=STATE)
+
+    while not now.isEmpty():
+        at = now.withColumn("cell", cell(F.col("at")))
+        group = ["aoi", "cell", "agent_type"]
+        share = at.groupBy(*group).agg(F.ceil(F.count("*") / AGENTS).alias("parts"))  # a crowd is dealt to several tasks
+        own = at.join(share, group).withColumn("part", F.pmod(F.xxhash64("agent_id"), F.col("parts")))
+        near = moves.select("aoi", "cell", "u", "v", F.col("x").alias("vx"), F.col("y").alias("vy"), "metres").join(share.select(*group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), ["aoi", "cell"])
+        near = near.join(duln, ["agent_type", "v"], "left").withColumn("duln", F.coalesce("duln", F.lit(0.0)))
+        near = near.select(*[F.col(c).alias(c) for c in near.columns])
+        keys = [*group, "part"]
+        rounds.append(cut(own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, _STATE)))
+        rest = rounds[-1].where("then IS NULL").drop("hops", "then").withColumn("now", F.col("now") + 1)
+        now = cut(agents.select(*fixed).join(rest, "agent_id"))
+    out = rounds[0] if rounds else cut(agents.sparkSession.createDataFrame([], _STATE))
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _ways(agents: DataFrame, weights: DataFrame, src: str, goal: str, by: Column) -> DataFrame:
+    """Agents with the weighting of their way (their type's own, where there is one), its metres and path; without a way they fall out."""
+    named = weights.select("weighting").distinct()
+    own = agents.withColumns({"_own": F.concat_ws(":", "agent_type", by), "_any": by}).join(named.select(F.col("weighting").alias("_own"), F.lit(True).alias("_is")), "_own", "left")
+    own = own.withColumn("weighting", F.when(F.col("_is"), F.col("_own")).otherwise(F.col("_any"))).drop("_own", "_any", "_is")
+    own = cut(own)
+    pairs = own.select("weighting", F.col(src).alias("src"), F.col(goal).alias("goal")).distinct()
+    found = shortest_paths(weights.join(pairs.select("weighting").distinct(), "weighting", "left_semi"), pairs).withColumnsRenamed({"src": src, "goal": goal, "distance": "metres"})
+    return own.join(found, ["weighting", src, goal]).where(F.size("path") > 0).drop("weighting")
+
+
+def _ticks(metres: Column, speed: Column) -> Column:
+    return F.greatest(F.lit(1), timesteps(travel_minutes(metres, speed), "m"))
+
+
+def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: DataFrame, duln: DataFrame, seed: int = 1, as_written: bool = True, area_rows: int = AREA) -> DataFrame:
+    """The log of all agents (agent_id, start_v, goal_v, aoi_goal, agent_type, speed, time_ext). `duln` is (agent_type, node_id, duln).
+
+    Networks, areas and agents of any size: nothing is broadcast by hand or collected. Agents without a goal (-1) or a way to it have no rows.
+    Of parallel edges the one of the smallest id is walked.
+    """
+    one = edges.groupBy(F.least("from", "to").alias("_a"), F.greatest("from", "to").alias("_b")).agg(F.min("edge_id").alias("edge_id"), F.min_by("shape_leng", "edge_id").alias("shape_leng"))
+    one = cut(one)
+    ends = lambda a, b: {"_a": F.least(a, b), "_b": F.greatest(a, b)}
+    first = weights.agg(F.min("weighting")).first()[0]
+    to = nodes.where("aoi IS NOT NULL").select(F.col("node_id").alias("v"), "aoi", "x", "y")
+    moves = weights.where(F.col("weighting") == F.lit(first)).select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u != v").distinct().join(to, "v")
+    moves = moves.join(agents.select(F.col("aoi_goal").alias("aoi")).distinct(), "aoi", "left_semi").withColumns(ends("u", "v")).join(one, ["_a", "_b"], "left")
+    moves = moves.select("aoi", "u", "v", "x", "y", F.coalesce("shape_leng", F.lit(0.0)).alias("metres"))
+
+    who = cut(agents.where("goal_v != -1").select("agent_id", "start_v", "goal_v", F.col("aoi_goal").alias("aoi"), "agent_type", "speed", "time_ext"))
+    out = _ways(who.where("start_v != goal_v"), weights, "start_v", "goal_v", F.lit("distance")).withColumn("wait", _ticks(F.col("metres"), F.col("speed")))
+    out = out.withColumns({"t": 1 + F.col("wait"), "extra": (1 + F.col("wait") if as_written else F.col("wait") / STEPS_PER_MINUTE).cast("double")}).drop("wait", "metres")
+    there = who.where("start_v = goal_v").withColumns({"path": F.expr("CAST(array() AS array<long>)"), "t": F.lit(1), "extra": F.lit(0.0)})
+    gone = cut(out.unionByName(there).withColumn("t", F.col("t").cast("long")))
+    xy = lambda key, *c: nodes.select(F.col("node_id").alias(key), F.col("x").cast("double").alias(c[0]), F.col("y").cast("double").alias(c[1]))
+    begun = gone.where(F.col("t") <= MAX_STEPS).join(xy("start_v", "lx", "ly"), "start_v", "left").join(xy("goal_v", "x", "y"), "goal_v", "left")
+    begun = begun.withColumns({"last": F.col("start_v"), "at": F.col("goal_v")})
+    walked = _strolled(begun, moves, duln.select("agent_type", F.col("node_id").alias("v"), "duln"), seed, area_rows)
+    turned = walked.where("then != ''").select("agent_id", "t", F.col("at").alias("turn_v"), "then")
+    home = _ways(turned.join(who, "agent_id"), weights, "turn_v", "start_v", F.col("then"))
+
+    leg = lambda start: F.posexplode(F.arrays_zip(F.concat(F.array(start), F.expr("slice(path, 1, greatest(size(path) - 1, 0))")).alias("a"), F.col("path").alias("b"))).alias("pos", "hop")
+    step = lambda df, phase, t, behaviour, in_aoi: df.select("agent_id", F.lit(phase).alias("phase"), "now", "pos", t.cast("long").alias("timestep"), behaviour.alias("behaviour"), F.col("hop.a").alias("from"), F.col("hop.b").alias("to"), F.lit(in_aoi).alias("in_aoi"))
+    zero = F.lit(0).cast("long").alias("now")
+    legs = step(gone.where(F.size("path") > 0).select("agent_id", zero, leg("start_v")), 0, F.lit(1), F.lit("shortest"), False)
+    legs = legs.unionByName(step(walked.select("agent_id", "now", F.posexplode("hops").alias("pos", "hop")), 1, F.col("hop.t"), F.when(F.col("hop.back"), "retracing").otherwise("nicest"), True))
+    legs = legs.unionByName(step(home.select("agent_id", zero, "t", "then", leg("turn_v")), 2, F.col("t"), F.when(F.col("then") == "distance", "shortest").otherwise("nicestShortest"), False))
+    # rows know their place in their phase; what lies before a phase, or a round of it, is added from its sizes
+    sizes = gone.select("agent_id", F.lit(0).alias("phase"), zero, F.size("path").alias("n")).unionByName(walked.select("agent_id", F.lit(1).alias("phase"), "now", F.size("hops").alias("n")))
+    parts = sizes.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("phase", "now", "n"))).alias("parts"))
+    legs = legs.join(parts, "agent_id").withColumn("me", F.struct("phase", "now"))
+    before = F.aggregate(F.filter("parts", lambda p: F.struct(p["phase"].alias("phase"), p["now"].alias("now")) < F.col("me")), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    legs = legs.withColumn("seq", (before + F.col("pos")).cast("int")).withColumns(ends("from", "to"))
+    return legs.join(one.drop("shape_leng"), ["_a", "_b"], "left").select(*LOG)
 
 
 def histories(log: DataFrame, agents: DataFrame) -> DataFrame:
