@@ -11,8 +11,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,8 @@ MAX_STEPS = 108_000
 #: Moves into an area that a task holds (a larger area is walked cell by cell), and agents that share a task.
 AREA, AGENTS = 200_000, 512
 LOG = ("agent_id", "seq", "timestep", "behaviour", "from", "to", "edge_id", "in_aoi")
-STATE = ("agent_id", "now", "t", "last", "at", "x", "y", "lx", "ly", "stack", "retraced", "hops", "then")
-_STATE = "agent_id long, now long, t long, last long, at long, x double, y double, lx double, ly double, stack array<struct<node: long, wait: long, x: double, y: double>>, retraced array<long>, hops array<struct<t: long, back: boolean, a: long, b: long>>, then string"
+STATE = ("agent_id", "now", "t", "last", "at", "x", "y", "lx", "ly", "stack", "retraced", "times", "backs", "froms", "tos", "then")
+_STATE = "agent_id long, now long, t long, last long, at long, x double, y double, lx double, ly double, stack array<struct<node: long, wait: long, x: double, y: double>>, retraced array<long>, times array<long>, backs array<boolean>, froms array<long>, tos array<long>, then string"
 
 
 def uniform(seed: int, *parts) -> float:
@@ -42,12 +42,13 @@ def bonus(p, c, n) -> float:
     return 1.0 if a <= 45 else 0.0 if a <= 90 else -2.0
 
 
-def stroll(a, moves: dict[int, list], seed: int, width: int) -> tuple:
+def stroll(a, moves: dict[int, list], seen: dict[tuple, list], seed: int, width: int) -> tuple:
     """One agent's moves from its state until it turns home, its time ends, or it leaves the nodes at hand.
 
-    `moves` has, per node, (node, x, y, metres, duln) of its neighbours in the area by id. A move goes to the stack with
-    its ticks, and is undone from there where no neighbour is left. Returns the new state; `then` names the weighting of
-    the way home, "" where the walk is over, None where it goes on in another cell.
+    `moves` has, per node, (node, x, y, metres, duln) of its neighbours in the area by id; `seen` keeps them with their
+    pull, by where an agent of this type comes from. A move goes to the stack with its ticks, and is undone from there where no
+    neighbour is left. Returns the new state; `then` names the weighting of the way home, "" where the walk is over, None
+    where it goes on in another cell.
     """
     t, last, at, x, y, lx, ly = int(a.t), int(a.last), int(a.at), a.x, a.y, a.lx, a.ly
     stack, retraced, hops = [(s["node"], s["wait"], s["x"], s["y"]) for s in a.stack], set(a.retraced), []
@@ -64,15 +65,19 @@ def stroll(a, moves: dict[int, list], seed: int, width: int) -> tuple:
         if not round_trip and a.time_ext + a.extra <= timer:
             then = "distance"
             break
-        options = [m for m in moves.get(at, ()) if m[0] != last and m[0] not in retraced]
+        turned = bool(came or stack)
+        key = (last if turned else None, at)
+        if key not in seen:
+            seen[key] = [(*m[:4], m[4] + (bonus((lx, ly), (x, y), m[1:3]) if turned else 0.0)) for m in moves.get(at, ())]
+        options = [m for m in seen[key] if m[0] != last and m[0] not in retraced]
         if options:
-            turned = bool(came or stack)
-            w = np.array([m[4] + (bonus((lx, ly), (x, y), m[1:3]) if turned else 0.0) for m in options])
-            p = np.exp((w - w.max()) / 0.5)
-            p /= p.sum()
+            top = max(m[4] for m in options)
+            p = [math.exp((m[4] - top) / 0.5) for m in options]
             if len(options) > 1:
-                p = np.where([been[m[0]] > 0 for m in options], 1e-5, p)
-            to, tx, ty, metres, _ = options[int(min(np.searchsorted(np.cumsum(p), uniform(seed, a.agent_id, t) * p.sum(), "right"), len(p) - 1))]
+                whole = sum(p)
+                p = [1e-5 if been.get(m[0], 0) > 0 else q / whole for m, q in zip(options, p)]
+            drawn = uniform(seed, a.agent_id, t) * sum(p)
+            to, tx, ty, metres, _ = options[next((i for i, q in enumerate(accumulate(p)) if q > drawn), -1)]
             wait = max(1, math.ceil(math.ceil(metres / (a.speed * 1000 / 60)) * STEPS_PER_MINUTE))
             stack.append((at, wait, x, y))
             been[at] += 1
@@ -87,11 +92,12 @@ def stroll(a, moves: dict[int, list], seed: int, width: int) -> tuple:
         t += wait
         last, lx, ly, at, x, y = at, x, y, to, tx, ty
     names = ("node", "wait", "x", "y")
-    return t, last, at, x, y, lx, ly, [dict(zip(names, s)) for s in stack], list(retraced), [dict(zip(("t", "back", "a", "b"), h)) for h in hops], then
+    kept = ([], []) if then is not None else ([dict(zip(names, s)) for s in stack], list(retraced))
+    return t, last, at, x, y, lx, ly, *kept, *(list(c) for c in (zip(*hops) if hops else ([], [], [], []))), then
 
 
 def _strolled(agents: DataFrame, moves: DataFrame, duln: DataFrame, seed: int, area_rows: int) -> DataFrame:
-    """(agent_id, now, hops, .., then): a row for every agent and round; the row whose `then` is not null is the agent's last.
+    """(agent_id, now, times, froms, tos, .., then): a row for every agent and round; the row whose `then` is not null is the agent's last.
 
     `moves` is (aoi, u, v, x, y, metres), the moves from any node to a neighbour in an area. Areas of up to `area_rows` moves are walked in
     one round. Of larger ones every round walks the cells where agents are, and hands those that leave a cell to the next.
@@ -107,7 +113,8 @@ def _strolled(agents: DataFrame, moves: DataFrame, duln: DataFrame, seed: int, a
         by: dict[int, list] = {}
         for u, *m in near.sort_values(["u", "v"])[["u", "v", "vx", "vy", "metres", "duln"]].itertuples(index=False):
             by.setdefault(u, []).append(tuple(m))
-        rows = [(a.agent_id, a.now, *stroll(a, by, seed, int(a.width))) for a in own.itertuples(index=False)]
+        seen: dict[tuple, list] = {}
+        rows = [(a.agent_id, a.now, *stroll(a, by, seen, seed, int(a.width))) for a in own.itertuples(index=False)]
         return pd.DataFrame(rows, columns=STATE)
 
     while not now.isEmpty():
@@ -120,7 +127,7 @@ def _strolled(agents: DataFrame, moves: DataFrame, duln: DataFrame, seed: int, a
         near = near.select(*[F.col(c).alias(c) for c in near.columns])
         keys = [*group, "part"]
         rounds.append(cut(own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, _STATE)))
-        rest = rounds[-1].where("then IS NULL").drop("hops", "then").withColumn("now", F.col("now") + 1)
+        rest = rounds[-1].where("then IS NULL").drop("times", "backs", "froms", "tos", "then").withColumn("now", F.col("now") + 1)
         now = cut(agents.select(*fixed).join(rest, "agent_id"))
     out = rounds[0] if rounds else cut(agents.sparkSession.createDataFrame([], _STATE))
     for r in rounds[1:]:
@@ -174,10 +181,10 @@ def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: Da
     step = lambda df, phase, t, behaviour, in_aoi: df.select("agent_id", F.lit(phase).alias("phase"), "now", "pos", t.cast("long").alias("timestep"), behaviour.alias("behaviour"), F.col("hop.a").alias("from"), F.col("hop.b").alias("to"), F.lit(in_aoi).alias("in_aoi"))
     zero = F.lit(0).cast("long").alias("now")
     legs = step(gone.where(F.size("path") > 0).select("agent_id", zero, leg("start_v")), 0, F.lit(1), F.lit("shortest"), False)
-    legs = legs.unionByName(step(walked.select("agent_id", "now", F.posexplode("hops").alias("pos", "hop")), 1, F.col("hop.t"), F.when(F.col("hop.back"), "retracing").otherwise("nicest"), True))
+    legs = legs.unionByName(step(walked.select("agent_id", "now", F.posexplode(F.arrays_zip(F.col("times").alias("t"), F.col("backs").alias("back"), F.col("froms").alias("a"), F.col("tos").alias("b"))).alias("pos", "hop")), 1, F.col("hop.t"), F.when(F.col("hop.back"), "retracing").otherwise("nicest"), True))
     legs = legs.unionByName(step(home.select("agent_id", zero, "t", "then", leg("turn_v")), 2, F.col("t"), F.when(F.col("then") == "distance", "shortest").otherwise("nicestShortest"), False))
     # rows know their place in their phase; what lies before a phase, or a round of it, is added from its sizes
-    sizes = gone.select("agent_id", F.lit(0).alias("phase"), zero, F.size("path").alias("n")).unionByName(walked.select("agent_id", F.lit(1).alias("phase"), "now", F.size("hops").alias("n")))
+    sizes = gone.select("agent_id", F.lit(0).alias("phase"), zero, F.size("path").alias("n")).unionByName(walked.select("agent_id", F.lit(1).alias("phase"), "now", F.size("times").alias("n")))
     parts = sizes.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("phase", "now", "n"))).alias("parts"))
     legs = legs.join(parts, "agent_id").withColumn("me", F.struct("phase", "now"))
     before = F.aggregate(F.filter("parts", lambda p: F.struct(p["phase"].alias("phase"), p["now"].alias("now")) < F.col("me")), F.lit(0).cast("long"), lambda s, p: s + p["n"])
