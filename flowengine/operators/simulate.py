@@ -153,8 +153,8 @@ def _ticks(metres: Column, speed: Column) -> Column:
 def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: DataFrame, duln: DataFrame, seed: int = 1, as_written: bool = True, area_rows: int = AREA) -> DataFrame:
     """The log of all agents (agent_id, start_v, goal_v, aoi_goal, agent_type, speed, time_ext). `duln` is (agent_type, node_id, duln).
 
-    Networks, areas and agents of any size: nothing is broadcast by hand or collected. Agents without a goal (-1) or a way to it have no rows.
-    Of parallel edges the one of the smallest id is walked.
+    Networks, areas and agents of any size: nothing is broadcast by hand or collected. Agents without a goal (-1 or null) or a way to it have no rows;
+    without an area they turn home at their goal. Agents' ids are unique. Of parallel edges the one of the smallest id is walked.
     """
     one = edges.groupBy(F.least("from", "to").alias("_a"), F.greatest("from", "to").alias("_b")).agg(F.min("edge_id").alias("edge_id"), F.min_by("shape_leng", "edge_id").alias("shape_leng"))
     one = cut(one)
@@ -165,7 +165,7 @@ def simulated(agents: DataFrame, weights: DataFrame, nodes: DataFrame, edges: Da
     moves = moves.join(agents.select(F.col("aoi_goal").alias("aoi")).distinct(), "aoi", "left_semi").withColumns(ends("u", "v")).join(one, ["_a", "_b"], "left")
     moves = moves.select("aoi", "u", "v", "x", "y", F.coalesce("shape_leng", F.lit(0.0)).alias("metres"))
 
-    who = cut(agents.where("goal_v != -1").select("agent_id", "start_v", "goal_v", F.col("aoi_goal").alias("aoi"), "agent_type", "speed", "time_ext"))
+    who = cut(agents.where("goal_v != -1").select("agent_id", "start_v", "goal_v", F.coalesce("aoi_goal", F.lit("")).alias("aoi"), "agent_type", "speed", "time_ext"))
     out = _ways(who.where("start_v != goal_v"), weights, "start_v", "goal_v", F.lit("distance")).withColumn("wait", _ticks(F.col("metres"), F.col("speed")))
     out = out.withColumns({"t": 1 + F.col("wait"), "extra": (1 + F.col("wait") if as_written else F.col("wait") / STEPS_PER_MINUTE).cast("double")}).drop("wait", "metres")
     there = who.where("start_v = goal_v").withColumns({"path": F.expr("CAST(array() AS array<long>)"), "t": F.lit(1), "extra": F.lit(0.0)})
