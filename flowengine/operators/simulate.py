@@ -200,7 +200,7 @@ def histories(log: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def path_geometries(log: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(agent_id, behaviour, coords): the points each agent passed in order; moves of one point only are left out."""
+    """(agent_id, behaviour, coords): the points each agent passed, by `seq` and node id; moves of one point only are left out."""
     at = nodes.select(F.col("node_id").alias("to"), F.struct("x", "y").alias("p"))
-    pts = log.join(at, "to").groupBy("agent_id", "behaviour").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda v: v["p"]).alias("coords"))
+    pts = log.join(at, "to").groupBy("agent_id", "behaviour").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "to", "p"))), lambda v: v["p"]).alias("coords"))
     return pts.where(F.size("coords") > 1)
