@@ -1,6 +1,41 @@
 """Ties, and work that must not grow faster than its result."""
 
-from flowengine.operators import simulate
+import duckdb
+from pyspark.sql import functions as F
+
+from flowengine.operators import graph, simulate
+from flowengine.plans import registry
+
+DATA = "/root/testdata/sf0.01"
+
+
+def written(monkeypatch) -> list[int]:
+    """The rows of every table that goes to the shared folder from here on."""
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    return rows
+
+
+def test_paths_write_borders_not_whole_searches(spark, monkeypatch):
+    """Searches from all nodes of the ring keep what crosses cells; no table has a row for every source and node, and paths stay those of the SQL."""
+    w, n = registry.whole_ring(spark, DATA)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{DATA}/supplier.parquet'")
+    want = {(s, g): p for s, g, p in con.execute("SELECT src, goal, path FROM (" + registry.ORACLE_SQL["shortest_path_nodes"] + ")").fetchall()}
+    ends = w.select("weighting", "src").distinct()
+    pairs = ends.join(ends.select(F.col("src").alias("goal")), how="cross")
+    rows = written(monkeypatch)
+    found = {(r.src, r.goal): r.path for r in graph.shortest_paths(w, pairs, cell=n).collect()}
+    assert len(found) == n * n and {k: found[k] for k in want} == want
+    assert max(rows) < n * n / 10
+    monkeypatch.setattr(graph, "SOURCES", 2)
+    assert {(r.src, r.goal): r.path for r in graph.shortest_paths(w, pairs, cell=n // 3).collect()} == found
 
 
 def test_path_geometries_order_points_of_one_step_by_node(spark):
