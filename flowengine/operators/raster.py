@@ -22,9 +22,12 @@ def sampled(points: DataFrame, raster: DataFrame, x0: float, y0: float, res: flo
 
 
 def line_cells(lines: DataFrame, x0: float, y0: float, res: float, key: str = "edge_id") -> DataFrame:
-    """(key, row, col): the cells that each line crosses, each once, however short its way through a cell."""
+    """(key, row, col): the cells that each line crosses, each once, however short its way through a cell.
+
+    Lines are dealt by their key before they become cells, so lines are shuffled and their cells are not.
+    """
     at = lambda p: ((p["x"] - x0) / res, (F.lit(y0) - p["y"]) / res)
-    pairs = lines.where(F.size("coords") > 1).select(key, F.explode(F.arrays_zip(F.slice("coords", F.lit(1), F.size("coords") - 1).alias("a"), F.slice("coords", F.lit(2), F.size("coords") - 1).alias("b"))).alias("s"))
+    pairs = lines.where(F.size("coords") > 1).select(key, "coords").repartition(key).select(key, F.explode(F.arrays_zip(F.slice("coords", F.lit(1), F.size("coords") - 1).alias("a"), F.slice("coords", F.lit(2), F.size("coords") - 1).alias("b"))).alias("s"))
     cells = pairs.select(key, F.explode(cells_along(*at(F.col("s.a")), *at(F.col("s.b")), 1.0)).alias("c"))
     return cells.select(key, F.col("c.cy").cast("int").alias("row"), F.col("c.cx").cast("int").alias("col")).distinct()
 

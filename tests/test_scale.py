@@ -43,3 +43,9 @@ def test_path_geometries_order_points_of_one_step_by_node(spark):
     nodes = spark.createDataFrame([(2, 2.0, 0.0), (102, 1.0, 0.0), (7, 7.0, 0.0)], "node_id long, x double, y double")
     log = spark.createDataFrame([(1, "nicest", 2, 102), (1, "nicest", 2, 2), (1, "nicest", 1, 7)], "agent_id long, behaviour string, seq int, `to` long")
     assert [[p.x for p in r.coords] for r in simulate.path_geometries(log, nodes).collect()] == [[7.0, 2.0, 1.0]]
+
+
+def test_line_cells_are_not_shuffled(spark):
+    """Lines move once, by their key; their cells are made distinct and counted where they are."""
+    plan = registry.QUERIES["oblique_line_cells"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
