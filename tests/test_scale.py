@@ -49,3 +49,12 @@ def test_line_cells_are_not_shuffled(spark):
     """Lines move once, by their key; their cells are made distinct and counted where they are."""
     plan = registry.QUERIES["oblique_line_cells"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_components_deal_a_crowded_label_to_several_tasks(spark, monkeypatch):
+    """A star, a chain and loose nodes, with crowds of more than 3 nodes of a label."""
+    monkeypatch.setattr(graph, "CROWD", 3)
+    edges = [(1, i) for i in range(2, 20)] * 2 + [(i, i + 1) for i in range(30, 45)] + [(50, 50)]
+    nodes = spark.createDataFrame([(i,) for i in (*range(1, 20), *range(30, 46), 50, 51)], "node_id long")
+    got = {r.node_id: r.component for r in graph.components(nodes, spark.createDataFrame(edges, "`from` long, `to` long")).collect()}
+    assert got == {i: 1 if i < 20 else 30 if i < 50 else i for (i,) in nodes.collect()}
