@@ -1,5 +1,8 @@
 """Ties, and work that must not grow faster than its result."""
 
+import math
+from collections import namedtuple
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -58,3 +61,20 @@ def test_components_deal_a_crowded_label_to_several_tasks(spark, monkeypatch):
     nodes = spark.createDataFrame([(i,) for i in (*range(1, 20), *range(30, 46), 50, 51)], "node_id long")
     got = {r.node_id: r.component for r in graph.components(nodes, spark.createDataFrame(edges, "`from` long, `to` long")).collect()}
     assert got == {i: 1 if i < 20 else 30 if i < 50 else i for (i,) in nodes.collect()}
+
+
+def test_strolls_keep_the_chances_of_a_place(monkeypatch):
+    """Chances are made once for all agents of a type that come to a place from one side, and moves bring their edges with them."""
+    calls = []
+    monkeypatch.setattr(simulate.math, "exp", lambda v, exp=simulate.math.exp: calls.append(v) or exp(v))
+    n = 12
+    at = lambda v: (math.cos(v * 2 * math.pi / n), math.sin(v * 2 * math.pi / n))
+    moves = {u: [(v, *at(v), 50.0, 100 * u + v, float(v % 5)) for v in sorted({(u + d) % n for d in (1, 3, n - 1, n - 3)})] for u in range(n)}
+    kind = namedtuple("Agent", "agent_id t last at x y lx ly stack retraced path start_v goal_v time_ext extra speed upto")
+    seen: dict = {}
+    walks = [simulate.stroll(kind(i, 1, 77, i % n, *at(i % n), 9.0, 9.0, [], [], [i % n], 77, i % n, 240, 0.0, 5, 1), moves, seen, 1, 0) for i in range(60)]
+    hops = sum(len(w[10]) for w in walks)
+    assert all(w[0] == 1 + len(w[10]) for w in walks) and hops > 2000
+    assert all(e in (100 * a + b, 100 * b + a) for w in walks for a, b, e in zip(w[12], w[13], w[14]))
+    places = sum(len(v) for v in seen.values())
+    assert places <= 5 * n and len(calls) <= 4 * places
