@@ -4,9 +4,10 @@ import math
 from collections import namedtuple
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from flowengine.operators import graph, simulate
+from flowengine.operators import graph, polygons, simulate
 from flowengine.plans import registry
 
 DATA = "/root/testdata/sf0.01"
@@ -78,3 +79,21 @@ def test_strolls_keep_the_chances_of_a_place(monkeypatch):
     assert all(e in (100 * a + b, 100 * b + a) for w in walks for a, b, e in zip(w[12], w[13], w[14]))
     places = sum(len(v) for v in seen.values())
     assert places <= 5 * n and len(calls) <= 4 * places
+
+
+def test_sides_of_one_file_are_dealt_to_all_tasks(spark):
+    """Pairs of sides are made in every task, though one partition holds all of them."""
+    ring = lambda corners: F.expr(f"transform(array({corners}), p -> struct(double(p[0] + id) AS x, double(p[1]) AS y))")
+    short = polygons.sides(spark.range(60, numPartitions=1).withColumn("ring", ring("array(0, 0), array(1, 0), array(7, 6), array(6, 6)")), "id")
+    long = polygons.sides(spark.range(1).withColumn("ring", ring("array(0, 0), array(90, 9), array(0, 1)")).withColumnRenamed("id", "b"), "b")
+    pairs, x, y = polygons._near(short, long, "id", "b", 8.0)
+    assert pairs.select(F.spark_partition_id()).distinct().count() == 4
+    assert {(r._l, r._d) for r in polygons._distances(pairs, x, y).groupBy("_l").agg(F.min("_d").alias("_d")).collect()} >= {(0, 0.0), (20, 0.0)}
+
+
+def test_distances_of_sides():
+    """Crossing, touching, parallel and apart; sides without length; one line."""
+    a = [(0, 0, 2, 2), (0, 0, 1, 0), (0, 0, 1, 0), (0, 0, 1, 0), (3, 4, 3, 4), (1, 1, 1, 1), (0, 0, 1, 0)]
+    b = [(0, 2, 2, 0), (1, 0, 5, 5), (0, 2, 1, 2), (4, 4, 4, 9), (0, 0, 0, 0), (0, 1, 5, 1), (3, 0, 9, 0)]
+    columns = lambda rows: list(np.array(rows, float).T)
+    assert polygons._distance2(columns(a), columns(b)).tolist() == [0, 0, 4, 25, 25, 0, 4]
