@@ -71,7 +71,7 @@ def _distance2(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _distances(pairs: DataFrame, x: list[Column], y: list[Column]) -> DataFrame:
-    """(_l, _r, _d) of pairs of sides, `_d` squared. As one Column this formula is longer than the JVM compiles: 24 microseconds a pair."""
+    """(_l, _r, _d) of pairs of sides, `_d` squared. In arrays: as one Column this formula is very long."""
     key = f"_l {pairs.schema['_l'].dataType.simpleString()}, _r {pairs.schema['_r'].dataType.simpleString()}"
 
     def run(batches):
