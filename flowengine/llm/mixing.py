@@ -43,6 +43,12 @@ STEP, EACH, FEW = 65_536, 4, 20_000
 _P, _BY = 2_147_483_647, (1_103_515_245, 1_664_525, 69_621_907, 742_938_285, 950_706_376, 1_226_874_159)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, which a join deals out by its key and never broadcasts: Spark takes the size before an explode() for the size
+    after it, so slots and their blocks would go whole through the driver."""
+    return df.hint("merge")
+
+
 def _rounds(x: str, a: str, b: str, key: str) -> str:
     left, right = f"({x} div {b})", f"({x} % {b})"
     for i, by in enumerate(_BY):
@@ -77,8 +83,9 @@ def running(df: DataFrame, group: str, fine: str, order: list[str], value: str,
     df = before(df, [group, fine], order, value, "_in")
     fines = df.groupBy(group, fine).agg(F.sum(value).alias("_v")).withColumn("_wide", F.expr(f"{fine} div {WIDER}"))
     wides = before(fines.groupBy(group, "_wide").agg(F.sum("_v").alias("_u")), [group], ["_wide"], "_u", "_far").drop("_u")
-    near = before(fines, [group, "_wide"], [fine], "_v", "_near").join(wides, [group, "_wide"])
-    return df.join(near.select(group, fine, (F.col("_near") + F.col("_far")).alias("_on")), [group, fine]).withColumn(out, F.col("_in") + F.col("_on")).drop("_in", "_on")
+    near = before(fines, [group, "_wide"], [fine], "_v", "_near").join(_dealt(wides), [group, "_wide"])
+    on = near.select(group, fine, (F.col("_near") + F.col("_far")).alias("_on"))
+    return df.join(_dealt(on), [group, fine]).withColumn(out, F.col("_in") + F.col("_on")).drop("_in", "_on")
 
 
 def _turn(key: str, text: str):
@@ -167,7 +174,7 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     sizes = cut(sized(docs, key, text, source))
     plan = targets(sizes, block=block)
     times = slots(plan, shard, seed).groupBy("no", "block").agg(F.count("*").alias("times"))
-    pieces = packed(sizes, plan, block).join(times, ["no", "block"], "left")
+    pieces = packed(sizes, plan, block).join(_dealt(times), ["no", "block"], "left")
     rows = pieces.groupBy("no", "turn", "k", "size", "copy").agg(F.sum(F.coalesce(F.col("some") * F.col("times"), F.lit(0))).alias("taken"))
     named = rows.join(_beside(plan.select("no", F.col("words").alias("source_size"), "target")), "no")
     return named.select(F.col("k").alias(key), "size", "source_size", "target", "taken")
@@ -181,10 +188,10 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     # one text for each turn: rows that are equal in key and text share their words
     texts = docs.select(_turn(key, text).alias("turn"), F.col(text).alias("_text")).dropDuplicates(["turn"])
     cut_up = pieces.groupBy("turn").agg(F.collect_list(F.struct("no", "copy", "block", "at", "some")).alias("_pieces"))
-    words = cut_up.join(texts, "turn").withColumn("_words", F.regexp_extract_all("_text", F.lit(f"({WORD})"), 1)).select("turn", "_words", F.explode("_pieces").alias("_p"))
+    words = cut_up.join(_dealt(texts), "turn").withColumn("_words", F.regexp_extract_all("_text", F.lit(f"({WORD})"), 1)).select("turn", "_words", F.explode("_pieces").alias("_p"))
     parts = words.select("_p.no", "_p.block", F.struct("turn", "_p.copy", "_p.at", F.expr("slice(_words, cast(_p.at + 1 as int), cast(_p.some as int))").alias("words")).alias("_part"))
     blocks = parts.groupBy("no", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list("_part")), lambda p: p.words)).alias("words"))
-    return slots(plan, shard, seed).join(blocks, ["no", "block"]).join(_beside(plan.select("no", F.col("src").alias("source"))), "no").select("shard", "slot", "source", "block", "words")
+    return slots(plan, shard, seed).join(_dealt(blocks), ["no", "block"]).join(_beside(plan.select("no", F.col("src").alias("source"))), "no").select("shard", "slot", "source", "block", "words")
 
 
 def op11_mixture(spark, sf_dir: str) -> DataFrame:

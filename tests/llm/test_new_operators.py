@@ -109,6 +109,36 @@ def test_running_sums_in_buckets_of_any_size(spark):
         assert r.s == sum(v for g, b, o, v in rows if g == r.g and (b, o) < (r.b, r.o))
 
 
+def broadcast_rows(df) -> list[int]:
+    """Rows of each table that the plan of df, once run, sent whole through the driver."""
+    found = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        if kind == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("run", [mixing.taken, mixing.mixed])
+def test_only_sources_are_broadcast(spark, run):
+    """Blocks and slots follow the size of all texts: none goes through the driver, however small Spark takes them for."""
+    rows = [(i, "w " * 1_000, f"s{i % 2}") for i in range(4_000)]
+    df = run(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = df.collect()
+    assert sum(r.taken if run is mixing.taken else len(r.words) for r in got) > 4_000 * 1_000
+    sent = broadcast_rows(df)
+    assert sent and max(sent) <= 2
+
+
 VECS = "vec_id long, embedding array<float>, cluster int, label int"
 
 
