@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from flowengine.functions.expressions import FAMILY, STEPS_PER_MINUTE, lookup, timesteps, travel_minutes
 
-from .graph import CELL, cut, shortest_paths
+from .graph import cut, shortest_paths
 
 #: Fixed value: ticks after which a walk ends.
 MAX_STEPS = 108_000
-#: Moves into an area that a task holds (a larger area is walked cell by cell), and agents that share a task.
-AREA, AGENTS = 200_000, 1_024
+#: Moves into an area that a task holds (a larger area is walked cell by cell, of so many nodes), and agents that share a task.
+AREA, CELL, AGENTS = 200_000, 16_384, 1_024
 #: The edge of a move that has none.
 NO_EDGE = -(1 << 63)
 LOG = ("agent_id", "seq", "timestep", "behaviour", "from", "to", "edge_id", "in_aoi")

@@ -5,6 +5,7 @@ from collections import namedtuple
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowengine.operators import graph, polygons, simulate
@@ -97,3 +98,23 @@ def test_distances_of_sides():
     b = [(0, 2, 2, 0), (1, 0, 5, 5), (0, 2, 1, 2), (4, 4, 4, 9), (0, 0, 0, 0), (0, 1, 5, 1), (3, 0, 9, 0)]
     columns = lambda rows: list(np.array(rows, float).T)
     assert polygons._distance2(columns(a), columns(b)).tolist() == [0, 0, 4, 25, 25, 0, 4]
+
+
+def test_paths_leave_a_task_in_bounded_batches(monkeypatch):
+    """Paths from a search to all nodes of a line come a batch at a time, and none is much larger than VALUES."""
+    monkeypatch.setattr(graph, "VALUES", 500)
+    n = 100
+    net = graph._Net(np.arange(n - 1), np.arange(1, n), np.ones(n - 1), 0, n, np.zeros(0, np.int64))
+    seed = {"src": [0], "row": ["new"], "round": [-1], "a": [[0]], "b": [[0.0]], "c": [[0]], "x": [[-math.inf]], "y": [[-1]]}
+    lot = pa.table({k: pa.array(v, pa.int32() if k == "round" else None) for k, v in seed.items()})
+    batches = [t.column("path").to_pylist() for t in graph._Cell(net, lot, "path", False, np.arange(n)).paths()]
+    assert [p for b in batches for p in b] == [[0]] + [list(range(1, v + 1)) for v in range(1, n)]
+    assert len(batches) > 9 and max(sum(map(len, b)) for b in batches) <= 500 + 1
+
+
+def test_all_goals_go_to_their_cells_once(spark):
+    """Sources and goals by their two sides give the rows of their pairs, also of goals that nothing reaches."""
+    w, n = registry.whole_ring(spark, "/root/testdata/sf0.001")
+    sources, goals = w.where("src % 4 = 0").select("weighting", "src").distinct(), spark.range(n + 2).withColumnRenamed("id", "goal")
+    for found in (graph.shortest_distances, graph.shortest_paths):
+        assert sorted(found(w, (sources, goals), cell=5).collect()) == sorted(found(w, sources.join(goals, how="cross"), cell=5).collect())
