@@ -118,3 +118,22 @@ def test_all_goals_go_to_their_cells_once(spark):
     sources, goals = w.where("src % 4 = 0").select("weighting", "src").distinct(), spark.range(n + 2).withColumnRenamed("id", "goal")
     for found in (graph.shortest_distances, graph.shortest_paths):
         assert sorted(found(w, (sources, goals), cell=5).collect()) == sorted(found(w, sources.join(goals, how="cross"), cell=5).collect())
+
+
+def test_few_goals_are_searched_from_their_side(spark, monkeypatch):
+    """One-way edges: distances to two goals from all nodes take two searches; weights that round are searched from the sources."""
+    searches, init = [], graph._Searches.__init__
+
+    def counted(self, *a):
+        init(self, *a)
+        searches.append(self.most)
+
+    monkeypatch.setattr(graph._Searches, "__init__", counted)
+    edges = [("d", i, i + 1, 1.0 + i % 3) for i in range(9)] + [("d", 0, 5, 2.0)]
+    w = spark.createDataFrame(edges, "weighting string, src long, dst long, w double")
+    pairs = spark.range(10).selectExpr("'d' AS weighting", "id AS src", "explode(array(3L, 7L)) AS goal")
+    found = {(r.src, r.goal): r.distance for r in graph.shortest_distances(w, pairs).collect()}
+    assert found == {(s, g): float((2 + 3 + 1) if (s, g) == (0, 7) else sum(1 + i % 3 for i in range(s, g))) for s in range(10) for g in (3, 7)}
+    assert searches == [2]
+    tenth = {(r.src, r.goal): r.distance for r in graph.shortest_distances(w.withColumn("w", F.col("w") / 10), pairs).collect()}
+    assert searches == [2, 10] and all(abs(tenth[k] * 10 - found[k]) < 1e-9 for k in found)
